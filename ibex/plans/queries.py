@@ -320,3 +320,158 @@ def q_center_vector(spark, sf_dir):
     v = C.read_vectors(spark, sf_dir).select("vec_id", center_vector("features").alias("x"))
     return v.select("vec_id", F.posexplode("x").alias("i", "value")) \
         .select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), r6("value").alias("value"))
+
+
+# ------------------------------------- model operators, fixed weights (M) ---
+
+from ibex.operators import vib as VIB  # noqa: E402
+from ibex.operators import vib_math as VM  # noqa: E402
+from ibex.operators.divergence import closed_form, renyi_sampled  # noqa: E402
+from ibex.plans import oracle_model as OM  # noqa: E402
+
+VEC_SPEC = VM.dense_spec(64, units=(OM.HIDDEN,), out_dim=OM.CLASSES, latent_dim=OM.LATENT, transform="center")
+VEC_BETA = 1e-3
+
+
+def _vec_scored(spark, sf_dir) -> DataFrame:
+    vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id")
+    params = VM.init_params(VEC_SPEC, scheme="formula")
+    return VIB.score(vec, VEC_SPEC, params, "vec_id", "features", "label", ["is_train"], seed=0,
+                     n_draws=OM.DRAWS)
+
+
+def _explode_r6(df, arr, name_i, name_v):
+    return df.select("vec_id", F.posexplode(arr).alias(name_i, name_v)) \
+        .select("vec_id", F.col(name_i).cast("bigint").alias(name_i), r6(name_v).alias(name_v))
+
+
+@register("dense_forward", OM.with_forward(
+    "SELECT vec_id, CAST(j AS BIGINT) AS j, round(h, 6) + 0.0 AS h FROM h0"))
+def q_dense_forward(spark, sf_dir):
+    """First hidden layer: ``relu((2x - 1) W + b)`` for every vector."""
+    from ibex.operators.dense import dense_layer
+    vec = C.read_vectors(spark, sf_dir)
+    params = VM.Layout(VEC_SPEC).views(VM.init_params(VEC_SPEC, scheme="formula"))
+    h = dense_layer(vec, "vec_id", "features", params["enc0.W"], params["enc0.b"], relu=True, center=True)
+    return _explode_r6(h, "h", "j", "h")
+
+
+@register("encode_latent", OM.with_forward(
+    "SELECT vec_id, CAST(k AS BIGINT) AS k, round(mu, 6) + 0.0 AS mu, round(sigma, 6) + 0.0 AS sigma FROM lat"))
+def q_encode_latent(spark, sf_dir):
+    s = _vec_scored(spark, sf_dir)
+    z = s.select("vec_id", F.posexplode(F.arrays_zip("mu", "sigma")).alias("k", "p"))
+    return z.select("vec_id", F.col("k").cast("bigint").alias("k"), r6("p.mu").alias("mu"), r6("p.sigma").alias("sigma"))
+
+
+@register("sample_latent", OM.with_forward(
+    "SELECT vec_id, CAST(k AS BIGINT) AS k, round(z, 6) + 0.0 AS z FROM z"))
+def q_sample_latent(spark, sf_dir):
+    return _explode_r6(_vec_scored(spark, sf_dir), "z", "k", "z")
+
+
+@register("decode_logits", OM.with_forward(
+    "SELECT vec_id, CAST(c AS BIGINT) AS c, round(logit, 6) + 0.0 AS logit FROM lg"))
+def q_decode_logits(spark, sf_dir):
+    return _explode_r6(_vec_scored(spark, sf_dir), "logits", "c", "logit")
+
+
+@register("predict_class", OM.with_forward("SELECT vec_id, CAST(pred AS BIGINT) AS pred FROM pred"))
+def q_predict_class(spark, sf_dir):
+    return _vec_scored(spark, sf_dir).select("vec_id", F.col("pred").cast("bigint").alias("pred"))
+
+
+@register("predict", OM.with_forward(
+    "SELECT vec_id, CAST(mc_pred AS BIGINT) AS pred, round(max_prob, 6) + 0.0 AS prob FROM mcpred"))
+def q_predict(spark, sf_dir):
+    vec = C.read_vectors(spark, sf_dir).drop("label")
+    params = VM.init_params(VEC_SPEC, scheme="formula")
+    p = VIB.predict(vec, VEC_SPEC, params, "vec_id", "features", seed=0, n_draws=OM.DRAWS, tag="eval")
+    # same noise tag as evaluation so the SQL statement can share its CTEs
+    return p.select("vec_id", F.col("pred").cast("bigint").alias("pred"), r6(F.array_max("probs")).alias("prob"))
+
+
+@register("kl_divergence", OM.with_forward(
+    "SELECT vec_id, CAST(k AS BIGINT) AS k, round(-ln(sigma) + (sigma * sigma + mu * mu - 1.0) / 2.0, 6) + 0.0 "
+    "AS kl FROM lat"))
+def q_kl_divergence(spark, sf_dir):
+    from ibex.functions.numeric import kl_std_normal
+    s = _vec_scored(spark, sf_dir)
+    z = s.select("vec_id", F.posexplode(F.arrays_zip("mu", "sigma")).alias("k", "p"))
+    return z.select("vec_id", F.col("k").cast("bigint").alias("k"), r6(kl_std_normal("p.mu", "p.sigma")).alias("kl"))
+
+
+_RENYI_ALPHAS = (0.5, 2.0, 5.0)
+
+
+@register("renyi_closed", OM.renyi_closed_sql(_RENYI_ALPHAS))
+def q_renyi_closed(spark, sf_dir):
+    s = _vec_scored(spark, sf_dir)
+    out = None
+    for a in _RENYI_ALPHAS:
+        d = closed_form(s, a, ["vec_id"]).select("vec_id", F.lit(str(a)).alias("alpha"), r6("div_nats").alias("div_nats"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+_MC_ALPHAS = (0.5, 2.0, "inf")
+
+
+@register("renyi_mc", OM.renyi_mc_sql(_MC_ALPHAS))
+def q_renyi_mc(spark, sf_dir):
+    s = _vec_scored(spark, sf_dir)
+    out = None
+    for a in _MC_ALPHAS:
+        alpha = float("inf") if a == "inf" else a
+        d = renyi_sampled(s, alpha, ["vec_id"], ["is_train"], seed=0, tag="eval") \
+            .select("is_train", F.lit(str(a)).alias("alpha"), r6("value").alias("value"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def _vec_metrics(spark, sf_dir):
+    return VIB.metrics_by(_vec_scored(spark, sf_dir), VEC_SPEC.out_dim, ["is_train"], VEC_BETA)
+
+
+_LOG2_10 = "log2(10.0)"
+
+
+@register("loss_bits", OM.with_forward(
+    "SELECT is_train, round(avg(ce_bits), 6) + 0.0 AS ce_bits, round(avg(div_bits), 6) + 0.0 AS div_bits, "
+    f"round(avg(ce_bits) + {VEC_BETA} * avg(div_bits), 6) + 0.0 AS loss_bits FROM per GROUP BY is_train"))
+def q_loss_bits(spark, sf_dir):
+    m = _vec_metrics(spark, sf_dir)
+    return m.select("is_train", r6("ce_bits").alias("ce_bits"), r6("izx").alias("div_bits"),
+                    r6("loss_bits").alias("loss_bits"))
+
+
+@register("accuracy", OM.with_forward(
+    "SELECT is_train, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS acc "
+    "FROM per GROUP BY is_train"))
+def q_accuracy(spark, sf_dir):
+    return _vec_metrics(spark, sf_dir).select("is_train", r6("acc").alias("acc"))
+
+
+@register("mc_accuracy", OM.with_forward(
+    "SELECT is_train, round(avg(CASE WHEN mc_pred = label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS avg_acc "
+    "FROM per GROUP BY is_train"))
+def q_mc_accuracy(spark, sf_dir):
+    return _vec_metrics(spark, sf_dir).select("is_train", r6("avg_acc").alias("avg_acc"))
+
+
+@register("information_plane", OM.with_forward(
+    f"SELECT is_train, round({_LOG2_10} - avg(ce_bits), 6) + 0.0 AS izy, round(avg(div_bits), 6) + 0.0 AS izx "
+    "FROM per GROUP BY is_train"))
+def q_information_plane(spark, sf_dir):
+    return _vec_metrics(spark, sf_dir).select("is_train", r6("izy").alias("izy"), r6("izx").alias("izx"))
+
+
+@register("evaluate", OM.with_forward(
+    f"SELECT is_train, count(*) AS n, round({_LOG2_10} - avg(ce_bits), 6) + 0.0 AS izy, "
+    "round(avg(div_bits), 6) + 0.0 AS izx, "
+    "round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS acc, "
+    "round(avg(CASE WHEN mc_pred = label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS avg_acc FROM per GROUP BY is_train"))
+def q_evaluate(spark, sf_dir):
+    m = _vec_metrics(spark, sf_dir)
+    return m.select("is_train", F.col("n").cast("bigint").alias("n"), r6("izy").alias("izy"), r6("izx").alias("izx"),
+                    r6("acc").alias("acc"), r6("avg_acc").alias("avg_acc"))
