@@ -6,8 +6,8 @@
 * :func:`evaluate` - :func:`score` + one grouped aggregate per split:
   ``izy, izx, acc, avg_acc``.
 * :func:`fit` - mini-batch training.  ``mode='sync'``: one Spark job per
-  step, each task returns its partial gradient sum, ``treeReduce`` adds
-  them, the driver applies Adam (same update as single-process training on
+  step over data hash-partitioned by batch id, the task holding the batch
+  returns its gradient sum, the driver applies Adam (same update as single-process training on
   the same batch).  ``mode='average'``: one job per epoch, every partition
   runs its own Adam steps over its rows and the driver averages the
   resulting parameters weighted by row count (local SGD; an approximation,
@@ -222,8 +222,18 @@ def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batc
                 [pa.array([n], pa.int64()), pa.array([ce]), pa.array([dv]), pa.array([g.tobytes()], pa.binary())],
                 names=["n", "ce", "dv", "g"])
 
-    parts = step_df.mapInArrow(run, schema)
-    return parts.rdd.map(lambda r: (r["n"], r["ce"], r["dv"], np.frombuffer(r["g"], dtype=np.float64)))
+    return step_df.mapInArrow(run, schema)
+
+
+def _sum_partials(parts: DataFrame):
+    """Sum of per-partition gradient rows: ``(n, grad)``.  Rows are added on
+    the driver (at most one per non-empty partition)."""
+    n, g = 0, None
+    for r in parts.collect():
+        v = np.frombuffer(r["g"], dtype=np.float64)
+        g = v.copy() if g is None else g + v
+        n += r["n"]
+    return n, g
 
 
 def _add(a, b):
@@ -256,14 +266,14 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
         if cfg.mode == "sync":
             noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
             for step in range(n_batches):
-                # gradient sums with B = 1, divided by the true batch size after the reduce
+                # gradient sums with B = 1, divided by the true batch size after the reduce.
+                # The batched frame is hash-partitioned on ``batch``, so one step's rows sit in
+                # one partition and the step returns a single partial (model-sized).
                 partials = _grad_partials(noisy.where(F.col("batch") == F.lit(step)), spec, params, x, label,
                                           cfg.beta, cfg.alpha, 1)
-                try:
-                    n, _, _, g = partials.treeReduce(_add, depth=2)
-                except ValueError:  # empty batch
-                    continue
-                params = opt.step(params, g / n)
+                n, g = _sum_partials(partials)
+                if n:
+                    params = opt.step(params, g / n)
         elif cfg.mode == "average":
             params, opt = _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_train)
         else:

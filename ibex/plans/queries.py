@@ -475,3 +475,140 @@ def q_evaluate(spark, sf_dir):
     m = _vec_metrics(spark, sf_dir)
     return m.select("is_train", F.col("n").cast("bigint").alias("n"), r6("izy").alias("izy"), r6("izx").alias("izx"),
                     r6("acc").alias("acc"), r6("avg_acc").alias("avg_acc"))
+
+
+# ------------------------------------------------ sweeps and histories ---
+
+from ibex.operators import sweep as SW  # noqa: E402
+
+
+def _runs_sql() -> str:
+    return ("runs AS (SELECT config, trial, epoch, is_train, avg(value) AS metric FROM ("
+            "SELECT event_type AS config, user_id AS trial, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS epoch, "
+            f"{O.uniform_sql(0, 'event_id')} >= 0.2 AS is_train, value FROM events) "
+            "GROUP BY config, trial, epoch, is_train)")
+
+
+def _runs(spark, sf_dir):
+    return SW.runs_from_events(C.table(spark, sf_dir, "events"))
+
+
+@register("runs_table", f"WITH {_runs_sql()} SELECT config, trial, epoch, is_train, "
+          "round(metric, 6) + 0.0 AS metric FROM runs")
+def q_runs_table(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    return r.select("config", "trial", "epoch", "is_train", r6("metric").alias("metric"))
+
+
+@register("history_wide", f"WITH {_runs_sql()} SELECT config, trial, epoch, "
+          "round(max(CASE WHEN is_train THEN metric END), 6) + 0.0 AS train_metric, "
+          "round(max(CASE WHEN NOT is_train THEN metric END), 6) + 0.0 AS test_metric "
+          "FROM runs GROUP BY config, trial, epoch")
+def q_history_wide(spark, sf_dir):
+    w = SW.history_wide(_runs(spark, sf_dir))
+    return w.select("config", "trial", "epoch", r6("train_metric").alias("train_metric"),
+                    r6("test_metric").alias("test_metric"))
+
+
+_LAST_SQL = ("last AS (SELECT config, trial, is_train, max(epoch) AS last_epoch, "
+             "arg_max(metric, epoch) AS last_metric, count(*) AS n_epochs FROM runs "
+             "GROUP BY config, trial, is_train)")
+
+
+@register("last_epoch", f"WITH {_runs_sql()}, {_LAST_SQL} SELECT config, trial, is_train, last_epoch, "
+          "round(last_metric, 6) + 0.0 AS last_metric, n_epochs FROM last")
+def q_last_epoch(spark, sf_dir):
+    r = SW.last_epoch(_runs(spark, sf_dir))
+    return r.select("config", "trial", "is_train", "last_epoch", r6("last_metric").alias("last_metric"),
+                    F.col("n_epochs").cast("bigint").alias("n_epochs"))
+
+
+@register("sweep_alpha_summary", f"WITH {_runs_sql()}, {_LAST_SQL} SELECT config, "
+          "round(avg(last_metric), 6) + 0.0 AS avg_metric, round(stddev_pop(last_metric), 6) + 0.0 AS std_metric, "
+          "count(*) AS n_trials FROM last WHERE NOT is_train GROUP BY config")
+def q_sweep_alpha_summary(spark, sf_dir):
+    s = SW.summary_mean_std(_runs(spark, sf_dir), is_train=False)
+    return s.select("config", r6("avg_metric").alias("avg_metric"), r6("std_metric").alias("std_metric"),
+                    F.col("n_trials").cast("bigint").alias("n_trials"))
+
+
+@register("sweep_beta_summary", f"WITH {_runs_sql()}, {_LAST_SQL} SELECT config, "
+          "round(avg(CASE WHEN is_train THEN last_metric END), 6) + 0.0 AS train_metric, "
+          "round(avg(CASE WHEN NOT is_train THEN last_metric END), 6) + 0.0 AS test_metric "
+          "FROM last GROUP BY config")
+def q_sweep_beta_summary(spark, sf_dir):
+    s = SW.summary_train_test(_runs(spark, sf_dir))
+    return s.select("config", r6("train_metric").alias("train_metric"), r6("test_metric").alias("test_metric"))
+
+
+# ------------------------------------- training (rows-only: no SQL form) ---
+
+FIT_VEC_SPEC = VM.dense_spec(64, units=(32, 32), out_dim=10, latent_dim=2, transform="center")
+
+
+@register("fit_history")
+def q_fit_history(spark, sf_dir):
+    """Synchronous mini-batch training on the vector table: per-epoch
+    information-plane bounds and accuracies for both parts."""
+    vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id")
+    cfg = VIB.FitConfig(epochs=2, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="sync")
+    _, hist = VIB.fit(vec, FIT_VEC_SPEC, cfg, "vec_id", "features")
+    return VIB.history_frame(spark, hist)
+
+
+TEXT_FIT_SPEC = VM.text_spec(num_words=1000, maxlen=500, units=(16, 8), embed_dim=8)
+
+
+def _text_model_frame(spark, sf_dir):
+    enc = _encoded(spark, sf_dir)
+    return enc.withColumn("ids", V.pad_sequences("ids", CFG.maxlen))
+
+
+@register("fit_text_history")
+def q_fit_text_history(spark, sf_dir):
+    """The book-paragraph pipeline end to end: paragraphs -> vocabulary ->
+    padded ids -> local-SGD training of an embedding model (one data pass
+    per epoch)."""
+    data = _text_model_frame(spark, sf_dir)
+    cfg = VIB.FitConfig(epochs=2, batch_size=50, beta=1e-4, alpha=1.0, lr=1e-3, mode="average")
+    _, hist = VIB.fit(data, TEXT_FIT_SPEC, cfg, ["doc_id", "pos"], "ids")
+    return VIB.history_frame(spark, hist)
+
+
+@register("train_step")
+def q_train_step(spark, sf_dir):
+    """One synchronous gradient step over the first training batch of the
+    text pipeline: gradient norm per parameter (rows = parameters)."""
+    import numpy as np
+    data = _text_model_frame(spark, sf_dir)
+    tr = data.where("is_train").select("doc_id", "pos", "ids", "label")
+    n = tr.count()
+    batched, _ = S.minibatch_ids(tr, ["doc_id", "pos"], 50, n)
+    step = VIB.with_noise(batched.where(F.col("batch") == 0), ["doc_id", "pos"], TEXT_FIT_SPEC.latent_dim, "0:1", 0,
+                          "train")
+    params = VM.init_params(TEXT_FIT_SPEC, 0)
+    m, g = VIB._sum_partials(VIB._grad_partials(step, TEXT_FIT_SPEC, params, "ids", "label", 1e-4, 1.0, 1))
+    views = VM.Layout(TEXT_FIT_SPEC).views(g / max(m, 1))
+    rows = [(name, int(v.size), float(np.linalg.norm(v)), int(m)) for name, v in views.items()]
+    return spark.createDataFrame(rows, "param string, size bigint, grad_norm double, batch_rows bigint")
+
+
+@register("sweep_fit_alpha")
+def q_sweep_fit_alpha(spark, sf_dir):
+    """Alpha x trial grid trained together (one data pass per epoch for the
+    whole grid), summarised as mean and population std of the last-epoch
+    Monte Carlo test accuracy per alpha."""
+    vec = C.read_vectors(spark, sf_dir)
+    grid = SW.alpha_trial_grid([0.5, 1.0, 2.0], n_trials=2, beta=1e-4)
+    runs = SW.fit_sweep(vec, FIT_VEC_SPEC, grid, "vec_id", "features", epochs=2, batch_size=50, lr=1e-3)
+    return SW.summary_mean_std(SW.runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
+
+
+@register("sweep_fit_beta")
+def q_sweep_fit_beta(spark, sf_dir):
+    """Beta grid (powers of ten) trained together; mean last-epoch train and
+    test accuracy per beta."""
+    vec = C.read_vectors(spark, sf_dir)
+    grid = SW.beta_grid_configs(SW.beta_grid(-6.0, 2.0, 2.0), n_samples=1)
+    runs = SW.fit_sweep(vec, FIT_VEC_SPEC, grid, "vec_id", "features", epochs=2, batch_size=50, lr=1e-3)
+    return SW.summary_train_test(SW.runs_for_summary(runs, "acc", "beta"))
