@@ -612,3 +612,37 @@ def q_sweep_fit_beta(spark, sf_dir):
     grid = SW.beta_grid_configs(SW.beta_grid(-6.0, 2.0, 2.0), n_samples=1)
     runs = SW.fit_sweep(vec, FIT_VEC_SPEC, grid, "vec_id", "features", epochs=2, batch_size=50, lr=1e-3)
     return SW.summary_train_test(SW.runs_for_summary(runs, "acc", "beta"))
+
+
+# ------------------------------------------------ subword branch (T1-T3) ---
+
+from ibex.operators import subword as SWD  # noqa: E402
+
+
+def _subword_encoded(spark, sf_dir):
+    tok = _tokens(spark, sf_dir)
+    vocab = SWD.subword_vocab(tok.where("is_train"), n_words=2000, n_chars=500)
+    enc = SWD.subword_encode(tok, vocab, "text", max_length=SWD.DEFAULT_MAX_LENGTH)
+    return SWD.pad_to_longest(enc, "input_ids", "is_train", SWD.DEFAULT_MAX_LENGTH)
+
+
+@register("subword_encode")
+def q_subword_encode(spark, sf_dir):
+    """Greedy longest-match subword ids with begin/end markers, truncated at
+    512 and padded to the longest row of each part."""
+    e = _subword_encoded(spark, sf_dir)
+    return e.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "is_train",
+                    F.size("input_ids").cast("bigint").alias("width"),
+                    F.size(F.filter("input_ids", lambda v: v != 0)).cast("bigint").alias("n_ids"),
+                    join_ints("input_ids").alias("input_ids"))
+
+
+@register("subword_model_inputs")
+def q_subword_model_inputs(spark, sf_dir):
+    """Sequence-classifier inputs from subword ids: ids, mask, one-hot."""
+    from ibex.operators.model_inputs import model_inputs
+    e = _subword_encoded(spark, sf_dir).withColumnRenamed("input_ids", "sub_ids")
+    m = model_inputs(e, maxlen=None, k=2, ids="sub_ids")
+    return m.select("doc_id", F.col("pos").cast("bigint").alias("pos"),
+                    join_ints("input_ids").alias("input_ids"), join_ints("attention_mask").alias("attention_mask"),
+                    join_ints(F.transform("labels", lambda v: v.cast("int"))).alias("labels"))
