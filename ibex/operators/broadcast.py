@@ -15,26 +15,23 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_ROWS = 100_000
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count if it is at most ``max_rows``, else ``None``.
+def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
+    """The rows of ``df`` if there are at most ``max_rows``, else ``None``.
 
-    Counts at most ``max_rows + 1`` rows, so the check costs no more than
-    the bound even when the frame is large.
+    Fetches at most ``max_rows + 1`` rows (one job), so the check costs no
+    more than the bound even when the frame is large.
     """
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """Hint a broadcast when the frame has at most ``max_rows`` rows.
 
-    The small side is materialised once and turned into a local relation so
-    the check and the join do not compute it twice.
+    The small side is materialised once (by the check itself) and turned
+    into a local relation, so the join does not compute it again.
     """
-    n = bounded_rows(df, max_rows)
-    if n is None:
+    rows = bounded_rows(df, max_rows)
+    if rows is None:
         return df
-    rows = df.collect()  # at most max_rows rows: proven by the check above
-    spark = df.sparkSession
-    small = spark.createDataFrame(rows, schema=df.schema) if rows else spark.createDataFrame([], df.schema)
-    return F.broadcast(small)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))

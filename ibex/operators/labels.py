@@ -11,7 +11,7 @@ from ibex.functions.numeric import one_hot
 from ibex.operators.broadcast import broadcast_if_small
 
 DEFAULT_CUTOFF = 1800
-MANIFEST_MAX_ROWS = 1_000_000
+MANIFEST_MAX_ROWS = 100_000
 
 
 def manifest_frame(spark: SparkSession, mapping: Mapping[str, int]) -> DataFrame:

@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from ibex.operators.broadcast import broadcast_if_small
 from ibex.operators.vocab import token_counts
 
@@ -124,9 +127,6 @@ def encode_word(word: str, vocab: dict, unk_id: int, lower: bool = True) -> list
 
 
 def _make_encoder(bc_vocab, lower: bool):
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     def encode(words: pa.Array) -> pa.Array:
         vocab = bc_vocab.value
         unk = vocab.get("[UNK]", 1)
@@ -154,10 +154,10 @@ def _make_encoder(bc_vocab, lower: bool):
 def collect_pieces(vocab: DataFrame) -> dict:
     """Piece -> id dict; the vocabulary size is checked before it is
     collected and shipped."""
-    n = vocab.limit(MAX_VOCAB + 1).count()
-    if n > MAX_VOCAB:
+    rows = vocab.select("piece", "id").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
         raise ValueError("piece vocabulary too large to ship")
-    return {r["piece"]: int(r["id"]) for r in vocab.select("piece", "id").collect()}
+    return {r["piece"]: int(r["id"]) for r in rows}
 
 
 def subword_encode(df: DataFrame, vocab: DataFrame, text: str = "text", max_length: int = DEFAULT_MAX_LENGTH,
@@ -166,7 +166,7 @@ def subword_encode(df: DataFrame, vocab: DataFrame, text: str = "text", max_leng
     ``max_length`` ids."""
     pieces = collect_pieces(vocab)
     bc = df.sparkSession.sparkContext.broadcast(pieces)
-    udf = F.arrow_udf(_make_encoder(bc, lower), T.ArrayType(T.IntegerType()), F.ArrowUDFType.SCALAR)
+    udf = F.arrow_udf(_make_encoder(bc, lower), T.ArrayType(T.IntegerType()))
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != F.lit(""))
     raw = udf(words)
     cls_id, sep_id = pieces["[CLS]"], pieces["[SEP]"]

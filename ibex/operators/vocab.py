@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from ibex.functions.text import OOV_ID, PAD_ID, tokenize
 
 DEFAULT_NUM_WORDS = 1000
@@ -56,10 +59,10 @@ def collect_vocabulary(vocab: DataFrame) -> list[str]:
     """Tokens ordered by id (id = index + 2).  The vocabulary is bounded by
     ``num_words`` by construction; the bound is re-checked here before
     anything reaches the driver."""
-    n = vocab.limit(MAX_BROADCAST_VOCAB + 1).count()
-    if n > MAX_BROADCAST_VOCAB:
+    rows = vocab.select("token", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()
+    if len(rows) > MAX_BROADCAST_VOCAB:
         raise ValueError(f"vocabulary larger than {MAX_BROADCAST_VOCAB} rows; encode with a join")
-    rows = vocab.select("token", "id").orderBy("id").collect()
+    rows.sort(key=lambda r: r["id"])
     out = [r["token"] for r in rows]
     for i, r in enumerate(rows):
         if r["id"] != i + 2:
@@ -68,9 +71,6 @@ def collect_vocabulary(vocab: DataFrame) -> list[str]:
 
 
 def _make_encoder(bc_tokens):
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     state = {}
 
     def encode(tokens: pa.Array) -> pa.Array:
@@ -97,7 +97,7 @@ def encode_tokens(tokenized: DataFrame, vocab: DataFrame, maxlen: int | None = D
     exactly one id).  ``maxlen=None`` keeps whole sequences."""
     spark = tokenized.sparkSession
     bc = spark.sparkContext.broadcast(collect_vocabulary(vocab))
-    udf = F.arrow_udf(_make_encoder(bc), T.ArrayType(T.IntegerType()), F.ArrowUDFType.SCALAR)
+    udf = F.arrow_udf(_make_encoder(bc), T.ArrayType(T.IntegerType()))
     src = F.col(tokens) if maxlen is None else F.slice(tokens, 1, maxlen)
     return tokenized.withColumn(out, udf(src))
 
