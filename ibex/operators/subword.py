@@ -175,11 +175,18 @@ def subword_encode(df: DataFrame, vocab: DataFrame, text: str = "text", max_leng
 
 
 def pad_to_longest(df: DataFrame, ids: str = "input_ids", by: str | None = "is_train",
-                   max_length: int = DEFAULT_MAX_LENGTH, pad_id: int = 0) -> DataFrame:
+                   max_length: int = DEFAULT_MAX_LENGTH, pad_id: int = 0, materialize: bool = True) -> DataFrame:
     """Pad every row to the longest row of its group (capped at
     ``max_length``).  The widths are one aggregate with one row per group,
     broadcast after a size check (a shuffle join on a few-valued key would
-    send each group to a single task)."""
+    send each group to a single task).  With ``materialize`` the unpadded
+    rows are checkpointed first, so the Python encoder runs once, not once
+    for the widths and once for the output."""
+    if materialize:
+        from ibex.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     width = F.least(F.lit(max_length), F.max(F.size(ids))).alias("_w")
     if by is None:
         w = df.agg(width).first()["_w"] or 0

@@ -174,7 +174,8 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     spark = data.sparkSession
     keys = VIB._keys(key)
     trials = sorted({c.trial for c in configs})
-    base = _prepared(data, keys, x, label, trials, test_fraction).withColumn("_o", F.md5(VIB.key_string(keys)))
+    base = VIB.materialize(
+        _prepared(data, keys, x, label, trials, test_fraction).withColumn("_o", F.md5(VIB.key_string(keys))))
     width, k = VIB._x_width(spec), spec.latent_dim
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
     size = M.Layout(spec).size
@@ -222,6 +223,7 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
                           int(round(avg[-1])))
         bc.unpersist()
         rows += _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed, n_draws)
+    base.unpersist()
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 

@@ -255,6 +255,10 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     keys = _keys(key)
     params = M.init_params(spec, cfg.seed) if params is None else params.copy()
     opt = M.Adam(cfg.lr)
+    # materialise the model inputs once: every epoch re-reads them, and an
+    # executor loss then re-reads checkpoint files instead of re-running the
+    # whole text pipeline
+    data = materialize(data.select(*dict.fromkeys(keys + [x, label, split])))
     train = data.where(F.col(split)).select(*keys, x, label)
     n_train = train.count()
     history = []
@@ -290,9 +294,19 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
             _save_params(spark, cfg.checkpoint_path, epoch, params, spec)
     if cfg.mode == "sync":
         batched.unpersist()
+    data.unpersist()
     return params, history
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (files under ``spark.checkpoint.dir``) plus an
+    in-memory copy for the iterations."""
+    from ibex.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True).persist()
+
+
 HISTORY_SCHEMA = ("epoch int, train_izy double, train_izx double, train_acc double, train_avg_acc double, "
                   "test_izy double, test_izx double, test_acc double, test_avg_acc double")
 

@@ -31,9 +31,15 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataF
 
 
 def token_counts(tokenized: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``(token, n)`` over all rows of ``tokenized``."""
+    """``(token, n)`` over all rows of ``tokenized``.
+
+    ``explode_outer`` + a null filter rather than ``explode``: for a plain
+    explode the optimizer infers ``size(tokens) > 0`` and pushes it below
+    the projection, which would run the whole clean/tokenise chain twice.
+    """
     return (
-        tokenized.select(F.explode(tokens).alias("token"))
+        tokenized.select(F.explode_outer(tokens).alias("token"))
+        .where(F.col("token").isNotNull())
         .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     )
 

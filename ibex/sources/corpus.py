@@ -24,13 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give CPU-heavy row work at least one partition per core.
+
+    A large input already scans as many splits as it has row groups, so this
+    is a no-op at scale; a small, unsplittable file (one row group) would
+    otherwise run every regex and tokeniser in a single task.  Hash
+    partitioning on a unique key keeps the layout deterministic on retries.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document table as a corpus: one row per book-like text, newlines
     normalised."""
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", "source", normalize_newlines("text").alias("text"))
-    )
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return docs.select("doc_id", "source", normalize_newlines("text").alias("text"))
 
 
 def read_text_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -73,18 +85,18 @@ def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as a message table: ``role`` is the category."""
-    return table(spark, sf_dir, "conversations").select(
+    msgs = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * F.lit(1_000_000) + F.col("turn")).alias("msg_id"),
         F.col("role").alias("category"),
         F.col("text"),
     )
+    return spread(msgs, "msg_id")
 
 
 def read_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense labelled vectors (the image-like dataset)."""
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.col("embedding").alias("features"), "label"
-    )
+    vec = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), "label")
+    return spread(vec, "vec_id")
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -97,7 +109,7 @@ def union_sources(*frames: DataFrame) -> DataFrame:
 
 
 def read_benchmark_as_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(
+    return spread(table(spark, sf_dir, "benchmark"), "item_id").select(
         F.col("item_id").alias("doc_id"),
         F.lit("benchmark").alias("source"),
         normalize_newlines("text").alias("text"),
