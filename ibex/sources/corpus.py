@@ -53,7 +53,7 @@ def read_text_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFram
     """
     if isinstance(paths, str):
         paths = [paths]
-    raw = spark.read.option("wholetext", "true").text(list(paths))
+    raw = spark.read.text(list(paths), wholetext=True)
     path = F.input_file_name()
     return raw.select(
         F.xxhash64(path).alias("doc_id"),
