@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from ibex.functions.hashing import uniform
 from ibex.operators import vib as VIB
 from ibex.operators import vib_math as M
+from ibex.operators.reduce import tree_sum_by_key
 
 SECONDS_PER_DAY = 86400
 
@@ -166,7 +167,7 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     from the broadcast state, results are averaged by row count.
 
     Per epoch: one data pass trains the whole grid (partials keyed by
-    configuration, summed with ``reduceByKey``) and one pass evaluates it
+    configuration, summed block-wise in two levels) and one pass evaluates it
     (per-task partial sums per configuration and part, then a grouped sum).
     Rows stream through Arrow batches; only per-configuration state is held.
     Returns the runs table (``RUN_SCHEMA``).
@@ -213,10 +214,9 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
                         [pa.array([r.cfg.config_id], pa.int32()), pa.array([n], pa.int64()),
                          pa.array([blob], pa.binary())], names=["config_id", "n", "blob"])
 
-        summed = (noisy.mapInArrow(train, train_schema).rdd
-                  .map(lambda r: (r["config_id"], (r["n"], np.frombuffer(r["blob"], dtype=np.float64))))
-                  .reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]))
-                  .collect())  # one model-sized row per configuration
+        # partials keyed by configuration, summed block-wise in two levels
+        summed = tree_sum_by_key(noisy.mapInArrow(train, train_schema).rdd.map(
+            lambda r: (r["config_id"], (r["n"], np.frombuffer(r["blob"], dtype=np.float64))))).items()
         for cid, (n, blob) in summed:
             avg = blob / n
             state[cid] = (avg[:size].copy(), avg[size:2 * size].copy(), avg[2 * size:3 * size].copy(),

@@ -19,6 +19,7 @@ retried task or a different partitioning sees the same draws.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -30,8 +31,11 @@ from pyspark.sql import types as T
 
 from ibex.functions.hashing import gaussian_array
 from ibex.operators import vib_math as M
+from ibex.operators.reduce import tree_sum_by_key
 from ibex.operators.split import minibatch_ids
 
+log = logging.getLogger("ibex.fit")
+
 DEFAULT_DRAWS = 12
 # Rows per NumPy chunk are chosen so one chunk's input matrix stays near
 # this many doubles (about 128 MB).
@@ -290,6 +294,9 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
             for m in ("izy", "izx", "acc", "avg_acc"):
                 row[f"{name}_{m}"] = float(r[m]) if r is not None else None
         history.append(row)
+        log.info("epoch %d: test acc %.4f, avg acc %.4f, IZY %.2f, IZX %.2f", epoch,
+                 row["test_acc"] or float("nan"), row["test_avg_acc"] or float("nan"),
+                 row["test_izy"] or float("nan"), row["test_izx"] or float("nan"))
         if cfg.checkpoint_path:
             _save_params(spark, cfg.checkpoint_path, epoch, params, spec)
     if cfg.mode == "sync":
@@ -366,9 +373,9 @@ def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_train
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())],
                                              names=["n", "blob"])
 
-    tot = noisy.mapInArrow(run, schema).rdd.map(
-        lambda r: (r["n"], np.frombuffer(r["blob"], dtype=np.float64))
-    ).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
+    parts = noisy.mapInArrow(run, schema).rdd.map(
+        lambda r: (0, (r["n"], np.frombuffer(r["blob"], dtype=np.float64))))
+    tot = tree_sum_by_key(parts)[0]
     n, blob = tot
     size = len(params)
     avg = blob / n

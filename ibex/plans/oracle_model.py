@@ -95,9 +95,19 @@ def renyi_mc_sql(alphas, seed: int = 0) -> str:
     ld = (f"ld AS (SELECT r.is_train, "
           f"(-0.5 * power({_gauss(tag + ':r1', 'lat.vec_id', 'lat.k')}, 2) - ln(lat.sigma) - 0.5 * ln(2.0 * pi())) - "
           f"(-0.5 * power(lat.mu + lat.sigma * {_gauss(tag + ':r2', 'lat.vec_id', 'lat.k')}, 2) "
-          f"- 0.5 * ln(2.0 * pi())) AS d FROM lat JOIN rows r USING (vec_id))")
+          f"- 0.5 * ln(2.0 * pi())) AS d, "
+          f"(-0.5 * power({_gauss(tag + ':r1', 'lat.vec_id', 'lat.k')}, 2) - ln(lat.sigma)) - "
+          f"(-0.5 * power(lat.mu + lat.sigma * {_gauss(tag + ':r1', 'lat.vec_id', 'lat.k')}, 2)) AS d_shared "
+          "FROM lat JOIN rows r USING (vec_id))")
     parts = []
     for a in alphas:
+        if isinstance(a, str) and a.startswith("mc"):
+            f = float(a[2:]) - 1.0
+            parts.append(
+                f"SELECT ld.is_train, '{a}' AS alpha, round((m.m + ln(sum(exp({f} * ld.d_shared - m.m))) - ln(m.n)) "
+                f"/ {f}, 6) + 0.0 AS value FROM ld JOIN (SELECT is_train, max({f} * d_shared) AS m, count(*) AS n "
+                f"FROM ld GROUP BY is_train) m USING (is_train) GROUP BY ld.is_train, m.m, m.n")
+            continue
         if a == "inf":
             parts.append("SELECT is_train, 'inf' AS alpha, round(max(d), 6) + 0.0 AS value FROM ld GROUP BY is_train")
         else:

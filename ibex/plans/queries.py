@@ -414,19 +414,18 @@ def q_renyi_closed(spark, sf_dir):
     return out
 
 
-_MC_ALPHAS = (0.5, 2.0, "inf")
+_MC_ALPHAS = (0.5, 2.0, "inf", "mc2.0")
 
 
 @register("renyi_mc", OM.renyi_mc_sql(_MC_ALPHAS))
 def q_renyi_mc(spark, sf_dir):
     s = _vec_scored(spark, sf_dir)
-    out = None
-    for a in _MC_ALPHAS:
-        alpha = float("inf") if a == "inf" else a
-        d = renyi_sampled(s, alpha, ["vec_id"], ["is_train"], seed=0, tag="eval") \
-            .select("is_train", F.lit(str(a)).alias("alpha"), r6("value").alias("value"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    ref = renyi_sampled(s, [0.5, 2.0, float("inf")], ["vec_id"], ["is_train"], seed=0, tag="eval")
+    ref = ref.select("is_train", F.when(F.col("alpha") == float("inf"), F.lit("inf"))
+                     .otherwise(F.col("alpha").cast("string")).alias("alpha"), r6("value").alias("value"))
+    mc = renyi_sampled(s, [2.0], ["vec_id"], ["is_train"], seed=0, tag="eval", estimator="mc")
+    mc = mc.select("is_train", F.lit("mc2.0").alias("alpha"), r6("value").alias("value"))
+    return ref.unionByName(mc)
 
 
 def _vec_metrics(spark, sf_dir):
@@ -646,3 +645,62 @@ def q_subword_model_inputs(spark, sf_dir):
     return m.select("doc_id", F.col("pos").cast("bigint").alias("pos"),
                     join_ints("input_ids").alias("input_ids"), join_ints("attention_mask").alias("attention_mask"),
                     join_ints(F.transform("labels", lambda v: v.cast("int"))).alias("labels"))
+
+
+# ------------------------------------------------- grid x data (J4, X3) ---
+
+_GRID_ALPHAS = (0.1, 0.5, 1.0, 2.0, 5.0)
+_GRID_TRIALS = 5
+_GRID_BETA = 1e-4
+
+
+def _grid_values_sql() -> str:
+    vals = ", ".join(f"({c.config_id}, {c.alpha}::DOUBLE, {c.beta}::DOUBLE, {c.trial})"
+                     for c in SW.alpha_trial_grid(_GRID_ALPHAS, _GRID_TRIALS, _GRID_BETA))
+    return f"configs(config_id, alpha, beta, trial) AS (VALUES {vals})"
+
+
+@register("sweep_grid",
+          f"WITH {O.labelled_cte()}, {_grid_values_sql()}, "
+          "per AS (SELECT trial, "
+          f"sum(CASE WHEN {O.uniform_sql(None, 'doc_id', 'pos', seed_sql='CAST(trial AS VARCHAR)')} >= 0.2 "
+          "THEN 1 ELSE 0 END) AS n_train, count(*) AS n_rows "
+          f"FROM labelled, (SELECT range AS trial FROM range({_GRID_TRIALS})) r GROUP BY trial) "
+          "SELECT CAST(c.config_id AS BIGINT) AS config_id, c.alpha, c.beta, CAST(c.trial AS BIGINT) AS trial, "
+          "CAST(p.n_train AS BIGINT) AS n_train, CAST(p.n_rows - p.n_train AS BIGINT) AS n_test "
+          "FROM configs c JOIN per p ON c.trial = p.trial")
+def q_sweep_grid(spark, sf_dir):
+    """Every (alpha, trial) configuration with the size of the train and test
+    part its own trial split gives it: one pass over the data with one
+    split column per trial, then a join with the (bounded) grid on trial."""
+    from ibex.operators.broadcast import broadcast_if_small
+    lab = S.split_trials(_labelled(spark, sf_dir), ["doc_id", "pos"], _GRID_TRIALS)
+    counts = lab.agg(F.count(F.lit(1)).alias("n_rows"),
+                     *[F.sum(F.col("is_train_trials")[t].cast("int")).alias(f"t{t}") for t in range(_GRID_TRIALS)])
+    per = counts.select("n_rows", F.explode(F.array(*[F.struct(F.lit(t).alias("trial"), F.col(f"t{t}").alias("n_train"))
+                                                       for t in range(_GRID_TRIALS)])).alias("s")) \
+        .select(F.col("s.trial").alias("trial"), F.col("s.n_train").alias("n_train"), "n_rows")
+    grid = SW.alpha_trial_grid(_GRID_ALPHAS, _GRID_TRIALS, _GRID_BETA)
+    configs = spark.createDataFrame([(c.config_id, c.alpha, c.beta, c.trial) for c in grid],
+                                    "config_id int, alpha double, beta double, trial int")
+    j = configs.join(broadcast_if_small(per), "trial")
+    return j.select(F.col("config_id").cast("bigint").alias("config_id"), "alpha", "beta",
+                    F.col("trial").cast("bigint").alias("trial"), F.col("n_train").cast("bigint").alias("n_train"),
+                    (F.col("n_rows") - F.col("n_train")).cast("bigint").alias("n_test"))
+
+
+# --------------------------------------------- message pipeline model (E3) ---
+
+MSG_SPEC = VM.dense_spec(50, units=(32, 32), out_dim=2, latent_dim=2, transform="center")
+
+
+@register("fit_message_history")
+def q_fit_message_history(spark, sf_dir):
+    """Messages: clean, label by category, split, vocabulary, ids padded to
+    50 and divided by the vocabulary size, dense encoder on ``2x - 1``,
+    synchronous training with beta = 10^-0.5."""
+    from ibex.plans.text import message_pipeline
+    enc, _ = message_pipeline(spark, sf_dir, "user", _MSG_CFG)
+    cfg = VIB.FitConfig(epochs=2, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="sync")
+    _, hist = VIB.fit(enc, MSG_SPEC, cfg, "msg_id", "x")
+    return VIB.history_frame(spark, hist)
