@@ -229,15 +229,22 @@ def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batc
     return step_df.mapInArrow(run, schema)
 
 
-def _sum_partials(parts: DataFrame):
-    """Sum of per-partition gradient rows: ``(n, grad)``.  Rows are added on
-    the driver (at most one per non-empty partition)."""
-    n, g = 0, None
-    for r in parts.collect():
-        v = np.frombuffer(r["g"], dtype=np.float64)
-        g = v.copy() if g is None else g + v
-        n += r["n"]
-    return n, g
+def _sum_partials(parts: DataFrame, colocated: bool = False):
+    """Sum of per-partition gradient rows: ``(n, grad)``.
+
+    ``colocated``: the step's rows sit in one partition (``fit`` partitions
+    by batch id), so at most one partial exists and it is collected directly.
+    Otherwise partials are summed block-wise in two levels on the executors.
+    """
+    if colocated:
+        n, g = 0, None
+        for r in parts.collect():  # bounded: one row per non-empty partition, here one
+            v = np.frombuffer(r["g"], dtype=np.float64)
+            g = v.copy() if g is None else g + v
+            n += r["n"]
+        return n, g
+    tot = tree_sum_by_key(parts.rdd.map(lambda r: (0, (r["n"], np.frombuffer(r["g"], dtype=np.float64)))))
+    return tot.get(0, (0, None))
 
 
 def _add(a, b):
@@ -279,7 +286,7 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
                 # one partition and the step returns a single partial (model-sized).
                 partials = _grad_partials(noisy.where(F.col("batch") == F.lit(step)), spec, params, x, label,
                                           cfg.beta, cfg.alpha, 1)
-                n, g = _sum_partials(partials)
+                n, g = _sum_partials(partials, colocated=True)
                 if n:
                     params = opt.step(params, g / n)
         elif cfg.mode == "average":

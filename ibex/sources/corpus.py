@@ -55,11 +55,13 @@ def read_text_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFram
         paths = [paths]
     raw = spark.read.text(list(paths), wholetext=True)
     path = F.input_file_name()
-    return raw.select(
+    files = raw.select(
         F.xxhash64(path).alias("doc_id"),
         F.regexp_extract(path, r"([^/]+)$", 1).alias("source"),
-        normalize_newlines("value").alias("text"),
+        F.col("value").alias("text"),
     )
+    # many small files are packed into few splits: spread them over the cores
+    return spread(files, "doc_id").select("doc_id", "source", normalize_newlines("text").alias("text"))
 
 
 MESSAGE_SCHEMA = T.StructType([
