@@ -42,10 +42,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is (an unset value is an error there).  Only a local-mode session
+    without it (tests) gets a scratch folder.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder; a machine-local folder "
+                               "does not survive the loss of an executor")
         path = tempfile.mkdtemp(prefix="ibex-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     sc = spark.sparkContext

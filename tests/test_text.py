@@ -129,7 +129,7 @@ def test_tokenizer_names():
 
     assert check_tokenizer("WORD") == "word"
     with pytest.raises(ValueError):
-        check_tokenizer("bert-base")
+        check_tokenizer("no-such-tokenizer")
 
 
 def test_normalize_center_scale(spark):
