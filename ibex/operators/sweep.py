@@ -27,9 +27,6 @@ from ibex.operators import vib as VIB
 from ibex.operators import vib_math as M
 from ibex.operators.reduce import tree_sum_by_key
 
-SECONDS_PER_DAY = 86400
-
-
 def beta_grid(lo: float = -6.0, hi: float = 2.0, step: float = 0.5) -> list[float]:
     """Powers of ten ``10 ** (lo + step * i)`` up to ``hi`` inclusive."""
     n = int(round((hi - lo) / step)) + 1
@@ -40,7 +37,8 @@ def runs_from_events(events: DataFrame, test_fraction: float = 0.2, seed: int =
     """A runs table derived from an event log: ``config = event_type``,
     ``trial = user_id``, ``epoch = day index of ts``, ``is_train`` by a hash
     of ``event_id``, ``metric = avg(value)``."""
-    day = F.floor(F.col("ts").cast("timestamp").cast("double") / F.lit(SECONDS_PER_DAY)).cast("bigint")
+    # days since 1970-01-01 of the wall-clock date: independent of the session time zone
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint")
     return (
         events.select(
             F.col("event_type").alias("config"),
@@ -161,7 +159,8 @@ def _prepared(data: DataFrame, keys, x, label, trials, test_fraction) -> DataFra
 
 def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x: str = "ids",
               label: str = "label", epochs: int = 5, batch_size: int = 50, lr: float = 1e-4,
-              seed: int = 0, test_fraction: float = 0.2, n_draws: int = 12) -> DataFrame:
+              seed: int = 0, test_fraction: float = 0.2, n_draws: int = 12,
+              max_state_doubles: int = 1 << 26) -> DataFrame:
     """Train every configuration with a fresh model and a hash split per
     trial (seed = trial), in local-SGD mode: each partition takes Adam steps
     from the broadcast state, results are averaged by row count.
@@ -170,7 +169,10 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     configuration, summed block-wise in two levels) and one pass evaluates it
     (per-task partial sums per configuration and part, then a grouped sum).
     Rows stream through Arrow batches; only per-configuration state is held.
-    Returns the runs table (``RUN_SCHEMA``).
+    The grid is cut into groups whose training state (parameters and two
+    Adam moments per configuration) fits in ``max_state_doubles`` (512 MiB
+    by default); each group takes its own passes.  Returns the runs table
+    (``RUN_SCHEMA``).
     """
     spark = data.sparkSession
     keys = VIB._keys(key)
@@ -180,7 +182,19 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     width, k = VIB._x_width(spec), spec.latent_dim
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
     size = M.Layout(spec).size
-    cfgs = list(configs)
+    per_group = max(1, max_state_doubles // (3 * size))
+    all_cfgs = list(configs)
+    rows = []
+    for g0 in range(0, len(all_cfgs), per_group):
+        rows += _fit_group(base, spec, all_cfgs[g0:g0 + per_group], keys, x, label, trials, epochs, batch_size,
+                           lr, seed, n_draws, width, k, xdtype, size)
+    base.unpersist()
+    return spark.createDataFrame(rows, RUN_SCHEMA)
+
+
+def _fit_group(base, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws, width, k,
+               xdtype, size):
+    spark = base.sparkSession
     state = {c.config_id: (M.init_params(spec, seed * 100003 + c.config_id), np.zeros(size), np.zeros(size), 0)
              for c in cfgs}
     train_schema = T.StructType([T.StructField("config_id", T.IntegerType()), T.StructField("n", T.LongType()),
@@ -223,8 +237,7 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
                           int(round(avg[-1])))
         bc.unpersist()
         rows += _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed, n_draws)
-    base.unpersist()
-    return spark.createDataFrame(rows, RUN_SCHEMA)
+    return rows
 
 
 def _mat(col, width, dtype):

@@ -34,3 +34,21 @@ def test_beta_grid():
     g = SW.beta_grid()
     assert len(g) == 17 and abs(g[0] - 1e-6) < 1e-18 and abs(g[-1] - 100.0) < 1e-9
     assert abs(g[8] - 1e-2) < 1e-15
+
+
+def test_fit_sweep_groups_give_same_runs(spark):
+    from conftest import SF_SMALL
+    from ibex.operators import vib_math as M
+    from ibex.sources import corpus as C
+
+    vec = C.read_vectors(spark, SF_SMALL)
+    spec = M.dense_spec(64, units=(4,), out_dim=10)
+    grid = SW.alpha_trial_grid([0.5, 2.0], n_trials=2, beta=1e-3)
+    size = M.Layout(spec).size
+    a = SW.fit_sweep(vec, spec, grid, "vec_id", "features", epochs=1, lr=1e-2)
+    b = SW.fit_sweep(vec, spec, grid, "vec_id", "features", epochs=1, lr=1e-2, max_state_doubles=3 * size)
+    key = lambda r: (r["config_id"], r["is_train"])
+    ra, rb = sorted(a.collect(), key=key), sorted(b.collect(), key=key)
+    assert len(ra) == 8
+    for x, y in zip(ra, rb):
+        assert x["n"] == y["n"] and abs(x["acc"] - y["acc"]) < 1e-12 and abs(x["izy"] - y["izy"]) < 1e-9
