@@ -47,6 +47,16 @@ def label_by_manifest(rows: DataFrame, manifest: DataFrame, cutoff: int = DEFAUL
     ).drop("year")
 
 
+def label_by_table(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label_col: str = "quality",
+                   max_broadcast_rows: int = MANIFEST_MAX_ROWS) -> DataFrame:
+    """Ready-made labels from a table keyed like the rows (inner join: rows
+    without a label are dropped).  A small label table is broadcast after a
+    size check; a large one is joined by shuffle on the (unique) key, which
+    cannot be skewed."""
+    lab = labels.select(key, F.col(label_col).cast("int").alias("label"))
+    return rows.drop("label").join(broadcast_if_small(lab, max_broadcast_rows), key, "inner")
+
+
 def label_by_category(rows: DataFrame, negative: str = "ham",
                       column: str = "category") -> DataFrame:
     """``label = 0`` when ``column`` equals the negative class, else 1

@@ -128,6 +128,15 @@ def q_label_by_manifest(spark, sf_dir):
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "source", F.col("label").cast("bigint").alias("label"))
 
 
+@register("label_by_table",
+          f"WITH {O.paragraphs_cte()} SELECT p.doc_id, CAST(p.pos AS BIGINT) AS pos, "
+          "CAST(l.quality AS BIGINT) AS label FROM paras p JOIN labels l ON p.doc_id = l.doc_id")
+def q_label_by_table(spark, sf_dir):
+    p = paragraphs(C.read_documents(spark, sf_dir))
+    lab = L.label_by_table(p, C.table(spark, sf_dir, "labels"), "doc_id", "quality")
+    return lab.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("label").cast("bigint").alias("label"))
+
+
 @register("label_by_category",
           "SELECT conv_id * 1000000 + turn AS msg_id, role AS category, "
           "CAST(CASE WHEN role = 'user' THEN 0 ELSE 1 END AS BIGINT) AS label FROM conversations")
