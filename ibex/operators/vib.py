@@ -195,6 +195,9 @@ class FitConfig:
     mode: str = "sync"
     n_draws: int = DEFAULT_DRAWS
     checkpoint_path: str | None = None
+    # IZX for alpha != 1: "closed" (closed form, default) or the sampled
+    # "reference" / "mc" estimators of ibex.operators.divergence
+    izx_estimator: str = "closed"
 
 
 def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batch_total):
@@ -293,13 +296,12 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
             params, opt = _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_train)
         else:
             raise ValueError(f"unknown mode {cfg.mode!r}")
-        ev = {r[split]: r for r in evaluate(data, spec, params, keys, x, label, split, cfg.alpha, cfg.beta,
-                                            f"{cfg.seed}:{epoch}", cfg.n_draws).collect()}
+        ev = _epoch_metrics(data, spec, params, keys, x, label, split, cfg, epoch)
         row = {"epoch": epoch}
         for part, name in ((True, "train"), (False, "test")):
             r = ev.get(part)
             for m in ("izy", "izx", "acc", "avg_acc"):
-                row[f"{name}_{m}"] = float(r[m]) if r is not None else None
+                row[f"{name}_{m}"] = float(r[m]) if r is not None and r[m] is not None else None
         history.append(row)
         log.info("epoch %d: test acc %.4f, avg acc %.4f, IZY %.2f, IZX %.2f", epoch,
                  row["test_acc"] or float("nan"), row["test_avg_acc"] or float("nan"),
@@ -321,6 +323,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True).persist()
 
 
+def _epoch_metrics(data, spec, params, keys, x, label, split, cfg: FitConfig, epoch: int) -> dict:
+    """Metrics of both parts after an epoch: ``{part: {izy, izx, acc, avg_acc}}``."""
+    seed = f"{cfg.seed}:{epoch}"
+    scored = score(data, spec, params, keys, x, label, [split], cfg.alpha, seed, cfg.n_draws, "eval")
+    sampled = cfg.izx_estimator != "closed" and cfg.alpha != 1.0
+    if sampled:
+        scored = scored.persist()  # three aggregations read it
+    out = {r[split]: r.asDict() for r in metrics_by(scored, spec.out_dim, [split], cfg.beta, label).collect()}
+    if sampled:
+        from ibex.operators.divergence import renyi_sampled
+
+        est = renyi_sampled(scored, [cfg.alpha], keys, [split], seed, "eval", cfg.izx_estimator)
+        for r in est.collect():
+            if r[split] in out:
+                out[r[split]]["izx"] = r["value"] / math.log(2.0)
+        scored.unpersist()
+    return out
+
+
 HISTORY_SCHEMA = ("epoch int, train_izy double, train_izx double, train_acc double, train_avg_acc double, "
                   "test_izy double, test_izx double, test_acc double, test_avg_acc double")
 

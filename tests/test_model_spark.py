@@ -76,3 +76,15 @@ def test_predict_probabilities(spark):
     for r in out[:20]:
         assert abs(sum(r["probs"]) - 1.0) < 1e-9
         assert r["pred"] == int(np.argmax(r["probs"]))
+
+
+def test_fit_with_sampled_izx(spark):
+    spec = M.dense_spec(64, units=(4,), out_dim=10)
+    vec = _vectors(spark)
+    base = VIB.FitConfig(epochs=1, batch_size=50, alpha=2.0, lr=1e-3, mode="average")
+    _, h_closed = VIB.fit(vec, spec, base, "vec_id", "features")
+    from dataclasses import replace
+    _, h_ref = VIB.fit(vec, spec, replace(base, izx_estimator="reference"), "vec_id", "features")
+    assert h_closed[0]["test_acc"] == h_ref[0]["test_acc"]
+    assert h_closed[0]["test_izx"] != h_ref[0]["test_izx"]
+    assert math.isfinite(h_ref[0]["test_izx"])
