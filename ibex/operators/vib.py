@@ -37,6 +37,8 @@ from ibex.operators.split import minibatch_ids
 log = logging.getLogger("ibex.fit")
 
 DEFAULT_DRAWS = 12
+# Synchronous steps give each task about this many rows of a batch.
+SYNC_ROWS_PER_TASK = 8192
 # Rows per NumPy chunk are chosen so one chunk's input matrix stays near
 # this many doubles (about 128 MB).
 _CHUNK_DOUBLES = 1 << 24
@@ -278,18 +280,21 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     history = []
     if cfg.mode == "sync":
         batched, n_batches = minibatch_ids(train, keys, cfg.batch_size, n_train, cfg.seed)
-        parts = max(1, min(n_batches, spark.sparkContext.defaultParallelism))
-        batched = batched.repartition(parts, "batch").persist()
+        # A small batch lives in one partition (one task, one partial per step); a large
+        # batch is cut into ``fan`` hash slices so a step runs on several tasks.
+        fan = max(1, -(-cfg.batch_size // SYNC_ROWS_PER_TASK))
+        batched = batched.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(fan)))
+        parts = max(1, min(n_batches * fan, spark.sparkContext.defaultParallelism))
+        batched = batched.repartition(parts, "batch", "_slice").persist()
     for epoch in range(1, cfg.epochs + 1):
         if cfg.mode == "sync":
             noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
             for step in range(n_batches):
                 # gradient sums with B = 1, divided by the true batch size after the reduce.
-                # The batched frame is hash-partitioned on ``batch``, so one step's rows sit in
-                # one partition and the step returns a single partial (model-sized).
+                # With fan = 1 the step's rows sit in one partition and it returns one partial.
                 partials = _grad_partials(noisy.where(F.col("batch") == F.lit(step)), spec, params, x, label,
                                           cfg.beta, cfg.alpha, 1)
-                n, g = _sum_partials(partials, colocated=True)
+                n, g = _sum_partials(partials, colocated=(fan == 1))
                 if n:
                     params = opt.step(params, g / n)
         elif cfg.mode == "average":

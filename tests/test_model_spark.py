@@ -88,3 +88,13 @@ def test_fit_with_sampled_izx(spark):
     assert h_closed[0]["test_acc"] == h_ref[0]["test_acc"]
     assert h_closed[0]["test_izx"] != h_ref[0]["test_izx"]
     assert math.isfinite(h_ref[0]["test_izx"])
+
+
+def test_sync_large_batch_slices_equal_single_slice(spark, monkeypatch):
+    spec = M.dense_spec(64, units=(4,), out_dim=10)
+    vec = _vectors(spark)
+    cfg = VIB.FitConfig(epochs=1, batch_size=200, lr=1e-2, mode="sync")
+    p1, _ = VIB.fit(vec, spec, cfg, "vec_id", "features")
+    monkeypatch.setattr(VIB, "SYNC_ROWS_PER_TASK", 16)
+    p2, _ = VIB.fit(vec, spec, cfg, "vec_id", "features")
+    assert np.allclose(p1, p2, atol=1e-10)
