@@ -64,6 +64,23 @@ def read_text_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFram
     return spread(files, "doc_id").select("doc_id", "source", normalize_newlines("text").alias("text"))
 
 
+MAX_LISTED_FILES = 1_000_000
+
+
+def read_listed_files(spark: SparkSession, base_dir: str, manifest: DataFrame,
+                      file_col: str = "source") -> DataFrame:
+    """Read only the files a manifest lists (file names relative to
+    ``base_dir``): the path list goes to the reader, so unlisted files are
+    never opened.  The manifest size is checked before it is collected."""
+    from ibex.operators.broadcast import bounded_rows
+
+    rows = bounded_rows(manifest.select(file_col).distinct(), MAX_LISTED_FILES)
+    if rows is None:
+        raise ValueError(f"manifest lists more than {MAX_LISTED_FILES} files")
+    paths = [f"{base_dir.rstrip('/')}/{r[0]}" for r in rows]
+    return read_text_files(spark, paths)
+
+
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("Category", T.StringType()),
     T.StructField("Message", T.StringType()),

@@ -143,3 +143,23 @@ def test_normalize_center_scale(spark):
     ids = spark.createDataFrame([([0, 5, 999],)], "ids array<int>")
     assert ids.select(V.normalize_ids("ids", 1000).alias("n")).first()["n"] == [0.0, 0.005, 0.999]
     assert ids.select(V.attention_mask("ids").alias("m")).first()["m"] == [0, 1, 1]
+
+
+def test_read_listed_files_only(spark, tmp_path):
+    for name, body in (("a.txt", "x" * 400), ("b.txt", "y" * 400), ("c.txt", "z" * 400)):
+        (tmp_path / name).write_text(body)
+    man = L.manifest_frame(spark, {"a.txt": 1750, "c.txt": 1850})
+    corpus = C.read_listed_files(spark, str(tmp_path), man)
+    assert sorted(r["source"] for r in corpus.collect()) == ["a.txt", "c.txt"]
+    lab = L.label_by_manifest(paragraphs(corpus), man)
+    assert sorted((r["source"], r["label"]) for r in lab.collect()) == [("a.txt", 0), ("c.txt", 1)]
+
+
+def test_model_inputs_parquet_round_trip(spark, tmp_path):
+    from ibex.operators.model_inputs import model_inputs, write_model_inputs
+
+    df = spark.createDataFrame([(1, [3, 4], 1)], "k int, ids array<int>, label int")
+    m = model_inputs(df, maxlen=4, k=2)
+    write_model_inputs(m, str(tmp_path / "mi"))
+    r = spark.read.parquet(str(tmp_path / "mi")).first()
+    assert r["input_ids"] == [3, 4, 0, 0] and r["attention_mask"] == [1, 1, 0, 0] and r["labels"] == [0.0, 1.0]
