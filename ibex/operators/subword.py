@@ -18,7 +18,7 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,31 +42,34 @@ def subword_vocab(tokenized_train: DataFrame, n_words: int = 2000, n_chars: int
                   tokens: str = "tokens") -> DataFrame:
     """Specials (ids 0..4), then the ``n_chars`` most frequent characters,
     their ``##`` continuation forms, then the ``n_words`` most frequent
-    words; ties by string.  At most ``5 + 2 n_chars + n_words`` rows."""
+    words; ties by string.  At most ``5 + 2 n_chars + n_words`` rows.
+
+    Eager: the token counts (one aggregation over the corpus) are kept
+    while both top-k cuts are taken from them, so the corpus is tokenised and
+    counted once; the bounded result is returned as a small local table.
+    """
     spark = tokenized_train.sparkSession
-    counts = token_counts(tokenized_train, tokens)
-    words = counts.orderBy(F.desc("n"), F.asc("token")).limit(n_words) \
-        .select(F.col("token").alias("piece"), F.lit(3).alias("grp"), F.col("n"))
-    chars = (
-        counts.select(F.explode(F.split(_basic_sql("token"), "")).alias("c"), "n")
-        .where(F.col("c") != "")
-        .groupBy("c").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), F.asc("c")).limit(n_chars)
-    )
-    first = chars.select(F.col("c").alias("piece"), F.lit(1).alias("grp"), "n")
-    cont = chars.select(F.concat(F.lit(CONTINUATION), "c").alias("piece"), F.lit(2).alias("grp"), "n")
-    spec = spark.createDataFrame([(s, 0, len(SPECIALS) - i) for i, s in enumerate(SPECIALS)],
-                                 "piece string, grp int, n bigint")
-    allp = spec.unionByName(first).unionByName(cont).unionByName(words)
-    # a word equal to a single character keeps its first (character) id
-    ranked = allp.groupBy("piece").agg(F.min("grp").alias("grp"), F.max("n").alias("n"))
-    # bounded: at most 5 + 2 n_chars + n_words rows reach this single-partition window
-    w = Window.orderBy("grp", F.desc("n"), "piece")
-    return ranked.select("piece", (F.row_number().over(w) - 1).cast("int").alias("id"))
-
-
-def _basic_sql(c: str):
-    return F.lower(F.col(c))
+    counts = token_counts(tokenized_train, tokens).persist()
+    try:
+        words = counts.orderBy(F.desc("n"), F.asc("token")).limit(n_words).collect()
+        chars = (
+            counts.select(F.explode(F.split(F.lower("token"), "")).alias("c"), "n")
+            .where(F.col("c") != "")
+            .groupBy("c").agg(F.sum("n").alias("n"))
+            .orderBy(F.desc("n"), F.asc("c")).limit(n_chars).collect()
+        )
+    finally:
+        counts.unpersist()
+    pieces: dict[str, int] = {}
+    for s in SPECIALS:
+        pieces.setdefault(s, len(pieces))
+    for r in chars:
+        pieces.setdefault(r["c"], len(pieces))
+    for r in chars:
+        pieces.setdefault(CONTINUATION + r["c"], len(pieces))
+    for r in words:  # a word equal to a character keeps the character's id
+        pieces.setdefault(r["token"], len(pieces))
+    return spark.createDataFrame(list(pieces.items()), "piece string, id int")
 
 
 def basic_word(word: str, lower: bool = True) -> list[str]:
