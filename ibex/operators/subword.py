@@ -75,6 +75,8 @@ def subword_vocab(tokenized_train: DataFrame, n_words: int = 2000, n_chars: int
 def basic_word(word: str, lower: bool = True) -> list[str]:
     """Uncased basic tokenisation of one whitespace-free word: lower-case,
     strip accents (NFD without combining marks), split off punctuation."""
+    if word.isascii() and word.isalnum():  # common case: nothing to strip or split
+        return [word.lower() if lower else word]
     if lower:
         word = word.lower()
         word = "".join(ch for ch in unicodedata.normalize("NFD", word) if unicodedata.category(ch) != "Mn")
@@ -99,13 +101,15 @@ def _is_punct(ch: str) -> bool:
     return unicodedata.category(ch).startswith("P")
 
 
-def wordpiece(word: str, vocab: dict, unk_id: int) -> list[int]:
-    """Greedy longest-match-first pieces of one word."""
+def wordpiece(word: str, vocab: dict, unk_id: int, longest: int | None = None) -> list[int]:
+    """Greedy longest-match-first pieces of one word.  ``longest`` (the
+    longest piece in the vocabulary, without the continuation prefix) only
+    skips candidates that cannot match."""
     if len(word) > MAX_CHARS_PER_WORD:
         return [unk_id]
     out, start, n = [], 0, len(word)
     while start < n:
-        end = n
+        end = n if longest is None else min(n, start + longest)
         hit = None
         while start < end:
             sub = word[start:end]
@@ -122,23 +126,29 @@ def wordpiece(word: str, vocab: dict, unk_id: int) -> list[int]:
     return out
 
 
-def encode_word(word: str, vocab: dict, unk_id: int, lower: bool = True) -> list[int]:
+def encode_word(word: str, vocab: dict, unk_id: int, lower: bool = True,
+                longest: int | None = None) -> list[int]:
     ids: list[int] = []
     for w in basic_word(word, lower):
-        ids.extend(wordpiece(w, vocab, unk_id))
+        ids.extend(wordpiece(w, vocab, unk_id, longest))
     return ids
 
 
+def longest_piece(vocab: dict) -> int:
+    return max((len(p) - (len(CONTINUATION) if p.startswith(CONTINUATION) else 0) for p in vocab), default=1)
+
+
 def _make_encoder(bc_vocab, lower: bool):
     def encode(words: pa.Array) -> pa.Array:
         vocab = bc_vocab.value
         unk = vocab.get("[UNK]", 1)
+        longest = longest_piece(vocab)
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
         flat = pc.list_flatten(words)
         uniq = pc.unique(flat)
         where = pc.index_in(flat, value_set=uniq).to_numpy(zero_copy_only=False)
-        pieces = [encode_word(w, vocab, unk, lower) for w in uniq.to_pylist()]
+        pieces = [encode_word(w, vocab, unk, lower, longest) for w in uniq.to_pylist()]
         lens_u = np.array([len(p) for p in pieces], dtype=np.int64)
         offs_u = np.concatenate([[0], np.cumsum(lens_u)[:-1]]) if len(pieces) else np.zeros(0, np.int64)
         cat = np.array([i for p in pieces for i in p], dtype=np.int32)
