@@ -39,6 +39,9 @@ log = logging.getLogger("ibex.fit")
 DEFAULT_DRAWS = 12
 # Synchronous steps give each task about this many rows of a batch.
 SYNC_ROWS_PER_TASK = 8192
+# Small-batch synchronous training runs contiguous runs of batches in one
+# task; a run holds about this many input values (64 MB of doubles).
+SYNC_RUN_VALUES = 1 << 23
 # Rows per NumPy chunk are chosen so one chunk's input matrix stays near
 # this many doubles (about 128 MB).
 _CHUNK_DOUBLES = 1 << 24
@@ -234,24 +237,77 @@ def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batc
     return step_df.mapInArrow(run, schema)
 
 
-def _sum_partials(parts: DataFrame, colocated: bool = False):
-    """Sum of per-partition gradient rows: ``(n, grad)``.
-
-    ``colocated``: the step's rows sit in one partition (``fit`` partitions
-    by batch id), so at most one partial exists and it is collected directly.
-    Otherwise partials are summed block-wise in two levels on the executors.
-    """
-    if colocated:
-        n, g = 0, None
-        for r in parts.collect():  # bounded: one row per non-empty partition, here one
-            v = np.frombuffer(r["g"], dtype=np.float64)
-            g = v.copy() if g is None else g + v
-            n += r["n"]
-        return n, g
+def _sum_partials(parts: DataFrame):
+    """Sum of per-partition gradient rows: ``(n, grad)``, block-wise in two
+    levels on the executors."""
     tot = tree_sum_by_key(parts.rdd.map(lambda r: (0, (r["n"], np.frombuffer(r["g"], dtype=np.float64)))))
     return tot.get(0, (0, None))
 
 
+def _sync_run(run_df: DataFrame, spec, params, opt, x, label, beta, alpha):
+    """Synchronous Adam steps over one run of batches (rows sorted by
+    ``batch``, all in one partition): each batch's mean gradient is taken
+    at the parameters left by the previous batch, exactly as one job per
+    step would.  Returns the new parameters and optimizer."""
+    state = (params, opt.m if opt.m is not None else np.zeros_like(params),
+             opt.v if opt.v is not None else np.zeros_like(params), opt.t)
+    bc = run_df.sparkSession.sparkContext.broadcast(state)
+    width, k = _x_width(spec), spec.latent_dim
+    xdtype = np.int64 if spec.input_kind == "ids" else np.float64
+    lr = opt.lr
+    schema = T.StructType([T.StructField("blob", T.BinaryType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        p0, m0, v0, t0 = bc.value
+        local = M.Adam(lr, m=m0.copy(), v=v0.copy(), t=t0)
+        p = p0.copy()
+        pend, cur, steps = [], None, 0
+
+        def flush():
+            nonlocal p, steps
+            xm = np.concatenate([a for a, _, _ in pend])
+            y = np.concatenate([b for _, b, _ in pend])
+            e = np.concatenate([c for _, _, c in pend])
+            g, _, _, n = M.loss_and_grad(spec, p, xm, y, e, beta, alpha, 1)
+            if n:
+                p = local.step(p, g / n)
+                steps += 1
+
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            bid = b.column("batch").to_numpy(zero_copy_only=False)
+            xm = _to_matrix(b.column(x), width, xdtype)
+            y = b.column(label).to_numpy(zero_copy_only=False)
+            eps = _to_matrix(b.column("eps"), k, np.float64)
+            cuts = [0, *(np.flatnonzero(np.diff(bid)) + 1).tolist(), len(bid)]
+            for s0, s1 in zip(cuts[:-1], cuts[1:]):
+                if cur is not None and bid[s0] != cur:
+                    flush()
+                    pend = []
+                cur = bid[s0]
+                pend.append((xm[s0:s1], y[s0:s1], eps[s0:s1]))
+        if pend:
+            flush()
+        if steps:
+            blob = np.concatenate([p, local.m, local.v, [float(local.t)]]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
+
+    rows = run_df.mapInArrow(run, schema).collect()  # one row: the run is one partition
+    bc.unpersist()
+    if not rows:
+        return params, opt
+    if len(rows) > 1:
+        raise RuntimeError("a run of batches was split across partitions")
+    v = np.frombuffer(rows[0]["blob"], dtype=np.float64)
+    size = len(params)
+    new_opt = M.Adam(opt.lr, beta1=opt.beta1, beta2=opt.beta2, eps=opt.eps, m=v[size:2 * size].copy(),
+                     v=v[2 * size:3 * size].copy(), t=int(v[-1]))
+    return v[:size].copy(), new_opt
+
+
 def _add(a, b):
     return (a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3])
 
@@ -280,21 +336,36 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     history = []
     if cfg.mode == "sync":
         batched, n_batches = minibatch_ids(train, keys, cfg.batch_size, n_train, cfg.seed)
-        # A small batch lives in one partition (one task, one partial per step); a large
+        # A small batch is trained inside one task: the batches are cut into
+        # ``n_runs`` contiguous runs, each run sits in one partition sorted by
+        # batch, and one task per run advances the parameters and Adam state
+        # batch after batch (one Spark job per run, not per step).  A large
         # batch is cut into ``fan`` hash slices so a step runs on several tasks.
         fan = max(1, -(-cfg.batch_size // SYNC_ROWS_PER_TASK))
-        batched = batched.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(fan)))
-        parts = max(1, min(n_batches * fan, spark.sparkContext.defaultParallelism))
-        batched = batched.repartition(parts, "batch", "_slice").persist()
+        if fan == 1:
+            run_rows = max(cfg.batch_size, SYNC_RUN_VALUES // max(1, _x_width(spec)))
+            n_runs = max(1, min(n_batches, -(-n_train // run_rows)))
+            run = F.floor(F.col("batch") * F.lit(n_runs) / F.lit(n_batches)).cast("int")
+            batched = (batched.withColumn("_run", run).repartition(n_runs, "_run")
+                       .sortWithinPartitions("_run", "batch", *keys).persist())
+        else:
+            batched = batched.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(fan)))
+            parts = max(1, min(n_batches * fan, spark.sparkContext.defaultParallelism))
+            batched = batched.repartition(parts, "batch", "_slice").persist()
     for epoch in range(1, cfg.epochs + 1):
-        if cfg.mode == "sync":
+        if cfg.mode == "sync" and fan == 1:
+            noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
+            for r in range(n_runs):
+                params, opt = _sync_run(noisy.where(F.col("_run") == F.lit(r)), spec, params, opt, x, label,
+                                        cfg.beta, cfg.alpha)
+        elif cfg.mode == "sync":
             noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
             for step in range(n_batches):
                 # gradient sums with B = 1, divided by the true batch size after the reduce.
                 # With fan = 1 the step's rows sit in one partition and it returns one partial.
                 partials = _grad_partials(noisy.where(F.col("batch") == F.lit(step)), spec, params, x, label,
                                           cfg.beta, cfg.alpha, 1)
-                n, g = _sum_partials(partials, colocated=(fan == 1))
+                n, g = _sum_partials(partials)
                 if n:
                     params = opt.step(params, g / n)
         elif cfg.mode == "average":

@@ -98,3 +98,18 @@ def test_sync_large_batch_slices_equal_single_slice(spark, monkeypatch):
     monkeypatch.setattr(VIB, "SYNC_ROWS_PER_TASK", 16)
     p2, _ = VIB.fit(vec, spec, cfg, "vec_id", "features")
     assert np.allclose(p1, p2, atol=1e-10)
+
+
+def test_sync_runs_chain_equals_one_run(spark, monkeypatch):
+    spec = M.dense_spec(64, units=(4,), out_dim=10)
+    vec = _vectors(spark)
+    cfg = VIB.FitConfig(epochs=2, batch_size=20, lr=1e-2, mode="sync")
+    p1, h1 = VIB.fit(vec, spec, cfg, "vec_id", "features")
+    monkeypatch.setattr(VIB, "SYNC_RUN_VALUES", 64 * 45)  # runs of about 45 rows: many jobs per epoch
+    p2, h2 = VIB.fit(vec, spec, cfg, "vec_id", "features")
+    assert np.allclose(p1, p2, atol=1e-10)
+    assert [h["test_acc"] for h in h1] == [h["test_acc"] for h in h2]
+    # one job per step (batches cut into slices) takes the same steps
+    monkeypatch.setattr(VIB, "SYNC_ROWS_PER_TASK", 8)
+    p3, _ = VIB.fit(vec, spec, cfg, "vec_id", "features")
+    assert np.allclose(p1, p3, atol=1e-10)
