@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from ibex.functions.hashing import hash32, uniform
 
 DEFAULT_TEST_FRACTION = 0.2
-# Histogram resolution of the exact split: top 16 of the 32 hash bits.
+# Histogram resolution of the exact split: top 16 of the 32 hash bits, then
+# (for a large boundary bucket) the low 16 bits.
 _BUCKET_BITS = 16
+# A boundary bucket up to this many rows is ranked directly (one task).
+_RANK_MAX_ROWS = 1 << 20
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -44,6 +47,17 @@ def _lex_le(cols: list[Column], vals: list) -> Column:
     return (c < v) | ((c == v) & _lex_le(cols[1:], vals[1:]))
 
 
+def _crossing(hist: list, need: int) -> tuple[int, int, int]:
+    """``(bucket, rows still needed inside it, bucket count)`` for the
+    bucket where the cumulative count first reaches ``need``."""
+    cum = 0
+    for r in hist:
+        if cum + r["count"] >= need:
+            return r["_b"], need - cum, r["count"]
+        cum += r["count"]
+    raise ValueError("histogram holds fewer rows than needed")
+
+
 def split_exact(df: DataFrame, key: str | Sequence[str], test_fraction: float = DEFAULT_TEST_FRACTION,
                 seed: int = 0, out: str = "is_train") -> DataFrame:
     """Exact-size split: the ``ceil(fraction * n)`` rows with the smallest
@@ -52,30 +66,33 @@ def split_exact(df: DataFrame, key: str | Sequence[str], test_fraction: float =
     Scalable plan, no global window: (1) a 65,536-bucket histogram of the top
     hash bits (partial + final aggregate, at most 65,536 rows reach the
     driver); (2) the driver finds the bucket where the cumulative count
-    crosses ``n_test``; (3) only that bucket's rows (about n / 65,536) are
-    ranked to find the boundary row; (4) every row is labelled by comparing
-    ``(hash, key)`` with the boundary - a plain projection.
+    crosses ``n_test``; (3) if that bucket is large (more than about a
+    million rows, i.e. beyond ~7e10 input rows), a second histogram of the
+    low 16 bits inside it narrows the boundary to one exact hash value;
+    (4) only the rows of the boundary bucket or hash value (about n / 65,536
+    or n / 2^32) are ranked to find the boundary row; (5) every row is
+    labelled by comparing ``(hash, key)`` with the boundary - a projection.
     """
     keys = _keys(key)
     h = hash32(seed, *keys)
     hashed = df.withColumn("_h", h)
     bucket = F.shiftrightunsigned(F.col("_h"), 32 - _BUCKET_BITS)
-    hist = (hashed.groupBy(bucket.alias("_b")).count().orderBy("_b").collect())
+    hist = hashed.groupBy(bucket.alias("_b")).count().orderBy("_b").collect()
     n = sum(r["count"] for r in hist)
     n_test = n_test_rows(n, test_fraction)
     if n_test <= 0:
         return df.withColumn(out, F.lit(True))
-    cum = 0
-    boundary, need = None, 0
-    for r in hist:
-        if cum + r["count"] >= n_test:
-            boundary, need = r["_b"], n_test - cum
-            break
-        cum += r["count"]
+    boundary, need, count = _crossing(hist, n_test)
+    edge_rows = bucket == F.lit(boundary)
+    if count > _RANK_MAX_ROWS:
+        low = F.col("_h").bitwiseAND(F.lit((1 << (32 - _BUCKET_BITS)) - 1))
+        sub = hashed.where(edge_rows).groupBy(low.alias("_b")).count().orderBy("_b").collect()
+        low_b, need, _ = _crossing(sub, need)
+        edge_rows = F.col("_h") == F.lit((boundary << (32 - _BUCKET_BITS)) | low_b)
     order_cols = ["_h"] + keys
     w = Window.orderBy(*[F.col(c) for c in order_cols])
     edge = (
-        hashed.where(bucket == F.lit(boundary))
+        hashed.where(edge_rows)
         .select(*order_cols)
         .withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") == F.lit(need))

@@ -52,3 +52,15 @@ def test_minibatch_ids_balanced(spark):
     sizes = [r["count"] for r in b.groupBy("batch").count().collect()]
     assert len(sizes) == 100 and sum(sizes) == 5000
     assert max(sizes) < 90 and min(sizes) > 20
+
+
+def test_split_exact_refined_boundary_equals_brute_force(spark, monkeypatch):
+    # every boundary bucket counts as large: the low-bit histogram picks one exact hash
+    monkeypatch.setattr(S, "_RANK_MAX_ROWS", 0)
+    rows = [(d, p) for d in range(300) for p in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int").repartition(4)
+    for frac in (0.2, 0.5, 0.97):
+        got = {(r["doc_id"], r["pos"]): r["is_train"] for r in S.split_exact(df, ["doc_id", "pos"], frac, 2).collect()}
+        order = sorted(rows, key=lambda r: (_h(2, *r), r[0], r[1]))
+        n_test = math.ceil(frac * len(rows))
+        assert got == {r: i >= n_test for i, r in enumerate(order)}
