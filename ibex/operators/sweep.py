@@ -94,10 +94,19 @@ def summary_train_test(runs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SweepConfig:
+    """One run of a sweep.  ``trial`` numbers the repetition; ``split`` is
+    the seed of its train/test split (the trial itself unless given), so
+    repetitions can share one split."""
+
     config_id: int
     alpha: float
     beta: float
     trial: int
+    split: int | None = None
+
+    @property
+    def split_seed(self) -> int:
+        return self.trial if self.split is None else self.split
 
 
 def alpha_trial_grid(alphas: Sequence[float], n_trials: int, beta: float) -> list[SweepConfig]:
@@ -109,15 +118,36 @@ def alpha_trial_grid(alphas: Sequence[float], n_trials: int, beta: float) -> lis
     return out
 
 
-def beta_grid_configs(betas: Sequence[float], n_samples: int, alpha: float = 1.0) -> list[SweepConfig]:
+def beta_grid_configs(betas: Sequence[float], n_samples: int, alpha: float = 1.0,
+                      split: int | None = 0) -> list[SweepConfig]:
+    """``n_samples`` fresh models per beta.  By default every sample trains
+    on the same split (seed ``split``), as the beta sweep loads its data
+    once; ``split=None`` gives each sample its own split."""
     out, i = [], 0
     for b in betas:
         for s in range(n_samples):
-            out.append(SweepConfig(i, float(alpha), float(b), s))
+            out.append(SweepConfig(i, float(alpha), float(b), s, split))
             i += 1
     return out
 
 
+# The settings of the two sweep scripts.  Both train the
+# embedding text encoder (1000 x 64 embedding, sequences of 500 ids) with
+# Adam at learning rate 1e-4 and batches of 50.
+SCRIPT_ALPHAS = (0.1, 0.5, 1.0, 2.0, 5.0)
+SCRIPT_ALPHA_TRIALS = 5
+SCRIPT_ALPHA_EPOCHS = 5
+SCRIPT_ALPHA_BETA = 1e-4
+SCRIPT_ALPHA_UNITS = (128, 64)
+SCRIPT_BETA_LOG10 = (-6.0, 2.0, 0.5)  # 10^-6, 10^-5.5, ..., 10^2: 17 betas
+SCRIPT_BETA_SAMPLES = 50
+SCRIPT_BETA_EPOCHS = 10
+SCRIPT_BETA_ALPHA = 1.0
+SCRIPT_BETA_UNITS = (128, 64, 32)
+SCRIPT_BATCH = 50
+SCRIPT_LR = 1e-4
+
+
 RUN_SCHEMA = ("config_id int, alpha double, beta double, trial int, epoch int, is_train boolean, "
               "n bigint, izy double, izx double, acc double, avg_acc double")
 
@@ -176,7 +206,7 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     """
     spark = data.sparkSession
     keys = VIB._keys(key)
-    trials = sorted({c.trial for c in configs})
+    trials = sorted({c.split_seed for c in configs})
     base = VIB.materialize(
         _prepared(data, keys, x, label, trials, test_fraction).withColumn("_o", F.md5(VIB.key_string(keys))))
     width, k = VIB._x_width(spec), spec.latent_dim
@@ -184,16 +214,19 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     size = M.Layout(spec).size
     per_group = max(1, max_state_doubles // (3 * size))
     all_cfgs = list(configs)
+    # training tasks send back model states: size them by the whole grid's
+    # state, so results do not depend on how the grid is cut into groups
+    train_base = VIB.averaging_parts(base, base.count(), width, 3 * size * len(all_cfgs))
     rows = []
     for g0 in range(0, len(all_cfgs), per_group):
-        rows += _fit_group(base, spec, all_cfgs[g0:g0 + per_group], keys, x, label, trials, epochs, batch_size,
-                           lr, seed, n_draws, width, k, xdtype, size)
+        rows += _fit_group(base, train_base, spec, all_cfgs[g0:g0 + per_group], keys, x, label, trials, epochs,
+                           batch_size, lr, seed, n_draws, width, k, xdtype, size)
     base.unpersist()
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 
-def _fit_group(base, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws, width, k,
-               xdtype, size):
+def _fit_group(base, train_base, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws,
+               width, k, xdtype, size):
     spark = base.sparkSession
     state = {c.config_id: (M.init_params(spec, seed * 100003 + c.config_id), np.zeros(size), np.zeros(size), 0)
              for c in cfgs}
@@ -201,7 +234,7 @@ def _fit_group(base, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr,
                                  T.StructField("blob", T.BinaryType())])
     rows = []
     for epoch in range(1, epochs + 1):
-        noisy = VIB.with_noise(base, keys, k, f"{seed}:{epoch}", 0, "train").sortWithinPartitions("_o")
+        noisy = VIB.with_noise(train_base, keys, k, f"{seed}:{epoch}", 0, "train").sortWithinPartitions("_o")
         bc = spark.sparkContext.broadcast(state)
 
         def train(batches, bc=bc):
@@ -217,7 +250,7 @@ def _fit_group(base, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr,
                 E = _mat(b.column("eps"), k, np.float64)
                 flags = {t: b.column(f"_tr{t}").to_numpy(zero_copy_only=False).astype(bool) for t in trials}
                 for r in runs:
-                    sel = flags[r.cfg.trial]
+                    sel = flags[r.cfg.split_seed]
                     r.feed(spec, X[sel], Y[sel], E[sel], batch_size)
             for r in runs:
                 r.feed(spec, np.zeros((0, width), xdtype), np.zeros(0), np.zeros((0, k)), batch_size, final=True)
@@ -272,7 +305,7 @@ def _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed,
             for c in cfgs:
                 r = M.row_metrics(spec, params[c.config_id], X, Y, E, EM, c.alpha)
                 for part in (True, False):
-                    sel = flags[c.trial] == part
+                    sel = flags[c.split_seed] == part
                     a = acc.setdefault((c.config_id, part), np.zeros(5))
                     a += [sel.sum(), r["ce_bits"][sel].sum(), r["div_bits"][sel].sum(),
                           (r["pred"][sel] == Y[sel]).sum(), (r["mc_pred"][sel] == Y[sel]).sum()]
@@ -305,3 +338,26 @@ def runs_for_summary(runs: DataFrame, metric: str = "avg_acc", config: str = "al
     """Adapt a training runs table to the summary operators."""
     return runs.select(F.col(config).cast("string").alias("config"), "trial", "epoch", "is_train",
                        F.col(metric).alias("metric"))
+
+
+def script_alpha_sweep(data: DataFrame, key, x: str = "ids", label: str = "label", num_words: int = 1000,
+                       maxlen: int = 500, **kw) -> DataFrame:
+    """The alpha sweep script's grid on encoded text rows: mean and
+    population std over trials of the last-epoch Monte Carlo test accuracy
+    per alpha.  ``kw`` goes to :func:`fit_sweep` (``seed``, ``max_state_doubles``)."""
+    spec = M.text_spec(num_words, maxlen, SCRIPT_ALPHA_UNITS)
+    grid = alpha_trial_grid(SCRIPT_ALPHAS, SCRIPT_ALPHA_TRIALS, SCRIPT_ALPHA_BETA)
+    runs = fit_sweep(data, spec, grid, key, x, label, epochs=SCRIPT_ALPHA_EPOCHS, batch_size=SCRIPT_BATCH,
+                     lr=SCRIPT_LR, **kw)
+    return summary_mean_std(runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
+
+
+def script_beta_sweep(data: DataFrame, key, x: str = "ids", label: str = "label", num_words: int = 1000,
+                      maxlen: int = 500, **kw) -> DataFrame:
+    """The beta sweep script's grid on encoded text rows: mean over samples
+    of the last-epoch one-draw train and test accuracy per beta."""
+    spec = M.text_spec(num_words, maxlen, SCRIPT_BETA_UNITS)
+    grid = beta_grid_configs(beta_grid(*SCRIPT_BETA_LOG10), SCRIPT_BETA_SAMPLES, SCRIPT_BETA_ALPHA)
+    runs = fit_sweep(data, spec, grid, key, x, label, epochs=SCRIPT_BETA_EPOCHS, batch_size=SCRIPT_BATCH,
+                     lr=SCRIPT_LR, **kw)
+    return summary_train_test(runs_for_summary(runs, "acc", "beta"))

@@ -369,7 +369,8 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
                 if n:
                     params = opt.step(params, g / n)
         elif cfg.mode == "average":
-            params, opt = _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_train)
+            avg_train = averaging_parts(train, n_train, _x_width(spec), 3 * len(params))
+            params, opt = _average_epoch(avg_train, spec, params, opt, cfg, keys, x, label, epoch, n_train)
         else:
             raise ValueError(f"unknown mode {cfg.mode!r}")
         ev = _epoch_metrics(data, spec, params, keys, x, label, split, cfg, epoch)
@@ -390,6 +391,18 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     return params, history
 
 
+def averaging_parts(df: DataFrame, n_rows: int, row_values: int, state_doubles: int) -> DataFrame:
+    """Input for a local-SGD pass.  Every task sends back its whole training
+    state (``state_doubles``: parameters and Adam moments of every model it
+    trains), so each task is given at least as many input values as that
+    state: the averaging traffic then never exceeds the data read.  Small
+    inputs are coalesced (no shuffle) to fewer tasks; at scale, with many
+    rows per partition, the input is returned unchanged."""
+    cur = df.rdd.getNumPartitions()
+    want = max(1, min(cur, (n_rows * max(1, row_values)) // max(1, state_doubles)))
+    return df.coalesce(want) if want < cur else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (files under ``spark.checkpoint.dir``) plus an
     in-memory copy for the iterations."""

@@ -52,3 +52,37 @@ def test_fit_sweep_groups_give_same_runs(spark):
     assert len(ra) == 8
     for x, y in zip(ra, rb):
         assert x["n"] == y["n"] and abs(x["acc"] - y["acc"]) < 1e-12 and abs(x["izy"] - y["izy"]) < 1e-9
+
+
+def test_script_presets_on_text(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from ibex.plans import text as TP
+    from ibex.plans.text import TextConfig
+
+    monkeypatch.setattr(SW, "SCRIPT_ALPHA_EPOCHS", 2)  # the full grid, fewer epochs
+    cfg = TextConfig(num_words=50, maxlen=20)
+    corpus_cfg = TP.corpus_pipeline(spark, SF_SMALL, cfg)[0].select("doc_id", "pos", "ids", "label")
+    a = {r["config"]: r for r in SW.script_alpha_sweep(corpus_cfg, ["doc_id", "pos"], num_words=50, maxlen=20)
+         .collect()}
+    assert sorted(float(k) for k in a) == list(SW.SCRIPT_ALPHAS)
+    assert all(r["n_trials"] == SW.SCRIPT_ALPHA_TRIALS and 0 <= r["avg_metric"] <= 1 for r in a.values())
+    monkeypatch.setattr(SW, "SCRIPT_BETA_SAMPLES", 2)
+    monkeypatch.setattr(SW, "SCRIPT_BETA_EPOCHS", 1)
+    b = SW.script_beta_sweep(corpus_cfg, ["doc_id", "pos"], num_words=50, maxlen=20).collect()
+    assert len(b) == 17 and all(0 <= r["train_metric"] <= 1 for r in b)
+
+
+def test_beta_samples_share_one_split(spark):
+    from conftest import SF_SMALL
+    from ibex.operators import vib_math as M
+    from ibex.sources import corpus as C
+
+    vec = C.read_vectors(spark, SF_SMALL)
+    spec = M.dense_spec(64, units=(4,), out_dim=10)
+    grid = SW.beta_grid_configs([1e-3], n_samples=3)
+    runs = SW.fit_sweep(vec, spec, grid, "vec_id", "features", epochs=1, lr=1e-2).collect()
+    n_train = {r["trial"]: r["n"] for r in runs if r["is_train"]}
+    assert len(n_train) == 3 and len(set(n_train.values())) == 1
+    own = SW.fit_sweep(vec, spec, SW.beta_grid_configs([1e-3], 3, split=None), "vec_id", "features",
+                       epochs=1, lr=1e-2).collect()
+    assert len({r["n"] for r in own if r["is_train"]}) > 1
