@@ -180,14 +180,21 @@ class _Run:
         self.pending = [(X[full:], Y[full:], E[full:])] if full < len(X) else []
 
 
+def _x_columns(x, trials) -> dict:
+    """Input column per split seed: one column for all, or a mapping
+    ``{split seed: column}`` (e.g. ids encoded with each trial's own
+    vocabulary)."""
+    return {t: (x if isinstance(x, str) else x[t]) for t in trials}
+
+
 def _prepared(data: DataFrame, keys, x, label, trials, test_fraction) -> DataFrame:
-    base = data.select(*keys, x, label)
+    base = data.select(*keys, *dict.fromkeys(_x_columns(x, trials).values()), label)
     for t in trials:
         base = base.withColumn(f"_tr{t}", uniform(t, *keys) >= F.lit(test_fraction))
     return base
 
 
-def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x: str = "ids",
+def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x="ids",
               label: str = "label", epochs: int = 5, batch_size: int = 50, lr: float = 1e-4,
               seed: int = 0, test_fraction: float = 0.2, n_draws: int = 12,
               max_state_doubles: int = 1 << 26) -> DataFrame:
@@ -228,6 +235,7 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
 def _fit_group(base, train_base, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws,
                width, k, xdtype, size):
     spark = base.sparkSession
+    xcols = _x_columns(x, trials)
     state = {c.config_id: (M.init_params(spec, seed * 100003 + c.config_id), np.zeros(size), np.zeros(size), 0)
              for c in cfgs}
     train_schema = T.StructType([T.StructField("config_id", T.IntegerType()), T.StructField("n", T.LongType()),
@@ -245,13 +253,13 @@ def _fit_group(base, train_base, spec, cfgs, keys, x, label, trials, epochs, bat
             for b in batches:
                 if b.num_rows == 0:
                     continue
-                X = _mat(b.column(x), width, xdtype)
+                mats = {c: _mat(b.column(c), width, xdtype) for c in set(xcols.values())}
                 Y = b.column(label).to_numpy(zero_copy_only=False)
                 E = _mat(b.column("eps"), k, np.float64)
                 flags = {t: b.column(f"_tr{t}").to_numpy(zero_copy_only=False).astype(bool) for t in trials}
                 for r in runs:
                     sel = flags[r.cfg.split_seed]
-                    r.feed(spec, X[sel], Y[sel], E[sel], batch_size)
+                    r.feed(spec, mats[xcols[r.cfg.split_seed]][sel], Y[sel], E[sel], batch_size)
             for r in runs:
                 r.feed(spec, np.zeros((0, width), xdtype), np.zeros(0), np.zeros((0, k)), batch_size, final=True)
                 if r.n:
@@ -281,6 +289,7 @@ def _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed,
     """One pass scoring every configuration on its own split; each task
     emits partial sums per (configuration, part), Spark adds them."""
     spark = base.sparkSession
+    xcols = _x_columns(x, trials)
     k, width = spec.latent_dim, VIB._x_width(spec)
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
     noisy = VIB.with_noise(base, keys, k, f"{seed}:{epoch}", n_draws, "eval")
@@ -297,13 +306,13 @@ def _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed,
         for b in batches:
             if b.num_rows == 0:
                 continue
-            X = _mat(b.column(x), width, xdtype)
+            mats = {c: _mat(b.column(c), width, xdtype) for c in set(xcols.values())}
             Y = b.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
             E = _mat(b.column("eps"), k, np.float64)
             EM = _mat(b.column("eps_mc"), n_draws * k, np.float64).reshape(-1, n_draws, k)
             flags = {t: b.column(f"_tr{t}").to_numpy(zero_copy_only=False).astype(bool) for t in trials}
             for c in cfgs:
-                r = M.row_metrics(spec, params[c.config_id], X, Y, E, EM, c.alpha)
+                r = M.row_metrics(spec, params[c.config_id], mats[xcols[c.split_seed]], Y, E, EM, c.alpha)
                 for part in (True, False):
                     sel = flags[c.split_seed] == part
                     a = acc.setdefault((c.config_id, part), np.zeros(5))
@@ -340,7 +349,7 @@ def runs_for_summary(runs: DataFrame, metric: str = "avg_acc", config: str = "al
                        F.col(metric).alias("metric"))
 
 
-def script_alpha_sweep(data: DataFrame, key, x: str = "ids", label: str = "label", num_words: int = 1000,
+def script_alpha_sweep(data: DataFrame, key, x="ids", label: str = "label", num_words: int = 1000,
                        maxlen: int = 500, **kw) -> DataFrame:
     """The alpha sweep script's grid on encoded text rows: mean and
     population std over trials of the last-epoch Monte Carlo test accuracy
@@ -352,7 +361,7 @@ def script_alpha_sweep(data: DataFrame, key, x: str = "ids", label: str = "label
     return summary_mean_std(runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
 
 
-def script_beta_sweep(data: DataFrame, key, x: str = "ids", label: str = "label", num_words: int = 1000,
+def script_beta_sweep(data: DataFrame, key, x="ids", label: str = "label", num_words: int = 1000,
                       maxlen: int = 500, **kw) -> DataFrame:
     """The beta sweep script's grid on encoded text rows: mean over samples
     of the last-epoch one-draw train and test accuracy per beta."""

@@ -61,6 +61,43 @@ def vocabulary(tokenized: DataFrame, num_words: int = DEFAULT_NUM_WORDS,
     return top.select("token", "n", (F.row_number().over(w) + F.lit(1)).cast("int").alias("id"))
 
 
+def trial_vocabularies(tokenized: DataFrame, key: list[str], trials, test_fraction: float = 0.2,
+                       num_words: int = DEFAULT_NUM_WORDS, tokens: str = "tokens") -> DataFrame:
+    """One vocabulary per trial, each fitted on that trial's own hash split
+    (train part: ``uniform(trial, key) >= test_fraction``, as
+    :func:`ibex.operators.split.split_hash` with ``seed = trial``).  Output
+    ``(trial, token, n, id)`` with at most ``trials x (num_words - 2)`` rows.
+
+    One shuffle for all trials: every token occurrence is counted once per
+    trial whose train part holds its row (a conditional sum per trial in
+    the same partial + final hash aggregate).  The counts are kept while each
+    trial's top-k is cut from them (``TakeOrderedAndProject``, bounded by k
+    per task); the bounded result is returned as a small local table.
+    """
+    from ibex.functions.hashing import uniform
+
+    k = num_words - 2
+    if k <= 0:
+        raise ValueError("num_words must be at least 3")
+    trials = list(trials)
+    flags = [uniform(t, *key) >= F.lit(test_fraction) for t in trials]
+    # flags per row, then the explode: the split hashes are not recomputed per token
+    flagged = tokenized.select(*[f.cast("int").alias(f"_f{i}") for i, f in enumerate(flags)], tokens)
+    exploded = (flagged.select(*[f"_f{i}" for i in range(len(trials))], F.explode_outer(tokens).alias("token"))
+                .where(F.col("token").isNotNull()))
+    counts = exploded.groupBy("token").agg(
+        *[F.sum(f"_f{i}").cast("bigint").alias(f"n{i}") for i in range(len(trials))]).persist()
+    rows = []
+    try:
+        for i, t in enumerate(trials):
+            top = (counts.where(F.col(f"n{i}") > 0).orderBy(F.desc(f"n{i}"), F.asc("token")).limit(k)
+                   .select("token", f"n{i}").collect())
+            rows += [(int(t), r["token"], int(r[f"n{i}"]), j + 2) for j, r in enumerate(top)]
+    finally:
+        counts.unpersist()
+    return tokenized.sparkSession.createDataFrame(rows, "trial bigint, token string, n bigint, id int")
+
+
 def collect_vocabulary(vocab: DataFrame) -> list[str]:
     """Tokens ordered by id (id = index + 2).  The vocabulary is bounded by
     ``num_words`` by construction; the bound is re-checked here before

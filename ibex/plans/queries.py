@@ -261,6 +261,24 @@ def q_class_counts(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("trial_vocabulary",
+          f"WITH {O.labelled_cte()}, tok AS (SELECT doc_id, pos, {O.tokens_sql('text')} AS tokens FROM labelled), "
+          "tr AS (SELECT range AS trial FROM range(5)), "
+          "ex AS (SELECT tr.trial, unnest(tok.tokens) AS token FROM tok, tr "
+          f"WHERE {O.uniform_sql(None, 'doc_id', 'pos', seed_sql='CAST(trial AS VARCHAR)')} >= 0.2), "
+          "counts AS (SELECT trial, token, count(*) AS n FROM ex GROUP BY trial, token), "
+          "ranked AS (SELECT trial, token, n, row_number() OVER (PARTITION BY trial ORDER BY n DESC, token) AS r "
+          "FROM counts) "
+          "SELECT CAST(trial AS BIGINT) AS trial, token, CAST(n AS BIGINT) AS n, CAST(r + 1 AS BIGINT) AS id "
+          "FROM ranked WHERE r <= 998")
+def q_trial_vocabulary(spark, sf_dir):
+    """A fresh split and vocabulary per trial (trials 0-4): every trial's
+    998 most frequent train tokens with ids from 2, one counting shuffle."""
+    tok = V.with_tokens(_labelled(spark, sf_dir))
+    v = V.trial_vocabularies(tok, ["doc_id", "pos"], range(5), CFG.test_fraction, CFG.num_words)
+    return v.select("trial", "token", "n", F.col("id").cast("bigint").alias("id"))
+
+
 _MSG_CFG = TextConfig(maxlen=50, normalize=True)
 
 
@@ -622,6 +640,20 @@ def q_sweep_fit_beta(spark, sf_dir):
     return SW.summary_train_test(SW.runs_for_summary(runs, "acc", "beta"))
 
 
+@register("sweep_fit_alpha_text")
+def q_sweep_fit_alpha_text(spark, sf_dir):
+    """Alpha sweep on the book paragraphs as the sweep script runs it: each
+    trial draws its own split and fits its own vocabulary; the alpha x trial
+    grid is trained together on the per-trial encodings (small grid)."""
+    from ibex.plans.text import trial_encoded
+    trials = [0, 1]
+    data, _ = trial_encoded(_labelled(spark, sf_dir), ["doc_id", "pos"], trials, CFG)
+    grid = SW.alpha_trial_grid([0.5, 1.0, 2.0], n_trials=len(trials), beta=1e-4)
+    runs = SW.fit_sweep(data, TEXT_FIT_SPEC, grid, ["doc_id", "pos"], {t: f"ids_t{t}" for t in trials},
+                        epochs=2, batch_size=50, lr=1e-3)
+    return SW.summary_mean_std(SW.runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
+
+
 # ------------------------------------------------ subword branch (T1-T3) ---
 
 from ibex.operators import subword as SWD  # noqa: E402

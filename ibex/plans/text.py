@@ -75,6 +75,23 @@ def encoded(split_df: DataFrame, cfg: TextConfig = TextConfig(), vocab: DataFram
     return enc, vocab
 
 
+def trial_encoded(rows: DataFrame, key: list[str], trials, cfg: TextConfig = TextConfig(),
+                  text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows with one padded ids column ``ids_t{trial}`` per trial, each
+    encoded with the vocabulary fitted on that trial's own train split (a
+    fresh split and tokenizer per trial), plus the vocabularies
+    ``(trial, token, n, id)``.  Counting is one shuffle for all trials;
+    encoding is one Arrow lookup per trial in the same projection."""
+    tok = V.with_tokens(rows, text)
+    vocabs = V.trial_vocabularies(tok, key, trials, cfg.test_fraction, cfg.num_words)
+    out = tok
+    for t in trials:
+        col = f"ids_t{t}"
+        out = V.encode_tokens(out, vocabs.where(F.col("trial") == F.lit(t)), cfg.maxlen, out=col)
+        out = out.withColumn(col, V.pad_sequences(col, cfg.maxlen))
+    return out.drop("tokens"), vocabs
+
+
 def corpus_pipeline(spark: SparkSession, sf_dir: str, cfg: TextConfig = TextConfig()) -> tuple[DataFrame, DataFrame]:
     """The book-paragraph pipeline over the ``documents`` table with the
     manifest derived from source names."""

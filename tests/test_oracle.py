@@ -26,7 +26,7 @@ def test_every_query_has_sql_or_is_model_fitting():
     rows_only = set(queries()) - set(SQL)
     assert rows_only <= {"fit_history", "fit_text_history", "train_step", "sweep_fit_alpha",
                          "sweep_fit_beta", "subword_encode", "subword_model_inputs",
-                         "fit_message_history"}
+                         "fit_message_history", "sweep_fit_alpha_text"}
 
 
 def test_entry_smoke(spark):

@@ -163,3 +163,22 @@ def test_model_inputs_parquet_round_trip(spark, tmp_path):
     write_model_inputs(m, str(tmp_path / "mi"))
     r = spark.read.parquet(str(tmp_path / "mi")).first()
     assert r["input_ids"] == [3, 4, 0, 0] and r["attention_mask"] == [1, 1, 0, 0] and r["labels"] == [0.0, 1.0]
+
+
+def test_trial_encodings_equal_one_split_pipelines(spark):
+    from conftest import SF_SMALL
+    from ibex.operators import split as S
+    from ibex.operators import vocab as V
+    from ibex.plans import text as TP
+    from ibex.plans.queries import _labelled
+
+    cfg = TP.TextConfig(num_words=60, maxlen=40)
+    rows = _labelled(spark, SF_SMALL)
+    enc, vocabs = TP.trial_encoded(rows, ["doc_id", "pos"], [0, 3], cfg)
+    got = {(r["doc_id"], r["pos"]): (r["ids_t0"], r["ids_t3"]) for r in enc.collect()}
+    for i, t in enumerate([0, 3]):
+        one, vocab = TP.encoded(S.split_hash(rows, ["doc_id", "pos"], cfg.test_fraction, seed=t), cfg)
+        want = {(r["doc_id"], r["pos"]): r["ids"] for r in one.collect()}
+        assert {k: v[i] for k, v in got.items()} == want
+        tv = {(r["token"], r["id"]) for r in vocabs.where(f"trial = {t}").collect()}
+        assert tv == {(r["token"], r["id"]) for r in vocab.collect()}
