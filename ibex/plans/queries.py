@@ -447,12 +447,14 @@ _MC_ALPHAS = (0.5, 2.0, "inf", "mc2.0")
 @register("renyi_mc", OM.renyi_mc_sql(_MC_ALPHAS))
 def q_renyi_mc(spark, sf_dir):
     s = _vec_scored(spark, sf_dir)
-    ref = renyi_sampled(s, [0.5, 2.0, float("inf")], ["vec_id"], ["is_train"], seed=0, tag="eval")
-    ref = ref.select("is_train", F.when(F.col("alpha") == float("inf"), F.lit("inf"))
-                     .otherwise(F.col("alpha").cast("string")).alias("alpha"), r6("value").alias("value"))
-    mc = renyi_sampled(s, [2.0], ["vec_id"], ["is_train"], seed=0, tag="eval", estimator="mc")
-    mc = mc.select("is_train", F.lit("mc2.0").alias("alpha"), r6("value").alias("value"))
-    return ref.unionByName(mc)
+    # both estimators from the same two passes over the scored rows
+    r = renyi_sampled(s, [0.5, 2.0, float("inf")], ["vec_id"], ["is_train"], seed=0, tag="eval",
+                      estimator=["reference", "mc"])
+    is_mc = F.col("estimator") == F.lit("mc")
+    r = r.where(~is_mc | (F.col("alpha") == F.lit(2.0)))
+    label = (F.when(is_mc, F.lit("mc2.0")).when(F.col("alpha") == float("inf"), F.lit("inf"))
+             .otherwise(F.col("alpha").cast("string")))
+    return r.select("is_train", label.alias("alpha"), r6("value").alias("value"))
 
 
 def _vec_metrics(spark, sf_dir):
