@@ -244,11 +244,12 @@ def _sum_partials(parts: DataFrame):
     return tot.get(0, (0, None))
 
 
-def _sync_run(run_df: DataFrame, spec, params, opt, x, label, beta, alpha):
+def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, beta, alpha):
     """Synchronous Adam steps over one run of batches (rows sorted by
-    ``batch``, all in one partition): each batch's mean gradient is taken
-    at the parameters left by the previous batch, exactly as one job per
-    step would.  Returns the new parameters and optimizer."""
+    ``batch``, all in partition ``partition``): each batch's mean gradient
+    is taken at the parameters left by the previous batch, exactly as one
+    job per step would.  Only that partition is computed.  Returns the new
+    parameters and optimizer."""
     state = (params, opt.m if opt.m is not None else np.zeros_like(params),
              opt.v if opt.v is not None else np.zeros_like(params), opt.t)
     bc = run_df.sparkSession.sparkContext.broadcast(state)
@@ -295,7 +296,8 @@ def _sync_run(run_df: DataFrame, spec, params, opt, x, label, beta, alpha):
             blob = np.concatenate([p, local.m, local.v, [float(local.t)]]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
-    rows = run_df.mapInArrow(run, schema).collect()  # one row: the run is one partition
+    sc = run_df.sparkSession.sparkContext
+    rows = sc.runJob(run_df.mapInArrow(run, schema).rdd, list, [partition])  # at most one row
     bc.unpersist()
     if not rows:
         return params, opt
@@ -348,6 +350,10 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
             run = F.floor(F.col("batch") * F.lit(n_runs) / F.lit(n_batches)).cast("int")
             batched = (batched.withColumn("_run", run).repartition(n_runs, "_run")
                        .sortWithinPartitions("_run", "batch", *keys).persist())
+            # the partition holding each run (one row per run): a run's job
+            # then launches one task instead of one per partition
+            home = {0: 0} if n_runs == 1 else {r["_run"]: r["_p"] for r in batched.select(
+                "_run", F.spark_partition_id().alias("_p")).distinct().collect()}
         else:
             batched = batched.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(fan)))
             parts = max(1, min(n_batches * fan, spark.sparkContext.defaultParallelism))
@@ -355,9 +361,9 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     for epoch in range(1, cfg.epochs + 1):
         if cfg.mode == "sync" and fan == 1:
             noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
-            for r in range(n_runs):
-                params, opt = _sync_run(noisy.where(F.col("_run") == F.lit(r)), spec, params, opt, x, label,
-                                        cfg.beta, cfg.alpha)
+            for r in sorted(home):
+                params, opt = _sync_run(noisy.where(F.col("_run") == F.lit(r)), home[r], spec, params, opt, x,
+                                        label, cfg.beta, cfg.alpha)
         elif cfg.mode == "sync":
             noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
             for step in range(n_batches):
