@@ -103,6 +103,56 @@ def split_exact(df: DataFrame, key: str | Sequence[str], test_fraction: float =
     return hashed.withColumn(out, ~is_test).drop("_h")
 
 
+def _histogram(hashed: DataFrame, bits: int) -> list:
+    """Row counts per bucket of the top ``bits`` bits of ``_h`` (a partial +
+    final aggregate; at most 2^bits rows reach the driver)."""
+    b = F.shiftrightunsigned(F.col("_h"), 32 - bits)
+    return hashed.groupBy(b.alias("_b")).count().orderBy("_b").collect()
+
+
+def minibatch_exact(df: DataFrame, key: str | Sequence[str], batch_size: int, seed: int = 0,
+                    out: str = "batch") -> tuple[DataFrame, int]:
+    """Contiguous mini-batches in one fixed shuffled order: rows ordered by
+    ``(hash, key)`` (a random permutation that does not depend on the
+    partitioning) are cut into ``n // batch_size`` slices of exactly
+    ``batch_size`` rows; the last ``n % batch_size`` rows are dropped, as
+    contiguous slicing does.  Returns the kept rows with an int ``batch``
+    column, and the number of batches.
+
+    Ranks without a global sort or window: a histogram of the top hash bits
+    gives every bucket's first rank (the resolution is raised until no
+    bucket holds more than about a million rows), and rows are ranked only
+    inside their bucket (a window partitioned by bucket, so buckets spread
+    over tasks).
+    """
+    keys = _keys(key)
+    hashed = df.withColumn("_h", hash32(seed + 7919, *keys))
+    bits = _BUCKET_BITS
+    hist = _histogram(hashed, bits)
+    biggest = max((r["count"] for r in hist), default=0)
+    if biggest > _RANK_MAX_ROWS and bits < 32:
+        bits = min(32, bits + math.ceil(math.log2(biggest / _RANK_MAX_ROWS)) + 1)
+        hist = _histogram(hashed, bits)
+    n = sum(r["count"] for r in hist)
+    n_batches = n // batch_size
+    if n_batches == 0:
+        return df.where(F.lit(False)).withColumn(out, F.lit(None).cast("int")), 0
+    offsets, cum = [], 0
+    for r in hist:
+        offsets.append((int(r["_b"]), cum))
+        cum += r["count"]
+    off = df.sparkSession.createDataFrame(offsets, "_b bigint, _off bigint")
+    # one row per non-empty bucket, built here: its size is known
+    off = F.broadcast(off) if len(offsets) <= _RANK_MAX_ROWS else off
+    bucket = F.shiftrightunsigned(F.col("_h"), 32 - bits)
+    w = Window.partitionBy("_b").orderBy(*[F.col(c) for c in ["_h"] + keys])
+    rank = F.col("_off") + F.row_number().over(w) - F.lit(1)
+    ranked = hashed.withColumn("_b", bucket).join(off, "_b").withColumn("_r", rank)
+    kept = ranked.where(F.col("_r") < F.lit(n_batches * batch_size))
+    return (kept.withColumn(out, F.floor(F.col("_r") / F.lit(batch_size)).cast("int"))
+            .drop("_h", "_b", "_off", "_r")), n_batches
+
+
 def split_trials(df: DataFrame, key: str | Sequence[str], n_trials: int,
                  test_fraction: float = DEFAULT_TEST_FRACTION,
                  out: str = "is_train_trials") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ibex.functions.hashing import gaussian_array
 from ibex.operators import vib_math as M
 from ibex.operators.reduce import tree_sum_by_key
-from ibex.operators.split import minibatch_ids
+from ibex.operators.split import minibatch_exact, minibatch_ids
 
 log = logging.getLogger("ibex.fit")
 
@@ -203,6 +203,10 @@ class FitConfig:
     # IZX for alpha != 1: "closed" (closed form, default) or the sampled
     # "reference" / "mc" estimators of ibex.operators.divergence
     izx_estimator: str = "closed"
+    # sync mini-batches: "hash" (balanced by key hash, every row used) or
+    # "exact" (contiguous slices of batch_size in a fixed shuffled order,
+    # the remainder dropped)
+    batching: str = "hash"
 
 
 def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batch_total):
@@ -337,7 +341,12 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     n_train = train.count()
     history = []
     if cfg.mode == "sync":
-        batched, n_batches = minibatch_ids(train, keys, cfg.batch_size, n_train, cfg.seed)
+        if cfg.batching == "exact":
+            batched, n_batches = minibatch_exact(train, keys, cfg.batch_size, cfg.seed)
+        elif cfg.batching == "hash":
+            batched, n_batches = minibatch_ids(train, keys, cfg.batch_size, n_train, cfg.seed)
+        else:
+            raise ValueError(f"unknown batching {cfg.batching!r}")
         # A small batch is trained inside one task: the batches are cut into
         # ``n_runs`` contiguous runs, each run sits in one partition sorted by
         # batch, and one task per run advances the parameters and Adam state
@@ -347,7 +356,7 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
         if fan == 1:
             run_rows = max(cfg.batch_size, SYNC_RUN_VALUES // max(1, _x_width(spec)))
             n_runs = max(1, min(n_batches, -(-n_train // run_rows)))
-            run = F.floor(F.col("batch") * F.lit(n_runs) / F.lit(n_batches)).cast("int")
+            run = F.floor(F.col("batch") * F.lit(n_runs) / F.lit(max(1, n_batches))).cast("int")
             batched = (batched.withColumn("_run", run).repartition(n_runs, "_run")
                        .sortWithinPartitions("_run", "batch", *keys).persist())
             # the partition holding each run (one row per run): a run's job

@@ -210,6 +210,20 @@ def q_minibatch_ids(spark, sf_dir):
     return b.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("batch").cast("bigint").alias("batch"))
 
 
+@register("minibatch_exact",
+          f"WITH {O.split_cte()}, tr AS (SELECT * FROM split WHERE is_train), "
+          f"r AS (SELECT doc_id, pos, row_number() OVER (ORDER BY {O.hash32_sql(7919, 'doc_id', 'pos')}, "
+          "doc_id, pos) - 1 AS rn, count(*) OVER () AS n FROM tr) "
+          "SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(rn // 50 AS BIGINT) AS batch FROM r "
+          "WHERE rn < (n // 50) * 50")
+def q_minibatch_exact(spark, sf_dir):
+    """Contiguous batches of exactly 50 train rows in a fixed shuffled
+    order, the remainder dropped."""
+    tr = _split(spark, sf_dir).where("is_train")
+    b, _ = S.minibatch_exact(tr, ["doc_id", "pos"], _BATCH)
+    return b.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("batch").cast("bigint").alias("batch"))
+
+
 # ----------------------------------------------- vocabulary / encoding ---
 
 @register("token_counts",

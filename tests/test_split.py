@@ -64,3 +64,30 @@ def test_split_exact_refined_boundary_equals_brute_force(spark, monkeypatch):
         order = sorted(rows, key=lambda r: (_h(2, *r), r[0], r[1]))
         n_test = math.ceil(frac * len(rows))
         assert got == {r: i >= n_test for i, r in enumerate(order)}
+
+
+def test_minibatch_exact_equals_contiguous_slices(spark, monkeypatch):
+    rows = [(d, p) for d in range(250) for p in range(3)]  # 750 rows
+    df = spark.createDataFrame(rows, "doc_id long, pos int").repartition(6)
+    order = sorted(rows, key=lambda r: (_h(7919 + 4, *r), r[0], r[1]))
+    want = {r: i // 40 for i, r in enumerate(order) if i < (len(rows) // 40) * 40}
+    for max_rows in (S._RANK_MAX_ROWS, 3):  # default, and finer buckets forced
+        monkeypatch.setattr(S, "_RANK_MAX_ROWS", max_rows)
+        b, n = S.minibatch_exact(df, ["doc_id", "pos"], 40, seed=4)
+        got = {(r["doc_id"], r["pos"]): r["batch"] for r in b.collect()}
+        assert n == 18 and got == want
+    b, n = S.minibatch_exact(df.limit(10), ["doc_id", "pos"], 40)
+    assert n == 0 and b.count() == 0
+
+
+def test_fit_with_exact_batches(spark):
+    from conftest import SF_SMALL
+    from ibex.operators import vib as VIB
+    from ibex.operators import vib_math as M
+    from ibex.sources import corpus as C
+
+    vec = S.split_hash(C.read_vectors(spark, SF_SMALL), "vec_id")
+    spec = M.dense_spec(64, units=(4,), out_dim=10)
+    cfg = VIB.FitConfig(epochs=1, batch_size=30, lr=1e-2, mode="sync", batching="exact")
+    p, hist = VIB.fit(vec, spec, cfg, "vec_id", "features")
+    assert len(hist) == 1 and not (p == M.init_params(spec, 0)).all()
