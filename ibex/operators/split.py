@@ -77,7 +77,7 @@ def split_exact(df: DataFrame, key: str | Sequence[str], test_fraction: float =
     h = hash32(seed, *keys)
     hashed = df.withColumn("_h", h)
     bucket = F.shiftrightunsigned(F.col("_h"), 32 - _BUCKET_BITS)
-    hist = hashed.groupBy(bucket.alias("_b")).count().orderBy("_b").collect()
+    hist = _histogram(hashed, _BUCKET_BITS)
     n = sum(r["count"] for r in hist)
     n_test = n_test_rows(n, test_fraction)
     if n_test <= 0:
