@@ -182,3 +182,19 @@ def test_trial_encodings_equal_one_split_pipelines(spark):
         assert {k: v[i] for k, v in got.items()} == want
         tv = {(r["token"], r["id"]) for r in vocabs.where(f"trial = {t}").collect()}
         assert tv == {(r["token"], r["id"]) for r in vocab.collect()}
+
+
+def test_clean_and_tokenize_agree_with_python_on_every_assigned_code_point(spark):
+    # word characters and case mappings follow the JVM's Unicode tables;
+    # code points assigned in later Unicode versions than the JVM knows are
+    # the only ones allowed to differ from Python
+    cps = [c for c in range(0x110000) if not (0xD800 <= c <= 0xDFFF)]
+    df = spark.createDataFrame([(c, "A" + chr(c) + "b") for c in cps], "cp int, t string")
+    out = df.select("cp", clean_text("t").alias("c"), tokenize("t").alias("k"),
+                    F.col("t").substr(2, 1).rlike(r"^\p{Cn}$").alias("unassigned"))
+    bad = []
+    for r in out.collect():
+        t = "A" + chr(r["cp"]) + "b"
+        if r["c"] != py_clean(t) or r["k"] != py_tokens(t):
+            bad.append((r["cp"], r["unassigned"]))
+    assert all(unassigned for _, unassigned in bad), [hex(c) for c, u in bad if not u][:20]
