@@ -98,13 +98,15 @@ def trial_vocabularies(tokenized: DataFrame, key: list[str], trials, test_fracti
     return tokenized.sparkSession.createDataFrame(rows, "trial bigint, token string, n bigint, id int")
 
 
-def collect_vocabulary(vocab: DataFrame) -> list[str]:
-    """Tokens ordered by id (id = index + 2).  The vocabulary is bounded by
+def collect_vocabulary(vocab: DataFrame) -> list[str] | None:
+    """Tokens ordered by id (id = index + 2), or ``None`` when the
+    vocabulary has more than ``MAX_BROADCAST_VOCAB`` rows (at most that many
+    plus one are fetched to find out).  The vocabulary is bounded by
     ``num_words`` by construction; the bound is re-checked here before
-    anything reaches the driver."""
+    anything is shipped."""
     rows = vocab.select("token", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()
     if len(rows) > MAX_BROADCAST_VOCAB:
-        raise ValueError(f"vocabulary larger than {MAX_BROADCAST_VOCAB} rows; encode with a join")
+        return None
     rows.sort(key=lambda r: r["id"])
     out = [r["token"] for r in rows]
     for i, r in enumerate(rows):
@@ -134,12 +136,21 @@ def _make_encoder(bc_tokens):
 
 
 def encode_tokens(tokenized: DataFrame, vocab: DataFrame, maxlen: int | None = DEFAULT_MAXLEN,
-                  tokens: str = "tokens", out: str = "ids") -> DataFrame:
+                  tokens: str = "tokens", out: str = "ids", key: list[str] | None = None) -> DataFrame:
     """Map tokens to ids (misses -> OOV id 1), truncating to the first
     ``maxlen`` tokens *before* the lookup (valid because every token yields
-    exactly one id).  ``maxlen=None`` keeps whole sequences."""
+    exactly one id).  ``maxlen=None`` keeps whole sequences.
+
+    The vocabulary is shipped to the tasks when its size check passes;
+    beyond the bound the rows are encoded by :func:`encode_tokens_join` on
+    their unique ``key`` (an error without one)."""
     spark = tokenized.sparkSession
-    bc = spark.sparkContext.broadcast(collect_vocabulary(vocab))
+    words = collect_vocabulary(vocab)
+    if words is None:
+        if key is None:
+            raise ValueError(f"vocabulary larger than {MAX_BROADCAST_VOCAB} rows: pass the row key to encode by join")
+        return encode_tokens_join(tokenized, vocab, key, maxlen, tokens, out)
+    bc = spark.sparkContext.broadcast(words)
     udf = F.arrow_udf(_make_encoder(bc), T.ArrayType(T.IntegerType()))
     src = F.col(tokens) if maxlen is None else F.slice(tokens, 1, maxlen)
     return tokenized.withColumn(out, udf(src))
@@ -150,7 +161,9 @@ def encode_tokens_join(tokenized: DataFrame, vocab: DataFrame, key: list[str],
                        out: str = "ids") -> DataFrame:
     """Pure-DataFrame variant of :func:`encode_tokens` for vocabularies too
     large to ship: explode, left join on token, regroup by key in position
-    order.  Costs one shuffle of the token stream."""
+    order.  Costs one shuffle of the token stream; a token holding a large
+    share of all rows makes a skewed join partition on the streamed (left)
+    side, which adaptive execution splits (skew join)."""
     src = F.col(tokens) if maxlen is None else F.slice(tokens, 1, maxlen)
     exploded = tokenized.select(*key, F.posexplode(src).alias("_p", "token"))
     joined = exploded.join(vocab.select("token", "id"), "token", "left")

@@ -77,7 +77,7 @@ def _vocab(spark, sf_dir, cfg: TextConfig = CFG) -> tuple[DataFrame, DataFrame]:
 
 def _encoded(spark, sf_dir, cfg: TextConfig = CFG) -> DataFrame:
     tok, vocab = _vocab(spark, sf_dir, cfg)
-    return V.encode_tokens(tok, vocab, cfg.maxlen)
+    return V.encode_tokens(tok, vocab, cfg.maxlen, key=["doc_id", "pos"])
 
 
 # ------------------------------------------------------- sources (S1-S4) ---

@@ -60,7 +60,7 @@ def split_rows(rows: DataFrame, key: list[str], cfg: TextConfig = TextConfig())
 
 
 def encoded(split_df: DataFrame, cfg: TextConfig = TextConfig(), vocab: DataFrame | None = None,
-            text: str = "text") -> tuple[DataFrame, DataFrame]:
+            text: str = "text", key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Tokenise, fit the vocabulary on the train part, encode, pad.
 
     Returns ``(encoded frame, vocabulary)``; the encoded frame carries
@@ -69,7 +69,7 @@ def encoded(split_df: DataFrame, cfg: TextConfig = TextConfig(), vocab: DataFram
     tok = V.with_tokens(split_df, text)
     if vocab is None:
         vocab = V.vocabulary(tok.where("is_train"), cfg.num_words)
-    enc = V.encode_tokens(tok, vocab, cfg.maxlen if cfg.pad else None).drop("tokens")
+    enc = V.encode_tokens(tok, vocab, cfg.maxlen if cfg.pad else None, key=key).drop("tokens")
     if cfg.pad:
         enc = enc.withColumn("ids", V.pad_sequences("ids", cfg.maxlen))
     return enc, vocab
@@ -87,7 +87,7 @@ def trial_encoded(rows: DataFrame, key: list[str], trials, cfg: TextConfig = Tex
     out = tok
     for t in trials:
         col = f"ids_t{t}"
-        out = V.encode_tokens(out, vocabs.where(F.col("trial") == F.lit(t)), cfg.maxlen, out=col)
+        out = V.encode_tokens(out, vocabs.where(F.col("trial") == F.lit(t)), cfg.maxlen, out=col, key=key)
         out = out.withColumn(col, V.pad_sequences(col, cfg.maxlen))
     return out.drop("tokens"), vocabs
 
@@ -98,7 +98,7 @@ def corpus_pipeline(spark: SparkSession, sf_dir: str, cfg: TextConfig = TextConf
     corpus = C.read_documents(spark, sf_dir)
     manifest = L.manifest_by_source_number(corpus)
     rows = labelled_paragraphs(corpus, manifest, cfg)
-    return encoded(split_rows(rows, ["doc_id", "pos"], cfg), cfg)
+    return encoded(split_rows(rows, ["doc_id", "pos"], cfg), cfg, key=["doc_id", "pos"])
 
 
 def message_rows(spark: SparkSession, sf_dir: str, negative: str = "user",
@@ -112,7 +112,7 @@ def message_rows(spark: SparkSession, sf_dir: str, negative: str = "user",
 
 def message_pipeline(spark: SparkSession, sf_dir: str, negative: str = "user",
                      cfg: TextConfig = TextConfig(maxlen=50, normalize=True)) -> tuple[DataFrame, DataFrame]:
-    enc, vocab = encoded(message_rows(spark, sf_dir, negative, cfg), cfg)
+    enc, vocab = encoded(message_rows(spark, sf_dir, negative, cfg), cfg, key=["msg_id"])
     if cfg.normalize:
         enc = enc.withColumn("x", V.normalize_ids("ids", cfg.num_words))
     return enc, vocab

@@ -101,6 +101,19 @@ def test_encode_arrow_equals_join(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_encode_falls_back_to_join_beyond_the_bound(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from ibex.plans.queries import _vocab
+
+    tok, vocab = _vocab(spark, SF_SMALL)
+    a = sorted(map(tuple, V.encode_tokens(tok, vocab, 50).select("doc_id", "pos", "ids").collect()))
+    monkeypatch.setattr(V, "MAX_BROADCAST_VOCAB", 5)
+    b = V.encode_tokens(tok, vocab, 50, key=["doc_id", "pos"]).select("doc_id", "pos", "ids")
+    assert sorted(map(tuple, b.collect())) == a
+    with pytest.raises(ValueError):
+        V.encode_tokens(tok, vocab, 50)
+
+
 def test_one_hot_out_of_range(spark):
     df = spark.createDataFrame([(-1,), (0,), (1,), (2,)], "label int")
     got = [r["o"] for r in L.with_one_hot(df, 2, out="o").orderBy("label").collect()]
