@@ -91,3 +91,24 @@ def test_fit_with_exact_batches(spark):
     cfg = VIB.FitConfig(epochs=1, batch_size=30, lr=1e-2, mode="sync", batching="exact")
     p, hist = VIB.fit(vec, spec, cfg, "vec_id", "features")
     assert len(hist) == 1 and not (p == M.init_params(spec, 0)).all()
+
+
+def test_exact_split_and_batches_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(n=st.integers(1, 400), frac=st.floats(0.0, 1.0), bs=st.integers(1, 60), seed=st.integers(0, 50))
+    def check(n, frac, bs, seed):
+        rows = [(k,) for k in range(n)]
+        df = spark.createDataFrame(rows, "k long").repartition(3)
+        order = sorted(range(n), key=lambda k: (_h(seed, k), k))
+        n_test = math.ceil(frac * n)
+        got = {r["k"]: r["is_train"] for r in S.split_exact(df, "k", frac, seed).collect()}
+        assert got == {k: i >= n_test for i, k in enumerate(order)}
+        border = sorted(range(n), key=lambda k: (_h(seed + 7919, k), k))
+        b, nb = S.minibatch_exact(df, "k", bs, seed)
+        assert nb == n // bs
+        assert {r["k"]: r["batch"] for r in b.collect()} == {k: i // bs for i, k in enumerate(border) if i < nb * bs}
+
+    check()
