@@ -376,8 +376,8 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
         elif cfg.mode == "sync":
             noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
             for step in range(n_batches):
-                # gradient sums with B = 1, divided by the true batch size after the reduce.
-                # With fan = 1 the step's rows sit in one partition and it returns one partial.
+                # gradient sums with B = 1, divided by the true batch size after the reduce;
+                # the step's ``fan`` slices run as separate tasks and their partials are tree-summed
                 partials = _grad_partials(noisy.where(F.col("batch") == F.lit(step)), spec, params, x, label,
                                           cfg.beta, cfg.alpha, 1)
                 n, g = _sum_partials(partials)
