@@ -113,3 +113,12 @@ def test_sync_runs_chain_equals_one_run(spark, monkeypatch):
     monkeypatch.setattr(VIB, "SYNC_ROWS_PER_TASK", 8)
     p3, _ = VIB.fit(vec, spec, cfg, "vec_id", "features")
     assert np.allclose(p1, p3, atol=1e-10)
+
+
+def test_averaging_parts_bounds_state_traffic(spark):
+    df = spark.range(0, 1000).repartition(8)
+    # 1000 rows x 10 values = 10,000 input values
+    assert VIB.averaging_parts(df, 1000, 10, 100).rdd.getNumPartitions() == 8  # 100 values of state: unchanged
+    assert VIB.averaging_parts(df, 1000, 10, 2500).rdd.getNumPartitions() == 4  # each task reads >= its state
+    assert VIB.averaging_parts(df, 1000, 10, 10 ** 6).rdd.getNumPartitions() == 1
+    assert VIB.averaging_parts(df, 1000, 10, 2500).count() == 1000  # coalesce keeps every row
