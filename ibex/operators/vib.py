@@ -112,7 +112,15 @@ SCORE_FIELDS = [
 ]
 
 
-def score(df: DataFrame, spec: M.VibSpec, params: np.ndarray, key, x: str = "ids",
+def _shipped(spark, params):
+    """The parameters as a broadcast (an existing broadcast is used as is,
+    so a loop can release it once its job is done)."""
+    from pyspark import Broadcast
+
+    return params if isinstance(params, Broadcast) else spark.sparkContext.broadcast(params)
+
+
+def score(df: DataFrame, spec: M.VibSpec, params, key, x: str = "ids",
           label: str = "label", keep: Sequence[str] = (), alpha: float = 1.0, seed=0,
           n_draws: int = DEFAULT_DRAWS, tag: str = "eval") -> DataFrame:
     """Per-row forward pass.  Output: key columns, ``label``, ``keep``
@@ -122,7 +130,7 @@ def score(df: DataFrame, spec: M.VibSpec, params: np.ndarray, key, x: str = "ids
     src = with_noise(df.select(*cols, x), keys, spec.latent_dim, seed, n_draws, tag)
     in_schema = src.schema
     out_schema = T.StructType([in_schema[c] for c in cols] + [T.StructField(n, t) for n, t in SCORE_FIELDS])
-    bc = df.sparkSession.sparkContext.broadcast(params)
+    bc = _shipped(df.sparkSession, params)
     width, k, s, chunk = _x_width(spec), spec.latent_dim, n_draws, _chunk_rows(spec)
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
 
@@ -211,7 +219,7 @@ class FitConfig:
 
 def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batch_total):
     """Per-partition gradient sums of one step as an RDD of NumPy vectors."""
-    bc = step_df.sparkSession.sparkContext.broadcast(params)
+    bc = _shipped(step_df.sparkSession, params)
     width, k = _x_width(spec), spec.latent_dim
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("ce", T.DoubleType()),
@@ -378,9 +386,11 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
             for step in range(n_batches):
                 # gradient sums with B = 1, divided by the true batch size after the reduce;
                 # the step's ``fan`` slices run as separate tasks and their partials are tree-summed
-                partials = _grad_partials(noisy.where(F.col("batch") == F.lit(step)), spec, params, x, label,
+                bc = spark.sparkContext.broadcast(params)
+                partials = _grad_partials(noisy.where(F.col("batch") == F.lit(step)), spec, bc, x, label,
                                           cfg.beta, cfg.alpha, 1)
                 n, g = _sum_partials(partials)
+                bc.unpersist()
                 if n:
                     params = opt.step(params, g / n)
         elif cfg.mode == "average":
@@ -430,7 +440,8 @@ def materialize(df: DataFrame) -> DataFrame:
 def _epoch_metrics(data, spec, params, keys, x, label, split, cfg: FitConfig, epoch: int) -> dict:
     """Metrics of both parts after an epoch: ``{part: {izy, izx, acc, avg_acc}}``."""
     seed = f"{cfg.seed}:{epoch}"
-    scored = score(data, spec, params, keys, x, label, [split], cfg.alpha, seed, cfg.n_draws, "eval")
+    bc = data.sparkSession.sparkContext.broadcast(params)
+    scored = score(data, spec, bc, keys, x, label, [split], cfg.alpha, seed, cfg.n_draws, "eval")
     sampled = cfg.izx_estimator != "closed" and cfg.alpha != 1.0
     if sampled:
         scored = scored.persist()  # three aggregations read it
@@ -443,6 +454,7 @@ def _epoch_metrics(data, spec, params, keys, x, label, split, cfg: FitConfig, ep
             if r[split] in out:
                 out[r[split]]["izx"] = r["value"] / math.log(2.0)
         scored.unpersist()
+    bc.unpersist()
     return out
 
 
@@ -508,6 +520,7 @@ def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_train
     parts = noisy.mapInArrow(run, schema).rdd.map(
         lambda r: (0, (r["n"], np.frombuffer(r["blob"], dtype=np.float64))))
     tot = tree_sum_by_key(parts)[0]
+    bc.unpersist()
     n, blob = tot
     size = len(params)
     avg = blob / n
