@@ -20,6 +20,8 @@ from ibex.operators.paragraphs import paragraphs
 from ibex.sources import corpus as C
 
 TOKENIZERS = ("word", "subword")
+# The original scripts' tokenizer names.
+TOKENIZER_ALIASES = {"tf": "word", "bert": "subword"}
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,9 @@ class TextConfig:
 
 
 def check_tokenizer(name: str) -> str:
-    """Explicit tokenizer choice; unknown names are an error."""
-    key = name.lower()
+    """Explicit tokenizer choice (``word``/``tf`` or ``subword``/``bert``);
+    unknown names are an error."""
+    key = TOKENIZER_ALIASES.get(name.lower(), name.lower())
     if key not in TOKENIZERS:
         raise ValueError(f"unknown tokenizer {name!r}; expected one of {TOKENIZERS}")
     return key
@@ -63,10 +66,23 @@ def encoded(split_df: DataFrame, cfg: TextConfig = TextConfig(), vocab: DataFram
             text: str = "text", key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Tokenise, fit the vocabulary on the train part, encode, pad.
 
-    Returns ``(encoded frame, vocabulary)``; the encoded frame carries
-    ``ids array<int>`` of length ``maxlen`` when padding is on.
+    Returns ``(encoded frame, vocabulary)``.  Word tokens: ``ids
+    array<int>`` of length ``maxlen`` when padding is on.  Subword tokens
+    (``cfg.tokenizer``): begin/end-marked piece ids of the whole text,
+    truncated at ``maxlen`` and, when padding is on, padded to the longest
+    row of each part; the vocabulary is a ``(piece, id)`` table fitted on the
+    train part unless given.
     """
     tok = V.with_tokens(split_df, text)
+    if check_tokenizer(cfg.tokenizer) == "subword":
+        from ibex.operators import subword as SWD
+
+        if vocab is None:
+            vocab = SWD.subword_vocab(tok.where("is_train"))
+        enc = SWD.subword_encode(tok.drop("tokens"), vocab, text, max_length=cfg.maxlen, out="ids")
+        if cfg.pad:
+            enc = SWD.pad_to_longest(enc, "ids", "is_train", cfg.maxlen)
+        return enc, vocab
     if vocab is None:
         vocab = V.vocabulary(tok.where("is_train"), cfg.num_words)
     enc = V.encode_tokens(tok, vocab, cfg.maxlen if cfg.pad else None, key=key).drop("tokens")

@@ -141,10 +141,24 @@ def test_tokenizer_names():
     from ibex.plans.text import check_tokenizer
 
     assert check_tokenizer("WORD") == "word"
+    assert check_tokenizer("tf") == "word" and check_tokenizer("BERT") == "subword"
     with pytest.raises(ValueError):
         check_tokenizer("no-such-tokenizer")
 
 
+def test_subword_branch_of_the_text_plan(spark):
+    from conftest import SF_SMALL
+    from ibex.plans import text as TP
+    from ibex.plans.queries import _split, _subword_encoded
+
+    cfg = TP.TextConfig(tokenizer="bert", maxlen=512)
+    enc, vocab = TP.encoded(_split(spark, SF_SMALL), cfg)
+    got = sorted((r["doc_id"], r["pos"], tuple(r["ids"])) for r in enc.collect())
+    want = sorted((r["doc_id"], r["pos"], tuple(r["input_ids"])) for r in _subword_encoded(spark, SF_SMALL).collect())
+    assert got == want and len(got) > 0
+    assert set(vocab.columns) == {"piece", "id"}
+
+
 def test_normalize_center_scale(spark):
     from ibex.operators.vectors import center_vector, scale_vector
 
