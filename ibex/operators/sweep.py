@@ -26,6 +26,7 @@ from ibex.functions.hashing import uniform
 from ibex.operators import vib as VIB
 from ibex.operators import vib_math as M
 from ibex.operators.reduce import tree_sum_by_key
+from ibex.operators.split import split_hash
 
 def beta_grid(lo: float = -6.0, hi: float = 2.0, step: float = 0.5) -> list[float]:
     """Powers of ten ``10 ** (lo + step * i)`` up to ``hi`` inclusive."""
@@ -232,6 +233,37 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 
+def fit_sweep_sequential(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x="ids",
+                         label: str = "label", epochs: int = 5, batch_size: int = 50, lr: float = 1e-4,
+                         seed: int = 0, test_fraction: float = 0.2, n_draws: int = 12, mode: str = "sync",
+                         warm_start: bool = False) -> DataFrame:
+    """Train the configurations one after another with :func:`vib.fit`
+    (each on its own hash split, ``seed = split_seed``).  ``warm_start``
+    continues every run from the parameters and Adam state the previous run
+    left, as one model reused across a whole sweep does (runs are then not
+    independent); off by default, every run starts from fresh parameters.
+    Returns the runs table (``RUN_SCHEMA``)."""
+    spark = data.sparkSession
+    keys = VIB._keys(key)
+    xcols = _x_columns(x, sorted({c.split_seed for c in configs}))
+    params, opt = None, (M.Adam(lr) if warm_start else None)
+    rows = []
+    for c in configs:
+        part = split_hash(data, keys, test_fraction, c.split_seed)
+        counts = {r["is_train"]: r["n"] for r in part.groupBy("is_train").agg(F.count(F.lit(1)).alias("n")).collect()}
+        cfg = VIB.FitConfig(epochs=epochs, batch_size=batch_size, beta=c.beta, alpha=c.alpha, lr=lr,
+                            seed=seed * 100003 + c.config_id, mode=mode, n_draws=n_draws)
+        start = params if warm_start else None
+        params, hist = VIB.fit(part, spec, cfg, keys, xcols[c.split_seed], label, params=start,
+                               opt=opt if warm_start else None)
+        for h in hist:
+            for is_train, name in ((True, "train"), (False, "test")):
+                if counts.get(is_train):
+                    rows.append((c.config_id, c.alpha, c.beta, c.trial, h["epoch"], is_train, int(counts[is_train]),
+                                 h[f"{name}_izy"], h[f"{name}_izx"], h[f"{name}_acc"], h[f"{name}_avg_acc"]))
+    return spark.createDataFrame(rows, RUN_SCHEMA)
+
+
 def _fit_group(base, train_base, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws,
                width, k, xdtype, size):
     spark = base.sparkSession

@@ -333,14 +333,19 @@ def _save_params(spark, path: str, epoch: int, params: np.ndarray, spec: M.VibSp
 
 
 def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", label: str = "label",
-        split: str = "is_train", params: np.ndarray | None = None):
+        split: str = "is_train", params: np.ndarray | None = None, opt: M.Adam | None = None):
     """Train on rows with ``split`` true, evaluate both parts after every
     epoch.  Returns ``(params, history rows as dicts)``; see
-    :func:`history_frame` for the table."""
+    :func:`history_frame` for the table.  ``params`` / ``opt`` continue
+    from an earlier run; a given ``opt`` is left holding the final Adam
+    state."""
     spark = data.sparkSession
     keys = _keys(key)
     params = M.init_params(spec, cfg.seed) if params is None else params.copy()
-    opt = M.Adam(cfg.lr)
+    opt_out = opt
+    opt = M.Adam(cfg.lr) if opt is None else M.Adam(opt.lr, opt.beta1, opt.beta2, opt.eps, opt.t,
+                                                     None if opt.m is None else opt.m.copy(),
+                                                     None if opt.v is None else opt.v.copy())
     # materialise the model inputs once: every epoch re-reads them, and an
     # executor loss then re-reads checkpoint files instead of re-running the
     # whole text pipeline
@@ -413,6 +418,8 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     if cfg.mode == "sync":
         batched.unpersist()
     data.unpersist()
+    if opt_out is not None:
+        opt_out.t, opt_out.m, opt_out.v = opt.t, opt.m, opt.v
     return params, history
 
 

@@ -86,3 +86,28 @@ def test_beta_samples_share_one_split(spark):
     own = SW.fit_sweep(vec, spec, SW.beta_grid_configs([1e-3], 3, split=None), "vec_id", "features",
                        epochs=1, lr=1e-2).collect()
     assert len({r["n"] for r in own if r["is_train"]}) > 1
+
+
+def test_sequential_sweep_warm_start(spark):
+    from conftest import SF_SMALL
+    from ibex.operators import vib as VIB
+    from ibex.operators import vib_math as M
+    from ibex.operators.split import split_hash
+    from ibex.sources import corpus as C
+
+    vec = C.read_vectors(spark, SF_SMALL)
+    spec = M.dense_spec(64, units=(4,), out_dim=10)
+    grid = SW.beta_grid_configs([1e-3, 1e-1], n_samples=1)
+    kw = dict(epochs=1, batch_size=50, lr=1e-2)
+    fresh = SW.fit_sweep_sequential(vec, spec, grid, "vec_id", "features", **kw)
+    warm = SW.fit_sweep_sequential(vec, spec, grid, "vec_id", "features", warm_start=True, **kw)
+    key = lambda r: (r["config_id"], r["is_train"])
+    f, w = sorted(fresh.collect(), key=key), sorted(warm.collect(), key=key)
+    assert len(f) == len(w) == 4
+    # an independent run of the second configuration equals the fresh sweep's row
+    cfg = VIB.FitConfig(epochs=1, batch_size=50, beta=1e-1, alpha=1.0, lr=1e-2, seed=1, mode="sync")
+    _, hist = VIB.fit(split_hash(vec, ["vec_id"], 0.2, 0), spec, cfg, ["vec_id"], "features")
+    assert abs(hist[0]["test_acc"] - [r for r in f if r["config_id"] == 1 and not r["is_train"]][0]["acc"]) < 1e-12
+    # warm start: the first run is the same, the second continues from it
+    assert [r["acc"] for r in f[:2]] == [r["acc"] for r in w[:2]]
+    assert any(abs(a["izx"] - b["izx"]) > 1e-9 for a, b in zip(f[2:], w[2:]))
