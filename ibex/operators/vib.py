@@ -267,14 +267,14 @@ def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, be
     bc = run_df.sparkSession.sparkContext.broadcast(state)
     width, k = _x_width(spec), spec.latent_dim
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
-    lr = opt.lr
+    lr, b1, b2, ae = opt.lr, opt.beta1, opt.beta2, opt.eps
     schema = T.StructType([T.StructField("blob", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
         p0, m0, v0, t0 = bc.value
-        local = M.Adam(lr, m=m0.copy(), v=v0.copy(), t=t0)
+        local = M.Adam(lr, b1, b2, ae, t0, m0.copy(), v0.copy())
         p = p0.copy()
         pend, cur, steps = [], None, 0
 
@@ -487,14 +487,15 @@ def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_train
     bc = train.sparkSession.sparkContext.broadcast(state)
     width, k = _x_width(spec), spec.latent_dim
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
-    bs, beta, alpha, lr = cfg.batch_size, cfg.beta, cfg.alpha, cfg.lr
+    bs, beta, alpha, lr = cfg.batch_size, cfg.beta, cfg.alpha, opt.lr
+    b1, b2, ae = opt.beta1, opt.beta2, opt.eps
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("blob", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
         p0, m0, v0, t0 = bc.value
-        local = M.Adam(lr, m=m0.copy(), v=v0.copy(), t=t0)
+        local = M.Adam(lr, b1, b2, ae, t0, m0.copy(), v0.copy())
         p = p0.copy()
         pend_x, pend_y, pend_e = [], [], []
         n = 0
@@ -531,6 +532,6 @@ def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_train
     n, blob = tot
     size = len(params)
     avg = blob / n
-    new_opt = M.Adam(cfg.lr, m=avg[size:2 * size].copy(), v=avg[2 * size:3 * size].copy(),
-                     t=int(round(avg[-1])))
+    new_opt = M.Adam(opt.lr, opt.beta1, opt.beta2, opt.eps, int(round(avg[-1])), avg[size:2 * size].copy(),
+                     avg[2 * size:3 * size].copy())
     return avg[:size].copy(), new_opt
