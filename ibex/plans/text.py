@@ -52,9 +52,13 @@ def check_tokenizer(name: str) -> str:
 
 
 def labelled_paragraphs(corpus: DataFrame, manifest: DataFrame, cfg: TextConfig = TextConfig()) -> DataFrame:
-    """``doc_id, pos, source, text, label`` for the pieces of listed books."""
-    paras = paragraphs(corpus, cfg.delimiter, cfg.min_chars)
-    return L.label_by_manifest(paras, manifest, cfg.cutoff)
+    """``doc_id, pos, source, text, label`` for the pieces of listed books.
+    The manifest join runs on the books, before the explode: pieces of
+    unlisted books are never cut or cleaned, and the join sees one row per
+    book instead of one per piece."""
+    books = L.label_by_manifest(corpus, manifest, cfg.cutoff)
+    paras = paragraphs(books, cfg.delimiter, cfg.min_chars, keep=("source", "label"))
+    return paras.select("doc_id", "pos", "source", "text", "label")
 
 
 def split_rows(rows: DataFrame, key: list[str], cfg: TextConfig = TextConfig()) -> DataFrame:
