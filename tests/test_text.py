@@ -225,3 +225,14 @@ def test_clean_and_tokenize_agree_with_python_on_every_assigned_code_point(spark
         if r["c"] != py_clean(t) or r["k"] != py_tokens(t):
             bad.append((r["cp"], r["unassigned"]))
     assert all(unassigned for _, unassigned in bad), [hex(c) for c, u in bad if not u][:20]
+
+
+def test_manifest_join_runs_before_the_explode(spark):
+    from conftest import SF_SMALL
+    from ibex.plans.queries import _labelled
+
+    plan = _labelled(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    generate = next(i for i, line in enumerate(lines) if "Generate posexplode" in line)
+    join = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    assert join > generate  # printed deeper: the join feeds the explode
