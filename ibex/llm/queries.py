@@ -28,3 +28,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = substring_dedup(read_table(spark, sf_dir, "documents"), keep_text=False)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ibex.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(read_table(spark, sf_dir, "documents"), keep_bytes=False)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
