@@ -36,3 +36,46 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = suffix_dedup(read_table(spark, sf_dir, "documents"), keep_bytes=False)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ibex.llm.exact_dedup import exact_dedup
+
+    out = exact_dedup(read_table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op1_exact_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id,
+       min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept,
+       text_sha256
+FROM t
+"""
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ibex.llm.url_filter import filter_urls
+
+    out = filter_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "page_id")
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ibex.llm.secret_scan import BASE, secret_scan, span_text
+
+    base = [r.kind for r in BASE]
+    out = secret_scan(read_table(spark, sf_dir, "documents"))
+    counts = (F.size(F.filter(F.transform("spans", lambda s: s["kind"]), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}")
+              for k in base)
+    return out.select(
+        F.col("id").alias("doc_id"), *counts,
+        F.sha2(span_text(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
