@@ -79,3 +79,16 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), *counts,
         F.sha2(span_text(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from ibex.llm.token_counts import read_vocabulary, token_counts
+
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, byte_fallback = read_vocabulary(vocabulary)
+    out = token_counts(read_table(spark, sf_dir, "documents"), pieces, byte_fallback)
+    return out.withColumnRenamed("id", "doc_id")
