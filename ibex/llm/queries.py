@@ -92,3 +92,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     pieces, byte_fallback = read_vocabulary(vocabulary)
     out = token_counts(read_table(spark, sf_dir, "documents"), pieces, byte_fallback)
     return out.withColumnRenamed("id", "doc_id")
+
+
+def bpe_file(path: str | None = None) -> str:
+    """The public byte-level BPE file (or the one given)."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from ibex.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), bpe_file(tokenizer)).withColumnRenamed("id", "doc_id")
