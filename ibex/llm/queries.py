@@ -108,3 +108,11 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     from ibex.llm.packing import pack
 
     return pack(read_table(spark, sf_dir, "documents"), bpe_file(tokenizer)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ibex.llm.quality import quality_scores
+
+    out = quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
