@@ -116,3 +116,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ibex.llm.near_dedup import near_dedup
+
+    return near_dedup(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
