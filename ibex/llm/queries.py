@@ -123,3 +123,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ibex.llm.near_dedup import near_dedup
 
     return near_dedup(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in which benchmark items were found, one row per pair."""
+    from ibex.llm.decontaminate import contaminated_pairs
+
+    out = contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")

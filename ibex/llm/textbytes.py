@@ -107,14 +107,14 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0]:offsets[-1]]
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) of every word, and for each text the index of its first
     word (one entry more than there are texts)."""
     n = len(data)
     if n == 0:
         empty = np.empty(0, dtype=np.int64)
         return empty, empty, np.zeros(len(offsets), dtype=np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cut = offsets[1:-1]
@@ -143,9 +143,10 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.
     return mix(out)
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(offsets: np.ndarray, data: np.ndarray,
+                space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word spans of :func:`word_spans` and the words' hashes."""
-    start, end, first = word_spans(offsets, data)
+    start, end, first = word_spans(offsets, data, space)
     return start, end, first, hash_spans(data, start, end)
 
 
@@ -160,7 +161,7 @@ def window_owner(first: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(diff, lo, 1)
     np.add.at(diff, hi, -1)
     if n > 0:
-        ok &= np.cumsum(diff[:-1]) == 0
+        ok &= np.cumsum(diff[:-1], dtype=np.int32) == 0
     return ok
 
 
@@ -170,7 +171,7 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     diff = np.zeros(n + 1, dtype=np.int32)
     diff[starts] += 1
     np.add.at(diff, np.minimum(starts + width, n), -1)
-    return np.cumsum(diff[:-1]) > 0
+    return np.cumsum(diff[:-1], dtype=np.int32) > 0
 
 
 def varint(gaps: np.ndarray) -> bytes:
