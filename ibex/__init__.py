@@ -1,3 +1,3 @@
-"""ibex: labelled-text analytics and information-bottleneck classifiers on Spark."""
+"""ibex: labelled-text analytics, stochastic latent classifiers and training-text preparation on Spark."""
 
 __version__ = "0.1.0"

@@ -53,7 +53,7 @@ def tokenize(c: Column | str, lower: bool = True,
         col = F.lower(col)
     if filters:
         col = F.translate(col, filters, " " * len(filters))
-    return F.filter(F.split(col, " "), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(col, " "), "")
 
 
 def char_length_over(c: Column | str, min_chars: int) -> Column:

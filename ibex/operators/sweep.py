@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,6 @@ from pyspark.sql import types as T
 from ibex.functions.hashing import uniform
 from ibex.operators import vib as VIB
 from ibex.operators import vib_math as M
-from ibex.operators.reduce import tree_sum_by_key
 from ibex.operators.split import split_hash
 
 def beta_grid(lo: float = -6.0, hi: float = 2.0, step: float = 0.5) -> list[float]:
@@ -153,34 +153,6 @@ RUN_SCHEMA = ("config_id int, alpha double, beta double, trial int, epoch int, i
               "n bigint, izy double, izx double, acc double, avg_acc double")
 
 
-class _Run:
-    """Training state of one configuration inside a task."""
-
-    def __init__(self, cfg: SweepConfig, state, lr: float):
-        p0, m0, v0, t0 = state
-        self.cfg = cfg
-        self.p = p0.copy()
-        self.opt = M.Adam(lr, m=m0.copy(), v=v0.copy(), t=t0)
-        self.pending: list = []
-        self.n = 0
-
-    def feed(self, spec, X, Y, E, batch_size: int, final: bool = False):
-        if len(X):
-            self.pending.append((X, Y, E))
-            self.n += len(X)
-        if not self.pending:
-            return
-        X = np.concatenate([a[0] for a in self.pending])
-        Y = np.concatenate([a[1] for a in self.pending])
-        E = np.concatenate([a[2] for a in self.pending])
-        full = len(X) if final else (len(X) // batch_size) * batch_size
-        for s0 in range(0, full, batch_size):
-            xb, yb, eb = X[s0:s0 + batch_size], Y[s0:s0 + batch_size], E[s0:s0 + batch_size]
-            g, _, _, _ = M.loss_and_grad(spec, self.p, xb, yb, eb, self.cfg.beta, self.cfg.alpha, len(xb))
-            self.p = self.opt.step(self.p, g)
-        self.pending = [(X[full:], Y[full:], E[full:])] if full < len(X) else []
-
-
 def _x_columns(x, trials) -> dict:
     """Input column per split seed: one column for all, or a mapping
     ``{split seed: column}`` (e.g. ids encoded with each trial's own
@@ -198,10 +170,12 @@ def _prepared(data: DataFrame, keys, x, label, trials, test_fraction) -> DataFra
 def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x="ids",
               label: str = "label", epochs: int = 5, batch_size: int = 50, lr: float = 1e-4,
               seed: int = 0, test_fraction: float = 0.2, n_draws: int = 12,
-              max_state_doubles: int = 1 << 26) -> DataFrame:
+              max_state_doubles: int = 1 << 26, n_workers: int = 8, estimator: str = "sampled") -> DataFrame:
     """Train every configuration with a fresh model and a hash split per
-    trial (seed = trial), in local-SGD mode: each partition takes Adam steps
-    from the broadcast state, results are averaged by row count.
+    trial (seed = trial), in local-SGD mode: the rows belong to ``n_workers``
+    workers by a hash of their key, each worker takes Adam steps from the
+    broadcast state, results are averaged by row count.  ``estimator`` is the
+    divergence trained on for alpha != 1 (see ``vib_math``).
 
     Per epoch: one data pass trains the whole grid (partials keyed by
     configuration, summed block-wise in two levels) and one pass evaluates it
@@ -215,20 +189,18 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     spark = data.sparkSession
     keys = VIB._keys(key)
     trials = sorted({c.split_seed for c in configs})
-    base = VIB.materialize(
-        _prepared(data, keys, x, label, trials, test_fraction).withColumn("_o", F.md5(VIB.key_string(keys))))
-    width, k = VIB._x_width(spec), spec.latent_dim
+    base = VIB.materialize(_prepared(data, keys, x, label, trials, test_fraction))
+    width, k = VIB._x_width(spec), max(M.noise_columns(spec, c.alpha, estimator) for c in configs)
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
     size = M.Layout(spec).size
     per_group = max(1, max_state_doubles // (3 * size))
     all_cfgs = list(configs)
-    # training tasks send back model states: size them by the whole grid's
-    # state, so results do not depend on how the grid is cut into groups
-    train_base = VIB.averaging_parts(base, base.count(), width, 3 * size * len(all_cfgs))
+    workers = VIB.by_worker(base, keys, n_workers, seed).persist()
     rows = []
     for g0 in range(0, len(all_cfgs), per_group):
-        rows += _fit_group(base, train_base, spec, all_cfgs[g0:g0 + per_group], keys, x, label, trials, epochs,
-                           batch_size, lr, seed, n_draws, width, k, xdtype, size)
+        rows += _fit_group(base, workers, spec, all_cfgs[g0:g0 + per_group], keys, x, label, trials, epochs, batch_size,
+                           lr, seed, n_draws, width, k, xdtype, size, estimator)
+    workers.unpersist()
     base.unpersist()
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
@@ -236,7 +208,7 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
 def fit_sweep_sequential(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x="ids",
                          label: str = "label", epochs: int = 5, batch_size: int = 50, lr: float = 1e-4,
                          seed: int = 0, test_fraction: float = 0.2, n_draws: int = 12, mode: str = "sync",
-                         warm_start: bool = False) -> DataFrame:
+                         warm_start: bool = False, estimator: str = "sampled") -> DataFrame:
     """Train the configurations one after another with :func:`vib.fit`
     (each on its own hash split, ``seed = split_seed``).  ``warm_start``
     continues every run from the parameters and Adam state the previous run
@@ -252,7 +224,7 @@ def fit_sweep_sequential(data: DataFrame, spec: M.VibSpec, configs: Sequence[Swe
         part = split_hash(data, keys, test_fraction, c.split_seed)
         counts = {r["is_train"]: r["n"] for r in part.groupBy("is_train").agg(F.count(F.lit(1)).alias("n")).collect()}
         cfg = VIB.FitConfig(epochs=epochs, batch_size=batch_size, beta=c.beta, alpha=c.alpha, lr=lr,
-                            seed=seed * 100003 + c.config_id, mode=mode, n_draws=n_draws)
+                            seed=seed * 100003 + c.config_id, mode=mode, n_draws=n_draws, estimator=estimator)
         start = params if warm_start else None
         params, hist = VIB.fit(part, spec, cfg, keys, xcols[c.split_seed], label, params=start,
                                opt=opt if warm_start else None)
@@ -264,47 +236,43 @@ def fit_sweep_sequential(data: DataFrame, spec: M.VibSpec, configs: Sequence[Swe
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 
-def _fit_group(base, train_base, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws,
-               width, k, xdtype, size):
+def _fit_group(base, by_worker, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws,
+               width, k, xdtype, size, estimator):
     spark = base.sparkSession
     xcols = _x_columns(x, trials)
     state = {c.config_id: (M.init_params(spec, seed * 100003 + c.config_id), np.zeros(size), np.zeros(size), 0)
              for c in cfgs}
-    train_schema = T.StructType([T.StructField("config_id", T.IntegerType()), T.StructField("n", T.LongType()),
-                                 T.StructField("blob", T.BinaryType())])
     rows = []
     for epoch in range(1, epochs + 1):
-        noisy = VIB.with_noise(train_base, keys, k, f"{seed}:{epoch}", 0, "train").sortWithinPartitions("_o")
+        noisy = VIB.with_noise(by_worker, keys, spec.latent_dim, f"{seed}:{epoch}", 0, "train", k > spec.latent_dim)
         bc = spark.sparkContext.broadcast(state)
 
         def train(batches, bc=bc):
-            import pyarrow as pa
-
-            st = bc.value
-            runs = [_Run(c, st[c.config_id], lr) for c in cfgs]
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
+            now, runs = None, []
+
+            def done():
+                for c, r in zip(cfgs, runs):
+                    r.feed(np.zeros((0, width), xdtype), np.zeros(0), np.zeros((0, k)), final=True)
+                    if r.n:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([c.config_id], pa.int32()), pa.array([now], pa.int32()), pa.array([r.n], pa.int64()),
+                             pa.array([r.blob()], pa.binary())], names=["config_id", "worker", "n", "blob"])
+
+            for w, b in VIB.worker_rows(batches):
+                if w != now:
+                    yield from done()
+                    now = w
+                    runs = [VIB.LocalRun(spec, bc.value[c.config_id], lr, c.beta, c.alpha, estimator, batch_size) for c in cfgs]
                 mats = {c: _mat(b.column(c), width, xdtype) for c in set(xcols.values())}
                 Y = b.column(label).to_numpy(zero_copy_only=False)
                 E = _mat(b.column("eps"), k, np.float64)
                 flags = {t: b.column(f"_tr{t}").to_numpy(zero_copy_only=False).astype(bool) for t in trials}
-                for r in runs:
-                    sel = flags[r.cfg.split_seed]
-                    r.feed(spec, mats[xcols[r.cfg.split_seed]][sel], Y[sel], E[sel], batch_size)
-            for r in runs:
-                r.feed(spec, np.zeros((0, width), xdtype), np.zeros(0), np.zeros((0, k)), batch_size, final=True)
-                if r.n:
-                    n = r.n
-                    blob = np.concatenate([r.p * n, r.opt.m * n, r.opt.v * n, [r.opt.t * n]]).tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r.cfg.config_id], pa.int32()), pa.array([n], pa.int64()),
-                         pa.array([blob], pa.binary())], names=["config_id", "n", "blob"])
-
-        # partials keyed by configuration, summed block-wise in two levels
-        summed = tree_sum_by_key(noisy.mapInArrow(train, train_schema).rdd.map(
-            lambda r: (r["config_id"], (r["n"], np.frombuffer(r["blob"], dtype=np.float64))))).items()
-        for cid, (n, blob) in summed:
+                for c, r in zip(cfgs, runs):
+                    sel = flags[c.split_seed]
+                    r.feed(mats[xcols[c.split_seed]][sel], Y[sel], E[sel])
+            yield from done()
+
+        for cid, (n, blob) in VIB.worker_sum(noisy.mapInArrow(train, VIB.PARTS)).items():
             avg = blob / n
             state[cid] = (avg[:size].copy(), avg[size:2 * size].copy(), avg[2 * size:3 * size].copy(),
                           int(round(avg[-1])))
@@ -330,14 +298,13 @@ def _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed,
         ("config_id", T.IntegerType()), ("is_train", T.BooleanType()), ("n", T.LongType()),
         ("ce", T.DoubleType()), ("dv", T.DoubleType()), ("ok", T.DoubleType()), ("mc_ok", T.DoubleType()))])
 
-    def score(batches):
-        import pyarrow as pa
+    chunk = VIB._chunk_rows(spec)
 
+    def score(batches):
         params = bc.value
         acc = {}
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        # chunks bound the memory of a forward pass, whatever the Arrow batch
+        for b in (b.slice(s, chunk) for b in batches for s in range(0, b.num_rows, chunk)):
             mats = {c: _mat(b.column(c), width, xdtype) for c in set(xcols.values())}
             Y = b.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
             E = _mat(b.column("eps"), k, np.float64)

@@ -8,10 +8,12 @@
 * :func:`fit` - mini-batch training.  ``mode='sync'``: one Spark job per
   step over data hash-partitioned by batch id, the task holding the batch
   returns its gradient sum, the driver applies Adam (same update as single-process training on
-  the same batch).  ``mode='average'``: one job per epoch, every partition
-  runs its own Adam steps over its rows and the driver averages the
-  resulting parameters weighted by row count (local SGD; an approximation,
-  named as such, that needs one data pass per epoch at any scale).
+  the same batch).  ``mode='average'``: one job per epoch; the rows belong
+  to ``n_workers`` workers by a hash of their key, every worker runs its own
+  Adam steps over its rows and the resulting parameters are averaged weighted
+  by row count (local SGD; an approximation, named as such, that needs one
+  data pass per epoch at any scale).  The number of workers is a parameter,
+  so the result depends on neither the input's layout nor the cores.
 
 Noise is a Spark column (MD5 + Box-Muller of ``(seed, key, draw)``), so a
 retried task or a different partitioning sees the same draws.
@@ -25,11 +27,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ibex.functions.hashing import gaussian_array
+from ibex.functions.hashing import gaussian_array, hash32
 from ibex.operators import vib_math as M
 from ibex.operators.reduce import tree_sum_by_key
 from ibex.operators.split import minibatch_exact, minibatch_ids
@@ -56,10 +59,15 @@ def key_string(key) -> F.Column:
 
 
 def with_noise(df: DataFrame, key, latent_dim: int, seed, n_draws: int = DEFAULT_DRAWS,
-               tag: str = "eval") -> DataFrame:
-    """Adds ``eps`` (K draws) and ``eps_mc`` (n_draws x K draws, row-major)."""
+               tag: str = "eval", divergence_draws: bool = False) -> DataFrame:
+    """Adds ``eps`` (K draws) and ``eps_mc`` (n_draws x K draws, row-major).
+    ``divergence_draws`` appends the two draws per latent dimension of the
+    sampled divergence to ``eps``."""
     k = key_string(key)
-    out = df.withColumn("eps", gaussian_array(f"{seed}:{tag}", k, latent_dim))
+    eps = gaussian_array(f"{seed}:{tag}", k, latent_dim)
+    if divergence_draws:
+        eps = F.concat(eps, *[gaussian_array(f"{seed}:{tag}:{r}", k, latent_dim) for r in ("r1", "r2")])
+    out = df.withColumn("eps", eps)
     if n_draws:
         out = out.withColumn("eps_mc", gaussian_array(f"{seed}:{tag}:mc", k, n_draws * latent_dim))
     return out
@@ -68,7 +76,6 @@ def with_noise(df: DataFrame, key, latent_dim: int, seed, n_draws: int = DEFAULT
 # ------------------------------------------------------------ arrow glue ---
 
 def _to_matrix(col, width: int, dtype) -> np.ndarray:
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     if isinstance(col, pa.ChunkedArray):
@@ -84,8 +91,6 @@ def _to_matrix(col, width: int, dtype) -> np.ndarray:
 
 
 def _list_array(mat: np.ndarray, arrow_type):
-    import pyarrow as pa
-
     n, k = mat.shape
     offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1), type=arrow_type))
@@ -135,8 +140,6 @@ def score(df: DataFrame, spec: M.VibSpec, params, key, x: str = "ids",
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
 
     def run(batches):
-        import pyarrow as pa
-
         flat = bc.value
         for b in batches:
             if b.num_rows == 0:
@@ -208,9 +211,14 @@ class FitConfig:
     mode: str = "sync"
     n_draws: int = DEFAULT_DRAWS
     checkpoint_path: str | None = None
-    # IZX for alpha != 1: "closed" (closed form, default) or the sampled
-    # "reference" / "mc" estimators of ibex.operators.divergence
-    izx_estimator: str = "closed"
+    # the divergence trained on for alpha != 1: "sampled" (log-sum-exp over the
+    # batch of independent draws) or "closed"
+    estimator: str = "sampled"
+    # IZX reported for alpha != 1: the sampled "reference" / "mc" estimators of
+    # ibex.operators.divergence, or "closed"
+    izx_estimator: str = "reference"
+    # workers of mode "average"
+    n_workers: int = 8
     # sync mini-batches: "hash" (balanced by key hash, every row used) or
     # "exact" (contiguous slices of batch_size in a fixed shuffled order,
     # the remainder dropped)
@@ -218,16 +226,16 @@ class FitConfig:
 
 
 def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batch_total):
-    """Per-partition gradient sums of one step as an RDD of NumPy vectors."""
+    """Per-partition gradient sums of one step as rows of blocks (closed-form
+    divergence: partial sums of a batch add up).  Rows are taken in chunks, so
+    a task's memory does not grow with the Arrow batch."""
     bc = _shipped(step_df.sparkSession, params)
-    width, k = _x_width(spec), spec.latent_dim
+    width, k, chunk = _x_width(spec), spec.latent_dim, _chunk_rows(spec)
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("ce", T.DoubleType()),
                            T.StructField("dv", T.DoubleType()), T.StructField("g", T.BinaryType())])
 
     def run(batches):
-        import pyarrow as pa
-
         flat = bc.value
         g = None
         n = 0
@@ -235,12 +243,14 @@ def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batc
         for b in batches:
             if b.num_rows == 0:
                 continue
-            xm = _to_matrix(b.column(x), width, xdtype)
-            y = b.column(label).to_numpy(zero_copy_only=False)
-            eps = _to_matrix(b.column("eps"), k, np.float64)
-            gi, c, d, m = M.loss_and_grad(spec, flat, xm, y, eps, beta, alpha, batch_total)
-            g = gi if g is None else g + gi
-            n, ce, dv = n + m, ce + c, dv + d
+            for start in range(0, b.num_rows, chunk):
+                part = b.slice(start, chunk)
+                xm = _to_matrix(part.column(x), width, xdtype)
+                y = part.column(label).to_numpy(zero_copy_only=False)
+                eps = _to_matrix(part.column("eps"), k, np.float64)
+                gi, c, d, m = M.loss_and_grad(spec, flat, xm, y, eps, beta, alpha, batch_total)
+                g = gi if g is None else g + gi
+                n, ce, dv = n + m, ce + c, dv + d
         if n:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n], pa.int64()), pa.array([ce]), pa.array([dv]), pa.array([g.tobytes()], pa.binary())],
@@ -256,7 +266,7 @@ def _sum_partials(parts: DataFrame):
     return tot.get(0, (0, None))
 
 
-def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, beta, alpha):
+def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, beta, alpha, estimator):
     """Synchronous Adam steps over one run of batches (rows sorted by
     ``batch``, all in partition ``partition``): each batch's mean gradient
     is taken at the parameters left by the previous batch, exactly as one
@@ -265,14 +275,12 @@ def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, be
     state = (params, opt.m if opt.m is not None else np.zeros_like(params),
              opt.v if opt.v is not None else np.zeros_like(params), opt.t)
     bc = run_df.sparkSession.sparkContext.broadcast(state)
-    width, k = _x_width(spec), spec.latent_dim
+    width, k = _x_width(spec), M.noise_columns(spec, alpha, estimator)
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
     lr, b1, b2, ae = opt.lr, opt.beta1, opt.beta2, opt.eps
     schema = T.StructType([T.StructField("blob", T.BinaryType())])
 
     def run(batches):
-        import pyarrow as pa
-
         p0, m0, v0, t0 = bc.value
         local = M.Adam(lr, b1, b2, ae, t0, m0.copy(), v0.copy())
         p = p0.copy()
@@ -283,9 +291,9 @@ def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, be
             xm = np.concatenate([a for a, _, _ in pend])
             y = np.concatenate([b for _, b, _ in pend])
             e = np.concatenate([c for _, _, c in pend])
-            g, _, _, n = M.loss_and_grad(spec, p, xm, y, e, beta, alpha, 1)
+            g, _, _, n = M.loss_and_grad(spec, p, xm, y, e, beta, alpha, len(xm), estimator)
             if n:
-                p = local.step(p, g / n)
+                p = local.step(p, g)
                 steps += 1
 
         for b in batches:
@@ -322,10 +330,6 @@ def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, be
     return v[:size].copy(), new_opt
 
 
-def _add(a, b):
-    return (a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3])
-
-
 def _save_params(spark, path: str, epoch: int, params: np.ndarray, spec: M.VibSpec) -> None:
     from ibex.operators.params import params_frame
 
@@ -352,6 +356,7 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     data = materialize(data.select(*dict.fromkeys(keys + [x, label, split])))
     train = data.where(F.col(split)).select(*keys, x, label)
     n_train = train.count()
+    sampled = M.noise_columns(spec, cfg.alpha, cfg.estimator) > spec.latent_dim
     history = []
     if cfg.mode == "sync":
         if cfg.batching == "exact":
@@ -366,6 +371,8 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
         # batch after batch (one Spark job per run, not per step).  A large
         # batch is cut into ``fan`` hash slices so a step runs on several tasks.
         fan = max(1, -(-cfg.batch_size // SYNC_ROWS_PER_TASK))
+        if fan > 1 and sampled:
+            raise ValueError(f"the sampled divergence needs a whole batch in one task: batch_size is at most {SYNC_ROWS_PER_TASK}")
         if fan == 1:
             run_rows = max(cfg.batch_size, SYNC_RUN_VALUES // max(1, _x_width(spec)))
             n_runs = max(1, min(n_batches, -(-n_train // run_rows)))
@@ -380,12 +387,16 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
             batched = batched.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(fan)))
             parts = max(1, min(n_batches * fan, spark.sparkContext.defaultParallelism))
             batched = batched.repartition(parts, "batch", "_slice").persist()
+    elif cfg.mode == "average":
+        train = by_worker(train, keys, cfg.n_workers, cfg.seed).persist()
+    else:
+        raise ValueError(f"unknown mode {cfg.mode!r}")
     for epoch in range(1, cfg.epochs + 1):
         if cfg.mode == "sync" and fan == 1:
-            noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
+            noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train", sampled)
             for r in sorted(home):
                 params, opt = _sync_run(noisy.where(F.col("_run") == F.lit(r)), home[r], spec, params, opt, x,
-                                        label, cfg.beta, cfg.alpha)
+                                        label, cfg.beta, cfg.alpha, cfg.estimator)
         elif cfg.mode == "sync":
             noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
             for step in range(n_batches):
@@ -398,11 +409,8 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
                 bc.unpersist()
                 if n:
                     params = opt.step(params, g / n)
-        elif cfg.mode == "average":
-            avg_train = averaging_parts(train, n_train, _x_width(spec), 3 * len(params))
-            params, opt = _average_epoch(avg_train, spec, params, opt, cfg, keys, x, label, epoch, n_train)
         else:
-            raise ValueError(f"unknown mode {cfg.mode!r}")
+            params, opt = _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch)
         ev = _epoch_metrics(data, spec, params, keys, x, label, split, cfg, epoch)
         row = {"epoch": epoch}
         for part, name in ((True, "train"), (False, "test")):
@@ -415,24 +423,57 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
                  row["test_izy"] or float("nan"), row["test_izx"] or float("nan"))
         if cfg.checkpoint_path:
             _save_params(spark, cfg.checkpoint_path, epoch, params, spec)
-    if cfg.mode == "sync":
-        batched.unpersist()
+    (batched if cfg.mode == "sync" else train).unpersist()
     data.unpersist()
     if opt_out is not None:
         opt_out.t, opt_out.m, opt_out.v = opt.t, opt.m, opt.v
     return params, history
 
 
-def averaging_parts(df: DataFrame, n_rows: int, row_values: int, state_doubles: int) -> DataFrame:
-    """Input for a local-SGD pass.  Every task sends back its whole training
-    state (``state_doubles``: parameters and Adam moments of every model it
-    trains), so each task is given at least as many input values as that
-    state: the averaging traffic then never exceeds the data read.  Small
-    inputs are coalesced (no shuffle) to fewer tasks; at scale, with many
-    rows per partition, the input is returned unchanged."""
-    cur = df.rdd.getNumPartitions()
-    want = max(1, min(cur, (n_rows * max(1, row_values)) // max(1, state_doubles)))
-    return df.coalesce(want) if want < cur else df
+def by_worker(df: DataFrame, keys, n_workers: int, seed) -> DataFrame:
+    """Rows of each local-SGD worker together and in a fixed order: ``_w`` is
+    a hash of the key, rows are sorted by it and by the key's MD5.  Nothing
+    depends on how ``df`` is laid out."""
+    n = int(n_workers)
+    if n < 1:
+        raise ValueError("n_workers is at least 1")
+    worker = F.pmod(hash32(f"{seed}:worker", *keys), F.lit(n)).cast("int")
+    return (df.withColumn("_w", worker).withColumn("_o", F.md5(key_string(keys)))
+            .repartition(n, "_w").sortWithinPartitions("_w", "_o", *keys).drop("_o"))
+
+
+def worker_sum(parts: DataFrame, block: int = 1 << 16) -> dict:
+    """Sum over workers of rows ``(config_id, worker, n, blob)``, block by
+    block, each block's vectors added in the order of the workers (floating
+    point sums then do not depend on the schedule): ``{config_id: (n, sum)}``.
+    A task holds one block of every worker."""
+    schema = "config_id int, worker int, n long, block int, part binary"
+
+    def cut(batches):
+        for b in batches:
+            for cid, w, n, blob in zip(*(b.column(c).to_pylist() for c in ("config_id", "worker", "n", "blob"))):
+                pieces = [blob[i:i + 8 * block] for i in range(0, len(blob), 8 * block)]
+                k = len(pieces)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([cid] * k, pa.int32()), pa.array([w] * k, pa.int32()), pa.array([n] * k, pa.int64()),
+                     pa.array(range(k), pa.int32()), pa.array(pieces, pa.binary())],
+                    names=["config_id", "worker", "n", "block", "part"])
+
+    def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("worker").to_numpy(), kind="stable")
+        part, total = group.column("part"), 0.0
+        for i in order.tolist():
+            total = total + np.frombuffer(part[i].as_buffer(), dtype=np.float64)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()),
+                         pa.array([sum(group.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())],
+                        names=["config_id", "block", "n", "part"])
+
+    rows = (parts.mapInArrow(cut, schema).groupBy("config_id", "block")
+            .applyInArrow(add, "config_id int, block int, n long, part binary").collect())
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: (r["config_id"], r["block"])):
+        out.setdefault(r["config_id"], (r["n"], []))[1].append(np.frombuffer(bytes(r["part"]), dtype=np.float64))
+    return {c: (n, np.concatenate(blocks)) for c, (n, blocks) in out.items()}
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -476,60 +517,87 @@ def history_frame(spark, history: list[dict], run_id: str | None = None) -> Data
     return df if run_id is None else df.withColumn("run_id", F.lit(run_id))
 
 
-def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_train):
-    """Local-SGD epoch: each partition trains from the same start and the
-    results are averaged by row count (one Spark job)."""
-    noisy = with_noise(train, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
-    noisy = noisy.withColumn("_o", key_string(keys)).withColumn("_o", F.md5("_o"))
-    noisy = noisy.sortWithinPartitions("_o").drop("_o")
+class LocalRun:
+    """Adam steps of one configuration over one worker's rows."""
+
+    def __init__(self, spec, state, lr: float, beta: float, alpha: float, estimator: str, batch_size: int,
+                 adam: tuple[float, float, float] = (0.9, 0.999, 1e-7)):
+        p0, m0, v0, t0 = state
+        self.spec, self.beta, self.alpha, self.estimator, self.batch_size = spec, beta, alpha, estimator, batch_size
+        self.p, self.n, self.pending = p0.copy(), 0, []
+        self.opt = M.Adam(lr, *adam, t0, m0.copy(), v0.copy())
+
+    def feed(self, xs, ys, es, final: bool = False) -> None:
+        """Takes every full batch; the rest waits for more rows, or for
+        ``final``."""
+        if len(xs):
+            self.pending.append((xs, ys, es))
+            self.n += len(xs)
+        if not self.pending or not (final or sum(len(a[0]) for a in self.pending) >= self.batch_size):
+            return
+        xs, ys, es = (np.concatenate([a[i] for a in self.pending]) for i in range(3))
+        full = len(xs) if final else (len(xs) // self.batch_size) * self.batch_size
+        for s0 in range(0, full, self.batch_size):
+            at = slice(s0, min(s0 + self.batch_size, full))
+            g, _, _, _ = M.loss_and_grad(self.spec, self.p, xs[at], ys[at], es[at], self.beta, self.alpha,
+                                         at.stop - at.start, self.estimator)
+            self.p = self.opt.step(self.p, g)
+        self.pending = [(xs[full:], ys[full:], es[full:])] if full < len(xs) else []
+
+    def blob(self) -> bytes:
+        """Parameters, moments and step count, weighted by the rows seen."""
+        return np.concatenate([self.p * self.n, self.opt.m * self.n, self.opt.v * self.n, [self.opt.t * self.n]]).tobytes()
+
+
+PARTS = "config_id int, worker int, n long, blob binary"
+
+
+def worker_rows(batches):
+    """Arrow batches cut where the worker changes: ``(worker, rows)``."""
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        w = b.column("_w").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(w)) + 1).tolist(), len(w)]
+        for s0, s1 in zip(cuts[:-1], cuts[1:]):
+            yield int(w[s0]), b.slice(s0, s1 - s0)
+
+
+def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch):
+    """Local-SGD epoch over rows laid out by :func:`by_worker`: each worker
+    trains from the same start and the results are averaged by row count."""
+    k = M.noise_columns(spec, cfg.alpha, cfg.estimator)
+    noisy = with_noise(train, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train", k > spec.latent_dim)
     state = (params, opt.m if opt.m is not None else np.zeros_like(params),
              opt.v if opt.v is not None else np.zeros_like(params), opt.t)
     bc = train.sparkSession.sparkContext.broadcast(state)
-    width, k = _x_width(spec), spec.latent_dim
-    xdtype = np.int64 if spec.input_kind == "ids" else np.float64
-    bs, beta, alpha, lr = cfg.batch_size, cfg.beta, cfg.alpha, opt.lr
-    b1, b2, ae = opt.beta1, opt.beta2, opt.eps
-    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("blob", T.BinaryType())])
+    width, xdtype = _x_width(spec), np.int64 if spec.input_kind == "ids" else np.float64
+    make = (opt.lr, cfg.beta, cfg.alpha, cfg.estimator, cfg.batch_size, (opt.beta1, opt.beta2, opt.eps))
 
     def run(batches):
-        import pyarrow as pa
-
-        p0, m0, v0, t0 = bc.value
-        local = M.Adam(lr, b1, b2, ae, t0, m0.copy(), v0.copy())
-        p = p0.copy()
-        pend_x, pend_y, pend_e = [], [], []
-        n = 0
-
-        def flush(xs, ys, es):
-            nonlocal p
-            xm, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
-            g, _, _, _ = M.loss_and_grad(spec, p, xm, y, e, beta, alpha, len(xm))
-            p = local.step(p, g)
-
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            pend_x.append(_to_matrix(b.column(x), width, xdtype))
-            pend_y.append(b.column(label).to_numpy(zero_copy_only=False))
-            pend_e.append(_to_matrix(b.column("eps"), k, np.float64))
-            n += b.num_rows
-            xs, ys, es = np.concatenate(pend_x), np.concatenate(pend_y), np.concatenate(pend_e)
-            full = (len(xs) // bs) * bs
-            for s0 in range(0, full, bs):
-                flush([xs[s0:s0 + bs]], [ys[s0:s0 + bs]], [es[s0:s0 + bs]])
-            pend_x, pend_y, pend_e = [xs[full:]], [ys[full:]], [es[full:]]
-        if pend_x and len(pend_x[0]):
-            flush(pend_x, pend_y, pend_e)
-        if n:
-            blob = np.concatenate([p * n, local.m * n, local.v * n, [local.t * n]]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())],
-                                             names=["n", "blob"])
-
-    parts = noisy.mapInArrow(run, schema).rdd.map(
-        lambda r: (0, (r["n"], np.frombuffer(r["blob"], dtype=np.float64))))
-    tot = tree_sum_by_key(parts)[0]
+        now = one = None
+
+        def done():
+            one.feed(np.zeros((0, width), xdtype), np.zeros(0), np.zeros((0, k)), final=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([0], pa.int32()), pa.array([now], pa.int32()), pa.array([one.n], pa.int64()),
+                 pa.array([one.blob()], pa.binary())], names=["config_id", "worker", "n", "blob"])
+
+        for w, b in worker_rows(batches):
+            if w != now:
+                if one is not None:
+                    yield done()
+                now, one = w, LocalRun(spec, bc.value, *make)
+            one.feed(_to_matrix(b.column(x), width, xdtype), b.column(label).to_numpy(zero_copy_only=False),
+                     _to_matrix(b.column("eps"), k, np.float64))
+        if one is not None:
+            yield done()
+
+    total = worker_sum(noisy.mapInArrow(run, PARTS))
     bc.unpersist()
-    n, blob = tot
+    if not total:
+        return params, opt
+    n, blob = total[0]
     size = len(params)
     avg = blob / n
     new_opt = M.Adam(opt.lr, opt.beta1, opt.beta2, opt.eps, int(round(avg[-1])), avg[size:2 * size].copy(),

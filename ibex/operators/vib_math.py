@@ -13,8 +13,14 @@ with batch size B, latent width K, ``z = mu + sigma * eps``,
   ``drho = dsigma * sigmoid(rho - 5)``
 * then ordinary dense / relu / embedding back-propagation.
 
-``D`` is the closed-form Renyi divergence of order alpha to N(0, 1) per
-latent dimension (alpha = 1: KL).
+``D`` is the divergence of order alpha to N(0, 1).  For alpha = 1 it is KL.
+For other orders training uses, by default, the *sampled* form: with two
+independent draws ``x1 = mu + sigma r1`` and ``x2 = mu + sigma r2`` per row
+and latent dimension, ``d = log p(x1) - log q(x2)`` and
+``D = logsumexp((alpha - 1) d) / (alpha - 1)`` over the whole batch (alpha =
+inf: ``max d``), whose gradient weighs every ``d`` by the softmax of
+``(alpha - 1) d``.  The *closed* form per latent dimension is the other
+choice; it does not exist everywhere for alpha > 1.
 """
 
 from __future__ import annotations
@@ -189,6 +195,35 @@ def divergence_grads(mu, sigma, alpha: float):
     return dmu, dsig
 
 
+def sampled_divergence(mu, sigma, log_sigma, r1, r2, alpha: float):
+    """Sampled divergence of a whole batch (nats) and its gradients
+    ``(value, dD/dmu, dD/dsigma)``."""
+    x2 = mu + sigma * r2
+    d = -0.5 * r1 * r1 - log_sigma + 0.5 * x2 * x2
+    if math.isinf(alpha):
+        w = np.zeros_like(d)
+        w[np.unravel_index(np.argmax(d), d.shape)] = 1.0
+        value = float(d.max())
+    else:
+        t = (alpha - 1.0) * d
+        top = t.max()
+        w = np.exp(t - top)
+        total = w.sum()
+        value = float((top + math.log(total)) / (alpha - 1.0))
+        w /= total
+    return value, w * x2, w * (x2 * r2 - 1.0 / sigma)
+
+
+ESTIMATORS = ("sampled", "closed")
+
+
+def noise_columns(spec: "VibSpec", alpha: float, estimator: str) -> int:
+    """Gaussian draws per row that one training step needs."""
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"unknown estimator {estimator!r}; expected one of {ESTIMATORS}")
+    return spec.latent_dim * (3 if estimator == "sampled" and alpha != 1.0 else 1)
+
+
 # -------------------------------------------------------------- forward ---
 
 def input_matrix(spec: VibSpec, p: dict, x: np.ndarray) -> np.ndarray:
@@ -261,12 +296,20 @@ def row_metrics(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray, e
 # ------------------------------------------------------------- backward ---
 
 def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray, eps: np.ndarray,
-                  beta: float, alpha: float, batch_total: int):
+                  beta: float, alpha: float, batch_total: int, estimator: str = "closed"):
     """Loss contributions and gradient of the *global* batch loss from the
     rows given here; ``batch_total`` is the global batch size B, so partial
     results from several tasks add up to the full-batch values.
 
-    Returns ``(grad_flat, ce_sum_bits, div_sum_bits, n_rows)``.
+    With ``estimator="sampled"`` and alpha != 1, ``eps`` holds three draws per
+    latent dimension (the decoder's, ``r1``, ``r2``) and the rows must be the
+    whole batch, because the log-sum-exp runs over all of them; the
+    divergence is then added once, and the gradient is that of the batch loss
+    times ``n_rows / batch_total``.  The closed form raises where it does not
+    exist.
+
+    Returns ``(grad_flat, ce_sum_bits, div_sum_bits, n_rows)``; the divergence
+    sum is the batch value times ``n_rows`` in the sampled case.
     """
     lay = Layout(spec)
     p = lay.views(flat)
@@ -276,6 +319,8 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
     if n == 0:
         return g, 0.0, 0.0, 0
     B, K = float(batch_total), spec.latent_dim
+    sampled = noise_columns(spec, alpha, estimator) > K
+    eps, draws = eps[:, :K], eps[:, K:3 * K]
     mu, rho, cache = encode(spec, p, x, keep=True)
     sigma = softplus(rho - SCALE_SHIFT)
     ls = log_softplus(rho - SCALE_SHIFT)
@@ -287,7 +332,18 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
     onehot[np.arange(n)[valid], yi[valid]] = 1.0
     lse = logsumexp(logits)
     ce_rows = (onehot.sum(axis=1) * lse - (logits * onehot).sum(axis=1)) / LN2
-    div_rows = divergence(mu, sigma, alpha, ls).mean(axis=1) / LN2
+    if sampled:
+        value, dDmu, dDsig = sampled_divergence(mu, sigma, ls, draws[:, :K], draws[:, K:], alpha)
+        c = beta * n / (B * LN2)
+        div_sum = value * n / LN2
+    else:
+        div_rows = divergence(mu, sigma, alpha, ls)
+        if not np.isfinite(div_rows).all():
+            raise FloatingPointError(f"the closed form of order {alpha} does not exist for sigma up to {sigma.max():.3g}; "
+                                     "train with estimator='sampled'")
+        dDmu, dDsig = divergence_grads(mu, sigma, alpha)
+        c = beta / (B * K * LN2)
+        div_sum = float(div_rows.mean(axis=1).sum() / LN2)
     # decoder
     dlog = (softmax(logits) * onehot.sum(axis=1, keepdims=True) - onehot) / (B * LN2)
     gv["dec_out.W"][:] = h_dec.T @ dlog
@@ -301,8 +357,6 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
         dh = da @ p[f"dec{i}.W"].T
     dz = dh
     # bottleneck
-    dDmu, dDsig = divergence_grads(mu, sigma, alpha)
-    c = beta / (B * K * LN2)
     dmu = dz + c * dDmu
     dsig = dz * eps + c * dDsig
     drho = dsig * sigmoid(rho - SCALE_SHIFT)
@@ -320,19 +374,26 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
     if spec.input_kind == "ids":
         ids = np.clip(x.astype(np.int64), 0, spec.vocab_size - 1).reshape(-1)
         np.add.at(gv["embed"], ids, dh.reshape(-1, spec.embed_dim))
-    return g, float(ce_rows.sum()), float(div_rows.sum()), n
+    return g, float(ce_rows.sum()), div_sum, n
 
 
-def total_loss(spec, flat, x, y, eps, beta, alpha):
+def total_loss(spec, flat, x, y, eps, beta, alpha, estimator="closed"):
     """Full-batch loss in bits (for finite-difference tests)."""
     p = Layout(spec).views(flat)
     mu, rho, _ = encode(spec, p, x)
     sigma = softplus(rho - SCALE_SHIFT)
+    k = spec.latent_dim
+    sampled = noise_columns(spec, alpha, estimator) > k
+    eps, draws = eps[:, :k], eps[:, k:3 * k]
     z = mu + sigma * eps
     logits, _ = decode(spec, p, z)
     yi = y.astype(np.int64)
     ce = (logsumexp(logits) - logits[np.arange(len(yi)), yi]).mean() / LN2
-    div = divergence(mu, sigma, alpha).mean() / LN2
+    if sampled:
+        ls = log_softplus(rho - SCALE_SHIFT)
+        div = sampled_divergence(mu, sigma, ls, draws[:, :k], draws[:, k:], alpha)[0] / LN2
+    else:
+        div = divergence(mu, sigma, alpha).mean() / LN2
     return ce + beta * div
 
 

@@ -69,7 +69,7 @@ def paragraphs_cte(delimiter: str = "\n\n", min_chars: int = 300) -> str:
             f"WHERE length(piece) > {min_chars})")
 
 
-def labelled_cte(cutoff: int = 1800, delimiter: str = "\n\n", min_chars: int = 300) -> str:
+def labelled_cte(cutoff: int = 1800, delimiter: str = "\n", min_chars: int = 300) -> str:
     return (f"{paragraphs_cte(delimiter, min_chars)}, "
             "manifest AS (SELECT DISTINCT source, "
             "CAST(1700 + 10 * CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS INTEGER) AS year "
@@ -101,9 +101,9 @@ def vocab_cte(num_words: int = 1000, **kw) -> str:
             f"FROM counts ORDER BY n DESC, token LIMIT {num_words - 2})")
 
 
-def encoded_cte(num_words: int = 1000, maxlen: int | None = 500, **kw) -> str:
-    """``enc(doc_id, pos, label, is_train, ids)`` - unpadded ids of the first
-    ``maxlen`` tokens."""
+def encoded_cte(num_words: int = 1000, maxlen: int | None = None, **kw) -> str:
+    """``enc(doc_id, pos, label, is_train, ids)`` - unpadded ids (of the first
+    ``maxlen`` tokens, if given)."""
     lim = f"WHERE i <= {maxlen}" if maxlen is not None else ""
     return (f"{vocab_cte(num_words, **kw)}, "
             "ex AS (SELECT doc_id, pos, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM tok), "

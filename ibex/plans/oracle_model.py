@@ -81,13 +81,76 @@ def with_forward(select: str, seed: int = 0) -> str:
 def renyi_closed_sql(alphas) -> str:
     parts = []
     for a in alphas:
-        s = f"({a} + {1.0 - a} * sigma * sigma)"
+        if a == float("inf"):
+            s, name = "(1.0 - sigma * sigma)", "Infinity"
+            value = f"-ln(sigma) + mu * mu / (2.0 * {s})"
+        else:
+            s, name = f"({a} + {1.0 - a} * sigma * sigma)", str(a)
+            value = f"-ln(sigma) - ln({s}) / {2.0 * (a - 1.0)} + {a} * mu * mu / (2.0 * {s})"
         parts.append(
-            f"SELECT vec_id, '{a}' AS alpha, round(avg(-ln(sigma) - ln({s}) / {2.0 * (a - 1.0)} "
-            f"+ {a} * mu * mu / (2.0 * {s})), 6) + 0.0 AS div_nats FROM lat GROUP BY vec_id")
+            f"SELECT vec_id, '{name}' AS alpha, CASE WHEN min({s}) > 0 THEN "
+            f"round(avg(CASE WHEN {s} > 0 THEN {value} END), 6) + 0.0 END AS div_nats FROM lat GROUP BY vec_id")
     return with_forward(" UNION ALL ".join(parts))
 
 
+def gradient_sql(beta: float, select: str, seed: int = 0) -> str:
+    """``grad(param, i, g)``: mean gradient of cross-entropy + beta x KL (both
+    in bits) over the train rows, by back-propagation in SQL."""
+    tr = "(SELECT vec_id, label FROM rows WHERE is_train)"
+    eps = _gauss(f"{seed}:eval", "l.vec_id", "l.k")
+    return f"""WITH {forward_ctes(seed).strip()},
+n AS (SELECT count(*) AS n FROM rows WHERE is_train),
+dlog AS (SELECT lg.vec_id, lg.c, (exp(lg.logit - p.mx) / sum(exp(lg.logit - p.mx)) OVER (PARTITION BY lg.vec_id)
+         - CASE WHEN lg.c = r.label THEN 1.0 ELSE 0.0 END) / ln(2.0) AS d
+         FROM lg JOIN pred p USING (vec_id) JOIN {tr} r USING (vec_id)),
+dz AS (SELECT d.vec_id, r.k, sum(d.d * {_w('r.k', 'd.c', 2)}) AS d
+       FROM dlog d, (SELECT range AS k FROM range({LATENT})) r GROUP BY d.vec_id, r.k),
+dlat AS (SELECT l.vec_id, l.k, dz.d + {beta} / ({LATENT} * ln(2.0)) * l.mu AS dmu,
+         (dz.d * {eps} + {beta} / ({LATENT} * ln(2.0)) * (l.sigma - 1.0 / l.sigma))
+         * (1.0 - exp(-l.sigma)) AS drho
+         FROM lat l JOIN dz USING (vec_id, k)),
+dout AS (SELECT vec_id, k AS j, dmu AS d FROM dlat UNION ALL SELECT vec_id, k + {LATENT} AS j, drho AS d FROM dlat),
+dh AS (SELECT h.vec_id, h.j, CASE WHEN h.h > 0 THEN s.d ELSE 0.0 END AS d FROM h0 h JOIN
+       (SELECT o.vec_id, r.j, sum(o.d * {_w('r.j', 'o.j', 1)}) AS d
+        FROM dout o, (SELECT range AS j FROM range({HIDDEN})) r GROUP BY o.vec_id, r.j) s USING (vec_id, j)),
+grad AS (
+ SELECT 'enc0.W' AS param, x.i * {HIDDEN} + d.j AS i, sum(x.v * d.d) / max(n.n) AS g FROM x JOIN dh d USING (vec_id), n
+ GROUP BY x.i, d.j
+ UNION ALL SELECT 'enc0.b', d.j, sum(d.d) / max(n.n) FROM dh d, n GROUP BY d.j
+ UNION ALL SELECT 'enc_out.W', h.j * {2 * LATENT} + d.j, sum(h.h * d.d) / max(n.n) FROM h0 h JOIN dout d USING (vec_id), n
+ GROUP BY h.j, d.j
+ UNION ALL SELECT 'enc_out.b', d.j, sum(d.d) / max(n.n) FROM dout d, n GROUP BY d.j
+ UNION ALL SELECT 'dec_out.W', z.k * {CLASSES} + d.c, sum(z.z * d.d) / max(n.n) FROM z JOIN dlog d USING (vec_id), n
+ GROUP BY z.k, d.c
+ UNION ALL SELECT 'dec_out.b', d.c, sum(d.d) / max(n.n) FROM dlog d, n GROUP BY d.c)
+{select}"""
+
+
+def adam_select(lr: float, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-7) -> str:
+    """First Adam step on ``grad`` from the formula weights."""
+    start = f"""CASE param
+ WHEN 'enc0.W' THEN {_w(f'(i // {HIDDEN})', f'(i % {HIDDEN})', 0)} WHEN 'enc0.b' THEN {_b('i', 0)}
+ WHEN 'enc_out.W' THEN {_w(f'(i // {2 * LATENT})', f'(i % {2 * LATENT})', 1)} WHEN 'enc_out.b' THEN {_b('i', 1)}
+ WHEN 'dec_out.W' THEN {_w(f'(i // {CLASSES})', f'(i % {CLASSES})', 2)} ELSE {_b('i', 2)} END"""
+    move = (f"{lr} * sqrt(1.0 - {beta2}) / (1.0 - {beta1}) * ((1.0 - {beta1}) * g) "
+            f"/ (sqrt((1.0 - {beta2}) * g * g) + {eps})")
+    return f"SELECT param, CAST(i AS BIGINT) AS i, round({start} - {move}, 6) + 0.0 AS value FROM grad"
+
+
+def renyi_loss_sql(alphas, beta: float, seed: int = 0) -> str:
+    """Mean cross-entropy + beta x sampled divergence (bits) per part."""
+    tag = f"{seed}:eval"
+    ld = (f"ld AS (SELECT r.is_train, "
+          f"-0.5 * power({_gauss(tag + ':r1', 'lat.vec_id', 'lat.k')}, 2) - ln(lat.sigma) "
+          f"+ 0.5 * power(lat.mu + lat.sigma * {_gauss(tag + ':r2', 'lat.vec_id', 'lat.k')}, 2) AS d "
+          "FROM lat JOIN rows r USING (vec_id)), "
+          "part AS (SELECT is_train, avg(ce_bits) AS ce FROM per GROUP BY is_train)")
+    parts = [f"SELECT is_train, '{a}' AS alpha, round(part.ce + {beta} * v.v / ln(2.0), 6) + 0.0 AS loss_bits FROM part JOIN "
+             f"(SELECT is_train, ln(sum(exp({a - 1.0} * d))) / {a - 1.0} AS v FROM ld GROUP BY is_train) v USING (is_train)"
+             for a in alphas]
+    return "WITH " + forward_ctes(seed).strip() + ",\n" + ld + "\n" + " UNION ALL ".join(parts)
+
+
 def renyi_mc_sql(alphas, seed: int = 0) -> str:
     """Reference-style estimator: independent draws for the two densities,
     log-sum-exp over every row and latent dimension of a split."""

@@ -8,6 +8,7 @@ Spark result and the SQL result compare column by column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,8 @@ def r6(c: Column | str) -> Column:
 
 # ---------------------------------------------------------------- stages ---
 
-CFG = TextConfig()
+# lines are the pieces of these books: blank lines hardly occur in the tables
+CFG = TextConfig(delimiter="\n")
 
 
 def _labelled(spark, sf_dir, cfg: TextConfig = CFG) -> DataFrame:
@@ -76,8 +78,9 @@ def _vocab(spark, sf_dir, cfg: TextConfig = CFG) -> tuple[DataFrame, DataFrame]:
 
 
 def _encoded(spark, sf_dir, cfg: TextConfig = CFG) -> DataFrame:
+    """Ids of every token; only padding truncates."""
     tok, vocab = _vocab(spark, sf_dir, cfg)
-    return V.encode_tokens(tok, vocab, cfg.maxlen, key=["doc_id", "pos"])
+    return V.encode_tokens(tok, vocab, None, key=["doc_id", "pos"])
 
 
 # ------------------------------------------------------- sources (S1-S4) ---
@@ -129,16 +132,16 @@ def q_label_by_manifest(spark, sf_dir):
 
 
 @register("label_by_table",
-          f"WITH {O.paragraphs_cte()} SELECT p.doc_id, CAST(p.pos AS BIGINT) AS pos, "
+          f"WITH {O.paragraphs_cte(chr(10))} SELECT p.doc_id, CAST(p.pos AS BIGINT) AS pos, "
           "CAST(l.quality AS BIGINT) AS label FROM paras p JOIN labels l ON p.doc_id = l.doc_id")
 def q_label_by_table(spark, sf_dir):
-    p = paragraphs(C.read_documents(spark, sf_dir))
+    p = paragraphs(C.read_documents(spark, sf_dir), delimiter=CFG.delimiter)
     lab = L.label_by_table(p, C.table(spark, sf_dir, "labels"), "doc_id", "quality")
     return lab.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("label").cast("bigint").alias("label"))
 
 
 @register("label_by_category",
-          "SELECT conv_id * 1000000 + turn AS msg_id, role AS category, "
+          "SELECT concat_ws(':', conv_id, turn) AS msg_id, role AS category, "
           "CAST(CASE WHEN role = 'user' THEN 0 ELSE 1 END AS BIGINT) AS label FROM conversations")
 def q_label_by_category(spark, sf_dir):
     m = L.label_by_category(C.read_conversations(spark, sf_dir), negative="user")
@@ -299,7 +302,7 @@ _MSG_CFG = TextConfig(maxlen=50, normalize=True)
 def _msg_sql_encoded() -> str:
     """Message pipeline in SQL: clean, label, split, vocabulary, ids (maxlen 50)."""
     return (
-        "msgs AS (SELECT conv_id * 1000000 + turn AS msg_id, role AS category, "
+        "msgs AS (SELECT concat_ws(':', conv_id, turn) AS msg_id, role AS category, "
         f"{O.clean_sql('text')} AS text FROM conversations), "
         "lab AS (SELECT *, CASE WHEN category = 'user' THEN 0 ELSE 1 END AS label FROM msgs), "
         f"split AS (SELECT *, {O.uniform_sql(0, 'msg_id')} >= 0.2 AS is_train FROM lab), "
@@ -367,18 +370,18 @@ def q_center_vector(spark, sf_dir):
 
 from ibex.operators import vib as VIB  # noqa: E402
 from ibex.operators import vib_math as VM  # noqa: E402
-from ibex.operators.divergence import closed_form, renyi_sampled  # noqa: E402
+from ibex.operators.divergence import closed_forms, renyi_sampled  # noqa: E402
 from ibex.plans import oracle_model as OM  # noqa: E402
 
 VEC_SPEC = VM.dense_spec(64, units=(OM.HIDDEN,), out_dim=OM.CLASSES, latent_dim=OM.LATENT, transform="center")
 VEC_BETA = 1e-3
 
 
-def _vec_scored(spark, sf_dir) -> DataFrame:
+def _vec_scored(spark, sf_dir, n_draws: int = OM.DRAWS) -> DataFrame:
     vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id")
     params = VM.init_params(VEC_SPEC, scheme="formula")
     return VIB.score(vec, VEC_SPEC, params, "vec_id", "features", "label", ["is_train"], seed=0,
-                     n_draws=OM.DRAWS)
+                     n_draws=n_draws)
 
 
 def _explode_r6(df, arr, name_i, name_v):
@@ -442,17 +445,17 @@ def q_kl_divergence(spark, sf_dir):
     return z.select("vec_id", F.col("k").cast("bigint").alias("k"), r6(kl_std_normal("p.mu", "p.sigma")).alias("kl"))
 
 
-_RENYI_ALPHAS = (0.5, 2.0, 5.0)
+_RENYI_ALPHAS = (0.1, 0.5, 2.0, 5.0, float("inf"))
 
 
 @register("renyi_closed", OM.renyi_closed_sql(_RENYI_ALPHAS))
 def q_renyi_closed(spark, sf_dir):
-    s = _vec_scored(spark, sf_dir)
-    out = None
-    for a in _RENYI_ALPHAS:
-        d = closed_form(s, a, ["vec_id"]).select("vec_id", F.lit(str(a)).alias("alpha"), r6("div_nats").alias("div_nats"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """Closed forms of all orders from one forward pass; null where the form
+    does not exist."""
+    s = _vec_scored(spark, sf_dir, n_draws=0)
+    d = closed_forms(s, _RENYI_ALPHAS, ["vec_id"])
+    value = F.when(F.col("div_nats") < F.lit(float("inf")), F.col("div_nats"))
+    return d.select("vec_id", F.col("alpha").cast("string").alias("alpha"), r6(value).alias("div_nats"))
 
 
 _MC_ALPHAS = (0.5, 2.0, "inf", "mc2.0")
@@ -590,10 +593,10 @@ FIT_VEC_SPEC = VM.dense_spec(64, units=(32, 32), out_dim=10, latent_dim=2, trans
 
 @register("fit_history")
 def q_fit_history(spark, sf_dir):
-    """Synchronous mini-batch training on the vector table: per-epoch
-    information-plane bounds and accuracies for both parts."""
+    """Local-SGD training on the vector table over a fixed number of workers:
+    per-epoch information-plane bounds and accuracies for both parts."""
     vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id")
-    cfg = VIB.FitConfig(epochs=2, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="sync")
+    cfg = VIB.FitConfig(epochs=20, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
     _, hist = VIB.fit(vec, FIT_VEC_SPEC, cfg, "vec_id", "features")
     return VIB.history_frame(spark, hist)
 
@@ -617,22 +620,53 @@ def q_fit_text_history(spark, sf_dir):
     return VIB.history_frame(spark, hist)
 
 
-@register("train_step")
+STEP_BETA = 1e-3
+STEP_LR = 1e-2
+
+
+def _vec_gradient(spark, sf_dir):
+    """Mean gradient of the loss over the whole train part of the vectors at
+    the formula weights: ``(rows, gradient)``."""
+    vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id").where("is_train").select("vec_id", "features", "label")
+    step = VIB.with_noise(vec, ["vec_id"], VEC_SPEC.latent_dim, "0", 0, "eval")
+    params = VM.init_params(VEC_SPEC, scheme="formula")
+    n, g = VIB._sum_partials(VIB._grad_partials(step, VEC_SPEC, params, "features", "label", STEP_BETA, 1.0, 1))
+    return n, g / max(n, 1)
+
+
+def _per_value(spark, name, values):
+    """(param, i, value) of a flat parameter vector (bounded by the model)."""
+    views = VM.Layout(VEC_SPEC).views(values)
+    rows = [(p, i, float(v)) for p, a in views.items() for i, v in enumerate(a.reshape(-1))]
+    return spark.createDataFrame(rows, f"param string, i bigint, {name} double")
+
+
+@register("train_step", OM.gradient_sql(STEP_BETA,
+          "SELECT param, CAST(i AS BIGINT) AS i, round(g, 6) + 0.0 AS grad FROM grad"))
 def q_train_step(spark, sf_dir):
-    """One synchronous gradient step over the first training batch of the
-    text pipeline: gradient norm per parameter (rows = parameters)."""
-    import numpy as np
-    data = _text_model_frame(spark, sf_dir)
-    tr = data.where("is_train").select("doc_id", "pos", "ids", "label")
-    n = tr.count()
-    batched, _ = S.minibatch_ids(tr, ["doc_id", "pos"], 50, n)
-    step = VIB.with_noise(batched.where(F.col("batch") == 0), ["doc_id", "pos"], TEXT_FIT_SPEC.latent_dim, "0:1", 0,
-                          "train")
-    params = VM.init_params(TEXT_FIT_SPEC, 0)
-    m, g = VIB._sum_partials(VIB._grad_partials(step, TEXT_FIT_SPEC, params, "ids", "label", 1e-4, 1.0, 1))
-    views = VM.Layout(TEXT_FIT_SPEC).views(g / max(m, 1))
-    rows = [(name, int(v.size), float(np.linalg.norm(v)), int(m)) for name, v in views.items()]
-    return spark.createDataFrame(rows, "param string, size bigint, grad_norm double, batch_rows bigint")
+    """Gradient of the loss (cross-entropy + beta x divergence, bits) over the
+    whole train part."""
+    _, g = _vec_gradient(spark, sf_dir)
+    return _per_value(spark, "grad", g).select("param", "i", r6("grad").alias("grad"))
+
+
+@register("adam_step", OM.gradient_sql(STEP_BETA, OM.adam_select(STEP_LR)))
+def q_adam_step(spark, sf_dir):
+    """The parameters after one Adam step on that gradient."""
+    _, g = _vec_gradient(spark, sf_dir)
+    params = VM.Adam(STEP_LR).step(VM.init_params(VEC_SPEC, scheme="formula"), g)
+    return _per_value(spark, "value", params).select("param", "i", r6("value").alias("value"))
+
+
+@register("loss_bits_alpha", OM.renyi_loss_sql((0.1, 0.5, 2.0, 5.0), VEC_BETA))
+def q_loss_bits_alpha(spark, sf_dir):
+    """The training loss of other orders per part: cross-entropy + beta x the
+    sampled divergence (log-sum-exp over the part)."""
+    scored = _vec_scored(spark, sf_dir)
+    ce = scored.groupBy("is_train").agg(F.avg("ce_bits").alias("ce"))
+    div = renyi_sampled(scored, [0.1, 0.5, 2.0, 5.0], ["vec_id"], ["is_train"], seed=0, tag="eval")
+    loss = F.col("ce") + F.lit(VEC_BETA) * F.col("value") / F.lit(math.log(2.0))
+    return div.join(F.broadcast(ce), "is_train").select("is_train", F.col("alpha").cast("string").alias("alpha"), r6(loss).alias("loss_bits"))
 
 
 @register("sweep_fit_alpha")
@@ -641,18 +675,24 @@ def q_sweep_fit_alpha(spark, sf_dir):
     whole grid), summarised as mean and population std of the last-epoch
     Monte Carlo test accuracy per alpha."""
     vec = C.read_vectors(spark, sf_dir)
-    grid = SW.alpha_trial_grid([0.5, 1.0, 2.0], n_trials=2, beta=1e-4)
-    runs = SW.fit_sweep(vec, FIT_VEC_SPEC, grid, "vec_id", "features", epochs=2, batch_size=50, lr=1e-3)
+    grid = SW.alpha_trial_grid(SW.SCRIPT_ALPHAS, SW.SCRIPT_ALPHA_TRIALS, SW.SCRIPT_ALPHA_BETA)
+    runs = SW.fit_sweep(vec, FIT_VEC_SPEC, grid, "vec_id", "features", epochs=SW.SCRIPT_ALPHA_EPOCHS,
+                        batch_size=SW.SCRIPT_BATCH, lr=1e-3)
     return SW.summary_mean_std(SW.runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
 
 
+# all 17 betas; the script's 50 samples per beta only repeat them for the mean
+_BETA_SAMPLES = 2
+
+
 @register("sweep_fit_beta")
 def q_sweep_fit_beta(spark, sf_dir):
     """Beta grid (powers of ten) trained together; mean last-epoch train and
     test accuracy per beta."""
     vec = C.read_vectors(spark, sf_dir)
-    grid = SW.beta_grid_configs(SW.beta_grid(-6.0, 2.0, 2.0), n_samples=1)
-    runs = SW.fit_sweep(vec, FIT_VEC_SPEC, grid, "vec_id", "features", epochs=2, batch_size=50, lr=1e-3)
+    grid = SW.beta_grid_configs(SW.beta_grid(*SW.SCRIPT_BETA_LOG10), n_samples=_BETA_SAMPLES)
+    runs = SW.fit_sweep(vec, FIT_VEC_SPEC, grid, "vec_id", "features", epochs=SW.SCRIPT_BETA_EPOCHS,
+                        batch_size=SW.SCRIPT_BATCH, lr=1e-3)
     return SW.summary_train_test(SW.runs_for_summary(runs, "acc", "beta"))
 
 
@@ -660,13 +700,14 @@ def q_sweep_fit_beta(spark, sf_dir):
 def q_sweep_fit_alpha_text(spark, sf_dir):
     """Alpha sweep on the book paragraphs as the sweep script runs it: each
     trial draws its own split and fits its own vocabulary; the alpha x trial
-    grid is trained together on the per-trial encodings (small grid)."""
+    grid is trained together on the per-trial encodings (all alphas and
+    trials; a narrower model)."""
     from ibex.plans.text import trial_encoded
-    trials = [0, 1]
+    trials = list(range(SW.SCRIPT_ALPHA_TRIALS))
     data, _ = trial_encoded(_labelled(spark, sf_dir), ["doc_id", "pos"], trials, CFG)
-    grid = SW.alpha_trial_grid([0.5, 1.0, 2.0], n_trials=len(trials), beta=1e-4)
+    grid = SW.alpha_trial_grid(SW.SCRIPT_ALPHAS, len(trials), SW.SCRIPT_ALPHA_BETA)
     runs = SW.fit_sweep(data, TEXT_FIT_SPEC, grid, ["doc_id", "pos"], {t: f"ids_t{t}" for t in trials},
-                        epochs=2, batch_size=50, lr=1e-3)
+                        epochs=SW.SCRIPT_ALPHA_EPOCHS, batch_size=SW.SCRIPT_BATCH, lr=1e-3)
     return SW.summary_mean_std(SW.runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
 
 
@@ -755,9 +796,9 @@ MSG_SPEC = VM.dense_spec(50, units=(32, 32), out_dim=2, latent_dim=2, transform=
 def q_fit_message_history(spark, sf_dir):
     """Messages: clean, label by category, split, vocabulary, ids padded to
     50 and divided by the vocabulary size, dense encoder on ``2x - 1``,
-    synchronous training with beta = 10^-0.5."""
+    local-SGD training with beta = 10^-0.5, 20 epochs."""
     from ibex.plans.text import message_pipeline
     enc, _ = message_pipeline(spark, sf_dir, "user", _MSG_CFG)
-    cfg = VIB.FitConfig(epochs=2, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="sync")
+    cfg = VIB.FitConfig(epochs=20, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
     _, hist = VIB.fit(enc, MSG_SPEC, cfg, "msg_id", "x")
     return VIB.history_frame(spark, hist)

@@ -4,7 +4,7 @@ All readers return lazy DataFrames; nothing is collected.  Column names of
 the returned frames are the library's canonical ones:
 
 * corpus:   ``doc_id bigint, source string, text string``
-* messages: ``msg_id bigint, category string, text string``
+* messages: ``msg_id string, category string, text string``
 * vectors:  ``vec_id bigint, features array<float>, label int``
 """
 
@@ -24,18 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy row work at least one partition per core.
-
-    A large input already scans as many splits as it has row groups, so this
-    is a no-op at scale; a small, unsplittable file (one row group) would
-    otherwise run every regex and tokeniser in a single task.  Hash
-    partitioning on a unique key keeps the layout deterministic on retries.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Deal rows out evenly by a hash of their unique key where the input has
+    fewer files than there are cores: a file of one row group is scanned by
+    one task, however many splits its bytes make.  An input of many files is
+    left as it is scanned.  ``partitions`` sets the number of partitions (and
+    always deals).  Results never depend on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if partitions is None:
+        if len(df.inputFiles()) >= cores:
+            return df
+        partitions = max(cores, df.rdd.getNumPartitions())
+    return df.repartition(partitions, key)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_text_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Whole UTF-8 text files, one row per file (``source`` = file name).
 
-    ``doc_id`` is a stable 63-bit hash of the path, so it does not depend on
-    listing order or partitioning.
+    ``doc_id`` is a signed 64-bit hash of the path, so it does not depend on
+    listing order or partitioning; a corpus of billions of files should join
+    on ``source`` instead, because hashes may then coincide.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -87,25 +88,30 @@ MESSAGE_SCHEMA = T.StructType([
 ])
 
 
-def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Category/message CSV with header (quoted fields may span lines)."""
+def read_messages_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Category/message CSV with header.
+
+    ``multi_line=False`` lets Spark split large files over tasks and is right
+    where no quoted field spans lines.  ``msg_id`` is a SHA-256 of the row's
+    content, and a row number among equal rows (which are interchangeable), so
+    it depends on neither file layout nor scheduling."""
     raw = (
         spark.read.schema(MESSAGE_SCHEMA)
-        .option("header", "true").option("multiLine", "true")
+        .option("header", "true").option("multiLine", str(multi_line).lower())
         .option("quote", '"').option("escape", '"')
         .csv(path)
     )
-    return raw.select(
-        F.monotonically_increasing_id().alias("msg_id"),
-        F.col("Category").alias("category"),
-        F.col("Message").alias("text"),
-    )
+    content = F.sha2(F.concat_ws("\u0001", F.coalesce("Category", F.lit("\u0000")), F.coalesce("Message", F.lit("\u0000"))), 256)
+    counted = (raw.groupBy(F.col("Category").alias("category"), F.col("Message").alias("text"), content.alias("_c"))
+               .agg(F.count(F.lit(1)).alias("_n")))
+    return (counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+            .select(F.concat_ws(":", "_c", "_i").alias("msg_id"), "category", "text"))
 
 
 def read_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as a message table: ``role`` is the category."""
     msgs = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * F.lit(1_000_000) + F.col("turn")).alias("msg_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("msg_id"),
         F.col("role").alias("category"),
         F.col("text"),
     )

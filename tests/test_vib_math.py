@@ -6,7 +6,7 @@ import pytest
 from ibex.operators import vib_math as M
 
 
-def _fd_check(spec, alpha, beta, seed=1):
+def _fd_check(spec, alpha, beta, seed=1, estimator="closed"):
     rng = np.random.default_rng(seed)
     n = 7
     if spec.input_kind == "ids":
@@ -14,18 +14,18 @@ def _fd_check(spec, alpha, beta, seed=1):
     else:
         x = rng.uniform(0, 1, size=(n, spec.input_dim))
     y = rng.integers(0, spec.out_dim, size=n)
-    eps = rng.standard_normal((n, spec.latent_dim))
+    eps = rng.standard_normal((n, M.noise_columns(spec, alpha, estimator)))
     p = M.init_params(spec, seed)
     # push sigma into a range where all terms matter
     lay = M.Layout(spec)
     p[lay.offsets["enc_out.b"][0] + spec.latent_dim: lay.offsets["enc_out.b"][0] + 2 * spec.latent_dim] = 4.5
-    g, _, _, _ = M.loss_and_grad(spec, p, x, y, eps, beta, alpha, n)
+    g, _, _, _ = M.loss_and_grad(spec, p, x, y, eps, beta, alpha, n, estimator)
     idx = rng.choice(len(p), size=40, replace=False)
     h = 1e-6
     for i in idx:
         e = np.zeros_like(p)
         e[i] = h
-        fd = (M.total_loss(spec, p + e, x, y, eps, beta, alpha) - M.total_loss(spec, p - e, x, y, eps, beta, alpha)) / (2 * h)
+        fd = (M.total_loss(spec, p + e, x, y, eps, beta, alpha, estimator) - M.total_loss(spec, p - e, x, y, eps, beta, alpha, estimator)) / (2 * h)
         assert abs(fd - g[i]) < 1e-6 + 1e-4 * abs(fd), (i, fd, g[i])
 
 
@@ -69,3 +69,30 @@ def test_argmax_first_on_ties_and_large_logits():
     logits = np.array([[2.0, 2.0, 1.0], [1e4, 0.0, -1e4]])
     assert list(np.argmax(logits, axis=1)) == [0, 0]
     assert np.all(np.isfinite(M.logsumexp(logits)))
+
+
+@pytest.mark.parametrize("alpha", [0.1, 0.5, 1.0, 2.0, 5.0, math.inf])
+def test_gradient_of_the_sampled_divergence(alpha):
+    _fd_check(M.dense_spec(5, units=(4, 3), out_dim=3, dec_units=(3,)), alpha, 0.3, estimator="sampled")
+    _fd_check(M.text_spec(num_words=11, maxlen=4, units=(5,), embed_dim=3), alpha, 0.1, estimator="sampled")
+
+
+def test_sampled_divergence_by_hand():
+    mu, s, r1, r2 = (np.array([[v]]) for v in (0.5, 0.8, -0.3, 1.1))
+    d = -0.5 * 0.09 - math.log(0.8) + 0.5 * (0.5 + 0.8 * 1.1) ** 2
+    for alpha in (0.5, 2.0, math.inf):
+        assert abs(M.sampled_divergence(mu, s, np.log(s), r1, r2, alpha)[0] - d) < 1e-12
+
+
+def test_closed_form_that_does_not_exist_is_an_error():
+    spec = M.dense_spec(3, units=(4,), out_dim=2)
+    p = M.init_params(spec, 0)
+    lay = M.Layout(spec)
+    at = lay.offsets["enc_out.b"][0]
+    p[at + spec.latent_dim:at + 2 * spec.latent_dim] = 8.0  # sigma about 3
+    rng = np.random.default_rng(0)
+    x, y = rng.uniform(size=(4, 3)), np.array([0, 1, 0, 1])
+    with pytest.raises(FloatingPointError):
+        M.loss_and_grad(spec, p, x, y, rng.normal(size=(4, 2)), 0.1, 5.0, 4)
+    g, *_ = M.loss_and_grad(spec, p, x, y, rng.normal(size=(4, 6)), 0.1, 5.0, 4, "sampled")
+    assert np.isfinite(g).all()
