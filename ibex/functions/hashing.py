@@ -38,17 +38,9 @@ def _hex_to_unit_open(hex8: Column) -> Column:
     return (F.conv(hex8, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(TWO_32)
 
 
-def gaussian(seed, *parts) -> Column:
-    """Standard normal draw via Box-Muller on two 32-bit slices of one MD5."""
-    digest = F.md5(_key_string(seed, *parts))
-    u1 = _hex_to_unit_open(F.substring(digest, 1, 8))
-    u2 = _hex_to_unit_open(F.substring(digest, 9, 8))
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-
-
 def gaussian_array(seed, key: Column | str, n: int) -> Column:
     """``array<double>`` of ``n`` normal draws for one row; draw ``i`` is
-    ``gaussian(seed, key, i)``."""
+    a Box-Muller transform of ``md5('seed:key:i')``."""
     key_col = F.col(key) if isinstance(key, str) else key
     return F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),

@@ -29,7 +29,8 @@ from ibex.operators.broadcast import broadcast_if_small
 from ibex.operators.vocab import token_counts
 
 # ---------------------------------------------------------------------------
-# Fixed values of the common uncased subword convention.
+# Fixed values of the common uncased subword convention (with the ASCII
+# punctuation ranges of ``_is_punct``: 33-47, 58-64, 91-96, 123-126).
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 CONTINUATION = "##"
 MAX_CHARS_PER_WORD = 100
@@ -38,11 +39,13 @@ DEFAULT_MAX_LENGTH = 512
 MAX_VOCAB = 5_000_000
 
 
-def subword_vocab(tokenized_train: DataFrame, n_words: int = 2000, n_chars: int = 500,
+def subword_vocab(tokenized_train: DataFrame, n_words: int = 2000, n_chars: int | None = None,
                   tokens: str = "tokens") -> DataFrame:
-    """Specials (ids 0..4), then the ``n_chars`` most frequent characters,
-    their ``##`` continuation forms, then the ``n_words`` most frequent
-    words; ties by string.  At most ``5 + 2 n_chars + n_words`` rows.
+    """Specials (ids 0..4), then every character (or the ``n_chars`` most
+    frequent), their ``##`` continuation forms, then the ``n_words`` most
+    frequent words; ties by string.  All characters are kept by default, so
+    no script turns into unknown words; their number is bounded by the
+    character set.
 
     Eager: the token counts (one aggregation over the corpus) are kept
     while both top-k cuts are taken from them, so the corpus is tokenised and
@@ -56,8 +59,9 @@ def subword_vocab(tokenized_train: DataFrame, n_words: int = 2000, n_chars: int
             counts.select(F.explode(F.split(F.lower("token"), "")).alias("c"), "n")
             .where(F.col("c") != "")
             .groupBy("c").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), F.asc("c")).limit(n_chars).collect()
+            .orderBy(F.desc("n"), F.asc("c"))
         )
+        chars = (chars if n_chars is None else chars.limit(n_chars)).collect()
     finally:
         counts.unpersist()
     pieces: dict[str, int] = {}
@@ -138,17 +142,32 @@ def longest_piece(vocab: dict) -> int:
     return max((len(p) - (len(CONTINUATION) if p.startswith(CONTINUATION) else 0) for p in vocab), default=1)
 
 
+#: Words whose pieces a worker remembers between batches.
+_MEMORY = 1 << 19
+
+
 def _make_encoder(bc_vocab, lower: bool):
+    known: dict[str, list[int]] = {}  # of one worker
+    longest = None
+
     def encode(words: pa.Array) -> pa.Array:
+        nonlocal longest
         vocab = bc_vocab.value
         unk = vocab.get("[UNK]", 1)
-        longest = longest_piece(vocab)
+        if longest is None:
+            longest = longest_piece(vocab)
+        if len(known) > _MEMORY:
+            known.clear()
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
         flat = pc.list_flatten(words)
         uniq = pc.unique(flat)
         where = pc.index_in(flat, value_set=uniq).to_numpy(zero_copy_only=False)
-        pieces = [encode_word(w, vocab, unk, lower, longest) for w in uniq.to_pylist()]
+        distinct = uniq.to_pylist()
+        for w in distinct:
+            if w not in known:
+                known[w] = encode_word(w, vocab, unk, lower, longest)
+        pieces = [known[w] for w in distinct]
         lens_u = np.array([len(p) for p in pieces], dtype=np.int64)
         offs_u = np.concatenate([[0], np.cumsum(lens_u)[:-1]]) if len(pieces) else np.zeros(0, np.int64)
         cat = np.array([i for p in pieces for i in p], dtype=np.int32)

@@ -1,4 +1,4 @@
-"""Stochastic-bottleneck classifier as Spark jobs.
+"""Stochastic latent classifier as Spark jobs.
 
 * :func:`score` - one ``mapInArrow`` pass: per-row latent parameters,
   logits, predictions, cross-entropy and divergence.  Parameters travel as

@@ -1,4 +1,4 @@
-"""Batch kernels of the stochastic-bottleneck classifier (NumPy).
+"""Batch kernels of the stochastic latent classifier (NumPy).
 
 These run inside Spark tasks on Arrow batches; Spark does the partitioning,
 the reduction of gradients and all metric aggregation.  Gradients are
@@ -356,7 +356,7 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
         gv[f"dec{i}.b"][:] = da.sum(axis=0)
         dh = da @ p[f"dec{i}.W"].T
     dz = dh
-    # bottleneck
+    # latent code
     dmu = dz + c * dDmu
     dsig = dz * eps + c * dDsig
     drho = dsig * sigmoid(rho - SCALE_SHIFT)

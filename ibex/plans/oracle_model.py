@@ -15,6 +15,7 @@ HIDDEN = 8
 LATENT = 2
 CLASSES = 10
 DRAWS = 12
+EMBED = 4
 
 
 def _w(i: str, j: str, layer: int) -> str:
@@ -74,6 +75,24 @@ per AS (SELECT rows.vec_id, rows.label, rows.is_train, pred.pred, mcpred.mc_pred
         JOIN kl USING (vec_id))"""
 
 
+def embedding_ctes(padded: str) -> str:
+    """``elat(doc_id, pos, k, mu, sigma)`` from ``enc(doc_id, pos, ids)``: the
+    embedding encoder (``EMBED`` wide) with formula weights."""
+    return f"""
+pad AS (SELECT doc_id, pos, {padded} AS ids FROM enc),
+tokpos AS (SELECT doc_id, pos, unnest(ids) AS t, generate_subscripts(ids, 1) - 1 AS p FROM pad),
+used AS (SELECT t, p, sum(1) AS n FROM tokpos GROUP BY t, p),
+part AS (SELECT u.t, u.p, r.j, sum(sin(7.0 * u.t + 3.0 * d.d) / 4.0 * {_w(f'(u.p * {EMBED} + d.d)', 'r.j', 0)}) AS v
+         FROM used u, (SELECT range AS d FROM range({EMBED})) d, (SELECT range AS j FROM range({HIDDEN})) r
+         GROUP BY u.t, u.p, r.j),
+eh AS (SELECT k.doc_id, k.pos, q.j, greatest(sum(q.v) + {_b('q.j', 0)}, 0.0) AS h
+       FROM tokpos k JOIN part q ON k.t = q.t AND k.p = q.p GROUP BY k.doc_id, k.pos, q.j),
+eo AS (SELECT e.doc_id, e.pos, r.k, sum(e.h * {_w('e.j', 'r.k', 1)}) + {_b('r.k', 1)} AS o
+       FROM eh e, (SELECT range AS k FROM range({2 * LATENT})) r GROUP BY e.doc_id, e.pos, r.k),
+elat AS (SELECT m.doc_id, m.pos, m.k, m.o AS mu, {softplus_sql('s.o - 5.0')} AS sigma
+         FROM eo m JOIN eo s ON m.doc_id = s.doc_id AND m.pos = s.pos AND s.k = m.k + {LATENT} WHERE m.k < {LATENT})"""
+
+
 def with_forward(select: str, seed: int = 0) -> str:
     return "WITH " + forward_ctes(seed).strip() + "\n" + select
 

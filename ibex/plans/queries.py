@@ -366,6 +366,34 @@ def q_center_vector(spark, sf_dir):
         .select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), r6("value").alias("value"))
 
 
+@register("flatten_matrix",
+          "SELECT vec_id, CAST(i AS BIGINT) AS i, round(CAST(v AS DOUBLE) / 255.0, 6) + 0.0 AS value FROM "
+          "(SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+def q_flatten_matrix(spark, sf_dir):
+    """Image inputs: 8 x 8 matrices flattened row by row and scaled."""
+    from ibex.operators.vectors import flatten_matrix, scale_vector
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("features", r * 8 + 1, 8))
+    images = C.read_vectors(spark, sf_dir).select("vec_id", rows.alias("image"))
+    v = images.select("vec_id", scale_vector(flatten_matrix("image"), 255.0).alias("x"))
+    return v.select("vec_id", F.posexplode("x").alias("i", "value")) \
+        .select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), r6("value").alias("value"))
+
+
+@register("csv_messages",
+          "SELECT role AS category, md5(text) AS text_md5, count(*) AS n FROM conversations GROUP BY 1, 2")
+def q_csv_messages(spark, sf_dir):
+    """The message table written as CSV in the shared folder and read back
+    (quoted fields span lines)."""
+    from uuid import uuid4
+
+    from ibex.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/messages-{uuid4().hex}"
+    (C.table(spark, sf_dir, "conversations").select(F.col("role").alias("Category"), F.col("text").alias("Message"))
+     .write.option("header", "true").option("quote", '"').option("escape", '"').csv(path))
+    m = C.read_messages_csv(spark, path)
+    return m.groupBy("category", F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------- model operators, fixed weights (M) ---
 
 from ibex.operators import vib as VIB  # noqa: E402
@@ -435,6 +463,23 @@ def q_predict(spark, sf_dir):
     return p.select("vec_id", F.col("pred").cast("bigint").alias("pred"), r6(F.array_max("probs")).alias("prob"))
 
 
+EMB_SPEC = VM.text_spec(num_words=1000, maxlen=500, units=(OM.HIDDEN,), latent_dim=OM.LATENT, embed_dim=OM.EMBED)
+
+
+@register("embedding_forward",
+          f"WITH {O.encoded_cte()}, {OM.embedding_ctes(O.padded_sql('ids', 500))} "
+          "SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(k AS BIGINT) AS k, round(mu, 6) + 0.0 AS mu, "
+          "round(sigma, 6) + 0.0 AS sigma FROM elat")
+def q_embedding_forward(spark, sf_dir):
+    """The embedding encoder with formula weights on padded ids: embedding,
+    flatten, hidden layer, mean and scale of the latent code."""
+    data = _text_model_frame(spark, sf_dir)
+    s = VIB.score(data, EMB_SPEC, VM.init_params(EMB_SPEC, scheme="formula"), ["doc_id", "pos"], "ids", n_draws=0)
+    z = s.select("doc_id", "pos", F.posexplode(F.arrays_zip("mu", "sigma")).alias("k", "p"))
+    return z.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("k").cast("bigint").alias("k"),
+                    r6("p.mu").alias("mu"), r6("p.sigma").alias("sigma"))
+
+
 @register("kl_divergence", OM.with_forward(
     "SELECT vec_id, CAST(k AS BIGINT) AS k, round(-ln(sigma) + (sigma * sigma + mu * mu - 1.0) / 2.0, 6) + 0.0 "
     "AS kl FROM lat"))
@@ -718,7 +763,7 @@ from ibex.operators import subword as SWD  # noqa: E402
 
 def _subword_encoded(spark, sf_dir):
     tok = _tokens(spark, sf_dir)
-    vocab = SWD.subword_vocab(tok.where("is_train"), n_words=2000, n_chars=500)
+    vocab = SWD.subword_vocab(tok.where("is_train"), n_words=2000)
     enc = SWD.subword_encode(tok, vocab, "text", max_length=SWD.DEFAULT_MAX_LENGTH)
     return SWD.pad_to_longest(enc, "input_ids", "is_train", SWD.DEFAULT_MAX_LENGTH)
 
