@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ibex.llm import textbytes as tb
-from ibex.llm.frames import checkpointed, text_of
+from ibex.llm.frames import checkpointed, text_of, without
 
 _U = np.uint64
 #: Hashed features whose document frequency is counted (1 MB of counts).
@@ -343,5 +343,4 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found."""
-    found = contaminated_pairs(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__found")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == F.col("__found"), "left_anti")
+    return without(docs, id_col, contaminated_pairs(docs, benchmark, id_col, text_col, **options).select("id"))

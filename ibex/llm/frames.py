@@ -38,5 +38,20 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: Ids up to which a set of them is broadcast (about 20 MB); see ``without``.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame, *, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (one column of ids);
+    rows with a null id stay.  The ids are counted first: up to
+    ``broadcast_ids`` are broadcast, so that no text is shuffled; more are
+    joined by a shuffle."""
+    gone = checkpointed(gone.toDF("__gone").where("__gone IS NOT NULL").distinct())
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
