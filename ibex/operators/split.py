@@ -119,38 +119,34 @@ def minibatch_exact(df: DataFrame, key: str | Sequence[str], batch_size: int, se
     contiguous slicing does.  Returns the kept rows with an int ``batch``
     column, and the number of batches.
 
-    Ranks without a global sort or window: a histogram of the top hash bits
-    gives every bucket's first rank (the resolution is raised until no
-    bucket holds more than about a million rows), and rows are ranked only
-    inside their bucket (a window partitioned by bucket, so buckets spread
-    over tasks).
+    Ranks without a global window: rows are dealt out by ranges of ``(hash,
+    key)`` and sorted inside each partition; a row's rank is its place in the
+    partition plus the sizes of the partitions before it.  One number per
+    partition reaches the driver.  The laid-out rows are checkpointed, so that
+    places and sizes belong to the same ranges.
     """
+    from ibex.session import ensure_checkpoint_dir
+
     keys = _keys(key)
-    hashed = df.withColumn("_h", hash32(seed + 7919, *keys))
-    bits = _BUCKET_BITS
-    hist = _histogram(hashed, bits)
-    biggest = max((r["count"] for r in hist), default=0)
-    if biggest > _RANK_MAX_ROWS and bits < 32:
-        bits = min(32, bits + math.ceil(math.log2(biggest / _RANK_MAX_ROWS)) + 1)
-        hist = _histogram(hashed, bits)
-    n = sum(r["count"] for r in hist)
+    ensure_checkpoint_dir(df.sparkSession)
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))  # monotonically_increasing_id: partition above, row below
+    laid = (df.withColumn("_h", hash32(seed + 7919, *keys)).repartitionByRange("_h", *keys)
+            .sortWithinPartitions("_h", *keys).drop("_h").withColumn("_m", F.monotonically_increasing_id()).checkpoint())
+    part = F.shiftright("_m", 33)
+    sizes = laid.groupBy(part.alias("_p")).count().orderBy("_p").collect()
+    n = sum(r["count"] for r in sizes)
     n_batches = n // batch_size
     if n_batches == 0:
         return df.where(F.lit(False)).withColumn(out, F.lit(None).cast("int")), 0
     offsets, cum = [], 0
-    for r in hist:
-        offsets.append((int(r["_b"]), cum))
+    for r in sizes:
+        offsets.append((int(r["_p"]), cum))
         cum += r["count"]
-    off = df.sparkSession.createDataFrame(offsets, "_b bigint, _off bigint")
-    # one row per non-empty bucket, built here: its size is known
-    off = F.broadcast(off) if len(offsets) <= _RANK_MAX_ROWS else off
-    bucket = F.shiftrightunsigned(F.col("_h"), 32 - bits)
-    w = Window.partitionBy("_b").orderBy(*[F.col(c) for c in ["_h"] + keys])
-    rank = F.col("_off") + F.row_number().over(w) - F.lit(1)
-    ranked = hashed.withColumn("_b", bucket).join(off, "_b").withColumn("_r", rank)
+    off = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p bigint, _off bigint"))  # a row per partition
+    ranked = laid.withColumn("_p", part).join(off, "_p").withColumn("_r", F.col("_off") + place)
     kept = ranked.where(F.col("_r") < F.lit(n_batches * batch_size))
     return (kept.withColumn(out, F.floor(F.col("_r") / F.lit(batch_size)).cast("int"))
-            .drop("_h", "_b", "_off", "_r")), n_batches
+            .drop("_m", "_p", "_off", "_r")), n_batches
 
 
 def split_trials(df: DataFrame, key: str | Sequence[str], n_trials: int,
