@@ -6,11 +6,12 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ibex.llm.components import connected_components
 from ibex.llm.exact_dedup import drop_copies, exact_dedup
-from ibex.llm.near_dedup import drop_near_copies, near_dedup
+from ibex.llm.near_dedup import NearDedup, drop_near_copies, minwise, near_dedup
 from ibex.llm.substring_dedup import substring_dedup
 from ibex.llm.suffix_dedup import suffix_dedup
 
@@ -196,6 +197,25 @@ def test_near_empty_and_columns(nothing, odd, no_ids):
     assert got == sorted([(None, 7, False)] * 2 + [(7, 7, True)] * 3 + [(9, 7, False), (None, None, True)], key=repr)
 
 
+def test_sketches_let_links_pass():
+    rng = np.random.default_rng(0)
+    join = NearDedup(sketch=256)
+    for size, share, passes in ((200, 0.9, True), (200, 0.75, True), (200, 0.5, False), (4000, 0.85, True), (4000, 0.5, False)):
+        both = int(round(2 * size * share / (1 + share)))
+        pool = rng.integers(0, 1 << 32, 3 * size, dtype=np.uint32)
+        a, b = pool[:size], np.concatenate([pool[:both], pool[size:2 * size - both]])
+        a, b = (np.unique(x)[:256].tobytes() for x in (a, b))
+        assert join._similar(a, b) == passes == join._similar(b, a), (size, share)
+
+
+def test_minwise_agreement_estimates_similarity():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    first, rest = minwise([pool[:1000], pool[150:1150]], 256, 16)
+    same = (first[0] == first[1]).sum() + (rest[0] == rest[1]).sum()
+    assert abs(same / 256 - 850 / 1150) < 0.12
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (7, 8), (20, 20), (4, 1)] + [(i, i + 1) for i in range(100, 160)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
