@@ -86,7 +86,8 @@ def _anchors(offsets: np.ndarray, data: np.ndarray, width: int, gram: int):
         p, s0, s1 = at[begin], starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
         region = tb.BYTES.slices(running, s0, s1 + width)
         region = tb.mix(region ^ (((p - s0).astype(_U) << _U(32)) | (s1 - s0).astype(_U)))
-        found.append((p + a, s0 + a, s1 + a, ids[p], region))
+        # anchors have small hashes: mixed again, they spread evenly over shards
+        found.append((p + a, s0 + a, s1 + a, tb.mix(ids[p] + _U(1)), region))
     if not found:
         return _anchors(offsets, data[:0], width, gram)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -106,14 +107,15 @@ def _unpack(payload: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-_ENTRY = (_U, _U, np.int64, np.uint32)  # two identifiers, id, position in the document
+#: Per kind: two identifiers, id, position in the document.
+_ENTRY = {_REGION: (_U, _U, np.int64, np.uint32), _STRING: (_U, np.uint32, np.int64, np.uint32)}
 
 
 def _merge_first(sent: pa.Table) -> pa.Table:
     """Per entry of one shard: is there an earlier member of its refined
     bucket (payload), and did its first bucket fall into several (flags)?"""
     payload = [x.as_py() for x in sent.column("payload")]
-    lists = [_unpack(x, _ENTRY) for x in payload]
+    lists = [_unpack(x, _ENTRY[kind]) for x, kind in zip(payload, sent.column("kind").to_pylist())]
     first, second, ids, at = (np.concatenate(c) for c in zip(*lists))
     order = np.lexsort((at, ids, second, first))
     f, s = first[order], second[order]
@@ -142,7 +144,7 @@ class _Firsts:
         f, s = first[self.order], second[self.order]
         new = np.ones(len(f), dtype=bool)
         new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
-        self.group = np.cumsum(new) - 1
+        self.group = np.cumsum(new, dtype=np.int32) - 1
         self.lead = self.order[np.flatnonzero(new)]
         self.is_lead = np.zeros(len(f), dtype=bool)
         self.is_lead[self.lead] = True
@@ -171,9 +173,10 @@ class _Plan:
     """What the steps share: sizes, and the state that a bucket's task
     rebuilds from its text and the answers so far."""
 
-    def __init__(self, width: int, gram: int, cell_bits: int, gram_shards: int, shards: int):
+    def __init__(self, width: int, gram: int, cell_bits: int, gram_shards: int, shards: int,
+                 string_shards: int):
         self.width, self.gram, self.cell_bits = width, gram, cell_bits
-        self.gram_shards, self.shards = gram_shards, shards
+        self.gram_shards, self.shards, self.string_shards = gram_shards, shards, string_shards
 
     def load(self, docs: pa.Table):
         docs, ids = _ordered(docs)
@@ -189,22 +192,22 @@ class _Plan:
         keep = np.flatnonzero(repeats.sketch_repeated(anchors[3], replies, 1, self.gram_shards, self.cell_bits))
         return [x[keep] for x in anchors]
 
-    def strings(self, data, s0, s1):
-        """(start, identifier) of each string that starts in one of the ranges."""
-        size = s1 - s0 + self.width
-        region = np.repeat(s0 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        bounds = np.concatenate(([0], np.cumsum(size)))
-        # hashed in pieces, so that a temporary has at most a few million values
-        starts, keys = [], []
-        step = 1 << 14
+    def strings(self, data, s0, s1, gram):
+        """(start, identifier, identifier of the q-gram) of each string that
+        starts in one of the ranges."""
+        starts, keys, grams = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=_U)], [np.empty(0, dtype=np.uint32)]
+        step = 1 << 12  # ranges hashed at a time
         for i in range(0, len(s0), step):
-            a, b = bounds[i], bounds[min(i + step, len(s0))]
-            running = tb.BYTES.running(tb.BYTE_VALUE[data[region[a:b]]])
-            key = tb.BYTES.windows(running, self.width)
-            ok = np.flatnonzero(tb.window_owner(bounds[i:i + step + 1] - a, self.width, len(key)))
-            starts.append(region[a + ok])
+            a, b = s0[i:i + step], s1[i:i + step]
+            size = b - a + self.width
+            bounds = np.append(0, np.cumsum(size))
+            region = np.repeat(a - bounds[:-1], size) + np.arange(bounds[-1])
+            key = tb.BYTES.windows(tb.BYTES.running(tb.BYTE_VALUE[data[region]]), self.width)
+            ok = np.flatnonzero(tb.window_owner(bounds, self.width, len(key)))
+            starts.append(region[ok].astype(np.int32))
             keys.append(key[ok])
-        return np.concatenate(starts), np.concatenate(keys)
+            grams.append(np.repeat((gram[i:i + step] >> _U(32)).astype(np.uint32), b - a + 1))
+        return np.concatenate(starts), np.concatenate(keys), np.concatenate(grams)
 
     def refined(self, data, anchors, replies: dict):
         """Step 2 answered: starts known to repeat as ranges, and the pairs
@@ -212,25 +215,19 @@ class _Plan:
         p, s0, s1, gram, region = self.survivors(anchors, replies)
         pairs = _Firsts(gram, region)
         repeat, ambiguous = pairs.answers(replies, _REGION, self.shards)
-        open_start, key, open_gram = np.empty(0, dtype=np.int64), np.empty(0, dtype=_U), np.empty(0, dtype=_U)
-        if ambiguous.any():
-            open_start, key = self.strings(data, s0[ambiguous], s1[ambiguous])
-            open_gram = np.repeat(gram[ambiguous], s1[ambiguous] - s0[ambiguous] + 1)
-        return s0[repeat], s1[repeat], open_start, _Firsts(key, open_gram)
-
-
-def _ranges(s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
-    size = s1 - s0 + 1
-    return np.repeat(s0 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        start, key, open_gram = self.strings(data, s0[ambiguous], s1[ambiguous], gram[ambiguous])
+        return s0[repeat], s1[repeat], start, _Firsts(key, open_gram)
 
 
 def _results(docs: pa.Table, offsets, data, gone: np.ndarray, keep_bytes: bool) -> pa.Table:
-    total = np.concatenate(([0], np.cumsum(gone)))
+    total = np.zeros(len(gone) + 1, dtype=np.int32)  # a bucket is far below 2**31 bytes
+    np.cumsum(gone, out=total[1:])
     begin = gone.copy()
     begin[1:] &= ~gone[:-1]
     edge = offsets[:-1][np.diff(offsets) > 0]
     begin[edge] = gone[edge]
-    spans = np.concatenate(([0], np.cumsum(begin)))
+    spans = np.zeros(len(gone) + 1, dtype=np.int32)
+    np.cumsum(begin, out=spans[1:])
     kept = [data[a:b][~gone[a:b]].tobytes() if total[b] > total[a] else data[a:b].tobytes()
             for a, b in zip(offsets[:-1], offsets[1:])]
     return pa.table([docs.column("id"), pa.array(np.diff(offsets), pa.int64()),
@@ -242,7 +239,7 @@ def _results(docs: pa.Table, offsets, data, gone: np.ndarray, keep_bytes: bool)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 100,
-                 gram: int = 40, cells_per_anchor: int = 32, cell_bits: int = 24, bucket_bytes: int = 8 << 20,
+                 gram: int = 40, cells_per_anchor: int = 32, cell_bits: int = 24, bucket_bytes: int = 4 << 20,
                  entries_per_shard: int = 1 << 19, keep_bytes: bool = True) -> DataFrame:
     """Removes each byte covered by a ``width``-byte string that also starts
     earlier; strings are judged on the input and never cross documents.
@@ -262,7 +259,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = text_bytes(docs, text_col)
     anchors = 2 * total // (width - gram + 2) + 1
     plan = _Plan(width, gram, cell_bits, parts(anchors * cells_per_anchor, 1 << cell_bits),
-                 parts(anchors, 2 * entries_per_shard))
+                 parts(anchors, 2 * entries_per_shard), parts(total, 2 * entries_per_shard))
     frame = bucketed(docs, id_col, text_col, parts(total, bucket_bytes))
 
     def initial(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -287,7 +284,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if len(found[0]):
             *_, start, pairs = plan.refined(data, found, repeats.replies_of(reply, (_GRAM, _REGION)))
             doc, at = plan.where(ids, offsets, start)
-            rows = pairs.send(key[0].as_py(), _STRING, plan.shards, doc, at)
+            rows = pairs.send(key[0].as_py(), _STRING, plan.string_shards, doc, at)
         return repeats.table(rows, repeats.SEND_SCHEMA)
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -299,10 +296,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if len(found[0]):
             replies = repeats.replies_of(reply, (_GRAM, _REGION, _STRING))
             s0, s1, start, pairs = plan.refined(data, found, replies)
-            repeat, _ = pairs.answers(replies, _STRING, plan.shards)
-            starts = np.unique(np.concatenate((_ranges(s0, s1), start[repeat])))
-            if len(starts):
-                gone = tb.covered(starts, width, len(data))
+            repeat, _ = pairs.answers(replies, _STRING, plan.string_shards)
+            cover = np.zeros(len(data) + 1, dtype=np.int32)
+            for first, last in ((s0, s1), (start[repeat], start[repeat])):
+                np.add.at(cover, first, 1)
+                np.add.at(cover, last + width, -1)
+            gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         return _results(docs, offsets, data, gone, keep_bytes)
 
     by_bucket = frame.groupBy("bucket")

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes handled at a time where a temporary needs eight bytes per byte.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
