@@ -15,6 +15,7 @@ length and checksum.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from ibex.llm import chunks, textbytes as tb
 from ibex.llm.frames import parts, text_of
 
-#: Chunks whose ids a worker remembers; beyond it the memory starts anew.
-_MEMORY = 1 << 18
+#: Chunks whose ids a worker remembers in each of two generations: when the
+#: younger is full it becomes the older, so chunks in use stay known.
+_MEMORY = 1 << 19
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -46,7 +48,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memory: dict[str, np.ndarray] = {}
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -54,15 +57,20 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def encode(self, distinct: list[str]) -> list[np.ndarray]:
+    def encode(self, distinct: list[str]) -> list[bytes]:
+        """Ids of each chunk as little-endian 32-bit numbers."""
         if len(self.memory) > _MEMORY:
-            self.memory = {}
-        known = self.memory
+            self.memory, self.older = {}, self.memory
+        known, older = self.memory, self.older
         new = [c for c in distinct if c not in known]
+        if older:
+            known.update((c, older[c]) for c in new if c in older)
+            new = [c for c in new if c not in known]
         for i in range(0, len(new), 4096):
             some = new[i:i + 4096]
             for chunk, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[chunk] = np.array(found.ids, dtype="<u4")
+                ids = found.ids
+                known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
         return [known[c] for c in distinct]
 
     def ids(self, column) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +79,8 @@ class Encoder:
         offsets, data = tb.buffers(column)
         distinct, place, first = chunks.distinct_chunks(offsets, data, chunks.at_word_starts(data))
         pool = self.encode(distinct.to_pylist())
-        size = np.array([len(x) for x in pool], dtype=np.int64)
-        flat = np.concatenate(pool) if pool else np.empty(0, dtype="<u4")
+        size = np.array([len(x) // 4 for x in pool], dtype=np.int64)
+        flat = np.frombuffer(b"".join(pool), dtype="<u4")
         begin = np.cumsum(size) - size
         each = size[place]
         upto = np.append(0, np.cumsum(each))
@@ -80,14 +88,24 @@ class Encoder:
         return out, upto[first]
 
 
+def _parts(batch: pa.RecordBatch, size: int = 12 << 20):
+    """Runs of rows with about ``size`` bytes of text: long enough that most
+    chunks repeat, short enough to bound the ids held at a time."""
+    offsets, _ = tb.buffers(batch.column("text"))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_col: str, end_id: int = 0) -> DataFrame:
     """Full windows and remainders of every document, as ``PIECES``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # bounds the ids held at a time
-                part = batch.slice(at, 512)
+            for part in _parts(batch):
                 ids, first = encoder.ids(part.column("text"))
                 rows, start, length, crc, total = [], [], [], [], []
                 end = np.array([end_id], dtype="<u4").tobytes()
