@@ -3,21 +3,27 @@
 A document's set holds its distinct ``shingle``-word shingles.  Documents
 with equal sets form a class, and one signature per class (``coordinates``
 minwise tokens) goes on.  Several independent trees branch the classes: at
-each node ``branches`` coordinates are chosen, and a class goes to the child
-named by the minwise token it has there.  Two sets of similarity 0.75 share
-each chosen token with that probability, so every tree keeps most pairs
-together and the trees together miss about one pair in 10**7.
-
-1. In each node all classes are compared with the smallest id: links of this
-   kind already connect most groups of copies, however large, in linear work.
+its root a tree chooses one coordinate of its own, at each node below
+``branches`` of them, and a class goes to the child named by the minwise token
+it has there.  Two sets of similarity 0.75 share each chosen token with that
+probability, so every tree keeps most pairs together; eight roots together
+miss such a pair with probability 2 in 10**5, and more similar pairs less.
+
+1. In the nodes of a few roots every class is paired with the class most like
+   it, and with the class most like all (the original, in a group of copies).
+   These few pairs already connect most groups of copies, however large.
 2. Nodes whose classes are all connected are finished.  Other nodes of up to
-   ``node_limit`` classes are compared exhaustively (pairs that are connected
-   already are skipped); larger ones branch again, down to ``max_depth``.
-   What is still large there is almost one group of copies: its largest
-   component is dealt over several tasks, and the other classes go to each.
-
-Pairs whose signatures agree enough are confirmed on the full sets.  The sets
-of the documents involved are made where the texts are read.
+   ``node_limit`` classes are compared exhaustively; pairs that are connected
+   already, or that another exhaustive node compares, are skipped.  Larger
+   nodes branch again, down to ``max_depth``.  What is still large there is
+   almost one group of copies: its largest component is dealt over several
+   tasks, and the other classes go to each.  Pairs whose signatures agree are
+   looked at once more through sketches of their sets (the ``sketch`` smallest
+   32-bit hashes: the whole set, for most documents), so that few pairs leave a
+   node that are no links.
+
+Every link is confirmed on the full sets.  Sets and sketches of the documents
+involved are made where the texts are read.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ibex.llm import textbytes as tb
 from ibex.llm.components import connected_components
-from ibex.llm.frames import checkpointed, text_of
+from ibex.llm.frames import checkpointed, parts, text_of, without
 
 _U = np.uint64
 #: Bits of the filter that spares documents of no candidate pair (2 MB).
@@ -62,51 +68,74 @@ def _multipliers(n: int) -> np.ndarray:
     return tb.mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-def minwise(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
-    """One row of minwise tokens per set (sets must not be empty)."""
+#: A pair with a smaller share of the first coordinates in common is ruled out
+#: (over five standard deviations under 0.75), and how many coordinates those are.
+_QUICK, _QUICK_SHARE = 64, 0.45
+#: Roots whose nodes give the first pairs; the exhaustive step looks at all.
+_FIRST_ROOTS = 3
+
+
+def minwise(sets: list[np.ndarray], coordinates: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise tokens of each set (none is empty): the first ``whole`` as 32
+    bits, the others as the low byte of the token."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     begin = np.cumsum(size) - size
-    out = np.empty((len(sets), coordinates), dtype=np.uint32)
+    first = np.empty((len(sets), whole), dtype=np.uint32)
+    rest = np.empty((len(sets), coordinates - whole), dtype=np.uint8)
     for i, m in enumerate(_multipliers(coordinates)):
-        out[:, i] = np.minimum.reduceat((flat * m) >> _U(32), begin)
-    return out
+        token = np.minimum.reduceat((flat * m) >> _U(32), begin)
+        if i < whole:
+            first[:, i] = token
+        else:
+            rest[:, i - whole] = tb.mix(token) & _U(255)
+    return first, rest
 
 
 def _children(node: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
     return tb.mix(tb.mix(node ^ (coordinate.astype(_U) * _SALT)) + token.astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many columns each row of ``a`` equals each row of ``b``."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for c in range(a.shape[1]):
+        out += a[:, c][:, None] == b[:, c][None, :]
+    return out
 
 
-def _matrix(column, coordinates: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, coordinates)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 class NearDedup:
     """The join's parameters; see :func:`near_dedup`."""
 
-    def __init__(self, shingle=5, percent=75, coordinates=64, trees=8, branches=2, node_limit=256, max_depth=6,
-                 estimate=0.5, pairs_per_set=64):
-        if trees * branches > coordinates:
-            raise ValueError("the trees' first coordinates must differ: trees * branches is at most coordinates")
+    def __init__(self, shingle=5, percent=75, coordinates=256, trees=8, branches=2, node_limit=2048, max_depth=6,
+                 estimate=0.63, sketch=512, sketch_estimate=0.665, pairs_per_set=64):
+        if trees + _QUICK > coordinates:
+            raise ValueError(f"coordinates is at least trees + {_QUICK}")
         self.shingle, self.percent, self.coordinates = shingle, percent, coordinates
-        self.trees, self.branches, self.node_limit, self.max_depth = trees, branches, node_limit, max_depth
+        self.roots, self.branches, self.node_limit, self.max_depth = trees, branches, node_limit, max_depth
         self.least_equal = int(np.ceil(estimate * coordinates))
-        self.pairs_per_set = pairs_per_set
+        self.sketch, self.sketch_estimate, self.pairs_per_set = sketch, sketch_estimate, pairs_per_set
+
+    def tokens(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of a binary column: 32-bit tokens, one-byte tokens."""
+        raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+        whole = 4 * self.roots
+        return np.ascontiguousarray(raw[:, :whole]).view(np.uint32), np.ascontiguousarray(raw[:, whole:])
 
     # --- signatures and classes ---
 
     def signatures(self, docs: DataFrame) -> DataFrame:
         """Per document (id, text): set size, 128-bit fingerprint of the set,
         signature and root nodes; the last three null for an empty set."""
-        shingle, coordinates, trees, branches = self.shingle, self.coordinates, self.trees, self.branches
+        shingle, coordinates, n_roots = self.shingle, self.coordinates, self.roots
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = np.arange(trees * branches)
-            tree = tb.mix((at // branches + 1).astype(_U))
+            at = np.arange(n_roots)
+            tree = tb.mix((at + 1).astype(_U))
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
                     part = batch.slice(lo, 512)
@@ -115,12 +144,12 @@ class NearDedup:
                     some = np.flatnonzero(size)
                     hi, low, sig, roots = ([None] * len(sets) for _ in range(4))
                     if len(some):
-                        signature = minwise([sets[i] for i in some], coordinates)
-                        root = _children(tree[None, :], at[None, :], signature[:, at]).view(np.int64)
+                        first, rest = minwise([sets[i] for i in some], coordinates, n_roots)
+                        root = _children(tree[None, :], at[None, :], first).view(np.int64)
                         for row, i in enumerate(some.tolist()):
                             hi[i] = int(tb.mix(sets[i]).sum(dtype=_U).view(np.int64))
                             low[i] = int(tb.mix(sets[i] ^ _SALT).sum(dtype=_U).view(np.int64))
-                            sig[i] = signature[row].tobytes()
+                            sig[i] = first[row].tobytes() + rest[row].tobytes()
                             roots[i] = root[row].tolist()
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id"), pa.array(size), pa.array(hi, pa.int64()), pa.array(low, pa.int64()),
@@ -131,90 +160,133 @@ class NearDedup:
 
     # --- candidate pairs ---
 
-    def _alike(self, pairs: DataFrame, signs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose signatures agree in enough coordinates."""
-        coordinates, least = self.coordinates, self.least_equal
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    same = (_matrix(batch.column("sa"), coordinates) == _matrix(batch.column("sb"), coordinates)).sum(axis=1)
-                    yield batch.filter(pa.array(same >= least)).select(["a", "b"])
-
-        both = (pairs.join(signs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-                .join(signs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a"))
-        return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
-
     def _branch(self, members: DataFrame, signs: DataFrame) -> DataFrame:
-        """Members (node, id) of large nodes, moved to the nodes' children."""
-        coordinates, branches = self.coordinates, self.branches
+        """Members (node, root, id) of large nodes, moved to the nodes'
+        children."""
+        branches = self.branches
 
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 node = batch.column("node").to_numpy().view(_U)
-                sig = _matrix(batch.column("sig"), coordinates)
+                _, rest = self.tokens(batch.column("sig"))
                 for j in range(branches):
-                    at = (tb.mix(node + _U(j + 1)) % _U(coordinates)).astype(np.int64)
-                    child = _children(node + _U(j + 1), at, sig[np.arange(len(at)), at])
-                    yield pa.RecordBatch.from_arrays([_signed(child), batch.column("id")], names=["node", "id"])
-
-        return members.join(signs.select("id", "sig"), "id").select("node", "id", "sig").mapInArrow(move, "node long, id long")
-
-    def _compare_nodes(self, rows: DataFrame) -> DataFrame:
-        """All pairs of different components in each group of (node, salt),
-        ``wide`` rows against all and others against ``wide`` ones only."""
-        coordinates, least = self.coordinates, self.least_equal
-
-        def compare(group: pa.Table) -> pa.Table:
-            ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
-            wide = group.column("wide").to_numpy(zero_copy_only=False).astype(bool)
-            sig = _matrix(group.column("sig"), coordinates)
-            a, b = [], []
-            mine = np.flatnonzero(wide)
-            step = max(1, (1 << 22) // (len(ids) * coordinates))
-            for lo in range(0, len(mine), step):
-                some = mine[lo:lo + step]
-                same = np.zeros((len(some), len(ids)), dtype=np.uint8)
-                for c in range(coordinates):
-                    same += sig[some, c][:, None] == sig[None, :, c]
-                x, y = np.nonzero((same >= least) & (comp[some][:, None] != comp[None, :]))
-                a.append(ids[some[x]])
-                b.append(ids[y])
-            a, b = (np.concatenate(v) if v else np.empty(0, dtype=np.int64) for v in (a, b))
-            return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        return rows.groupBy("node", "salt").applyInArrow(compare, "a long, b long").distinct()
+                    at = (tb.mix(node + _U(j + 1)) % _U(rest.shape[1])).astype(np.int64)
+                    child = _children(node + _U(j + 1), at, rest[np.arange(len(at)), at])
+                    yield pa.RecordBatch.from_arrays([_signed(child), batch.column("root"), batch.column("id")], names=["node", "root", "id"])
+
+        return (members.join(signs, "id").select("node", "root", "id", "sig")
+                .mapInArrow(move, "node long, root int, id long"))
+
+    def _each_node(self, rows: DataFrame, signs: DataFrame, work, rows_per_task: int = 1 << 13) -> DataFrame:
+        """Pairs (a, b) from ``work(columns, first, rest)`` on the rows of each
+        (node, salt); small nodes share a task.  ``signs`` has the signatures,
+        and the sketches if ``work`` looks at them."""
+        n_tasks = parts(rows.count(), rows_per_task)
+        rows = rows.withColumn("task", F.pmod(F.xxhash64("node", "salt"), F.lit(n_tasks)).cast("int")).join(signs, "id")
+
+        def run(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("node", "ascending"), ("salt", "ascending"), ("id", "ascending")])
+            columns = {c: group.column(c).to_numpy(zero_copy_only=False) for c in group.column_names if c not in ("sig", "task")}
+            first, rest = self.tokens(group.column("sig"))
+            node, salt = columns["node"], columns["salt"]
+            begin = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (salt[1:] != salt[:-1])))
+            out = [np.empty((0, 2), dtype=np.int64)]
+            for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(node)).tolist()):
+                if hi - lo > 1:
+                    out.append(work({c: v[lo:hi] for c, v in columns.items()}, first[lo:hi], rest[lo:hi]))
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        return rows.groupBy("task").applyInArrow(run, "a long, b long").distinct()
+
+    def _closest(self, columns: dict, first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Each class with the one most like it and the one most like all."""
+        ids, quick, n = columns["id"], rest[:, :_QUICK], len(rest)
+        best, likeness = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for lo in range(0, n, 256):
+            same = _equal(quick[lo:lo + 256], quick)
+            same[np.arange(len(same)), np.arange(lo, lo + len(same))] = 0
+            best[lo:lo + 256], likeness[lo:lo + 256] = same.argmax(axis=1), same.sum(axis=1, dtype=np.int64)
+        own, centre = np.arange(n), np.full(n, likeness.argmax())
+        x, y = np.append(own, own), np.append(best, centre)
+        ok = (x != y) & (self._agreement(x, y, first, rest) >= self.least_equal)
+        return np.column_stack([ids[x[ok]], ids[y[ok]]])
+
+    def _agreement(self, x, y, first, rest) -> np.ndarray:
+        out = np.empty(len(x), dtype=np.int64)
+        for lo in range(0, len(x), 1 << 14):
+            i, j = x[lo:lo + (1 << 14)], y[lo:lo + (1 << 14)]
+            out[lo:lo + len(i)] = (first[i] == first[j]).sum(axis=1) + (rest[i] == rest[j]).sum(axis=1)
+        return out
+
+    def _across(self, columns: dict, first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """All pairs of different components that agree enough: ``wide`` rows
+        against all.  A pair that an exhaustive root node (a bit in
+        ``compared``) compares as well is left to the first such node."""
+        ids, comp, quick = columns["id"], columns["component"], rest[:, :_QUICK]
+        root, deep, compared = int(columns["root"][0]), bool(columns["deep"][0]), columns["compared"]
+        earlier = np.arange(self.roots) if deep else np.arange(root)
+        wide, out = np.flatnonzero(columns["wide"]), [np.empty((0, 2), dtype=np.int64)]
+        step = max(1, (1 << 22) // len(ids))
+        for lo in range(0, len(wide), step):
+            some = wide[lo:lo + step]
+            x, y = np.nonzero((_equal(quick[some], quick) >= int(_QUICK_SHARE * _QUICK)) & (comp[some][:, None] != comp[None, :]))
+            x = some[x]
+            ok = ~(columns["wide"][y] & (x > y))  # once, where both are wide
+            x, y = x[ok], y[ok]
+            if len(earlier) and len(x):
+                again = np.zeros(len(x), dtype=bool)
+                for c in earlier.tolist():
+                    again |= (first[x, c] == first[y, c]) & ((compared[x] >> c) & 1 == 1)
+                x, y = x[~again], y[~again]
+            ok = self._agreement(x, y, first, rest) >= self.least_equal
+            x, y = x[ok], y[ok]
+            ok = np.array([self._similar(columns["sketch"][i], columns["sketch"][j]) for i, j in zip(x, y)], dtype=bool)
+            out.append(np.column_stack([ids[x[ok]], ids[y[ok]]]))
+        return np.concatenate(out)
+
+    def _similar(self, a: bytes, b: bytes) -> bool:
+        """Whether two sketches may belong to linked sets.  A sketch that is
+        not full is its whole set, and the similarity is then exact but for
+        equal 32-bit hashes, for which one percent is allowed."""
+        a, b = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+        if len(a) < self.sketch and len(b) < self.sketch:
+            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+            return 100 * both >= (self.percent - 1) * (len(a) + len(b) - both)
+        union = np.union1d(a, b)[:self.sketch]
+        return len(np.intersect1d(np.intersect1d(union, a), b)) >= self.sketch_estimate * len(union)
 
     def _mixed(self, members: DataFrame, component: DataFrame) -> DataFrame:
-        """Members (node, id, component, size) of nodes that hold more than
-        one component."""
-        named = members.join(component, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+        """Members (node, root, id, component, size) of nodes that hold more
+        than one component."""
+        named = members.join(component, "id", "left").select("node", "root", "id", F.coalesce("component", "id").alias("component"))
         sizes = (named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
                  .where("lo < hi").select("node", "size"))
         return checkpointed(named.join(sizes, "node"))
 
     # --- confirmation ---
 
-    def _confirmed(self, pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        shingle, percent = self.shingle, self.percent
-        pairs = checkpointed(pairs)
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = checkpointed(wanted.join(reps.select("id", "hi"), "id"))
+    def _made(self, docs: DataFrame, reps: DataFrame, ids: DataFrame, sketch: bool) -> DataFrame:
+        """(id, members): the set of each id, or its sketch, made in a scan of
+        the texts.  A bit filter of fixed size spares most other documents."""
+        shingle, size = self.shingle, self.sketch
+        wanted = checkpointed(ids.join(reps.select("id", "hi"), "id"))
         bit = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-        marks = (wanted.groupBy(F.bitmap_bucket_number(bit).alias("k"))
+        bucket, first = F.bitmap_bucket_number(bit), F.bitmap_bucket_number(F.lit(0).cast("long"))
+        marks = (wanted.groupBy((bucket - first).alias("k"))
                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect())  # 2 MB at most
         filled = np.zeros(_FILTER_BITS // 8 + 4096, dtype=np.uint8)
-        base = 4096 * min((r.k for r in marks), default=0)
-        first = int(docs.sparkSession.range(1).select(F.bitmap_bucket_number(F.lit(0).cast("long"))).first()[0])
-        del base
         for r in marks:
-            at = 4096 * (r.k - first)
-            filled[at:at + 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+            filled[4096 * r.k:4096 * (r.k + 1)] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
         shared = docs.sparkSession.sparkContext.broadcast(filled)
-        position = F.bitmap_bit_position(bit) + (F.bitmap_bucket_number(bit) - F.lit(first)) * 32768
+        position = F.bitmap_bit_position(bit) + (bucket - first) * 32768
+
+        def packed(members: np.ndarray) -> bytes:
+            if not sketch:
+                return members.tobytes()
+            return np.unique((tb.mix(members ^ _SALT) >> _U(32)).astype(np.uint32))[:size].tobytes()
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = shared.value
@@ -226,11 +298,19 @@ class NearDedup:
                     sets = shingle_sets(part.column("text"), shingle)
                     hi = [int(tb.mix(s).sum(dtype=_U).view(np.int64)) for s in sets]
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hi, pa.int64()),
-                                                      pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hi", "members"])
+                                                      pa.array([packed(s) for s in sets], pa.binary())], names=["id", "hi", "members"])
 
-        sets = (docs.where(F.col("id").isNotNull()).select("id", "text", position.cast("long").alias("position"))
+        return (docs.where(F.col("id").isNotNull()).select("id", "text", position.cast("long").alias("position"))
                 .mapInArrow(make, "id long, hi long, members binary")
                 .join(wanted, ["id", "hi"]).select("id", "members").dropDuplicates(["id"]))
+
+    def _confirmed(self, pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough.  A set with
+        many partners is copied once for every ``pairs_per_set`` of them."""
+        percent = self.percent
+        pairs = checkpointed(pairs)
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = self._made(docs, reps, ids, False)
         counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / self.pairs_per_set).alias("salts"))
         salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
         left = salted.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
@@ -256,29 +336,37 @@ class NearDedup:
         classes = checkpointed(signed.where("n > 0").groupBy("hi", "low")
                                .agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("roots").alias("roots")))
         reps = classes.where("id IS NOT NULL")
-        roots = reps.select(F.explode("roots").alias("node"), "id")
-        sizes = roots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-        members = checkpointed(roots.join(sizes.select("node", "first"), "node"))
-
-        # links with the smallest id of each node
-        star = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        links = self._confirmed(self._alike(star, reps), docs, reps)
+        placed = reps.select(F.posexplode("roots").alias("root", "node"), "id")
+        sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = checkpointed(placed.join(sizes, "node"))
+
+        # each class with those most like it; a large node is dealt over tasks
+        signs = reps.select("id", "sig")
+        dealt = members.where(F.col("root") < _FIRST_ROOTS).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / self.node_limit)))
+        near = self._each_node(dealt.select("node", "salt", "id"), signs, self._closest)
+        links = self._confirmed(near, docs, reps)
         links = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         component = checkpointed(connected_components(links))
 
         # the other pairs of nodes that hold more than one component
-        members, depth = members.select("node", "id"), 1
-        compared = None
+        small = members.where(F.col("size") <= self.node_limit)
+        compared = checkpointed(small.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, root)")).alias("compared")))
+        members, depth, found = members.select("node", "root", "id"), 1, []
         while True:
             mixed = self._mixed(members, component)
-            small = mixed if depth >= self.max_depth else mixed.where(F.col("size") <= self.node_limit)
-            pairs = self._compare_nodes(self._grouped(small, depth, reps))
-            compared = pairs if compared is None else compared.unionByName(pairs)
-            large = mixed.where(F.col("size") > self.node_limit).select("node", "id")
+            now = mixed if depth >= self.max_depth else mixed.where(F.col("size") <= self.node_limit)
+            rows = self._grouped(now, depth).withColumn("deep", F.lit(depth > 1)).join(compared, "id", "left")
+            rows = checkpointed(rows.fillna({"compared": 0}))
+            sketches = self._made(docs, reps, rows.select("id").distinct(), True).withColumnRenamed("members", "sketch")
+            found.append(checkpointed(self._each_node(rows, signs.join(sketches, "id"), self._across)))
+            large = mixed.where(F.col("size") > self.node_limit).select("node", "root", "id")
             if depth >= self.max_depth or large.isEmpty():
                 break
-            members, depth = checkpointed(self._branch(large, reps)), depth + 1
-        more = self._confirmed(compared.distinct(), docs, reps)
+            members, depth = checkpointed(self._branch(large, signs)), depth + 1
+        pairs = found[0]
+        for more in found[1:]:
+            pairs = pairs.unionByName(more)
+        more = self._confirmed(pairs.distinct(), docs, reps)
         links = links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
         component = connected_components(links)
 
@@ -288,23 +376,21 @@ class NearDedup:
                 .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
                 .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
 
-    def _grouped(self, mixed: DataFrame, depth: int, reps: DataFrame) -> DataFrame:
-        """Rows (node, salt, id, component, wide, sig) to compare: one salt
+    def _grouped(self, mixed: DataFrame, depth: int) -> DataFrame:
+        """Rows (node, root, salt, id, component, wide) to compare: one salt
         for small nodes; in large ones the largest component is dealt over
         salts and the other rows are given to each."""
-        rows = mixed.withColumn("salt", F.lit(0)).withColumn("wide", F.lit(True))
-        if depth >= self.max_depth:
-            per = (mixed.where(F.col("size") > self.node_limit).groupBy("node", "component")
-                   .agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")))
-            most = (per.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
-                                            F.ceil(F.first("size") / self.node_limit).alias("salts")))
-            dealt = mixed.join(most, "node", "left")
-            salts = F.coalesce("salts", F.lit(1))
-            inside = F.col("component").eqNullSafe(F.col("largest"))
-            salt = F.when(inside, F.array(F.pmod(F.xxhash64("id"), salts))).otherwise(F.sequence(F.lit(0).cast("long"), salts - 1))
-            rows = dealt.withColumn("wide", ~inside).withColumn("salt", F.explode(salt))
-        return (rows.select("node", F.col("salt").cast("long").alias("salt"), "id", "component", "wide")
-                .join(reps.select("id", "sig"), "id"))
+        columns = ["node", "root", "salt", "id", "component", "wide"]
+        if depth < self.max_depth:
+            return mixed.withColumn("salt", F.lit(0).cast("long")).withColumn("wide", F.lit(True)).select(*columns)
+        per = (mixed.where(F.col("size") > self.node_limit).groupBy("node", "component")
+               .agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")))
+        most = (per.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
+                                        F.ceil(F.first("size") / self.node_limit).alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        inside = F.col("component").eqNullSafe(F.col("largest"))
+        salt = F.when(inside, F.array(F.pmod(F.xxhash64("id"), salts))).otherwise(F.sequence(F.lit(0).cast("long"), salts - 1))
+        return mixed.join(most, "node", "left").withColumn("wide", ~inside).withColumn("salt", F.explode(salt)).select(*columns)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -326,5 +412,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group."""
-    gone = near_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return without(docs, id_col, near_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select("id"))
