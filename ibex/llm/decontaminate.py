@@ -7,8 +7,14 @@
    a rotation to the leading ``rank`` directions.
 3. Every passage of every document is projected into that latent space; its
    cosine with each benchmark passage (over the full TF-IDF norm) selects
-   candidates.
-4. A candidate is verified on the words themselves: the longest common
+   candidates.  A benchmark passage keeps only part of its norm in ``rank``
+   directions and a short item is diluted by the passage's other words, so the
+   cosine alone misses copies.
+4. Every other candidate that could pass step 5 comes from counting words: a
+   common subsequence of ``need`` of an item's n words has at least h of its
+   n - need + h rarest ones, so the documents are searched for h of these in
+   one region.  No pair is lost by this, whatever the size of the benchmark.
+5. A candidate is verified on the words themselves: the longest common
    subsequence of the benchmark text and the document around the passage, and,
    for looser paraphrases, the benchmark's answer (its answer column, or its
    last sentence).
@@ -165,7 +171,7 @@ def _fit(items: DataFrame, idf: np.ndarray, rank: int, oversample: int, seed: in
                 np.add.at(y, row, weight[:, None] * shipped.value[np.searchsorted(features, feature)])
                 yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([r.tobytes() for r in y], pa.binary())], names=["item", "y"])
 
-    got = items.mapInArrow(project, "item int, y binary").collect()  # one block of the benchmark
+    got = sorted(items.mapInArrow(project, "item int, y binary").collect(), key=lambda r: r.item)  # one block of the benchmark
     passages = np.array([np.frombuffer(bytes(r.y), np.float64) for r in got]).reshape(len(got), basis.shape[1])
     passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
     return Latent(features, (basis * idf[features][:, None]).astype(np.float32), passages.astype(np.float32),
@@ -196,6 +202,7 @@ def _masks(words: list[int]) -> dict[int, int]:
 class Item:
     id: int
     words: np.ndarray
+    need: int
     masks: dict
     answer: list
     answer_masks: dict
@@ -206,17 +213,77 @@ def _last_sentence(text: str) -> str:
     return body.rpartition(".")[2]
 
 
-def _items(rows, min_answer: int) -> list[Item]:
+def _least(n: int, share: float) -> int:
+    """The fewest of ``n`` words (one at least) that reach ``share``."""
+    return next((k for k in range(1, n) if k / n >= share), n)
+
+
+def _items(rows, min_answer: int, share: float, paraphrase_share: float) -> list[Item]:
     out = []
     for r in rows:
         words = _words(pa.array([r.text or ""]))[1]
         answer = _words(pa.array([r.answer if r.answer is not None else _last_sentence(r.text or "")]))[1].tolist()
         if len(answer) < min_answer:
             answer = []
-        out.append(Item(r.id, words, _masks(words.tolist()), answer, _masks(answer)))
+        need = _least(len(words), min(share, paraphrase_share) if answer else share)
+        out.append(Item(r.id, words, need, _masks(words.tolist()), answer, _masks(answer)))
     return out
 
 
+@dataclass(frozen=True)
+class Postings:
+    """For each of the rare words (sorted hashes), from ``first`` on, the items
+    that have it; for each item how many of its rare words a match has, and its
+    length in words."""
+
+    words: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    hits: np.ndarray
+    size: np.ndarray
+
+
+#: Rare words of an item that a match has to have (fewer in short items): more
+#: give fewer false candidates, but count more frequent words.
+_HITS = 4
+
+
+def _postings(items: list[Item], idf: np.ndarray) -> Postings:
+    hits = np.array([min(_HITS, item.need) for item in items], dtype=np.int64)
+    of, rare = [], []
+    for k, item in enumerate(items):
+        rarest = np.argsort(-idf[_feature(item.words)], kind="stable")
+        some = np.unique(item.words[rarest[:len(item.words) - item.need + hits[k]]])
+        of.append(np.full(len(some), k))
+        rare.append(some)
+    of, rare = np.concatenate(of), np.concatenate(rare)
+    order = np.argsort(rare, kind="stable")
+    words, first = np.unique(rare[order], return_index=True)
+    return Postings(words, np.append(first, len(rare)), of[order], hits, np.array([len(item.words) for item in items]))
+
+
+def _counted(postings: Postings, hashes: np.ndarray, first: np.ndarray, maybe: np.ndarray, passage: int):
+    """(first hit, last hit, item) of every run of enough rare words of an item
+    that fits the region of a passage; ``maybe`` are the words to look at."""
+    empty = np.empty(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(postings.words, hashes[maybe]), len(postings.words) - 1)
+    found = postings.words[at] == hashes[maybe]
+    word, at = maybe[found], at[found]
+    if not len(word):
+        return empty, empty, empty
+    n = postings.first[at + 1] - postings.first[at]
+    item = postings.items[np.repeat(postings.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    key = np.sort(item * len(hashes) + np.repeat(word, n))
+    item, word = key // len(hashes), key % len(hashes)
+    last = np.arange(len(key)) + postings.hits[item] - 1
+    ok = np.flatnonzero(last < len(key))
+    ok = ok[item[last[ok]] == item[ok]]
+    a, b, item = word[ok], word[last[ok]], item[ok]
+    text = np.searchsorted(first, a, "right")
+    ok = (b - a < passage + 2 * postings.size[item]) & (b < first[text])
+    return a[ok], b[ok], item[ok]
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, *,
                        passage: int = 48, rank: int = 192, oversample: int = 16, cosine: float = 0.3, share: float = 0.75,
@@ -248,7 +315,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     found = None
     for block in range(n_blocks):
         rows = blocked.where(F.col("block") == block).collect()  # about block_items rows
-        items = [x for x in _items(sorted(rows, key=lambda r: (r.text, r.id is not None, r.id or 0)), min_answer) if len(x.words)]
+        items = [x for x in _items(sorted(rows, key=lambda r: (r.text, r.id is not None, r.id or 0)), min_answer, share, paraphrase_share) if len(x.words)]
         if not items:
             continue
         latent = _fit(_item_passages(docs.sparkSession, items, rows, passage), idf, rank, oversample, seed)
@@ -277,11 +344,12 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share,
     stride = passage // 2
     place = np.full(FEATURES, -1, dtype=np.int32)
     place[latent.features] = np.arange(len(latent.features))
-    shipped = docs.sparkSession.sparkContext.broadcast((items, latent, idf.astype(np.float32), place))
+    shipped = docs.sparkSession.sparkContext.broadcast((items, latent, idf.astype(np.float32), place, _postings(items, idf)))
 
     def candidates(first, hashes):
-        """(text, passage's first word, item, cosine) over the threshold."""
-        _, latent, idf, place = shipped.value
+        """(text, passage's first word, item, cosine): over the threshold, or
+        with enough of the item's words."""
+        _, latent, idf, place, postings = shipped.value
         n_blocks = -(-np.diff(first) // stride)
         block_first = np.append(0, np.cumsum(n_blocks))
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -305,12 +373,27 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share,
         more = np.append(text[1:] == text[:-1], False)[:total]
         vector[more] += vector[np.flatnonzero(more) + 1]
         square[more] += square[np.flatnonzero(more) + 1]
+        span = np.searchsorted(latent.item_of, np.arange(len(postings.size) + 1))
         similar = (vector @ latent.passages.T) / np.sqrt(np.maximum(square, 1e-12))[:, None].astype(np.float32)
         x, y = np.nonzero(similar >= cosine)
         best = {}
         for b, k, c in zip(x.tolist(), latent.item_of[y].tolist(), similar[x, y].tolist()):
             if c > best.get((b, k), -1.0):
                 best[b, k] = c
+        # the passages in whose region a run of rare words lies
+        a, z, item = _counted(postings, hashes, first, known, passage)
+        of = np.searchsorted(first, a, "right") - 1
+        a, z, n = a - first[of], z - first[of], postings.size[item]
+        lo = np.maximum(-(-(z - passage - n + 1) // stride), 0)
+        hi = np.minimum((a + n) // stride, n_blocks[of] - 1)
+        many = np.maximum(hi - lo + 1, 0)
+        b = np.repeat(block_first[of] + lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        b, k = np.divmod(np.unique(b * len(postings.size) + np.repeat(item, many)), len(postings.size))
+        highest = np.full(len(b), -1.0)
+        for j in range(int(np.diff(span).max())):
+            highest = np.maximum(highest, similar[b, np.minimum(span[k] + j, span[k + 1] - 1)])
+        for b, k, c in zip(b.tolist(), k.tolist(), highest.tolist()):
+            best.setdefault((b, k), c)
         for (b, k), c in best.items():
             yield int(text[b]), int(first[text[b]] + (b - block_first[text[b]]) * stride), k, c
 
@@ -325,10 +408,9 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share,
                 for row, at, k, c in candidates(first, hashes):
                     item = items[k]
                     n = len(item.words)
-                    near = hashes[max(first[row], at - n):min(first[row + 1], at + passage + n)]
-                    if np.isin(item.words, near).sum() < paraphrase_share * n:
+                    near = hashes[max(first[row], at - n):min(first[row + 1], at + passage + n)].tolist()
+                    if sum(item.masks[w].bit_count() for w in item.masks.keys() & set(near)) < item.need:
                         continue  # at least the length of any common subsequence
-                    near = near.tolist()
                     part_of = common_subsequence(item.masks, n, near) / n
                     answered = bool(item.answer) and common_subsequence(item.answer_masks, len(item.answer), near) == len(item.answer)
                     if part_of >= share or (part_of >= paraphrase_share and answered):
