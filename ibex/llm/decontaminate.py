@@ -200,7 +200,8 @@ def _masks(words: list[int]) -> dict[int, int]:
 
 @dataclass(frozen=True)
 class Item:
-    id: int
+    key: int
+    text: str
     words: np.ndarray
     need: int
     masks: dict
@@ -226,7 +227,7 @@ def _items(rows, min_answer: int, share: float, paraphrase_share: float) -> list
         if len(answer) < min_answer:
             answer = []
         need = _least(len(words), min(share, paraphrase_share) if answer else share)
-        out.append(Item(r.id, words, need, _masks(words.tolist()), answer, _masks(answer)))
+        out.append(Item(r.key, r.text, words, need, _masks(words.tolist()), answer, _masks(answer)))
     return out
 
 
@@ -296,14 +297,17 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     Null and empty texts and items have no words and are in no pair.  Rows
     with equal or null ids are searched one by one and give equal pairs once.
-    Items with equal texts are found together; null item ids give null.  Other
-    columns are ignored, whatever their names.  An empty table on either side
+    Items with equal texts and answers are searched once and found together;
+    items with equal or null ids are each searched by their own text and give
+    one pair of that id (or null).  Other columns are ignored, whatever their names.  An empty table on either side
     gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    asked = checkpointed(benchmark.select(F.col(item_id_col).cast("long").alias("id"), text_of(item_text_col).alias("text"), answer.alias("answer"))
-                         .where(F.length(F.trim("text")) > 0))
+    named = (benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), text_of(item_text_col).alias("text"), answer.alias("answer"))
+             .where(F.length(F.trim("text")) > 0).distinct())
+    # equal items are one, found by its key; the key's ids are joined to what is found
+    asked = checkpointed(named.select("text", "answer").distinct().withColumn("key", F.monotonically_increasing_id()))
     n_items = asked.count()
     schema = "id long, item_id long, cosine double, share double, answer boolean"
     if not n_items:
@@ -311,28 +315,31 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     frequency, n_docs = document_frequency(docs)
     idf = np.log((n_docs + 1.0) / (frequency + 1.0)) + 1e-3
     n_blocks = -(-n_items // block_items)
-    blocked = asked.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n_blocks)))
+    blocked = asked.withColumn("block", F.pmod(F.xxhash64("text", "answer"), F.lit(n_blocks)))
     found = None
     for block in range(n_blocks):
         rows = blocked.where(F.col("block") == block).collect()  # about block_items rows
-        items = [x for x in _items(sorted(rows, key=lambda r: (r.text, r.id is not None, r.id or 0)), min_answer, share, paraphrase_share) if len(x.words)]
+        items = [x for x in _items(sorted(rows, key=lambda r: (r.text, r.answer is not None, r.answer or "")), min_answer, share, paraphrase_share) if len(x.words)]
         if not items:
             continue
-        latent = _fit(_item_passages(docs.sparkSession, items, rows, passage), idf, rank, oversample, seed)
-        one = _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share, schema)
+        latent = _fit(_item_passages(docs.sparkSession, items, passage), idf, rank, oversample, seed)
+        one = _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    return found.groupBy("id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("share").alias("share"), F.max("answer").alias("answer"))
+    same = named["text"].eqNullSafe(asked["text"]) & named["answer"].eqNullSafe(asked["answer"])
+    ids = named.join(asked, same).select("key", "item_id")
+    # items of one id that a document has give one pair
+    found = found.groupBy("id", "key").agg(F.max("cosine").alias("cosine"), F.max("share").alias("share"), F.max("answer").alias("answer"))
+    return found.join(ids, "key").groupBy("id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("share").alias("share"), F.max("answer").alias("answer"))
 
 
-def _item_passages(spark, items: list[Item], rows, passage: int) -> DataFrame:
+def _item_passages(spark, items: list[Item], passage: int) -> DataFrame:
     """(item, text) of the items' passages: long items in overlapping cuts."""
-    texts = {r.id: r.text for r in rows}
     out = []
     for k, item in enumerate(items):
         words = bytes(_SEPARATOR.astype(np.uint8))
-        parts = texts[item.id].encode().translate(bytes(32 if words[c] else c for c in range(256))).split()
+        parts = item.text.encode().translate(bytes(32 if words[c] else c for c in range(256))).split()
         for at in range(0, max(1, len(parts) - passage // 2), passage):
             # the last cut takes what would be less than half a passage
             end = len(parts) if len(parts) - at < passage + passage // 2 + 1 else at + passage
@@ -340,7 +347,7 @@ def _item_passages(spark, items: list[Item], rows, passage: int) -> DataFrame:
     return spark.createDataFrame(out, "item int, text string").repartition(max(1, len(out) // 256))
 
 
-def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share, schema) -> DataFrame:
+def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share) -> DataFrame:
     stride = passage // 2
     place = np.full(FEATURES, -1, dtype=np.int32)
     place[latent.features] = np.arange(len(latent.features))
@@ -414,13 +421,13 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share,
                     part_of = common_subsequence(item.masks, n, near) / n
                     answered = bool(item.answer) and common_subsequence(item.answer_masks, len(item.answer), near) == len(item.answer)
                     if part_of >= share or (part_of >= paraphrase_share and answered):
-                        got.append((ids[lo + row].as_py(), item.id, c, part_of, answered))
+                        got.append((ids[lo + row].as_py(), item.key, c, part_of, answered))
                 if got:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(v, t) for v, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))],
-                        names=["id", "item_id", "cosine", "share", "answer"])
+                        names=["id", "key", "cosine", "share", "answer"])
 
-    return docs.mapInArrow(search, schema)
+    return docs.mapInArrow(search, "id long, key long, cosine double, share double, answer boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 from ibex.llm import decontaminate as dc
 
+from .conftest import _sentence
 from .test_models import words
 
 
@@ -49,3 +50,23 @@ def test_many_items_short_ones_included(spark):
     # an item's words are one sentence, so its answer would be the whole of it
     got = dc.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), table, min_answer=1000)
     assert {(r.id, r.item_id) for r in got.collect()} == want
+
+
+def test_items_with_null_and_repeated_ids(spark):
+    items = [_sentence(50 + k, 30) for k in range(8)]
+    docs = [(k, _sentence(90 + k, 40) + " " + t + " " + _sentence(70 + k, 40)) for k, t in enumerate(items)]
+    ids = [None, None, 3, 3, 3, 4, 5, 6]
+    table = spark.createDataFrame([*zip(ids, items), (9, items[7]), *[(6, items[7])] * 50], "item_id long, text string")
+    want = {(k, i) for k, i in enumerate(ids)} | {(7, 9)}
+    got = dc.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert len(got) == len(want) and {(r.id, r.item_id) for r in got} == want
+
+
+def test_equal_items_are_sent_to_the_driver_once(spark, monkeypatch):
+    seen = []
+    made = dc._items
+    monkeypatch.setattr(dc, "_items", lambda rows, *a: seen.append(len(rows)) or made(rows, *a))
+    text = _sentence(50, 30)
+    table = spark.createDataFrame([(k, text) for k in range(300)], "item_id long, text string")
+    got = dc.contaminated_pairs(spark.createDataFrame([(1, text)], "doc_id long, text string"), table)
+    assert {r.item_id for r in got.collect()} == set(range(300)) and seen == [1]
