@@ -16,8 +16,12 @@ miss such a pair with probability 2 in 10**5, and more similar pairs less.
    ``node_limit`` classes are compared exhaustively; pairs that are connected
    already, or that another exhaustive node compares, are skipped.  Larger
    nodes branch again, down to ``max_depth``.  What is still large there is
-   almost one group of copies: its largest component is dealt over several
-   tasks, and the other classes go to each.  Pairs whose signatures agree are
+   one group of copies, or many classes with a shared passage: its rows are
+   dealt to blocks of about ``block_rows``, and a task compares two blocks, so
+   that each pair of blocks is compared once.  (Branching on would cost more:
+   two children with a part s of the node each have 2 s**2 of its pairs, and
+   more than all of them if s is over 0.71.)  The largest component has blocks
+   of its own, which are not compared among themselves.  Pairs whose signatures agree are
    looked at once more through sketches of their sets (the ``sketch`` smallest
    32-bit hashes: the whole set, for most documents), so that few pairs leave a
    node that are no links.
@@ -112,13 +116,14 @@ class NearDedup:
     """The join's parameters; see :func:`near_dedup`."""
 
     def __init__(self, shingle=5, percent=75, coordinates=256, trees=8, branches=2, node_limit=2048, max_depth=6,
-                 estimate=0.63, sketch=512, sketch_estimate=0.665, pairs_per_set=64):
+                 estimate=0.63, sketch=512, sketch_estimate=0.665, pairs_per_set=64, block_rows=None):
         if trees + _QUICK > coordinates:
             raise ValueError(f"coordinates is at least trees + {_QUICK}")
         self.shingle, self.percent, self.coordinates = shingle, percent, coordinates
         self.roots, self.branches, self.node_limit, self.max_depth = trees, branches, node_limit, max_depth
         self.least_equal = int(np.ceil(estimate * coordinates))
         self.sketch, self.sketch_estimate, self.pairs_per_set = sketch, sketch_estimate, pairs_per_set
+        self.block_rows = 2 * node_limit if block_rows is None else block_rows
 
     def tokens(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of a binary column: 32-bit tokens, one-byte tokens."""
@@ -223,17 +228,18 @@ class NearDedup:
 
     def _across(self, columns: dict, first: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """All pairs of different components that agree enough: ``wide`` rows
-        against all.  A pair that an exhaustive root node (a bit in
+        against all, or against the others only (``apart``).  A pair that an exhaustive root node (a bit in
         ``compared``) compares as well is left to the first such node."""
         ids, comp, quick = columns["id"], columns["component"], rest[:, :_QUICK]
         root, deep, compared = int(columns["root"][0]), bool(columns["deep"][0]), columns["compared"]
         earlier = np.arange(self.roots) if deep else np.arange(root)
         wide, out = np.flatnonzero(columns["wide"]), [np.empty((0, 2), dtype=np.int64)]
-        step = max(1, (1 << 22) // len(ids))
+        other = np.flatnonzero(~columns["wide"]) if columns["apart"][0] else np.arange(len(ids))
+        step = max(1, (1 << 22) // max(len(other), 1))
         for lo in range(0, len(wide), step):
             some = wide[lo:lo + step]
-            x, y = np.nonzero((_equal(quick[some], quick) >= int(_QUICK_SHARE * _QUICK)) & (comp[some][:, None] != comp[None, :]))
-            x = some[x]
+            x, y = np.nonzero((_equal(quick[some], quick[other]) >= int(_QUICK_SHARE * _QUICK)) & (comp[some][:, None] != comp[other][None, :]))
+            x, y = some[x], other[y]
             ok = ~(columns["wide"][y] & (x > y))  # once, where both are wide
             x, y = x[ok], y[ok]
             if len(earlier) and len(x):
@@ -377,20 +383,27 @@ class NearDedup:
                 .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
 
     def _grouped(self, mixed: DataFrame, depth: int) -> DataFrame:
-        """Rows (node, root, salt, id, component, wide) to compare: one salt
-        for small nodes; in large ones the largest component is dealt over
-        salts and the other rows are given to each."""
-        columns = ["node", "root", "salt", "id", "component", "wide"]
+        """Rows (node, root, salt, id, component, wide, apart) to compare: one
+        salt for small nodes.  The rows of large ones are dealt to blocks, those
+        of the largest component to the last blocks; a salt is a pair of blocks
+        (the first one ``wide``) or a block with itself."""
+        columns = ["node", "root", "salt", "id", "component", "wide", "apart"]
         if depth < self.max_depth:
-            return mixed.withColumn("salt", F.lit(0).cast("long")).withColumn("wide", F.lit(True)).select(*columns)
+            return mixed.select("*", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("wide"), F.lit(False).alias("apart")).select(*columns)
         per = (mixed.where(F.col("size") > self.node_limit).groupBy("node", "component")
                .agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")))
-        most = (per.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
-                                        F.ceil(F.first("size") / self.node_limit).alias("salts")))
-        salts = F.coalesce("salts", F.lit(1))
+        most = (per.groupBy("node").agg(F.max(F.struct("n", "component")).alias("most"), F.first("size").alias("all"))
+                .select("node", F.col("most.component").alias("largest"), F.ceil(F.col("most.n") / self.block_rows).alias("inner"),
+                        F.ceil((F.col("all") - F.col("most.n")) / self.block_rows).alias("outer")))
         inside = F.col("component").eqNullSafe(F.col("largest"))
-        salt = F.when(inside, F.array(F.pmod(F.xxhash64("id"), salts))).otherwise(F.sequence(F.lit(0).cast("long"), salts - 1))
-        return mixed.join(most, "node", "left").withColumn("wide", ~inside).withColumn("salt", F.explode(salt)).select(*columns)
+        block = F.when(F.col("outer").isNull(), F.lit(0).cast("long")).when(inside, F.col("outer") + F.pmod(F.xxhash64("id"), "inner"))
+        block = block.otherwise(F.pmod(F.xxhash64("id"), "outer"))
+        blocks = F.coalesce(F.col("outer") + F.col("inner"), F.lit(1).cast("long"))
+        # blocks inside the largest component meet the others only
+        partners = F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("outer")).otherwise(blocks) - 1)
+        return (mixed.join(most, "node", "left").select("*", block.alias("block"), blocks.alias("blocks"), F.explode(partners).alias("partner"))
+                .withColumn("salt", F.least("block", "partner") * F.col("blocks") + F.greatest("block", "partner"))
+                .withColumn("wide", F.col("block") <= F.col("partner")).withColumn("apart", F.col("block") != F.col("partner")).select(*columns))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 from ibex.llm import decontaminate as dc
+from ibex.llm.near_dedup import NearDedup, near_dedup
 
 from .conftest import _sentence
+from .test_dedup import near_expected
 from .test_models import words
 
 
@@ -70,3 +73,36 @@ def test_equal_items_are_sent_to_the_driver_once(spark, monkeypatch):
     table = spark.createDataFrame([(k, text) for k in range(300)], "item_id long, text string")
     got = dc.contaminated_pairs(spark.createDataFrame([(1, text)], "doc_id long, text string"), table)
     assert {r.item_id for r in got.collect()} == set(range(300)) and seen == [1]
+
+
+# --- near dedup ------------------------------------------------------------
+
+def test_a_large_last_node_is_dealt_in_bounded_tasks(spark):
+    join = NearDedup(node_limit=10, block_rows=20, max_depth=1)
+    component = {k: 1000 if k < 90 else k for k in range(400)}  # one group of 90, singletons
+    mixed = [(7, 0, k, c, 400) for k, c in component.items()] + [(8, 0, k, k, 5) for k in range(5)]
+    rows = join._grouped(spark.createDataFrame(mixed, "node long, root int, id long, component long, size long"), 1).collect()
+    tasks = {}
+    for r in rows:
+        tasks.setdefault((r.node, r.salt), []).append(r)
+    assert max(len(t) for t in tasks.values()) <= 100  # two blocks of about 20
+    pairs = []
+    for (node, _), task in tasks.items():
+        for x, y in combinations(task, 2):
+            if node == 7 and x.component != y.component and (x.wide != y.wide if x.apart else x.wide or y.wide):
+                pairs.append((min(x.id, y.id), max(x.id, y.id)))
+    want = {(x, y) for x, y in combinations(component, 2) if component[x] != component[y]}
+    assert len(pairs) == len(want) and set(pairs) == want
+
+
+def test_many_documents_with_a_shared_passage(spark):
+    shared, docs = _sentence(1, 100), []
+    for k in range(120):
+        docs.append((k, shared + " " + _sentence(200 + k, 24 - k % 8)))  # similarity 0.66 to 0.74, few linked
+    docs += [(200 + k, docs[k][1] + " " + _sentence(900 + k, 3)) for k in range(0, 120, 10)]
+    rng = random.Random(3)
+    rng.shuffle(docs)
+    expected = {i: x[1] for i, x in near_expected(docs).items()}
+    assert len(set(expected.values())) >= 100
+    got = near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), node_limit=8, block_rows=16, max_depth=2).collect()
+    assert {r.id: r.component_id for r in got} == expected
