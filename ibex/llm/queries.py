@@ -132,3 +132,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ibex.llm.compression_rules import quality_rules
+
+    return quality_rules(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

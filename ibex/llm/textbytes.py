@@ -107,6 +107,19 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0]:offsets[-1]]
 
 
+def slices_of(batch: pa.RecordBatch, column: str, limit: int):
+    """Slices of a batch whose texts have about ``limit`` bytes (a longer text
+    is a slice of its own)."""
+    if not batch.num_rows:
+        return
+    offsets, _ = buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1, at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def word_spans(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) of every word, and for each text the index of its first
     word (one entry more than there are texts)."""
