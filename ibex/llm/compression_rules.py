@@ -93,15 +93,6 @@ def compression(offsets: np.ndarray, data: np.ndarray, bands: Bands) -> dict[str
             "verdict": np.where(repeats, "repetitive", np.where(noise, "incompressible", None))}
 
 
-def _codes(keep: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal byte strings: the kept bytes between each two
-    of ``bounds`` (positions in ``data``)."""
-    before = np.append(0, np.cumsum(keep, dtype=np.int64))
-    strings = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [
-        None, pa.py_buffer(before[bounds]), pa.py_buffer(np.ascontiguousarray(data[keep]))])
-    return strings.dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal numbers for equal pairs, numbered from 0 (both are below 2**31)."""
     return pa.array((a << 32) | b).dictionary_encode().indices.to_numpy().astype(np.int64)
@@ -119,7 +110,7 @@ def counts(offsets: np.ndarray, data: np.ndarray, window: int = 5) -> dict[str,
         return total[offsets[1:]] - total[offsets[:-1]]
 
     # windows: pairs of pairs until the width is reached
-    word = _codes(inside, data, np.append(start, len(data)))
+    word = tb.string_codes(inside, data, np.append(start, len(data)))
     have, code = 1, word
     while have < window and len(code):
         step = min(have, window - have)
@@ -139,7 +130,7 @@ def counts(offsets: np.ndarray, data: np.ndarray, window: int = 5) -> dict[str,
     bounds = np.append(line_start, len(data))
     solid = np.append(0, np.cumsum(inside, dtype=np.int64))
     has_word = solid[bounds[1:]] > solid[bounds[:-1]]
-    line = _pairs(_codes(~newline, data, bounds)[has_word], line_text[has_word])
+    line = _pairs(tb.string_codes(~newline, data, bounds)[has_word], line_text[has_word])
     new = np.zeros(len(line), dtype=bool)
     new[np.unique(line, return_index=True)[1]] = True
     return {"n_words": np.diff(first), "word_chars": per_text(inside & _LEAD[data]), "n_symbols": per_text(_SYMBOL[data]),

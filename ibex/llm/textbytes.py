@@ -141,6 +141,15 @@ def word_spans(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE)
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets)
 
 
+def string_codes(keep: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Equal numbers (from 0) for equal byte strings: the kept bytes between
+    each two of ``bounds``, which are positions in ``data``."""
+    before = np.append(0, np.cumsum(keep, dtype=np.int64))
+    strings = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [
+        None, pa.py_buffer(before[bounds]), pa.py_buffer(np.ascontiguousarray(data[keep]))])
+    return strings.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
     """64-bit hash of each byte span; spans are in order and don't overlap."""
     out = np.empty(len(start), dtype=_U)
