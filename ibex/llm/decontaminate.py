@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ibex.llm import textbytes as tb
-from ibex.llm.frames import checkpointed, text_of, without
+from ibex.llm.frames import checkpointed, text_of, without_rows
 
 _U = np.uint64
 #: Hashed features whose document frequency is counted (1 MB of counts).
@@ -431,5 +431,7 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found."""
-    return without(docs, id_col, contaminated_pairs(docs, benchmark, id_col, text_col, **options).select("id"))
+    """The rows of ``docs`` in which no benchmark item was found, also where
+    ids repeat or are null."""
+    return without_rows(docs, id_col, text_col,
+                        lambda rows: contaminated_pairs(rows, benchmark, id_col, text_col, **options).select("id"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ibex.llm.frames import checkpointed, text_of, without
+from ibex.llm.frames import checkpointed, text_of, without_rows
 
 #: One run of ASCII white space that is not a single space already.
 _RUNS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
@@ -66,6 +66,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with all their columns
-    (rows with a null id stay)."""
-    return without(docs, id_col, exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select("id"))
+    """The rows of ``docs`` that exact dedup keeps, with all their columns:
+    one row of each group of equal texts, also where ids repeat or are null."""
+    return without_rows(docs, id_col, text_col, lambda rows: exact_dedup(rows, id_col, text_col).where(~F.col("kept")).select("id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,11 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str, n_buckets: int) -> DataFrame:
-    """(bucket, id, text), the bucket a hash of the id: a hot source or a run
-    of copies is spread over all buckets."""
+    """(bucket, id, text), the bucket a hash of the id and the text: a hot
+    source, a run of copies and the rows of a null or repeated id are spread
+    over all buckets."""
     key = F.col(id_col).cast("long")
-    return docs.select(F.pmod(F.xxhash64(key), F.lit(n_buckets)).cast("int").alias("bucket"),
+    return docs.select(F.pmod(F.xxhash64(key, F.col(text_col).cast("string")), F.lit(n_buckets)).cast("int").alias("bucket"),
                        key.alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -53,5 +55,27 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame, *, broadcast_ids: int
     return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
 
 
+def without_rows(docs: DataFrame, id_col: str, text_col: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``find`` doesn't name: given a table, it
+    returns one column of the ids that go.
+
+    Ids that are distinct and not null (a count of the id column tells) are
+    used as they are.  Otherwise every row first gets a number of its own, in
+    the order of the ids (null last), and ``find`` sees that in ``id_col``: each
+    decision then hits one row, and no other row of the same id.
+    """
+    key = F.col(id_col).cast("long")
+    if docs.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR k IS NULL").isEmpty():
+        return without(docs, id_col, find(docs))
+    number = "__row"
+    while number in docs.columns:
+        number += "_"
+    # the row's place spreads even rows that agree in id and text
+    placed = docs.withColumn(number, F.monotonically_increasing_id())
+    numbered = checkpointed(placed.repartitionByRange(key.asc_nulls_last(), F.xxhash64(F.col(text_col).cast("string")), number)
+                            .sortWithinPartitions(key.asc_nulls_last()).withColumn(number, F.monotonically_increasing_id()))
+    return without(numbered, number, find(numbered.withColumn(id_col, F.col(number)))).drop(number)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

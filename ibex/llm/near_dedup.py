@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ibex.llm import textbytes as tb
 from ibex.llm.components import connected_components
-from ibex.llm.frames import checkpointed, parts, text_of, without
+from ibex.llm.frames import checkpointed, parts, text_of, without_rows
 
 _U = np.uint64
 #: Bits of the filter that spares documents of no candidate pair (2 MB).
@@ -424,5 +424,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group."""
-    return without(docs, id_col, near_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select("id"))
+    """The rows of ``docs`` that stay: one of each group, also where ids repeat
+    or are null."""
+    return without_rows(docs, id_col, text_col,
+                        lambda rows: near_dedup(rows, id_col, text_col, **options).where(~F.col("kept")).select("id"))
