@@ -41,6 +41,9 @@ _U = np.uint64
 #: Hashed features whose document frequency is counted (1 MB of counts).
 FEATURES = 1 << 18
 _BLOCK = 1 << 14
+#: Bytes of text, and half passages, that are looked at together.
+BATCH_BYTES = 1 << 20
+BATCH_BLOCKS = 2048
 
 #: Words here are runs of anything but ASCII white space and punctuation.
 _SEPARATOR = tb.SPACE.copy()
@@ -62,8 +65,8 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(FEATURES, dtype=np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                first, hashes = _words(batch.column("text").slice(at, 1024))
+            for part in tb.slices_of(batch, "text", BATCH_BYTES):
+                first, hashes = _words(part.column("text"))
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 pairs = np.sort(row * FEATURES + _feature(hashes))
                 pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
@@ -362,31 +365,12 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share)
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         block = block_first[row] + (np.arange(len(hashes)) - first[row]) // stride
         feature = _feature(hashes)
-        total = int(block_first[-1])
-        pairs = np.sort(block * FEATURES + feature)
-        begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.empty(0, dtype=np.int64)
-        weight = np.diff(np.append(begin, len(pairs))) * idf[pairs[begin] % FEATURES]
-        square = np.bincount(pairs[begin] // FEATURES, weights=weight * weight, minlength=total)
         at = place[feature]
         known = np.flatnonzero(at >= 0)
         if not len(known):
             return
-        of = block[known]
-        edge = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        vector = np.zeros((total, latent.vectors.shape[1]), dtype=np.float32)
-        vector[of[edge]] = np.add.reduceat(latent.vectors[at[known]], edge, axis=0)
-        # a passage is a block and the next one of the same text
         text = np.repeat(np.arange(len(n_blocks)), n_blocks)
-        more = np.append(text[1:] == text[:-1], False)[:total]
-        vector[more] += vector[np.flatnonzero(more) + 1]
-        square[more] += square[np.flatnonzero(more) + 1]
         span = np.searchsorted(latent.item_of, np.arange(len(postings.size) + 1))
-        similar = (vector @ latent.passages.T) / np.sqrt(np.maximum(square, 1e-12))[:, None].astype(np.float32)
-        x, y = np.nonzero(similar >= cosine)
-        best = {}
-        for b, k, c in zip(x.tolist(), latent.item_of[y].tolist(), similar[x, y].tolist()):
-            if c > best.get((b, k), -1.0):
-                best[b, k] = c
         # the passages in whose region a run of rare words lies
         a, z, item = _counted(postings, hashes, first, known, passage)
         of = np.searchsorted(first, a, "right") - 1
@@ -395,21 +379,52 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share)
         hi = np.minimum((a + n) // stride, n_blocks[of] - 1)
         many = np.maximum(hi - lo + 1, 0)
         b = np.repeat(block_first[of] + lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        b, k = np.divmod(np.unique(b * len(postings.size) + np.repeat(item, many)), len(postings.size))
-        highest = np.full(len(b), -1.0)
-        for j in range(int(np.diff(span).max())):
-            highest = np.maximum(highest, similar[b, np.minimum(span[k] + j, span[k + 1] - 1)])
-        for b, k, c in zip(b.tolist(), k.tolist(), highest.tolist()):
-            best.setdefault((b, k), c)
+        counted, counted_item = np.divmod(np.unique(b * len(postings.size) + np.repeat(item, many)), len(postings.size))
+
+        def similar(c0: int, c1: int) -> np.ndarray:
+            """Cosine of the passages from the blocks ``c0`` to ``c1`` (a
+            passage is a block and the next one of the same text) with all
+            passages of the benchmark."""
+            upto = min(c1 + 1, len(text))
+            w = slice(*np.searchsorted(block, [c0, upto]))
+            pairs = np.sort((block[w] - c0) * FEATURES + feature[w])
+            begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.empty(0, dtype=np.int64)
+            weight = np.diff(np.append(begin, len(pairs))) * idf[pairs[begin] % FEATURES]
+            square = np.bincount(pairs[begin] // FEATURES, weights=weight * weight, minlength=upto - c0)
+            vector = np.zeros((upto - c0, latent.vectors.shape[1]), dtype=np.float32)
+            have = known[slice(*np.searchsorted(known, [w.start, w.stop]))]
+            if len(have):
+                edge = np.flatnonzero(np.append(True, block[have][1:] != block[have][:-1]))
+                vector[block[have[edge]] - c0] = np.add.reduceat(latent.vectors[at[have]], edge, axis=0)
+            more = np.flatnonzero(text[c0 + 1:upto] == text[c0:upto - 1])
+            vector[more] += vector[more + 1]
+            square[more] += square[more + 1]
+            vector, square = vector[:c1 - c0], square[:c1 - c0]
+            return (vector @ latent.passages.T) / np.sqrt(np.maximum(square, 1e-12))[:, None].astype(np.float32)
+
+        best = {}
+        for c0 in range(0, len(text), BATCH_BLOCKS):
+            c1 = min(c0 + BATCH_BLOCKS, len(text))
+            close = similar(c0, c1)
+            x, y = np.nonzero(close >= cosine)
+            for b, k, c in zip((x + c0).tolist(), latent.item_of[y].tolist(), close[x, y].tolist()):
+                if c > best.get((b, k), -1.0):
+                    best[b, k] = c
+            some = slice(*np.searchsorted(counted, [c0, c1]))
+            b, k = counted[some], counted_item[some]
+            highest = np.full(len(b), -1.0)
+            for j in range(int(np.diff(span).max())):
+                highest = np.maximum(highest, close[b - c0, np.minimum(span[k] + j, span[k + 1] - 1)])
+            for b, k, c in zip(b.tolist(), k.tolist(), highest.tolist()):
+                best.setdefault((b, k), c)
         for (b, k), c in best.items():
             yield int(text[b]), int(first[text[b]] + (b - block_first[text[b]]) * stride), k, c
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shipped.value[0]
         for batch in batches:
-            ids = batch.column("id")
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in tb.slices_of(batch, "text", BATCH_BYTES):
+                ids = part.column("id")
                 first, hashes = _words(part.column("text"))
                 got = []
                 for row, at, k, c in candidates(first, hashes):
@@ -421,7 +436,7 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share)
                     part_of = common_subsequence(item.masks, n, near) / n
                     answered = bool(item.answer) and common_subsequence(item.answer_masks, len(item.answer), near) == len(item.answer)
                     if part_of >= share or (part_of >= paraphrase_share and answered):
-                        got.append((ids[lo + row].as_py(), item.key, c, part_of, answered))
+                        got.append((ids[row].as_py(), item.key, c, part_of, answered))
                 if got:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(v, t) for v, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))],

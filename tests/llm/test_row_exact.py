@@ -1,11 +1,13 @@
-"""The pipeline's stages decide row by row where ids repeat or are null."""
+"""The pipeline's stages decide row by row where ids repeat or are null, and
+take one very long text."""
 
 from __future__ import annotations
 
 import pytest
 
 import corpus_pipeline
-from ibex.llm.decontaminate import drop_contaminated
+from ibex.llm import decontaminate as dc
+from ibex.llm.decontaminate import contaminated_pairs, drop_contaminated
 from ibex.llm.exact_dedup import drop_copies
 from ibex.llm.near_dedup import drop_near_copies
 
@@ -60,3 +62,17 @@ def test_all_stages_on_repeated_and_null_ids(spark, mixed, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == mixed.columns, name
     assert texts(docs) == sorted(["", A, B])
+
+
+def test_one_very_long_text_is_searched_in_pieces(spark, monkeypatch):
+    parts = [_sentence(5000 + k, 400) for k in range(150)]
+    items = [(k, _sentence(700 + k, 40)) for k in range(4)]
+    long = " ".join(parts[:60] + [items[0][1]] + parts[60:120] + [items[1][1]] + parts[120:] + [items[3][1]])
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, parts[0] + " " + items[2][1])], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 0), (1, 1), (1, 3), (3, 2)}
+    assert {(r.id, r.item_id) for r in contaminated_pairs(docs, table).collect()} == want
+    monkeypatch.setattr(dc, "BATCH_BLOCKS", 7)
+    monkeypatch.setattr(dc, "BATCH_BYTES", 50)
+    one = {(r.id, r.item_id): round(r.cosine, 4) for r in contaminated_pairs(docs, table).collect()}
+    assert set(one) == want
