@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ibex.llm import textbytes as tb
-from ibex.llm.frames import checkpointed, text_of
+from ibex.llm.frames import checkpointed, parts, text_of
 
 #: A run has at least this many words, and this many periods.
 MIN_WORDS, MIN_PERIODS = 6, 4
@@ -242,7 +242,7 @@ def _collapse(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa
 
 
 def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = True,
-                  batch_bytes: int = 4 << 20) -> DataFrame:
+                  batch_bytes: int = 4 << 20, tiles_per_task: int = 2000) -> DataFrame:
     """One row per input row: ``id``, ``n_words``, ``runs`` (an array of
     start, length and period, by start, then period), ``collapsed_sha256`` of
     the text without what runs repeat after their first period, its words
@@ -257,7 +257,9 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         text_of(text_col).alias("text"))
     cut = checkpointed(frame.mapInArrow(lambda batches: _cut(batches, batch_bytes, keep_text), CUT))
     tiles = cut.where("octave IS NOT NULL").select("key", "octave", "at", "words", "picks")
-    fragments = tiles.repartition("key", "octave", "at").mapInArrow(_solve, "key long, period long, a long, z long")
+    # a tile is small but may take long: dealt by number, not by bytes
+    dealt = tiles.repartition(parts(tiles.count(), tiles_per_task), "key", "octave", "at")
+    fragments = dealt.mapInArrow(_solve, "key long, period long, a long, z long")
     runs = (stitch(fragments).groupBy("key")
             .agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
             .select("key", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"),
