@@ -6,9 +6,11 @@ aggregates with map-side partial aggregation; "last epoch" is ``max_by``
 (no window, so a run holding a third of all rows is still split across map
 tasks).
 
-:func:`fit_sweep` trains many configurations together: each data pass
-runs every configuration inside the task, so the data is read once per
-epoch for the whole grid, not once per configuration.
+:func:`fit_sweep` trains many configurations together.  Its tasks are keyed
+by (configuration shard, worker): a task trains its shard's configurations on
+its worker's rows, and each shard's state is sent by itself, so a task needs
+the memory of one shard whatever the grid.  Where the rows are few,
+:func:`ibex.operators.resident.fit_runs` trains each run whole in one task.
 """
 
 from __future__ import annotations
@@ -170,21 +172,24 @@ def _prepared(data: DataFrame, keys, x, label, trials, test_fraction) -> DataFra
 def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x="ids",
               label: str = "label", epochs: int = 5, batch_size: int = 50, lr: float = 1e-4,
               seed: int = 0, test_fraction: float = 0.2, n_draws: int = 12,
-              max_state_doubles: int = 1 << 26, n_workers: int = 8, estimator: str = "sampled") -> DataFrame:
+              max_state_doubles: int = 1 << 26, n_workers: int | None = None, estimator: str = "sampled",
+              max_task_doubles: int = 1 << 24, max_shards: int = 64) -> DataFrame:
     """Train every configuration with a fresh model and a hash split per
     trial (seed = trial), in local-SGD mode: the rows belong to ``n_workers``
-    workers by a hash of their key, each worker takes Adam steps from the
-    broadcast state, results are averaged by row count.  ``estimator`` is the
-    divergence trained on for alpha != 1 (see ``vib_math``).
-
-    Per epoch: one data pass trains the whole grid (partials keyed by
-    configuration, summed block-wise in two levels) and one pass evaluates it
-    (per-task partial sums per configuration and part, then a grouped sum).
-    Rows stream through Arrow batches; only per-configuration state is held.
-    The grid is cut into groups whose training state (parameters and two
-    Adam moments per configuration) fits in ``max_state_doubles`` (512 MiB
-    by default); each group takes its own passes.  Returns the runs table
-    (``RUN_SCHEMA``).
+    workers by a hash of their key (None: by the number of rows), each worker
+    takes Adam steps from the same state, results are averaged by row count.
+    ``estimator`` is the divergence trained on for alpha != 1 (see
+    ``vib_math``).
+
+    Per epoch: one job trains the whole grid, its tasks keyed by
+    (configuration shard, worker), and sums the states block by block in
+    levels; one job evaluates it (partial sums per configuration and part).
+    Rows stream through Arrow batches; a task holds the state of its shard,
+    at most ``max_task_doubles`` (128 MiB) or one configuration.  The grid is
+    cut into groups whose state (parameters and two Adam moments per
+    configuration) fits in ``max_state_doubles`` (512 MiB) on the driver; each
+    group takes its own passes.  Neither changes a result.  Returns the runs
+    table (``RUN_SCHEMA``).
     """
     spark = data.sparkSession
     keys = VIB._keys(key)
@@ -195,11 +200,16 @@ def fit_sweep(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig],
     size = M.Layout(spec).size
     per_group = max(1, max_state_doubles // (3 * size))
     all_cfgs = list(configs)
+    n_workers = n_workers or VIB.worker_count(base.count())
     workers = VIB.by_worker(base, keys, n_workers, seed).persist()
     rows = []
     for g0 in range(0, len(all_cfgs), per_group):
-        rows += _fit_group(base, workers, spec, all_cfgs[g0:g0 + per_group], keys, x, label, trials, epochs, batch_size,
-                           lr, seed, n_draws, width, k, xdtype, size, estimator)
+        cfgs = all_cfgs[g0:g0 + per_group]
+        tasks = -(-spark.sparkContext.defaultParallelism // n_workers)
+        n_shards = max(-(-3 * size * len(cfgs) // max_task_doubles), min(tasks, max_shards))
+        shards = _cut(cfgs, n_shards)
+        rows += _fit_group(base, workers, spec, shards, keys, x, label, trials, epochs, batch_size,
+                           lr, seed, n_draws, width, k, xdtype, size, estimator, n_workers)
     workers.unpersist()
     base.unpersist()
     return spark.createDataFrame(rows, RUN_SCHEMA)
@@ -236,48 +246,71 @@ def fit_sweep_sequential(data: DataFrame, spec: M.VibSpec, configs: Sequence[Swe
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 
-def _fit_group(base, by_worker, spec, cfgs, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws,
-               width, k, xdtype, size, estimator):
+def _cut(cfgs: list, n_shards: int) -> list[list]:
+    """The configurations in at most ``n_shards`` shards of nearly one size."""
+    n = min(n_shards, len(cfgs))
+    return [cfgs[i * len(cfgs) // n:(i + 1) * len(cfgs) // n] for i in range(n)]
+
+
+def _for_shards(df: DataFrame, shards: list[list], work, schema) -> DataFrame:
+    """``work(shard number)``, a function of Arrow batches, run over the
+    (cached) rows for each shard: a task for every shard and partition, and
+    nothing is shuffled."""
+    out = None
+    for i in range(len(shards)):
+        one = df.mapInArrow(work(i), schema)
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _fit_group(base, by_worker, spec, shards, keys, x, label, trials, epochs, batch_size, lr, seed, n_draws,
+               width, k, xdtype, size, estimator, n_workers):
     spark = base.sparkSession
     xcols = _x_columns(x, trials)
-    state = {c.config_id: (M.init_params(spec, seed * 100003 + c.config_id), np.zeros(size), np.zeros(size), 0)
-             for c in cfgs}
+    zeros = np.zeros(size, dtype=spec.dtype)
+    state = {c.config_id: (M.init_params(spec, seed * 100003 + c.config_id), zeros, zeros, 0) for shard in shards for c in shard}
     rows = []
     for epoch in range(1, epochs + 1):
         noisy = VIB.with_noise(by_worker, keys, spec.latent_dim, f"{seed}:{epoch}", 0, "train", k > spec.latent_dim)
-        bc = spark.sparkContext.broadcast(state)
-
-        def train(batches, bc=bc):
-            now, runs = None, []
-
-            def done():
-                for c, r in zip(cfgs, runs):
-                    r.feed(np.zeros((0, width), xdtype), np.zeros(0), np.zeros((0, k)), final=True)
-                    if r.n:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([c.config_id], pa.int32()), pa.array([now], pa.int32()), pa.array([r.n], pa.int64()),
-                             pa.array([r.blob()], pa.binary())], names=["config_id", "worker", "n", "blob"])
-
-            for w, b in VIB.worker_rows(batches):
-                if w != now:
-                    yield from done()
-                    now = w
-                    runs = [VIB.LocalRun(spec, bc.value[c.config_id], lr, c.beta, c.alpha, estimator, batch_size) for c in cfgs]
-                mats = {c: _mat(b.column(c), width, xdtype) for c in set(xcols.values())}
-                Y = b.column(label).to_numpy(zero_copy_only=False)
-                E = _mat(b.column("eps"), k, np.float64)
-                flags = {t: b.column(f"_tr{t}").to_numpy(zero_copy_only=False).astype(bool) for t in trials}
-                for c, r in zip(cfgs, runs):
-                    sel = flags[c.split_seed]
-                    r.feed(mats[xcols[c.split_seed]][sel], Y[sel], E[sel])
-            yield from done()
-
-        for cid, (n, blob) in VIB.worker_sum(noisy.mapInArrow(train, VIB.PARTS)).items():
-            avg = blob / n
-            state[cid] = (avg[:size].copy(), avg[size:2 * size].copy(), avg[2 * size:3 * size].copy(),
-                          int(round(avg[-1])))
-        bc.unpersist()
-        rows += _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed, n_draws)
+        sent = [spark.sparkContext.broadcast({c.config_id: state[c.config_id] for c in shard}) for shard in shards]
+
+        def train_shard(i, sent=sent):
+            cfgs, state_of = shards[i], sent[i]
+
+            def train(batches):
+                now, runs = None, []
+
+                def done():
+                    for c, r in zip(cfgs, runs):
+                        r.feed(np.zeros((0, width), xdtype), np.zeros(0), np.zeros((0, k)), final=True)
+                        if r.n:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([c.config_id], pa.int32()), pa.array([now], pa.int32()), pa.array([r.n], pa.int64()),
+                                 pa.array([r.blob()], pa.binary())], names=["config_id", "worker", "n", "blob"])
+
+                for w, b in VIB.worker_rows(batches):
+                    if w != now:
+                        yield from done()
+                        now = w
+                        runs = [VIB.LocalRun(spec, state_of.value[c.config_id], lr, c.beta, c.alpha, estimator, batch_size) for c in cfgs]
+                    mats = {c: _mat(b.column(c), width, xdtype) for c in {xcols[c.split_seed] for c in cfgs}}
+                    Y = b.column(label).to_numpy(zero_copy_only=False)
+                    E = _mat(b.column("eps"), k, np.float64)
+                    flags = {t: b.column(f"_tr{t}").to_numpy(zero_copy_only=False).astype(bool) for t in trials}
+                    for c, r in zip(cfgs, runs):
+                        sel = flags[c.split_seed]
+                        r.feed(mats[xcols[c.split_seed]][sel], Y[sel], E[sel])
+                yield from done()
+
+            return train
+
+        parts = _for_shards(noisy, shards, train_shard, VIB.PARTS)
+        for cid, (n, blob) in VIB.worker_sum(parts, n_workers=n_workers).items():
+            steps, avg = int(round(blob[-1] / n)), (blob / n).astype(spec.dtype, copy=False)
+            state[cid] = (avg[:size].copy(), avg[size:2 * size].copy(), avg[2 * size:3 * size].copy(), steps)
+        for bc in sent:
+            bc.unpersist()
+        rows += _evaluate_grid(base, spec, shards, state, keys, x, label, trials, epoch, seed, n_draws)
     return rows
 
 
@@ -285,7 +318,7 @@ def _mat(col, width, dtype):
     return VIB._to_matrix(col, width, dtype)
 
 
-def _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed, n_draws):
+def _evaluate_grid(base, spec, shards, state, keys, x, label, trials, epoch, seed, n_draws):
     """One pass scoring every configuration on its own split; each task
     emits partial sums per (configuration, part), Spark adds them."""
     spark = base.sparkSession
@@ -293,42 +326,47 @@ def _evaluate_grid(base, spec, cfgs, state, keys, x, label, trials, epoch, seed,
     k, width = spec.latent_dim, VIB._x_width(spec)
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
     noisy = VIB.with_noise(base, keys, k, f"{seed}:{epoch}", n_draws, "eval")
-    bc = spark.sparkContext.broadcast({c.config_id: state[c.config_id][0] for c in cfgs})
+    sent = [spark.sparkContext.broadcast({c.config_id: state[c.config_id][0] for c in shard}) for shard in shards]
     schema = T.StructType([T.StructField(n, t) for n, t in (
         ("config_id", T.IntegerType()), ("is_train", T.BooleanType()), ("n", T.LongType()),
         ("ce", T.DoubleType()), ("dv", T.DoubleType()), ("ok", T.DoubleType()), ("mc_ok", T.DoubleType()))])
 
     chunk = VIB._chunk_rows(spec)
 
-    def score(batches):
-        params = bc.value
-        acc = {}
-        # chunks bound the memory of a forward pass, whatever the Arrow batch
-        for b in (b.slice(s, chunk) for b in batches for s in range(0, b.num_rows, chunk)):
-            mats = {c: _mat(b.column(c), width, xdtype) for c in set(xcols.values())}
-            Y = b.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
-            E = _mat(b.column("eps"), k, np.float64)
-            EM = _mat(b.column("eps_mc"), n_draws * k, np.float64).reshape(-1, n_draws, k)
-            flags = {t: b.column(f"_tr{t}").to_numpy(zero_copy_only=False).astype(bool) for t in trials}
-            for c in cfgs:
-                r = M.row_metrics(spec, params[c.config_id], mats[xcols[c.split_seed]], Y, E, EM, c.alpha)
-                for part in (True, False):
-                    sel = flags[c.split_seed] == part
-                    a = acc.setdefault((c.config_id, part), np.zeros(5))
-                    a += [sel.sum(), r["ce_bits"][sel].sum(), r["div_bits"][sel].sum(),
-                          (r["pred"][sel] == Y[sel]).sum(), (r["mc_pred"][sel] == Y[sel]).sum()]
-        if acc:
-            ks = list(acc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in ks], pa.int32()), pa.array([p for _, p in ks]),
-                 pa.array([int(acc[q][0]) for q in ks], pa.int64())]
-                + [pa.array([float(acc[q][i]) for q in ks]) for i in range(1, 5)],
-                names=schema.fieldNames())
-
-    agg = noisy.mapInArrow(score, schema).groupBy("config_id", "is_train").agg(
+    def score_shard(i):
+        cfgs, state_of = shards[i], sent[i]
+
+        def score(batches):
+            params, acc = state_of.value, {}
+            # chunks bound the memory of a forward pass, whatever the Arrow batch
+            for b in (b.slice(s, chunk) for b in batches for s in range(0, b.num_rows, chunk)):
+                mats = {c: _mat(b.column(c), width, xdtype) for c in {xcols[c.split_seed] for c in cfgs}}
+                Y = b.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
+                E = _mat(b.column("eps"), k, np.float64)
+                EM = _mat(b.column("eps_mc"), n_draws * k, np.float64).reshape(-1, n_draws, k)
+                flags = {t: b.column(f"_tr{t}").to_numpy(zero_copy_only=False).astype(bool) for t in trials}
+                for c in cfgs:
+                    r = M.row_metrics(spec, params[c.config_id], mats[xcols[c.split_seed]], Y, E, EM, c.alpha)
+                    for part in (True, False):
+                        sel = flags[c.split_seed] == part
+                        a = acc.setdefault((c.config_id, part), np.zeros(5))
+                        a += [sel.sum(), r["ce_bits"][sel].sum(), r["div_bits"][sel].sum(),
+                              (r["pred"][sel] == Y[sel]).sum(), (r["mc_pred"][sel] == Y[sel]).sum()]
+            if acc:
+                ks = list(acc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c for c, _ in ks], pa.int32()), pa.array([p for _, p in ks]),
+                     pa.array([int(acc[q][0]) for q in ks], pa.int64())]
+                    + [pa.array([float(acc[q][i]) for q in ks]) for i in range(1, 5)],
+                    names=schema.fieldNames())
+
+        return score
+
+    agg = _for_shards(noisy, shards, score_shard, schema).groupBy("config_id", "is_train").agg(
         *[F.sum(c).alias(c) for c in ("n", "ce", "dv", "ok", "mc_ok")]).collect()
-    bc.unpersist()
-    by_id = {c.config_id: c for c in cfgs}
+    for bc in sent:
+        bc.unpersist()
+    by_id = {c.config_id: c for shard in shards for c in shard}
     out = []
     for r in agg:
         if not r["n"]:
@@ -348,24 +386,42 @@ def runs_for_summary(runs: DataFrame, metric: str = "avg_acc", config: str = "al
                        F.col(metric).alias("metric"))
 
 
+def fit_grid(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x="ids", label: str = "label",
+             n_draws: int = 12, estimator: str = "sampled", max_bytes: int | None = None, **kw) -> DataFrame:
+    """The runs table of a grid: each run whole in one task where the counted
+    rows fit ``max_bytes`` (sequential steps), else local SGD over workers."""
+    from ibex.operators import resident as R
+
+    bound = R.MAX_BYTES if max_bytes is None else max_bytes
+    columns = len(set(_x_columns(x, {c.split_seed for c in configs}).values()))
+    data = VIB.materialize(data)
+    try:
+        if R.fits(data.count(), spec, configs, columns, kw.get("epochs", 5), n_draws, estimator, bound):
+            return R.fit_runs(data, spec, configs, key, x, label, n_draws=n_draws, estimator=estimator, max_bytes=bound, **kw)
+        return fit_sweep(data, spec, configs, key, x, label, n_draws=n_draws, estimator=estimator, **kw)
+    finally:
+        data.unpersist()
+
+
 def script_alpha_sweep(data: DataFrame, key, x="ids", label: str = "label", num_words: int = 1000,
                        maxlen: int = 500, **kw) -> DataFrame:
     """The alpha sweep script's grid on encoded text rows: mean and
     population std over trials of the last-epoch Monte Carlo test accuracy
-    per alpha.  ``kw`` goes to :func:`fit_sweep` (``seed``, ``max_state_doubles``)."""
-    spec = M.text_spec(num_words, maxlen, SCRIPT_ALPHA_UNITS)
+    per alpha.  ``kw`` goes to :func:`fit_grid` (``seed``, ``max_bytes``)."""
+    spec = M.text_spec(num_words, maxlen, SCRIPT_ALPHA_UNITS, dtype="float32")
     grid = alpha_trial_grid(SCRIPT_ALPHAS, SCRIPT_ALPHA_TRIALS, SCRIPT_ALPHA_BETA)
-    runs = fit_sweep(data, spec, grid, key, x, label, epochs=SCRIPT_ALPHA_EPOCHS, batch_size=SCRIPT_BATCH,
-                     lr=SCRIPT_LR, **kw)
+    runs = fit_grid(data, spec, grid, key, x, label, epochs=SCRIPT_ALPHA_EPOCHS, batch_size=SCRIPT_BATCH,
+                    lr=SCRIPT_LR, **kw)
     return summary_mean_std(runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
 
 
 def script_beta_sweep(data: DataFrame, key, x="ids", label: str = "label", num_words: int = 1000,
-                      maxlen: int = 500, **kw) -> DataFrame:
-    """The beta sweep script's grid on encoded text rows: mean over samples
-    of the last-epoch one-draw train and test accuracy per beta."""
-    spec = M.text_spec(num_words, maxlen, SCRIPT_BETA_UNITS)
+                      maxlen: int = 500, units: Sequence[int] = SCRIPT_BETA_UNITS, embed_dim: int = 64, lr: float = SCRIPT_LR,
+                      **kw) -> DataFrame:
+    """The beta sweep script's grid (17 betas, 50 samples, 10 epochs) on
+    encoded text rows: mean over samples of the last-epoch one-draw train and
+    test accuracy per beta."""
+    spec = M.text_spec(num_words, maxlen, units, embed_dim=embed_dim, dtype="float32")
     grid = beta_grid_configs(beta_grid(*SCRIPT_BETA_LOG10), SCRIPT_BETA_SAMPLES, SCRIPT_BETA_ALPHA)
-    runs = fit_sweep(data, spec, grid, key, x, label, epochs=SCRIPT_BETA_EPOCHS, batch_size=SCRIPT_BATCH,
-                     lr=SCRIPT_LR, **kw)
+    runs = fit_grid(data, spec, grid, key, x, label, epochs=SCRIPT_BETA_EPOCHS, batch_size=SCRIPT_BATCH, lr=lr, **kw)
     return summary_train_test(runs_for_summary(runs, "acc", "beta"))

@@ -5,6 +5,9 @@
   a broadcast variable (bounded by the model size, not the data).
 * :func:`evaluate` - :func:`score` + one grouped aggregate per split:
   ``izy, izx, acc, avg_acc``.
+* :func:`batch_gradient` - the gradient of one batch over any number of tasks;
+  the sampled divergence takes two passes, its log-sum-exp and then weighted
+  partial sums.
 * :func:`fit` - mini-batch training.  ``mode='sync'``: one Spark job per
   step over data hash-partitioned by batch id, the task holding the batch
   returns its gradient sum, the driver applies Adam (same update as single-process training on
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ibex.functions.hashing import gaussian_array, hash32
+from ibex.operators import params as P
 from ibex.operators import vib_math as M
 from ibex.operators.reduce import tree_sum_by_key
 from ibex.operators.split import minibatch_exact, minibatch_ids
@@ -93,7 +97,7 @@ def _to_matrix(col, width: int, dtype) -> np.ndarray:
 def _list_array(mat: np.ndarray, arrow_type):
     n, k = mat.shape
     offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1), type=arrow_type))
+    return pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1).astype(np.float64, copy=False), type=arrow_type))
 
 
 def _x_width(spec: M.VibSpec) -> int:
@@ -155,7 +159,7 @@ def score(df: DataFrame, spec: M.VibSpec, params, key, x: str = "ids",
                 arrays += [
                     _list_array(r["mu"], pa.float64()), _list_array(r["sigma"], pa.float64()),
                     _list_array(r["z"], pa.float64()), _list_array(r["logits"], pa.float64()),
-                    pa.array(r["pred"].astype(np.int32)), pa.array(r["ce_bits"]), pa.array(r["div_bits"]),
+                    pa.array(r["pred"].astype(np.int32)), pa.array(r["ce_bits"].astype(np.float64)), pa.array(r["div_bits"].astype(np.float64)),
                     pa.array(r["mc_pred"].astype(np.int32)) if s else pa.nulls(part.num_rows, pa.int32()),
                     _list_array(r["mc_probs"], pa.float64()) if s else pa.nulls(part.num_rows, pa.list_(pa.float64())),
                 ]
@@ -217,21 +221,57 @@ class FitConfig:
     # IZX reported for alpha != 1: the sampled "reference" / "mc" estimators of
     # ibex.operators.divergence, or "closed"
     izx_estimator: str = "reference"
-    # workers of mode "average"
-    n_workers: int = 8
+    # workers of mode "average"; None: by the number of rows (``worker_count``)
+    n_workers: int | None = None
     # sync mini-batches: "hash" (balanced by key hash, every row used) or
     # "exact" (contiguous slices of batch_size in a fixed shuffled order,
     # the remainder dropped)
     batching: str = "hash"
 
 
-def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batch_total):
-    """Per-partition gradient sums of one step as rows of blocks (closed-form
-    divergence: partial sums of a batch add up).  Rows are taken in chunks, so
-    a task's memory does not grow with the Arrow batch."""
-    bc = _shipped(step_df.sparkSession, params)
-    width, k, chunk = _x_width(spec), spec.latent_dim, _chunk_rows(spec)
+def _kernel_chunks(batches, spec, x, label, k):
+    """Arrow batches as ``(x, y, eps)`` in chunks, so a task's memory does not
+    grow with the batch."""
+    width, chunk = _x_width(spec), _chunk_rows(spec)
     xdtype = np.int64 if spec.input_kind == "ids" else np.float64
+    for b in batches:
+        for start in range(0, b.num_rows, chunk):
+            part = b.slice(start, chunk)
+            yield (_to_matrix(part.column(x), width, xdtype), part.column(label).to_numpy(zero_copy_only=False),
+                   _to_matrix(part.column("eps"), k, np.float64))
+
+
+def batch_log_sum(step_df: DataFrame, spec, params, x, label, alpha) -> tuple[int, tuple[float, float]]:
+    """First pass of a sampled-divergence step over any number of tasks: the
+    batch's size and its ``(top, total)``, added from one row per task
+    (log-sum-exp is associative)."""
+    bc = _shipped(step_df.sparkSession, params)
+    k = spec.latent_dim
+
+    def run(batches):
+        p = M.Layout(spec).views(bc.value)
+        n, parts = 0, []
+        for xm, _, eps in _kernel_chunks(batches, spec, x, label, 3 * k):
+            mu, rho, _ = M.encode(spec, p, xm)
+            ls, eps = M.log_softplus(rho - M.SCALE_SHIFT), eps.astype(spec.dtype, copy=False)
+            d, _ = M.sampled_terms(mu, M.softplus(rho - M.SCALE_SHIFT), ls, eps[:, k:2 * k], eps[:, 2 * k:])
+            n += len(xm)
+            parts = [M.add_log_sums([*parts, M.log_sum(d, alpha)], alpha)]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([parts[0][0]]), pa.array([parts[0][1]])],
+                                             names=["n", "top", "total"])
+
+    rows = step_df.mapInArrow(run, "n long, top double, total double").collect()  # a row for each task
+    return sum(r["n"] for r in rows), M.add_log_sums(sorted((r["top"], r["total"]) for r in rows), alpha)
+
+
+def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batch_total, estimator: str = "closed",
+                   norm: tuple[float, float] | None = None):
+    """Per-partition gradient sums of one step as rows of blocks.  Partial
+    sums of a batch add up: the closed form by nature, the sampled divergence
+    through ``norm``, the batch's log-sum-exp from :func:`batch_log_sum`."""
+    bc = _shipped(step_df.sparkSession, params)
+    k = M.noise_columns(spec, alpha, estimator)
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("ce", T.DoubleType()),
                            T.StructField("dv", T.DoubleType()), T.StructField("g", T.BinaryType())])
 
@@ -240,17 +280,10 @@ def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batc
         g = None
         n = 0
         ce = dv = 0.0
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            for start in range(0, b.num_rows, chunk):
-                part = b.slice(start, chunk)
-                xm = _to_matrix(part.column(x), width, xdtype)
-                y = part.column(label).to_numpy(zero_copy_only=False)
-                eps = _to_matrix(part.column("eps"), k, np.float64)
-                gi, c, d, m = M.loss_and_grad(spec, flat, xm, y, eps, beta, alpha, batch_total)
-                g = gi if g is None else g + gi
-                n, ce, dv = n + m, ce + c, dv + d
+        for xm, y, eps in _kernel_chunks(batches, spec, x, label, k):
+            gi, c, d, m = M.loss_and_grad(spec, flat, xm, y, eps, beta, alpha, batch_total, estimator, norm)
+            g = gi.astype(np.float64) if g is None else g + gi
+            n, ce, dv = n + m, ce + c, dv + d
         if n:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n], pa.int64()), pa.array([ce]), pa.array([dv]), pa.array([g.tobytes()], pa.binary())],
@@ -259,6 +292,18 @@ def _grad_partials(step_df: DataFrame, spec, params, x, label, beta, alpha, batc
     return step_df.mapInArrow(run, schema)
 
 
+def batch_gradient(step_df: DataFrame, spec, params, x, label, beta, alpha, estimator: str = "sampled"):
+    """``(rows, mean gradient)`` of one batch spread over any number of tasks:
+    one pass, or two where the divergence is sampled over the whole batch."""
+    if M.noise_columns(spec, alpha, estimator) > spec.latent_dim:
+        n, norm = batch_log_sum(step_df, spec, params, x, label, alpha)
+        if not n:
+            return 0, None
+        return _sum_partials(_grad_partials(step_df, spec, params, x, label, beta, alpha, n, estimator, norm))
+    n, g = _sum_partials(_grad_partials(step_df, spec, params, x, label, beta, alpha, 1, estimator))
+    return n, g / n if n else None
+
+
 def _sum_partials(parts: DataFrame):
     """Sum of per-partition gradient rows: ``(n, grad)``, block-wise in two
     levels on the executors."""
@@ -313,7 +358,7 @@ def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, be
         if pend:
             flush()
         if steps:
-            blob = np.concatenate([p, local.m, local.v, [float(local.t)]]).tobytes()
+            blob = np.concatenate([v.astype(np.float64, copy=False) for v in (p, local.m, local.v)] + [[float(local.t)]]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
     sc = run_df.sparkSession.sparkContext
@@ -324,25 +369,33 @@ def _sync_run(run_df: DataFrame, partition: int, spec, params, opt, x, label, be
     if len(rows) > 1:
         raise RuntimeError("a run of batches was split across partitions")
     v = np.frombuffer(rows[0]["blob"], dtype=np.float64)
-    size = len(params)
+    size, steps, v = len(params), int(v[-1]), v.astype(params.dtype, copy=False)
     new_opt = M.Adam(opt.lr, beta1=opt.beta1, beta2=opt.beta2, eps=opt.eps, m=v[size:2 * size].copy(),
-                     v=v[2 * size:3 * size].copy(), t=int(v[-1]))
+                     v=v[2 * size:3 * size].copy(), t=steps)
     return v[:size].copy(), new_opt
 
 
-def _save_params(spark, path: str, epoch: int, params: np.ndarray, spec: M.VibSpec) -> None:
-    from ibex.operators.params import params_frame
+def _settings(spec: M.VibSpec, cfg: FitConfig, keys, x: str, label: str, split: str, n_workers) -> dict:
+    """What a resumed fit has to share with the saved one: everything that
+    its numbers depend on but the number of epochs."""
+    from dataclasses import asdict
 
-    params_frame(spark, spec, params).write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
+    told = {k: v for k, v in asdict(cfg).items() if k not in ("epochs", "checkpoint_path", "n_workers")}
+    return {"spec": asdict(spec), "columns": [*keys, x, label, split], "n_workers": n_workers} | told
 
 
 def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", label: str = "label",
-        split: str = "is_train", params: np.ndarray | None = None, opt: M.Adam | None = None):
+        split: str = "is_train", params: np.ndarray | None = None, opt: M.Adam | None = None, resume: bool = False):
     """Train on rows with ``split`` true, evaluate both parts after every
     epoch.  Returns ``(params, history rows as dicts)``; see
     :func:`history_frame` for the table.  ``params`` / ``opt`` continue
     from an earlier run; a given ``opt`` is left holding the final Adam
-    state."""
+    state.
+
+    With ``cfg.checkpoint_path`` every epoch is saved with its optimizer state
+    and history.  ``resume`` goes on after the last epoch saved there (from
+    the start if there is none) and ends with the bits of a fit that was never
+    stopped; noise and batches depend on the seed and the epoch alone."""
     spark = data.sparkSession
     keys = _keys(key)
     params = M.init_params(spec, cfg.seed) if params is None else params.copy()
@@ -357,7 +410,16 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     train = data.where(F.col(split)).select(*keys, x, label)
     n_train = train.count()
     sampled = M.noise_columns(spec, cfg.alpha, cfg.estimator) > spec.latent_dim
-    history = []
+    n_workers = (cfg.n_workers or worker_count(n_train)) if cfg.mode == "average" else None
+    settings = _settings(spec, cfg, keys, x, label, split, n_workers)
+    history: list[dict] = []
+    if resume:
+        if not cfg.checkpoint_path:
+            raise ValueError("resume needs a checkpoint_path")
+        saved = P.last_epoch(spark, cfg.checkpoint_path, spec, settings)
+        if saved:
+            _, params, m, v, steps, history = saved
+            opt = M.Adam(opt.lr, opt.beta1, opt.beta2, opt.eps, steps, m, v)
     if cfg.mode == "sync":
         if cfg.batching == "exact":
             batched, n_batches = minibatch_exact(train, keys, cfg.batch_size, cfg.seed)
@@ -371,8 +433,6 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
         # batch after batch (one Spark job per run, not per step).  A large
         # batch is cut into ``fan`` hash slices so a step runs on several tasks.
         fan = max(1, -(-cfg.batch_size // SYNC_ROWS_PER_TASK))
-        if fan > 1 and sampled:
-            raise ValueError(f"the sampled divergence needs a whole batch in one task: batch_size is at most {SYNC_ROWS_PER_TASK}")
         if fan == 1:
             run_rows = max(cfg.batch_size, SYNC_RUN_VALUES // max(1, _x_width(spec)))
             n_runs = max(1, min(n_batches, -(-n_train // run_rows)))
@@ -388,29 +448,26 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
             parts = max(1, min(n_batches * fan, spark.sparkContext.defaultParallelism))
             batched = batched.repartition(parts, "batch", "_slice").persist()
     elif cfg.mode == "average":
-        train = by_worker(train, keys, cfg.n_workers, cfg.seed).persist()
+        train = by_worker(train, keys, n_workers, cfg.seed).persist()
     else:
         raise ValueError(f"unknown mode {cfg.mode!r}")
-    for epoch in range(1, cfg.epochs + 1):
+    for epoch in range(len(history) + 1, cfg.epochs + 1):
         if cfg.mode == "sync" and fan == 1:
             noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train", sampled)
             for r in sorted(home):
                 params, opt = _sync_run(noisy.where(F.col("_run") == F.lit(r)), home[r], spec, params, opt, x,
                                         label, cfg.beta, cfg.alpha, cfg.estimator)
         elif cfg.mode == "sync":
-            noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train")
+            noisy = with_noise(batched, keys, spec.latent_dim, f"{cfg.seed}:{epoch}", 0, "train", sampled)
             for step in range(n_batches):
-                # gradient sums with B = 1, divided by the true batch size after the reduce;
                 # the step's ``fan`` slices run as separate tasks and their partials are tree-summed
                 bc = spark.sparkContext.broadcast(params)
-                partials = _grad_partials(noisy.where(F.col("batch") == F.lit(step)), spec, bc, x, label,
-                                          cfg.beta, cfg.alpha, 1)
-                n, g = _sum_partials(partials)
+                n, g = batch_gradient(noisy.where(F.col("batch") == F.lit(step)), spec, bc, x, label, cfg.beta, cfg.alpha, cfg.estimator)
                 bc.unpersist()
                 if n:
-                    params = opt.step(params, g / n)
+                    params = opt.step(params, g.astype(params.dtype, copy=False))
         else:
-            params, opt = _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch)
+            params, opt = _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_workers)
         ev = _epoch_metrics(data, spec, params, keys, x, label, split, cfg, epoch)
         row = {"epoch": epoch}
         for part, name in ((True, "train"), (False, "test")):
@@ -422,7 +479,7 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
                  row["test_acc"] or float("nan"), row["test_avg_acc"] or float("nan"),
                  row["test_izy"] or float("nan"), row["test_izx"] or float("nan"))
         if cfg.checkpoint_path:
-            _save_params(spark, cfg.checkpoint_path, epoch, params, spec)
+            P.commit_epoch(spark, cfg.checkpoint_path, epoch, spec, params, opt, settings, history)
     (batched if cfg.mode == "sync" else train).unpersist()
     data.unpersist()
     if opt_out is not None:
@@ -430,23 +487,35 @@ def fit(data: DataFrame, spec: M.VibSpec, cfg: FitConfig, key, x: str = "ids", l
     return params, history
 
 
+def worker_count(n_rows: int, rows_per_worker: int = 1 << 16, least: int = 8) -> int:
+    """Workers of a local-SGD fit: a function of the rows alone."""
+    return max(least, -(-n_rows // rows_per_worker))
+
+
 def by_worker(df: DataFrame, keys, n_workers: int, seed) -> DataFrame:
     """Rows of each local-SGD worker together and in a fixed order: ``_w`` is
-    a hash of the key, rows are sorted by it and by the key's MD5.  Nothing
-    depends on how ``df`` is laid out."""
+    a hash of the key, worker ``i`` is partition ``i`` (placed by its number,
+    so no task has two workers and none is idle), and rows are sorted by the
+    key's MD5.  Nothing depends on how ``df`` is laid out."""
     n = int(n_workers)
     if n < 1:
         raise ValueError("n_workers is at least 1")
     worker = F.pmod(hash32(f"{seed}:worker", *keys), F.lit(n)).cast("int")
     return (df.withColumn("_w", worker).withColumn("_o", F.md5(key_string(keys)))
-            .repartition(n, "_w").sortWithinPartitions("_w", "_o", *keys).drop("_o"))
+            .repartitionById(n, "_w").sortWithinPartitions("_w", "_o", *keys).drop("_o"))
+
 
+#: Blocks that one task adds up.
+SUM_FAN_IN = 32
 
-def worker_sum(parts: DataFrame, block: int = 1 << 16) -> dict:
+
+def worker_sum(parts: DataFrame, block: int = 1 << 16, n_workers: int | None = None) -> dict:
     """Sum over workers of rows ``(config_id, worker, n, blob)``, block by
     block, each block's vectors added in the order of the workers (floating
     point sums then do not depend on the schedule): ``{config_id: (n, sum)}``.
-    A task holds one block of every worker."""
+
+    With more than ``SUM_FAN_IN`` workers the sums have levels: a task adds
+    the same block of at most that many neighbouring workers."""
     schema = "config_id int, worker int, n long, block int, part binary"
 
     def cut(batches):
@@ -464,16 +533,22 @@ def worker_sum(parts: DataFrame, block: int = 1 << 16) -> dict:
         part, total = group.column("part"), 0.0
         for i in order.tolist():
             total = total + np.frombuffer(part[i].as_buffer(), dtype=np.float64)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()),
-                         pa.array([sum(group.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())],
-                        names=["config_id", "block", "n", "part"])
-
-    rows = (parts.mapInArrow(cut, schema).groupBy("config_id", "block")
-            .applyInArrow(add, "config_id int, block int, n long, part binary").collect())
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.int32()),
+                         pa.array([sum(group.column("n").to_pylist())], pa.int64()), pa.array([key[1].as_py()], pa.int32()),
+                         pa.array([total.tobytes()], pa.binary())], names=["config_id", "worker", "n", "block", "part"])
+
+    left, blocks = n_workers or SUM_FAN_IN, parts.mapInArrow(cut, schema)
+    while True:
+        blocks = (blocks.groupBy("config_id", "block", F.floor(F.col("worker") / SUM_FAN_IN).cast("int").alias("team"))
+                  .applyInArrow(add, schema))
+        left = -(-left // SUM_FAN_IN)
+        if left <= 1:
+            break
+    rows = blocks.collect()
     out: dict = {}
     for r in sorted(rows, key=lambda r: (r["config_id"], r["block"])):
         out.setdefault(r["config_id"], (r["n"], []))[1].append(np.frombuffer(bytes(r["part"]), dtype=np.float64))
-    return {c: (n, np.concatenate(blocks)) for c, (n, blocks) in out.items()}
+    return {c: (n, np.concatenate(pieces)) for c, (n, pieces) in out.items()}
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -546,7 +621,8 @@ class LocalRun:
 
     def blob(self) -> bytes:
         """Parameters, moments and step count, weighted by the rows seen."""
-        return np.concatenate([self.p * self.n, self.opt.m * self.n, self.opt.v * self.n, [self.opt.t * self.n]]).tobytes()
+        return np.concatenate([v.astype(np.float64, copy=False) * self.n for v in (self.p, self.opt.m, self.opt.v)]
+                              + [[float(self.opt.t * self.n)]]).tobytes()
 
 
 PARTS = "config_id int, worker int, n long, blob binary"
@@ -563,7 +639,7 @@ def worker_rows(batches):
             yield int(w[s0]), b.slice(s0, s1 - s0)
 
 
-def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch):
+def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch, n_workers):
     """Local-SGD epoch over rows laid out by :func:`by_worker`: each worker
     trains from the same start and the results are averaged by row count."""
     k = M.noise_columns(spec, cfg.alpha, cfg.estimator)
@@ -593,13 +669,12 @@ def _average_epoch(train, spec, params, opt, cfg, keys, x, label, epoch):
         if one is not None:
             yield done()
 
-    total = worker_sum(noisy.mapInArrow(run, PARTS))
+    total = worker_sum(noisy.mapInArrow(run, PARTS), n_workers=n_workers)
     bc.unpersist()
     if not total:
         return params, opt
     n, blob = total[0]
     size = len(params)
-    avg = blob / n
-    new_opt = M.Adam(opt.lr, opt.beta1, opt.beta2, opt.eps, int(round(avg[-1])), avg[size:2 * size].copy(),
-                     avg[2 * size:3 * size].copy())
+    steps, avg = int(round(blob[-1] / n)), (blob / n).astype(params.dtype, copy=False)
+    new_opt = M.Adam(opt.lr, opt.beta1, opt.beta2, opt.eps, steps, avg[size:2 * size].copy(), avg[2 * size:3 * size].copy())
     return avg[:size].copy(), new_opt

@@ -50,6 +50,8 @@ class VibSpec:
     latent_dim: int = 2
     dec_units: tuple[int, ...] = ()
     out_dim: int = 2
+    #: Type of parameters, activations and gradients.
+    dtype: str = "float64"
 
     @property
     def flat_in(self) -> int:
@@ -80,13 +82,13 @@ class VibSpec:
 
 
 def text_spec(num_words: int = 1000, maxlen: int = 500, units=(128, 128), latent_dim: int = 2,
-              embed_dim: int = 64, out_dim: int = 2) -> VibSpec:
-    return VibSpec("ids", num_words, embed_dim, maxlen, 0, "none", tuple(units), latent_dim, (), out_dim)
+              embed_dim: int = 64, out_dim: int = 2, dtype: str = "float64") -> VibSpec:
+    return VibSpec("ids", num_words, embed_dim, maxlen, 0, "none", tuple(units), latent_dim, (), out_dim, dtype)
 
 
 def dense_spec(input_dim: int, units=(32, 32), out_dim: int = 2, latent_dim: int = 2,
-               transform: str = "center", dec_units=()) -> VibSpec:
-    return VibSpec("dense", 0, 0, 0, input_dim, transform, tuple(units), latent_dim, tuple(dec_units), out_dim)
+               transform: str = "center", dec_units=(), dtype: str = "float64") -> VibSpec:
+    return VibSpec("dense", 0, 0, 0, input_dim, transform, tuple(units), latent_dim, tuple(dec_units), out_dim, dtype)
 
 
 @dataclass
@@ -136,7 +138,7 @@ def init_params(spec: VibSpec, seed: int = 0, scheme: str = "glorot") -> np.ndar
         else:
             lim = math.sqrt(6.0 / (fi + fo))
             v[f"{name}.W"][:] = rng.uniform(-lim, lim, size=(fi, fo))
-    return flat
+    return flat.astype(spec.dtype, copy=False)
 
 
 # ----------------------------------------------------------- activations ---
@@ -195,22 +197,48 @@ def divergence_grads(mu, sigma, alpha: float):
     return dmu, dsig
 
 
-def sampled_divergence(mu, sigma, log_sigma, r1, r2, alpha: float):
-    """Sampled divergence of a whole batch (nats) and its gradients
-    ``(value, dD/dmu, dD/dsigma)``."""
+def sampled_terms(mu, sigma, log_sigma, r1, r2):
+    """``d = log p(x1) - log q(x2)`` of every row and latent dimension, and
+    ``x2``."""
     x2 = mu + sigma * r2
-    d = -0.5 * r1 * r1 - log_sigma + 0.5 * x2 * x2
+    return -0.5 * r1 * r1 - log_sigma + 0.5 * x2 * x2, x2
+
+
+def log_sum(d, alpha: float) -> tuple[float, float]:
+    """``(top, total)`` of one part of a batch: the largest ``(alpha - 1) d``
+    and the sum of the exponentials less it; for alpha = inf the largest ``d``
+    and how many entries have it.  See :func:`add_log_sums`."""
+    if d.size == 0:
+        return -math.inf, 0.0
+    t = d if math.isinf(alpha) else (alpha - 1.0) * d
+    top = float(t.max())
+    return top, float((t == top).sum() if math.isinf(alpha) else np.exp(t - top).sum())
+
+
+def add_log_sums(parts, alpha: float) -> tuple[float, float]:
+    """``(top, total)`` of a batch from those of its parts."""
+    parts = [(t, s) for t, s in parts if s > 0]
+    if not parts:
+        return -math.inf, 0.0
+    top = max(t for t, _ in parts)
+    if math.isinf(alpha):
+        return top, sum(s for t, s in parts if t == top)
+    return top, sum(s * math.exp(t - top) for t, s in parts)
+
+
+def sampled_divergence(mu, sigma, log_sigma, r1, r2, alpha: float, norm: tuple[float, float] | None = None):
+    """Sampled divergence of a whole batch (nats) and its gradients
+    ``(value, dD/dmu, dD/dsigma)``.  The rows are the whole batch, or a part
+    of the one whose ``(top, total)`` is ``norm``: the gradients of the parts
+    are then those of the batch.  For alpha = inf the gradient is shared by
+    all entries with the largest value."""
+    d, x2 = sampled_terms(mu, sigma, log_sigma, r1, r2)
+    top, total = norm or log_sum(d, alpha)
     if math.isinf(alpha):
-        w = np.zeros_like(d)
-        w[np.unravel_index(np.argmax(d), d.shape)] = 1.0
-        value = float(d.max())
+        w, value = (d == top) / total, top
     else:
-        t = (alpha - 1.0) * d
-        top = t.max()
-        w = np.exp(t - top)
-        total = w.sum()
-        value = float((top + math.log(total)) / (alpha - 1.0))
-        w /= total
+        w = np.exp((alpha - 1.0) * d - top) / total
+        value = (top + math.log(total)) / (alpha - 1.0)
     return value, w * x2, w * (x2 * r2 - 1.0 / sigma)
 
 
@@ -230,7 +258,7 @@ def input_matrix(spec: VibSpec, p: dict, x: np.ndarray) -> np.ndarray:
     if spec.input_kind == "ids":
         ids = np.clip(x.astype(np.int64), 0, spec.vocab_size - 1)
         return p["embed"][ids].reshape(x.shape[0], -1)
-    h = x.astype(np.float64)
+    h = x.astype(spec.dtype)
     if spec.input_transform == "center":
         h = 2.0 * h - 1.0
     return h
@@ -272,6 +300,7 @@ def row_metrics(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray, e
     mu, rho, _ = encode(spec, p, x)
     sigma = softplus(rho - SCALE_SHIFT)
     ls = log_softplus(rho - SCALE_SHIFT)
+    eps = eps.astype(spec.dtype, copy=False)
     z = mu + sigma * eps
     logits, _ = decode(spec, p, z)
     lse = logsumexp(logits)
@@ -279,12 +308,13 @@ def row_metrics(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray, e
     valid = (yi >= 0) & (yi < spec.out_dim)
     picked = np.where(valid, logits[np.arange(len(yi)), np.clip(yi, 0, spec.out_dim - 1)], 0.0)
     # out-of-range label: an all-zero one-hot row has zero cross-entropy
-    ce = np.where(valid, (lse - picked) / LN2, 0.0)
-    div = divergence(mu, sigma, alpha, ls).mean(axis=1) / LN2
+    ce = np.where(valid, (lse - picked) / LN2, 0.0).astype(np.float64, copy=False)
+    div = (divergence(mu, sigma, alpha, ls).mean(axis=1) / LN2).astype(np.float64, copy=False)
     out = {"mu": mu, "sigma": sigma, "z": z, "logits": logits,
            "pred": np.argmax(logits, axis=1), "ce_bits": ce, "div_bits": div}
     if eps_mc is not None:
         s_draws = eps_mc.shape[1]
+        eps_mc = eps_mc.astype(spec.dtype, copy=False)
         zs = mu[:, None, :] + sigma[:, None, :] * eps_mc            # (B, S, K)
         lg, _ = decode(spec, p, zs.reshape(-1, spec.latent_dim))
         probs = softmax(lg).reshape(len(x), s_draws, spec.out_dim).mean(axis=1)
@@ -295,31 +325,42 @@ def row_metrics(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray, e
 
 # ------------------------------------------------------------- backward ---
 
+def _embedding_gradient(ids: np.ndarray, dh: np.ndarray, out: np.ndarray) -> None:
+    """Sums the rows of ``dh`` by their id into ``out``, in the rows' order."""
+    order = np.argsort(ids, kind="stable")
+    ordered = ids[order]
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out[ordered[begin]] = np.add.reduceat(dh[order], begin, axis=0)
+
+
 def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray, eps: np.ndarray,
-                  beta: float, alpha: float, batch_total: int, estimator: str = "closed"):
+                  beta: float, alpha: float, batch_total: int, estimator: str = "closed",
+                  norm: tuple[float, float] | None = None):
     """Loss contributions and gradient of the *global* batch loss from the
     rows given here; ``batch_total`` is the global batch size B, so partial
     results from several tasks add up to the full-batch values.
 
     With ``estimator="sampled"`` and alpha != 1, ``eps`` holds three draws per
-    latent dimension (the decoder's, ``r1``, ``r2``) and the rows must be the
-    whole batch, because the log-sum-exp runs over all of them; the
-    divergence is then added once, and the gradient is that of the batch loss
-    times ``n_rows / batch_total``.  The closed form raises where it does not
-    exist.
+    latent dimension (the decoder's, ``r1``, ``r2``).  The log-sum-exp runs
+    over the whole batch: either the rows are that (the divergence is added
+    once, and the gradient is that of the batch loss times ``n_rows /
+    batch_total``), or ``norm`` is the batch's ``(top, total)`` from
+    :func:`add_log_sums` and ``batch_total`` its size.  The closed form raises
+    where it does not exist.
 
     Returns ``(grad_flat, ce_sum_bits, div_sum_bits, n_rows)``; the divergence
     sum is the batch value times ``n_rows`` in the sampled case.
     """
     lay = Layout(spec)
     p = lay.views(flat)
-    g = np.zeros(lay.size)
+    g = np.zeros(lay.size, dtype=spec.dtype)
     gv = lay.views(g)
     n = len(x)
     if n == 0:
         return g, 0.0, 0.0, 0
     B, K = float(batch_total), spec.latent_dim
     sampled = noise_columns(spec, alpha, estimator) > K
+    eps = eps.astype(spec.dtype, copy=False)
     eps, draws = eps[:, :K], eps[:, K:3 * K]
     mu, rho, cache = encode(spec, p, x, keep=True)
     sigma = softplus(rho - SCALE_SHIFT)
@@ -333,8 +374,8 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
     lse = logsumexp(logits)
     ce_rows = (onehot.sum(axis=1) * lse - (logits * onehot).sum(axis=1)) / LN2
     if sampled:
-        value, dDmu, dDsig = sampled_divergence(mu, sigma, ls, draws[:, :K], draws[:, K:], alpha)
-        c = beta * n / (B * LN2)
+        value, dDmu, dDsig = sampled_divergence(mu, sigma, ls, draws[:, :K], draws[:, K:], alpha, norm)
+        c = beta / LN2 if norm else beta * n / (B * LN2)
         div_sum = value * n / LN2
     else:
         div_rows = divergence(mu, sigma, alpha, ls)
@@ -346,13 +387,13 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
         div_sum = float(div_rows.mean(axis=1).sum() / LN2)
     # decoder
     dlog = (softmax(logits) * onehot.sum(axis=1, keepdims=True) - onehot) / (B * LN2)
-    gv["dec_out.W"][:] = h_dec.T @ dlog
+    np.matmul(h_dec.T, dlog, out=gv["dec_out.W"])
     gv["dec_out.b"][:] = dlog.sum(axis=0)
     dh = dlog @ p["dec_out.W"].T
     for i in reversed(range(len(spec.dec_units))):
         h_in, a = dacts[i]
         da = dh * (a > 0)
-        gv[f"dec{i}.W"][:] = h_in.T @ da
+        np.matmul(h_in.T, da, out=gv[f"dec{i}.W"])
         gv[f"dec{i}.b"][:] = da.sum(axis=0)
         dh = da @ p[f"dec{i}.W"].T
     dz = dh
@@ -362,19 +403,20 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
     drho = dsig * sigmoid(rho - SCALE_SHIFT)
     dout = np.concatenate([dmu, drho], axis=1)
     h_last = cache["h_last"]
-    gv["enc_out.W"][:] = h_last.T @ dout
+    np.matmul(h_last.T, dout, out=gv["enc_out.W"])
     gv["enc_out.b"][:] = dout.sum(axis=0)
     dh = dout @ p["enc_out.W"].T
     for i in reversed(range(len(spec.enc_units))):
         h_in, a = cache["acts"][i]
         da = dh * (a > 0)
-        gv[f"enc{i}.W"][:] = h_in.T @ da
+        np.matmul(h_in.T, da, out=gv[f"enc{i}.W"])
         gv[f"enc{i}.b"][:] = da.sum(axis=0)
-        dh = da @ p[f"enc{i}.W"].T
+        if i or spec.input_kind == "ids":
+            dh = da @ p[f"enc{i}.W"].T
     if spec.input_kind == "ids":
         ids = np.clip(x.astype(np.int64), 0, spec.vocab_size - 1).reshape(-1)
-        np.add.at(gv["embed"], ids, dh.reshape(-1, spec.embed_dim))
-    return g, float(ce_rows.sum()), div_sum, n
+        _embedding_gradient(ids, dh.reshape(-1, spec.embed_dim), gv["embed"])
+    return g, float(ce_rows.sum()), float(div_sum), n
 
 
 def total_loss(spec, flat, x, y, eps, beta, alpha, estimator="closed"):
@@ -399,6 +441,10 @@ def total_loss(spec, flat, x, y, eps, beta, alpha, estimator="closed"):
 
 # ----------------------------------------------------------------- Adam ---
 
+#: Values updated together.
+ADAM_BLOCK = 1 << 14
+
+
 @dataclass
 class Adam:
     """Adam with the common defaults (beta1 0.9, beta2 0.999, eps 1e-7)."""
@@ -412,11 +458,18 @@ class Adam:
     v: np.ndarray | None = None
 
     def step(self, params: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        """The parameters after one step.  Blocks keep the temporaries in the
+        cache; every value is computed as it would be alone."""
         if self.m is None:
             self.m = np.zeros_like(params)
             self.v = np.zeros_like(params)
         self.t += 1
-        self.m += (grad - self.m) * (1.0 - self.beta1)
-        self.v += (grad * grad - self.v) * (1.0 - self.beta2)
         a = self.lr * math.sqrt(1.0 - self.beta2 ** self.t) / (1.0 - self.beta1 ** self.t)
-        return params - a * self.m / (np.sqrt(self.v) + self.eps)
+        out = np.empty_like(params)
+        for at in range(0, len(params), ADAM_BLOCK):
+            part = slice(at, at + ADAM_BLOCK)
+            g, m, v = grad[part], self.m[part], self.v[part]
+            m += (g - m) * (1.0 - self.beta1)
+            v += (g * g - v) * (1.0 - self.beta2)
+            out[part] = params[part] - a * m / (np.sqrt(v) + self.eps)
+        return out
