@@ -50,3 +50,43 @@ def distinct_chunks(offsets: np.ndarray, data: np.ndarray, cut: np.ndarray):
     column = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
     coded = column.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(), np.searchsorted(start, offsets)
+
+
+class Memory:
+    """What is known of chunks, in two generations of a bounded number of
+    bytes: when the younger is full it becomes the older, so chunks in use
+    stay known.  Long chunks are not remembered; texts without spaces have
+    them, and they don't come again."""
+
+    LONGEST = 200
+    #: Bytes of an entry besides its chunk and its value, about.
+    ENTRY = 180
+
+    def __init__(self, limit: int = 24 << 20):
+        self.limit, self.size = limit, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def forget(self) -> None:
+        self.young, self.old, self.size = {}, {}, 0
+
+    def of(self, distinct: list[str], solve) -> list:
+        """The value of each chunk; ``solve`` gives those of a list of unknown
+        ones.  Chunks and values are strings, bytes or small tuples."""
+        young, old = self.young, self.old
+        unknown, again = [], {}
+        for c in distinct:
+            if c not in young:
+                if c in old:
+                    again[c] = old[c]
+                else:
+                    unknown.append(c)
+        loose = {}
+        for chunk, value in zip(unknown, solve(unknown)):
+            (again if len(chunk) <= self.LONGEST else loose)[chunk] = value
+        young.update(again)
+        out = [young[c] if c in young else loose[c] for c in distinct]
+        self.size += sum(len(c) + (len(v) if isinstance(v, bytes) else 64) for c, v in again.items()) + self.ENTRY * len(again)
+        if self.size > self.limit:
+            self.young, self.old, self.size = {}, young, 0
+        return out

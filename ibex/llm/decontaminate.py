@@ -42,7 +42,7 @@ _U = np.uint64
 FEATURES = 1 << 18
 _BLOCK = 1 << 14
 #: Bytes of text, and half passages, that are looked at together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 BATCH_BLOCKS = 2048
 
 #: Words here are runs of anything but ASCII white space and punctuation.
@@ -82,7 +82,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     schema = "block int, counts binary"
     got = {r.block: np.frombuffer(bytes(r.counts), "<i8") for r in
-           docs.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect()}  # 2 MB
+           docs.select("text").mapInArrow(tb.trimmed(count), schema).groupBy("block").applyInArrow(add, schema).collect()}  # 2 MB
     if not got:
         return np.zeros(FEATURES, dtype=np.int64), 0
     last = max(got)
@@ -442,7 +442,7 @@ def _search(docs, items, latent, idf, passage, cosine, share, paraphrase_share)
                         [pa.array(v, t) for v, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))],
                         names=["id", "key", "cosine", "share", "answer"])
 
-    return docs.mapInArrow(search, "id long, key long, cosine double, share double, answer boolean")
+    return docs.mapInArrow(tb.trimmed(search), "id long, key long, cosine double, share double, answer boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -68,6 +68,10 @@ def shingle_sets(column, shingle: int) -> list[np.ndarray]:
     return out
 
 
+#: Bytes of text whose sets are made together.
+BATCH_BYTES = 1 << 19
+
+
 def _multipliers(n: int) -> np.ndarray:
     return tb.mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
@@ -142,8 +146,7 @@ class NearDedup:
             at = np.arange(n_roots)
             tree = tb.mix((at + 1).astype(_U))
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
+                for part in tb.slices_of(batch, "text", BATCH_BYTES):
                     sets = shingle_sets(part.column("text"), shingle)
                     size = np.array([len(s) for s in sets], dtype=np.int64)
                     some = np.flatnonzero(size)
@@ -161,7 +164,7 @@ class NearDedup:
                          pa.array(sig, pa.binary()), pa.array(roots, pa.list_(pa.int64()))],
                         names=["id", "n", "hi", "low", "sig", "roots"])
 
-        return docs.mapInArrow(sign, "id long, n long, hi long, low long, sig binary, roots array<long>")
+        return docs.mapInArrow(tb.trimmed(sign), "id long, n long, hi long, low long, sig binary, roots array<long>")
 
     # --- candidate pairs ---
 
@@ -299,15 +302,14 @@ class NearDedup:
             for batch in batches:
                 at = batch.column("position").to_numpy()
                 batch = batch.filter(pa.array((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
+                for part in tb.slices_of(batch, "text", BATCH_BYTES):
                     sets = shingle_sets(part.column("text"), shingle)
                     hi = [int(tb.mix(s).sum(dtype=_U).view(np.int64)) for s in sets]
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hi, pa.int64()),
                                                       pa.array([packed(s) for s in sets], pa.binary())], names=["id", "hi", "members"])
 
         return (docs.where(F.col("id").isNotNull()).select("id", "text", position.cast("long").alias("position"))
-                .mapInArrow(make, "id long, hi long, members binary")
+                .mapInArrow(tb.trimmed(make), "id long, hi long, members binary")
                 .join(wanted, ["id", "hi"]).select("id", "members").dropDuplicates(["id"]))
 
     def _confirmed(self, pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -332,7 +334,7 @@ class NearDedup:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-        return left.join(right, ["a", "salt"]).select("a", "b", "ma", "mb").mapInArrow(confirm, "a long, b long")
+        return left.join(right, ["a", "salt"]).select("a", "b", "ma", "mb").mapInArrow(tb.trimmed(confirm), "a long, b long")
 
     # --- the join ---
 

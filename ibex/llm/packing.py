@@ -27,10 +27,6 @@ from pyspark.sql import functions as F
 from ibex.llm import chunks, textbytes as tb
 from ibex.llm.frames import parts, text_of
 
-#: Chunks whose ids a worker remembers in each of two generations: when the
-#: younger is full it becomes the older, so chunks in use stay known.
-_MEMORY = 1 << 19
-
 _ENCODERS: dict[str, "Encoder"] = {}
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
@@ -48,8 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memory = chunks.Memory()
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -59,26 +54,18 @@ class Encoder:
 
     def encode(self, distinct: list[str]) -> list[bytes]:
         """Ids of each chunk as little-endian 32-bit numbers."""
-        if len(self.memory) > _MEMORY:
-            self.memory, self.older = {}, self.memory
-        known, older = self.memory, self.older
-        new = [c for c in distinct if c not in known]
-        if older:
-            known.update((c, older[c]) for c in new if c in older)
-            new = [c for c in new if c not in known]
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = found.ids
-                known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        return [known[c] for c in distinct]
+        out = []
+        for i in range(0, len(distinct), 4096):
+            for found in self.tokenizer.encode_batch_fast(distinct[i:i + 4096], add_special_tokens=False):
+                out.append(struct.pack(f"<{len(found.ids)}I", *found.ids))
+        return out
 
     def ids(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text column, one after the other, and where each text's
         begin (one entry more than there are texts)."""
         offsets, data = tb.buffers(column)
         distinct, place, first = chunks.distinct_chunks(offsets, data, chunks.at_word_starts(data))
-        pool = self.encode(distinct.to_pylist())
+        pool = self.memory.of(distinct.to_pylist(), self.encode)
         size = np.array([len(x) // 4 for x in pool], dtype=np.int64)
         flat = np.frombuffer(b"".join(pool), dtype="<u4")
         begin = np.cumsum(size) - size
@@ -88,7 +75,7 @@ class Encoder:
         return out, upto[first]
 
 
-def _parts(batch: pa.RecordBatch, size: int = 12 << 20):
+def _parts(batch: pa.RecordBatch, size: int = 6 << 20):
     """Runs of rows with about ``size`` bytes of text: long enough that most
     chunks repeat, short enough to bound the ids held at a time."""
     offsets, _ = tb.buffers(batch.column("text"))
@@ -124,11 +111,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_c
                     [ids_out, *(pa.array(x, pa.int64()) for x in (start, length, crc, total)),
                      part.column("salt").take(pa.array(rows, pa.int64()))],
                     names=["id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        encoder.memory.forget()
 
     frame = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     # rows of one id are told apart by their text
     frame = frame.withColumn("salt", F.xxhash64("id", "text"))
-    return frame.mapInArrow(cut, PIECES)
+    return frame.mapInArrow(tb.trimmed(cut), PIECES)
 
 
 class OpenWindows:

@@ -27,6 +27,9 @@ FEATURES = (
     "adjacent", "distinct", "line_words", "ends_symbol", "caps_words",
 )
 
+#: Bytes of text whose statistics are made together.
+BATCH_BYTES = 1 << 19
+
 _UPPER, _LOWER, _DIGIT, _SYMBOL = (np.zeros(256, dtype=bool) for _ in range(4))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
 _SYMBOL[[ord(c) for c in "#$%&*+<=>@\\^_`{}~"]] = True
@@ -124,13 +127,12 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in tb.slices_of(batch, "text", BATCH_BYTES):
                 x = statistics(part.column("text"))
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), values], names=["id", "x"])
 
-    return frame.mapInArrow(describe, "id long, x array<double>")
+    return frame.mapInArrow(tb.trimmed(describe), "id long, x array<double>")
 
 
 def held_out(col: str):
@@ -207,9 +209,8 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in tb.slices_of(batch, text_at, BATCH_BYTES):
                 good = model.score(statistics(part.column(text_at))) >= 0.5
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(accept, schema)
+    return docs.mapInArrow(tb.trimmed(accept), schema)

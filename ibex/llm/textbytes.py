@@ -7,10 +7,14 @@ multi-byte UTF-8 sequence, so words can be cut on bytes.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
+_LIBC = ctypes.CDLL(None)
 #: Bytes handled at a time where a temporary needs eight bytes per byte.
 CHUNK = 1 << 18
 
@@ -21,6 +25,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def trim() -> None:
+    """Gives memory that was freed back to the system.  A worker that is used
+    again for the next stage would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(work):
+    """``work``, a function of Arrow batches, giving its memory back at the
+    end of the task."""
+    @functools.wraps(work)
+    def run(batches):
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def _odd_powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, by doubling."""
     out = np.ones(n, dtype=_U)
@@ -107,7 +130,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0]:offsets[-1]]
 
 
-def slices_of(batch: pa.RecordBatch, column: str, limit: int):
+def slices_of(batch: pa.RecordBatch, column: str | int, limit: int):
     """Slices of a batch whose texts have about ``limit`` bytes (a longer text
     is a slice of its own)."""
     if not batch.num_rows:

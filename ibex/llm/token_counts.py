@@ -28,8 +28,6 @@ SPACE_MARK = "▁"  # fixed value: how the vocabulary writes a space
 UNKNOWN_PENALTY = 10.0  # fixed value of the tokenizer
 #: A vocabulary is shipped to every worker; larger ones are refused.
 MAX_PIECES = 2_000_000
-#: Solved chunks a worker remembers; beyond it the memory starts anew.
-_MEMORY = 1 << 19
 
 _MODELS: dict[tuple, "CountModel"] = {}
 
@@ -67,7 +65,7 @@ class CountModel:
         self.empty = not vocabulary
         self.unknown = min((float(s) for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.byte_fallback = byte_fallback
-        self.solved: dict[str, tuple[int, float]] = {}
+        self.memory = chunks.Memory()
 
     def solve(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best path over ``text``."""
@@ -97,15 +95,8 @@ class CountModel:
         return pieces[n], score[n]
 
     def counts(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.solved) > _MEMORY:
-            self.solved = {}
-        n, score = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct))
-        for i, chunk in enumerate(distinct):
-            got = self.solved.get(chunk)
-            if got is None:
-                got = self.solved[chunk] = self.solve(chunk.replace(" ", SPACE_MARK))
-            n[i], score[i] = got
-        return n, score
+        got = self.memory.of(distinct, lambda new: [self.solve(chunk.replace(" ", SPACE_MARK)) for chunk in new])
+        return np.array([n for n, _ in got], dtype=np.int64), np.array([score for _, score in got], dtype=np.float64)
 
 
 def token_counts(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], byte_fallback: bool = True,
