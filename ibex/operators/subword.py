@@ -7,33 +7,31 @@ any user table with the same columns works (a pretrained file loaded with
 ``spark.read``).
 
 Plan: splitting on spaces is a JVM projection; the piece lookup is an
-Arrow UDF that works on the *distinct* words of each Arrow batch (a word
-holding a third of all rows is encoded once per batch) and scatters the
-results back with vectorised gathers; truncation, begin/end markers and
-padding are JVM expressions again.  No shuffle.
+Arrow UDF that matches the *distinct* words of each Arrow batch (a word
+holding a third of all rows is matched once per batch) in a trie of the piece
+table, all words in one step (``piece_trie``), and scatters the results back
+with vectorised gathers; truncation, begin/end markers and padding are JVM
+expressions again.  No shuffle.  :func:`wordpiece` is the rule for one word.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from ibex.operators.broadcast import broadcast_if_small
+from ibex.operators.piece_trie import CONTINUATION, MAX_CHARS_PER_WORD, PieceTrie, encode_lists
 from ibex.operators.vocab import token_counts
 
 # ---------------------------------------------------------------------------
 # Fixed values of the common uncased subword convention (with the ASCII
 # punctuation ranges of ``_is_punct``: 33-47, 58-64, 91-96, 123-126).
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
-CONTINUATION = "##"
-MAX_CHARS_PER_WORD = 100
 DEFAULT_MAX_LENGTH = 512
 # ---------------------------------------------------------------------------
 MAX_VOCAB = 5_000_000
@@ -105,80 +103,33 @@ def _is_punct(ch: str) -> bool:
     return unicodedata.category(ch).startswith("P")
 
 
-def wordpiece(word: str, vocab: dict, unk_id: int, longest: int | None = None) -> list[int]:
-    """Greedy longest-match-first pieces of one word.  ``longest`` (the
-    longest piece in the vocabulary, without the continuation prefix) only
-    skips candidates that cannot match."""
+def wordpiece(word: str, vocab: dict, unk_id: int) -> list[int]:
+    """Greedy longest-match-first pieces of one word."""
     if len(word) > MAX_CHARS_PER_WORD:
         return [unk_id]
     out, start, n = [], 0, len(word)
     while start < n:
-        end = n if longest is None else min(n, start + longest)
-        hit = None
-        while start < end:
-            sub = word[start:end]
-            if start > 0:
-                sub = CONTINUATION + sub
-            if sub in vocab:
-                hit = vocab[sub]
-                break
-            end -= 1
-        if hit is None:
+        prefix = CONTINUATION if start else ""
+        end = next((e for e in range(n, start, -1) if prefix + word[start:e] in vocab), None)
+        if end is None:
             return [unk_id]
-        out.append(hit)
+        out.append(vocab[prefix + word[start:end]])
         start = end
     return out
 
 
-def encode_word(word: str, vocab: dict, unk_id: int, lower: bool = True,
-                longest: int | None = None) -> list[int]:
-    ids: list[int] = []
-    for w in basic_word(word, lower):
-        ids.extend(wordpiece(w, vocab, unk_id, longest))
-    return ids
-
-
-def longest_piece(vocab: dict) -> int:
-    return max((len(p) - (len(CONTINUATION) if p.startswith(CONTINUATION) else 0) for p in vocab), default=1)
-
-
-#: Words whose pieces a worker remembers between batches.
-_MEMORY = 1 << 19
+def encode_word(word: str, vocab: dict, unk_id: int, lower: bool = True) -> list[int]:
+    return [i for w in basic_word(word, lower) for i in wordpiece(w, vocab, unk_id)]
 
 
 def _make_encoder(bc_vocab, lower: bool):
-    known: dict[str, list[int]] = {}  # of one worker
-    longest = None
+    trie = None  # of one worker
 
     def encode(words: pa.Array) -> pa.Array:
-        nonlocal longest
-        vocab = bc_vocab.value
-        unk = vocab.get("[UNK]", 1)
-        if longest is None:
-            longest = longest_piece(vocab)
-        if len(known) > _MEMORY:
-            known.clear()
-        if isinstance(words, pa.ChunkedArray):
-            words = words.combine_chunks()
-        flat = pc.list_flatten(words)
-        uniq = pc.unique(flat)
-        where = pc.index_in(flat, value_set=uniq).to_numpy(zero_copy_only=False)
-        distinct = uniq.to_pylist()
-        for w in distinct:
-            if w not in known:
-                known[w] = encode_word(w, vocab, unk, lower, longest)
-        pieces = [known[w] for w in distinct]
-        lens_u = np.array([len(p) for p in pieces], dtype=np.int64)
-        offs_u = np.concatenate([[0], np.cumsum(lens_u)[:-1]]) if len(pieces) else np.zeros(0, np.int64)
-        cat = np.array([i for p in pieces for i in p], dtype=np.int32)
-        lens = lens_u[where] if len(where) else np.zeros(0, np.int64)
-        total = int(lens.sum())
-        gather = np.repeat(offs_u[where] - np.cumsum(lens) + lens, lens) + np.arange(total)
-        values = cat[gather] if total else np.zeros(0, np.int32)
-        w_off = words.offsets.to_numpy(zero_copy_only=False) - words.offsets[0].as_py()
-        csum = np.concatenate([[0], np.cumsum(lens)])
-        row_off = csum[w_off].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(row_off), pa.array(values, pa.int32()), mask=words.is_null())
+        nonlocal trie
+        if trie is None:
+            trie = PieceTrie(bc_vocab.value, bc_vocab.value.get("[UNK]", 1))
+        return encode_lists(trie, words, lower)
 
     return encode
 

@@ -387,9 +387,11 @@ def runs_for_summary(runs: DataFrame, metric: str = "avg_acc", config: str = "al
 
 
 def fit_grid(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x="ids", label: str = "label",
-             n_draws: int = 12, estimator: str = "sampled", max_bytes: int | None = None, **kw) -> DataFrame:
+             n_draws: int = 12, estimator: str = "sampled", max_bytes: int | None = None, drop_remainder: bool = False,
+             **kw) -> DataFrame:
     """The runs table of a grid: each run whole in one task where the counted
-    rows fit ``max_bytes`` (sequential steps), else local SGD over workers."""
+    rows fit ``max_bytes`` (sequential steps), else local SGD over workers
+    (whose last slices are never dropped)."""
     from ibex.operators import resident as R
 
     bound = R.MAX_BYTES if max_bytes is None else max_bytes
@@ -397,7 +399,8 @@ def fit_grid(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], k
     data = VIB.materialize(data)
     try:
         if R.fits(data.count(), spec, configs, columns, kw.get("epochs", 5), n_draws, estimator, bound):
-            return R.fit_runs(data, spec, configs, key, x, label, n_draws=n_draws, estimator=estimator, max_bytes=bound, **kw)
+            return R.fit_runs(data, spec, configs, key, x, label, n_draws=n_draws, estimator=estimator, max_bytes=bound,
+                              drop_remainder=drop_remainder, **kw)
         return fit_sweep(data, spec, configs, key, x, label, n_draws=n_draws, estimator=estimator, **kw)
     finally:
         data.unpersist()

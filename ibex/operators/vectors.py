@@ -23,3 +23,12 @@ def center_vector(c: Column | str) -> Column:
 def flatten_matrix(c: Column | str) -> Column:
     """Row-major flatten of an ``array<array<...>>`` column."""
     return F.flatten(_arr(c))
+
+
+def outer_image(c: Column | str, side: int = 28) -> Column:
+    """A ``side`` x ``side`` grey image (rows of whole numbers from 0 to 255)
+    of a vector: the sizes of the products of its first ``side`` values, 1 and
+    above being white.  Stands in for digit images where a table has vectors
+    only."""
+    lead = F.transform(F.slice(_arr(c), 1, side), lambda v: v.cast("double"))
+    return F.transform(lead, lambda a: F.transform(lead, lambda b: F.floor(F.lit(255.0) * F.least(F.abs(a * b), F.lit(1.0))).cast("int")))

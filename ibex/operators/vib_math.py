@@ -254,26 +254,61 @@ def noise_columns(spec: "VibSpec", alpha: float, estimator: str) -> int:
 
 # -------------------------------------------------------------- forward ---
 
-def input_matrix(spec: VibSpec, p: dict, x: np.ndarray) -> np.ndarray:
-    if spec.input_kind == "ids":
-        ids = np.clip(x.astype(np.int64), 0, spec.vocab_size - 1)
-        return p["embed"][ids].reshape(x.shape[0], -1)
-    h = x.astype(spec.dtype)
-    if spec.input_transform == "center":
-        h = 2.0 * h - 1.0
-    return h
+class Inputs:
+    """The input rows, as the first layer sees them.
+
+    Token ids go through the embedding and a flatten.  Columns that hold the
+    padding id 0 in all rows are one and the same vector for every row, so
+    their part of the layer is a matrix-vector product, and their part of its
+    gradient an outer product; the rows' own matrix ends where the longest of
+    them does.
+    """
+
+    def __init__(self, spec: VibSpec, p: dict, x: np.ndarray):
+        self.spec, self.p = spec, p
+        if spec.input_kind == "ids":
+            used = np.flatnonzero(x.any(axis=0)) if len(x) else np.empty(0, dtype=np.int64)
+            self.columns = int(used[-1]) + 1 if len(used) else 0
+            self.ids = np.clip(x[:, :self.columns].astype(np.int64), 0, spec.vocab_size - 1)
+            self.h = p["embed"][self.ids].reshape(len(x), -1)
+            self.padding = np.tile(p["embed"][0], spec.seq_len - self.columns)
+        else:
+            self.h = x.astype(spec.dtype)
+            if spec.input_transform == "center":
+                self.h = 2.0 * self.h - 1.0
+            self.padding = self.h[:0, 0] if self.h.size else np.empty(0, dtype=spec.dtype)
+
+    def layer(self, name: str) -> np.ndarray:
+        """Rows times the layer's weights, plus its bias."""
+        w, own = self.p[f"{name}.W"], self.h.shape[1]
+        out = self.h @ w[:own] + self.p[f"{name}.b"]
+        return out + self.padding @ w[own:] if len(self.padding) else out
+
+    def backward(self, name: str, da: np.ndarray, gv: dict) -> None:
+        """Gradients of the layer and the embedding from that of its output."""
+        w, gw, own = self.p[f"{name}.W"], gv[f"{name}.W"], self.h.shape[1]
+        np.matmul(self.h.T, da, out=gw[:own])
+        total = da.sum(axis=0)
+        gv[f"{name}.b"][:] = total
+        if self.spec.input_kind != "ids":
+            return
+        if self.columns:
+            _embedding_gradient(self.ids.reshape(-1), (da @ w[:own].T).reshape(-1, self.spec.embed_dim), gv["embed"])
+        if len(self.padding):
+            np.multiply(self.padding[:, None], total[None, :], out=gw[own:])
+            gv["embed"][0] += (w[own:] @ total).reshape(-1, self.spec.embed_dim).sum(axis=0)
 
 
 def encode(spec: VibSpec, p: dict, x: np.ndarray, keep: bool = False):
     """Encoder: returns ``(mu, rho, cache)``."""
-    h = input_matrix(spec, p, x)
-    cache = {"h_in": h, "acts": []}
+    inputs, h = Inputs(spec, p, x), None
+    cache = {"inputs": inputs, "acts": []}
     for i in range(len(spec.enc_units)):
-        a = h @ p[f"enc{i}.W"] + p[f"enc{i}.b"]
+        a = inputs.layer("enc0") if i == 0 else h @ p[f"enc{i}.W"] + p[f"enc{i}.b"]
         if keep:
             cache["acts"].append((h, a))
         h = np.maximum(a, 0.0)
-    out = h @ p["enc_out.W"] + p["enc_out.b"]
+    out = inputs.layer("enc_out") if h is None else h @ p["enc_out.W"] + p["enc_out.b"]
     cache["h_last"] = h
     k = spec.latent_dim
     return out[:, :k], out[:, k:], cache
@@ -327,6 +362,8 @@ def row_metrics(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray, e
 
 def _embedding_gradient(ids: np.ndarray, dh: np.ndarray, out: np.ndarray) -> None:
     """Sums the rows of ``dh`` by their id into ``out``, in the rows' order."""
+    if len(out) < 1 << 15:
+        ids = ids.astype(np.int16)  # sorted by radix
     order = np.argsort(ids, kind="stable")
     ordered = ids[order]
     begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -402,20 +439,22 @@ def loss_and_grad(spec: VibSpec, flat: np.ndarray, x: np.ndarray, y: np.ndarray,
     dsig = dz * eps + c * dDsig
     drho = dsig * sigmoid(rho - SCALE_SHIFT)
     dout = np.concatenate([dmu, drho], axis=1)
-    h_last = cache["h_last"]
-    np.matmul(h_last.T, dout, out=gv["enc_out.W"])
-    gv["enc_out.b"][:] = dout.sum(axis=0)
-    dh = dout @ p["enc_out.W"].T
+    h_last, inputs = cache["h_last"], cache["inputs"]
+    if h_last is None:
+        inputs.backward("enc_out", dout, gv)
+    else:
+        np.matmul(h_last.T, dout, out=gv["enc_out.W"])
+        gv["enc_out.b"][:] = dout.sum(axis=0)
+        dh = dout @ p["enc_out.W"].T
     for i in reversed(range(len(spec.enc_units))):
         h_in, a = cache["acts"][i]
         da = dh * (a > 0)
+        if i == 0:
+            inputs.backward("enc0", da, gv)
+            break
         np.matmul(h_in.T, da, out=gv[f"enc{i}.W"])
         gv[f"enc{i}.b"][:] = da.sum(axis=0)
-        if i or spec.input_kind == "ids":
-            dh = da @ p[f"enc{i}.W"].T
-    if spec.input_kind == "ids":
-        ids = np.clip(x.astype(np.int64), 0, spec.vocab_size - 1).reshape(-1)
-        _embedding_gradient(ids, dh.reshape(-1, spec.embed_dim), gv["embed"])
+        dh = da @ p[f"enc{i}.W"].T
     return g, float(ce_rows.sum()), float(div_sum), n
 
 

@@ -125,3 +125,47 @@ def join_ints(x: str) -> str:
 
 def join_doubles(x: str) -> str:
     return f"array_to_string(list_transform({x}, lambda v: printf('%.6f', v)), ' ')"
+
+
+def subword_cte(n_words: int = 2000, max_length: int = 512) -> str:
+    """``sub(doc_id, pos, label, is_train, ids, width)``: begin and end marks
+    (2, 3) around the greedy longest pieces (unknown: 1), and the width of the
+    row's part.  The pieces: 5 marks, the characters by count, their
+    continuations, the most frequent words."""
+    return f"""{tokens_cte()},
+wc AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM tok WHERE is_train) GROUP BY token),
+ch AS (SELECT c, sum(n) AS n, row_number() OVER (ORDER BY sum(n) DESC, c) - 1 AS r
+       FROM (SELECT unnest(string_split(token, '')) AS c, n FROM wc) WHERE c <> '' GROUP BY c),
+nch AS (SELECT count(*) AS k FROM ch),
+top AS (SELECT token, n FROM wc ORDER BY n DESC, token LIMIT {n_words}),
+units AS (SELECT c AS body, false AS more, 5 + r AS id FROM ch
+           UNION ALL SELECT c, true, 5 + k + r FROM ch, nch
+           UNION ALL SELECT token, false, 4 + 2 * k + row_number() OVER (ORDER BY n DESC, token)
+                     FROM top, nch WHERE token NOT IN (SELECT c FROM ch)),
+words AS (SELECT doc_id, pos, unnest(w) AS word, generate_subscripts(w, 1) AS i
+          FROM (SELECT doc_id, pos, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM tok)),
+basic AS (SELECT word, unnest(b) AS token, generate_subscripts(b, 1) AS j
+          FROM (SELECT word, regexp_extract_all(strip_accents(lower(word)), '_|[^_]+') AS b FROM (SELECT DISTINCT word FROM words))),
+toks AS (SELECT DISTINCT token FROM basic WHERE length(token) <= 100),
+longest AS (
+  SELECT t.token, t.s, max(p.len) AS len, arg_max(p.id, p.len) AS id
+  FROM (SELECT token, s, unnest(range(1, length(token) - s + 2)) AS len
+        FROM (SELECT token, unnest(range(1, length(token) + 1)) AS s FROM toks)) t
+  JOIN (SELECT *, length(body) AS len FROM units) p
+    ON p.body = substr(t.token, t.s, t.len) AND p.len = t.len AND p.more = (t.s > 1)
+  GROUP BY t.token, t.s),
+walk AS (
+  SELECT token, 1 AS s, []::BIGINT[] AS ids FROM toks
+  UNION ALL
+  SELECT w.token, w.s + l.len, list_append(w.ids, l.id) FROM walk w JOIN longest l ON l.token = w.token AND l.s = w.s),
+found AS (SELECT token, ids FROM walk WHERE s = length(token) + 1),
+wids AS (SELECT b.word, flatten(list(coalesce(f.ids, [1]::BIGINT[]) ORDER BY b.j)) AS ids FROM basic b LEFT JOIN found f USING (token) GROUP BY b.word),
+body AS (SELECT doc_id, pos, flatten(list(ids ORDER BY i)) AS ids FROM words JOIN wids USING (word) GROUP BY doc_id, pos),
+marked AS (SELECT t.doc_id, t.pos, t.label, t.is_train,
+           list_concat(list_concat([2]::BIGINT[], coalesce(b.ids, []::BIGINT[])[1:{max_length - 2}]), [3]::BIGINT[]) AS ids
+           FROM tok t LEFT JOIN body b USING (doc_id, pos)),
+sub AS (SELECT *, least({max_length}, max(len(ids)) OVER (PARTITION BY is_train)) AS width FROM marked)"""
+
+
+def subword_padded() -> str:
+    return "list_concat(ids, list_transform(range(width - len(ids)), lambda _x: 0::BIGINT))"

@@ -145,6 +145,50 @@ grad AS (
 {select}"""
 
 
+def gradient_alpha_sql(beta: float, alphas, select: str, seed: int = 0) -> str:
+    """``grad(alpha, param, i, g)``: gradient of mean cross-entropy + beta x
+    sampled divergence of other orders (bits) over the train rows; every entry
+    of the log-sum-exp weighs in by its softmax (for inf: the largest)."""
+    tag = f"{seed}:eval"
+    r1, r2, eps = (_gauss(t, "l.vec_id", "l.k") for t in (tag + ":r1", tag + ":r2", tag))
+    orders = ", ".join(f"('{a}')" for a in alphas)
+    weight = " UNION ALL ".join(
+        "SELECT '%s' AS alpha, vec_id, k, x2, r2, sigma, %s AS w FROM ld" % (
+            a, "CASE WHEN d = max(d) OVER () THEN 1.0 ELSE 0.0 END" if a == float("inf") else
+            f"exp({a - 1.0} * d - max({a - 1.0} * d) OVER ())") for a in alphas)
+    tr = "(SELECT vec_id, label FROM rows WHERE is_train)"
+    return f"""WITH {forward_ctes(seed).strip()},
+orders(alpha) AS (VALUES {orders}),
+n AS (SELECT count(*) AS n FROM rows WHERE is_train),
+ld AS (SELECT vec_id, k, x2, r2, sigma, -0.5 * r1 * r1 - ln(sigma) + 0.5 * x2 * x2 AS d FROM (
+       SELECT l.vec_id, l.k, l.sigma, {r1} AS r1, {r2} AS r2, l.mu + l.sigma * {r2} AS x2 FROM lat l JOIN {tr} r USING (vec_id))),
+raw AS ({weight}),
+wt AS (SELECT alpha, vec_id, k, x2, r2, sigma, w / sum(w) OVER (PARTITION BY alpha) AS w FROM raw),
+dlog AS (SELECT lg.vec_id, lg.c, (exp(lg.logit - p.mx) / sum(exp(lg.logit - p.mx)) OVER (PARTITION BY lg.vec_id)
+         - CASE WHEN lg.c = r.label THEN 1.0 ELSE 0.0 END) / ln(2.0) AS d
+         FROM lg JOIN pred p USING (vec_id) JOIN {tr} r USING (vec_id)),
+dz AS (SELECT d.vec_id, r.k, sum(d.d * {_w('r.k', 'd.c', 2)}) AS d
+       FROM dlog d, (SELECT range AS k FROM range({LATENT})) r GROUP BY d.vec_id, r.k),
+dlat AS (SELECT w.alpha, l.vec_id, l.k, dz.d + n.n * {beta} / ln(2.0) * w.w * w.x2 AS dmu,
+         (dz.d * {eps} + n.n * {beta} / ln(2.0) * w.w * (w.x2 * w.r2 - 1.0 / l.sigma)) * (1.0 - exp(-l.sigma)) AS drho
+         FROM lat l JOIN dz USING (vec_id, k) JOIN wt w USING (vec_id, k), n),
+dout AS (SELECT alpha, vec_id, k AS j, dmu AS d FROM dlat UNION ALL SELECT alpha, vec_id, k + {LATENT} AS j, drho AS d FROM dlat),
+dh AS (SELECT s.alpha, h.vec_id, h.j, CASE WHEN h.h > 0 THEN s.d ELSE 0.0 END AS d FROM h0 h JOIN
+       (SELECT o.alpha, o.vec_id, r.j, sum(o.d * {_w('r.j', 'o.j', 1)}) AS d
+        FROM dout o, (SELECT range AS j FROM range({HIDDEN})) r GROUP BY o.alpha, o.vec_id, r.j) s USING (vec_id, j)),
+grad AS (
+ SELECT d.alpha, 'enc0.W' AS param, x.i * {HIDDEN} + d.j AS i, sum(x.v * d.d) / max(n.n) AS g FROM x JOIN dh d USING (vec_id), n
+ GROUP BY d.alpha, x.i, d.j
+ UNION ALL SELECT d.alpha, 'enc0.b', d.j, sum(d.d) / max(n.n) FROM dh d, n GROUP BY d.alpha, d.j
+ UNION ALL SELECT d.alpha, 'enc_out.W', h.j * {2 * LATENT} + d.j, sum(h.h * d.d) / max(n.n) FROM h0 h JOIN dout d USING (vec_id), n
+ GROUP BY d.alpha, h.j, d.j
+ UNION ALL SELECT d.alpha, 'enc_out.b', d.j, sum(d.d) / max(n.n) FROM dout d, n GROUP BY d.alpha, d.j
+ UNION ALL SELECT o.alpha, 'dec_out.W', z.k * {CLASSES} + d.c, sum(z.z * d.d) / max(n.n) FROM z JOIN dlog d USING (vec_id), n, orders o
+ GROUP BY o.alpha, z.k, d.c
+ UNION ALL SELECT o.alpha, 'dec_out.b', d.c, sum(d.d) / max(n.n) FROM dlog d, n, orders o GROUP BY o.alpha, d.c)
+{select}"""
+
+
 def adam_select(lr: float, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-7) -> str:
     """First Adam step on ``grad`` from the formula weights."""
     start = f"""CASE param

@@ -18,11 +18,13 @@ from ibex.functions.numeric import one_hot
 from ibex.functions.text import clean_text, tokenize
 from ibex.operators import labels as L
 from ibex.operators import split as S
+from ibex.operators import vectors as VEC
 from ibex.operators import vocab as V
 from ibex.operators.paragraphs import paragraphs
 from ibex.plans import oracle as O
 from ibex.plans.text import TextConfig, labelled_paragraphs, split_rows
 from ibex.sources import corpus as C
+from ibex.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -631,6 +633,25 @@ def q_sweep_beta_summary(spark, sf_dir):
     return s.select("config", r6("train_metric").alias("train_metric"), r6("test_metric").alias("test_metric"))
 
 
+@register("alpha_results", f"WITH {_runs_sql()}, {_LAST_SQL} SELECT config AS alpha, "
+          "round(avg(last_metric), 6) + 0.0 AS avg_acc, round(stddev_pop(last_metric), 6) + 0.0 AS std_acc "
+          "FROM last WHERE NOT is_train GROUP BY config")
+def q_alpha_results(spark, sf_dir):
+    """The alpha sweep's result file."""
+    s = sinks.result_table(SW.summary_mean_std(_runs(spark, sf_dir), is_train=False), sinks.ALPHA_COLUMNS)
+    return s.select("alpha", r6("avg_acc").alias("avg_acc"), r6("std_acc").alias("std_acc"))
+
+
+@register("beta_results", f"WITH {_runs_sql()}, {_LAST_SQL} SELECT config AS beta, "
+          "round(avg(CASE WHEN is_train THEN last_metric END), 6) + 0.0 AS \"train accuracy\", "
+          "round(avg(CASE WHEN NOT is_train THEN last_metric END), 6) + 0.0 AS \"test accuracy\" "
+          "FROM last GROUP BY config")
+def q_beta_results(spark, sf_dir):
+    """The beta sweep's result file."""
+    s = sinks.result_table(SW.summary_train_test(_runs(spark, sf_dir)), sinks.BETA_COLUMNS)
+    return s.select("beta", *[r6(F.col(c)).alias(c) for c in ("train accuracy", "test accuracy")])
+
+
 # ------------------------------------- training (rows-only: no SQL form) ---
 
 FIT_VEC_SPEC = VM.dense_spec(64, units=(32, 32), out_dim=10, latent_dim=2, transform="center")
@@ -641,11 +662,44 @@ def q_fit_history(spark, sf_dir):
     """Local-SGD training on the vector table over a fixed number of workers:
     per-epoch information-plane bounds and accuracies for both parts."""
     vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id")
-    cfg = VIB.FitConfig(epochs=20, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
+    cfg = VIB.FitConfig(epochs=50, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
     _, hist = VIB.fit(vec, FIT_VEC_SPEC, cfg, "vec_id", "features")
     return VIB.history_frame(spark, hist)
 
 
+@register("fit_history_blocks")
+def q_fit_history_blocks(spark, sf_dir):
+    """Local-SGD training with the model as a table of blocks: parameters and
+    optimizer state never reach the driver."""
+    from ibex.operators import block_model as BM
+    vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id")
+    cfg = VIB.FitConfig(epochs=5, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
+    _, hist = BM.fit(vec, FIT_VEC_SPEC, cfg, "vec_id", "features")
+    return VIB.history_frame(spark, hist)
+
+
+# The digit-image script's model and settings.
+IMAGE_SPEC = VM.dense_spec(784, units=(1024, 1024), out_dim=10, latent_dim=2, transform="center", dtype="float32")
+IMAGE_EPOCHS, IMAGE_BATCH, IMAGE_BETA = 50, 100, 10 ** -0.5
+
+
+def _images(spark, sf_dir):
+    vec = C.read_vectors(spark, sf_dir)
+    return vec.select("vec_id", "label", VEC.scale_vector(VEC.flatten_matrix(VEC.outer_image("features"))).alias("image"))
+
+
+@register("fit_image_history")
+def q_fit_image_history(spark, sf_dir):
+    """The image classifier at its full size (784-1024-1024, batches of 100,
+    50 epochs) on images made of the vectors: matrix, flatten, scale, one whole
+    run of sequential steps in a task."""
+    from ibex.operators import resident as R
+    grid = SW.beta_grid_configs([IMAGE_BETA], n_samples=1)
+    runs = R.fit_runs(_images(spark, sf_dir), IMAGE_SPEC, grid, "vec_id", "image", epochs=IMAGE_EPOCHS, batch_size=IMAGE_BATCH,
+                      lr=SW.SCRIPT_LR, drop_remainder=True)
+    return sinks.result_table(R.history_of(runs), sinks.HISTORY_COLUMNS)
+
+
 TEXT_FIT_SPEC = VM.text_spec(num_words=1000, maxlen=500, units=(16, 8), embed_dim=8)
 
 
@@ -660,47 +714,83 @@ def q_fit_text_history(spark, sf_dir):
     padded ids -> local-SGD training of an embedding model (one data pass
     per epoch)."""
     data = _text_model_frame(spark, sf_dir)
-    cfg = VIB.FitConfig(epochs=2, batch_size=50, beta=1e-4, alpha=1.0, lr=1e-3, mode="average")
+    cfg = VIB.FitConfig(epochs=25, batch_size=50, beta=1e-4, alpha=1.0, lr=1e-3, mode="average")
     _, hist = VIB.fit(data, TEXT_FIT_SPEC, cfg, ["doc_id", "pos"], "ids")
     return VIB.history_frame(spark, hist)
 
 
+@register("fit_text_script")
+def q_fit_text_script(spark, sf_dir):
+    """The text classifier at its full size: 1000 x 64 embedding of 500 ids,
+    128 and 64 units, 25 epochs of sequential batches of 50 at 1e-4."""
+    from ibex.operators import resident as R
+    spec = VM.text_spec(CFG.num_words, CFG.maxlen, SW.SCRIPT_ALPHA_UNITS, dtype="float32")
+    grid = SW.beta_grid_configs([SW.SCRIPT_ALPHA_BETA], n_samples=1)
+    runs = R.fit_runs(_text_model_frame(spark, sf_dir), spec, grid, ["doc_id", "pos"], "ids", epochs=25, batch_size=SW.SCRIPT_BATCH,
+                      lr=SW.SCRIPT_LR, drop_remainder=True)
+    return sinks.result_table(R.history_of(runs), sinks.HISTORY_COLUMNS)
+
+
 STEP_BETA = 1e-3
 STEP_LR = 1e-2
 
 
-def _vec_gradient(spark, sf_dir):
-    """Mean gradient of the loss over the whole train part of the vectors at
-    the formula weights: ``(rows, gradient)``."""
+STEP_WORKERS = 8
+
+
+def _step_rows(spark, sf_dir, sampled=False):
+    """The train part of the vectors with its noise, dealt to workers."""
+    from ibex.operators import block_model as BM
     vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id").where("is_train").select("vec_id", "features", "label")
-    step = VIB.with_noise(vec, ["vec_id"], VEC_SPEC.latent_dim, "0", 0, "eval")
-    params = VM.init_params(VEC_SPEC, scheme="formula")
-    n, g = VIB._sum_partials(VIB._grad_partials(step, VEC_SPEC, params, "features", "label", STEP_BETA, 1.0, 1))
-    return n, g / max(n, 1)
+    return BM.worker_rows(VIB.with_noise(vec, ["vec_id"], VEC_SPEC.latent_dim, "0", 0, "eval", sampled), ["vec_id"], STEP_WORKERS)
 
 
-def _per_value(spark, name, values):
-    """(param, i, value) of a flat parameter vector (bounded by the model)."""
-    views = VM.Layout(VEC_SPEC).views(values)
-    rows = [(p, i, float(v)) for p, a in views.items() for i, v in enumerate(a.reshape(-1))]
-    return spark.createDataFrame(rows, f"param string, i bigint, {name} double")
+def _step_gradient(spark, sf_dir, alpha=1.0):
+    """Blocks of the mean gradient of the loss over the whole train part at
+    the formula weights, and those weights' state."""
+    from ibex.operators import block_model as BM
+    state = BM.init_state(spark, VEC_SPEC, scheme="formula", block=STEP_BLOCK)
+    rows = _step_rows(spark, sf_dir, alpha != 1.0)
+    return state, BM.gradient(rows, state, VEC_SPEC, STEP_WORKERS, "features", "label", STEP_BETA, alpha, block=STEP_BLOCK)
+
+
+STEP_BLOCK = 256
 
 
 @register("train_step", OM.gradient_sql(STEP_BETA,
           "SELECT param, CAST(i AS BIGINT) AS i, round(g, 6) + 0.0 AS grad FROM grad"))
 def q_train_step(spark, sf_dir):
     """Gradient of the loss (cross-entropy + beta x divergence, bits) over the
-    whole train part."""
-    _, g = _vec_gradient(spark, sf_dir)
-    return _per_value(spark, "grad", g).select("param", "i", r6("grad").alias("grad"))
+    whole train part, as blocks added up on the executors."""
+    from ibex.operators import block_model as BM
+    _, g = _step_gradient(spark, sf_dir)
+    return BM.state_values(g, VEC_SPEC, "g", STEP_BLOCK).select("param", "i", r6("value").alias("grad"))
+
+
+_STEP_ALPHAS = (0.5, 2.0, 5.0, float("inf"))
+
+
+@register("train_step_alpha", OM.gradient_alpha_sql(STEP_BETA, _STEP_ALPHAS,
+          "SELECT alpha, param, CAST(i AS BIGINT) AS i, round(g, 6) + 0.0 AS grad FROM grad"))
+def q_train_step_alpha(spark, sf_dir):
+    """Gradients for other orders: the sampled divergence over one batch that
+    lies on many tasks, its log-sum-exp in a first pass."""
+    from ibex.operators import block_model as BM
+    out = None
+    for alpha in _STEP_ALPHAS:
+        _, g = _step_gradient(spark, sf_dir, alpha)
+        one = BM.state_values(g, VEC_SPEC, "g", STEP_BLOCK).select(F.lit(str(alpha)).alias("alpha"), "param", "i", r6("value").alias("grad"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("adam_step", OM.gradient_sql(STEP_BETA, OM.adam_select(STEP_LR)))
 def q_adam_step(spark, sf_dir):
-    """The parameters after one Adam step on that gradient."""
-    _, g = _vec_gradient(spark, sf_dir)
-    params = VM.Adam(STEP_LR).step(VM.init_params(VEC_SPEC, scheme="formula"), g)
-    return _per_value(spark, "value", params).select("param", "i", r6("value").alias("value"))
+    """The parameters after one Adam step on that gradient: a join of state
+    and gradient on the block."""
+    from ibex.operators import block_model as BM
+    state, g = _step_gradient(spark, sf_dir)
+    return BM.state_values(BM.adam_step(state, g, STEP_LR), VEC_SPEC, "p", STEP_BLOCK).select("param", "i", r6("value").alias("value"))
 
 
 @register("loss_bits_alpha", OM.renyi_loss_sql((0.1, 0.5, 2.0, 5.0), VEC_BETA))
@@ -726,34 +816,28 @@ def q_sweep_fit_alpha(spark, sf_dir):
     return SW.summary_mean_std(SW.runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
 
 
-# all 17 betas; the script's 50 samples per beta only repeat them for the mean
-_BETA_SAMPLES = 2
-
-
 @register("sweep_fit_beta")
 def q_sweep_fit_beta(spark, sf_dir):
-    """Beta grid (powers of ten) trained together; mean last-epoch train and
-    test accuracy per beta."""
-    vec = C.read_vectors(spark, sf_dir)
-    grid = SW.beta_grid_configs(SW.beta_grid(*SW.SCRIPT_BETA_LOG10), n_samples=_BETA_SAMPLES)
-    runs = SW.fit_sweep(vec, FIT_VEC_SPEC, grid, "vec_id", "features", epochs=SW.SCRIPT_BETA_EPOCHS,
-                        batch_size=SW.SCRIPT_BATCH, lr=1e-3)
-    return SW.summary_train_test(SW.runs_for_summary(runs, "acc", "beta"))
+    """The beta sweep on the book paragraphs: 17 betas x 50 samples x 10
+    epochs, each of the 850 runs whole in one task; mean last-epoch train and
+    test accuracy per beta.  The widths are an eighth of the script's (see the
+    README for the cost at full width)."""
+    table = SW.script_beta_sweep(_text_model_frame(spark, sf_dir), ["doc_id", "pos"], num_words=CFG.num_words, maxlen=CFG.maxlen,
+                                 units=tuple(u // 8 for u in SW.SCRIPT_BETA_UNITS), embed_dim=8, lr=1e-3, drop_remainder=True)
+    return sinks.result_table(table, sinks.BETA_COLUMNS)
 
 
 @register("sweep_fit_alpha_text")
 def q_sweep_fit_alpha_text(spark, sf_dir):
-    """Alpha sweep on the book paragraphs as the sweep script runs it: each
-    trial draws its own split and fits its own vocabulary; the alpha x trial
-    grid is trained together on the per-trial encodings (all alphas and
-    trials; a narrower model)."""
+    """The alpha sweep on the book paragraphs at the script's size: each trial
+    draws its own split and fits its own vocabulary; every run of the alpha x
+    trial grid is a task."""
     from ibex.plans.text import trial_encoded
     trials = list(range(SW.SCRIPT_ALPHA_TRIALS))
     data, _ = trial_encoded(_labelled(spark, sf_dir), ["doc_id", "pos"], trials, CFG)
-    grid = SW.alpha_trial_grid(SW.SCRIPT_ALPHAS, len(trials), SW.SCRIPT_ALPHA_BETA)
-    runs = SW.fit_sweep(data, TEXT_FIT_SPEC, grid, ["doc_id", "pos"], {t: f"ids_t{t}" for t in trials},
-                        epochs=SW.SCRIPT_ALPHA_EPOCHS, batch_size=SW.SCRIPT_BATCH, lr=1e-3)
-    return SW.summary_mean_std(SW.runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
+    table = SW.script_alpha_sweep(data, ["doc_id", "pos"], {t: f"ids_t{t}" for t in trials}, num_words=CFG.num_words, maxlen=CFG.maxlen,
+                                  drop_remainder=True)
+    return sinks.result_table(table, sinks.ALPHA_COLUMNS)
 
 
 # ------------------------------------------------ subword branch (T1-T3) ---
@@ -768,7 +852,9 @@ def _subword_encoded(spark, sf_dir):
     return SWD.pad_to_longest(enc, "input_ids", "is_train", SWD.DEFAULT_MAX_LENGTH)
 
 
-@register("subword_encode")
+@register("subword_encode",
+          f"WITH RECURSIVE {O.subword_cte()} SELECT doc_id, CAST(pos AS BIGINT) AS pos, is_train, CAST(width AS BIGINT) AS width, "
+          f"CAST(len(list_filter(ids, lambda v: v <> 0)) AS BIGINT) AS n_ids, {O.join_ints(O.subword_padded())} AS input_ids FROM sub")
 def q_subword_encode(spark, sf_dir):
     """Greedy longest-match subword ids with begin/end markers, truncated at
     512 and padded to the longest row of each part."""
@@ -779,7 +865,11 @@ def q_subword_encode(spark, sf_dir):
                     join_ints("input_ids").alias("input_ids"))
 
 
-@register("subword_model_inputs")
+@register("subword_model_inputs",
+          f"WITH RECURSIVE {O.subword_cte()}, full_rows AS (SELECT doc_id, pos, label, {O.subword_padded()} AS ids FROM sub) "
+          f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, {O.join_ints('ids')} AS input_ids, "
+          "array_to_string(list_transform(ids, lambda v: CASE WHEN v <> 0 THEN '1' ELSE '0' END), ' ') AS attention_mask, "
+          "CASE WHEN label = 0 THEN '1 0' WHEN label = 1 THEN '0 1' ELSE '0 0' END AS labels FROM full_rows")
 def q_subword_model_inputs(spark, sf_dir):
     """Sequence-classifier inputs from subword ids: ids, mask, one-hot."""
     from ibex.operators.model_inputs import model_inputs

@@ -96,3 +96,29 @@ def test_closed_form_that_does_not_exist_is_an_error():
         M.loss_and_grad(spec, p, x, y, rng.normal(size=(4, 2)), 0.1, 5.0, 4)
     g, *_ = M.loss_and_grad(spec, p, x, y, rng.normal(size=(4, 6)), 0.1, 5.0, 4, "sampled")
     assert np.isfinite(g).all()
+
+
+@pytest.mark.parametrize("units", [(6, 4), ()])
+def test_padding_is_the_same_as_any_other_column(units):
+    """Values and gradients do not depend on how many columns are padding in
+    all rows: a batch with one long row has the rows' sum of gradients."""
+    rng = np.random.default_rng(2)
+    spec = M.text_spec(30, 12, units, embed_dim=3)
+    p = M.init_params(spec, 1)
+    x = np.zeros((6, 12), dtype=np.int64)
+    for i, n in enumerate((0, 1, 3, 4, 4, 12)):
+        x[i, :n] = rng.integers(1, 30, n)
+    y, e = rng.integers(0, 2, 6), rng.normal(size=(6, 2))
+    whole, ce, dv, _ = M.loss_and_grad(spec, p, x, y, e, 0.1, 1.0, 6)
+    parts = [M.loss_and_grad(spec, p, x[i:i + 1], y[i:i + 1], e[i:i + 1], 0.1, 1.0, 6) for i in range(6)]
+    assert np.allclose(whole, sum(g for g, _, _, _ in parts), atol=1e-12)
+    assert abs(ce - sum(c for _, c, _, _ in parts)) < 1e-9 and abs(dv - sum(d for _, _, d, _ in parts)) < 1e-9
+    # against finite differences, embedding of the padding id included
+    at = [0, 1, 2, 5, 40, len(p) - 1] + list(range(90, len(p), 29))
+    for i in at:
+        up, down = p.copy(), p.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        slope = (M.total_loss(spec, up, x[:4], y[:4], e[:4], 0.1, 1.0) - M.total_loss(spec, down, x[:4], y[:4], e[:4], 0.1, 1.0)) / 2e-6
+        got = M.loss_and_grad(spec, p, x[:4], y[:4], e[:4], 0.1, 1.0, 4)[0][i]
+        assert abs(slope - got) < 1e-6
