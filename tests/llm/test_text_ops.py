@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -270,10 +271,10 @@ def test_curated_rules(spark):
         assert got[i] == (host, path, rule and rule.name, rule.verdict if rule else "allow")
 
 
-def brute_rules(rows, support, confidence, most=4):
+def brute_rules(rows, support, confidence):
     n, has, block = len(rows), Counter(), Counter()
     for tokens, label in rows:
-        for k in range(1, most + 1):
+        for k in range(1, len(tokens) + 1):
             for c in combinations(sorted(tokens), k):
                 has[c] += 1
                 block[c] += label == "block"
@@ -285,8 +286,8 @@ def test_mined_rules_match_brute_force(spark):
     rng = random.Random(2)
     rows = []
     for _ in range(300):
-        tokens = sorted({f"t{rng.randint(0, 6)}" for _ in range(rng.randint(1, 5))})
-        rows.append((tokens, "block" if {"t1", "t2"} <= set(tokens) or (tokens[0] == "t3" and rng.random() < 0.8) else "allow"))
+        tokens = sorted({f"t{rng.randint(0, 6)}" for _ in range(rng.randint(1, 9))})
+        rows.append((tokens, "block" if len(tokens) > 5 or {"t1", "t2"} <= set(tokens) or (tokens[0] == "t3" and rng.random() < 0.8) else "allow"))
     frame = spark.createDataFrame(rows, "tokens array<string>, label string")
     rules = uf.mine_rules(frame, min_support=0.03, min_confidence=0.7)
     want = brute_rules(rows, 0.03, 0.7)
@@ -297,6 +298,60 @@ def test_mined_rules_match_brute_force(spark):
     assert matched.keys() == {t for t, p in best.items() if p} and all(abs(matched[t] - max(best[t])) < 1e-12 for t in matched)
 
 
+def test_rules_over_items_say_what_the_rules_over_tokens_say(spark):
+    """Tokens of the same rows are one item; blocked sets are those of all
+    rules over single tokens, however many tokens a rule has."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        tokens = {f"t{rng.randint(0, 5)}" for _ in range(rng.randint(0, 3))}
+        if i % 3 == 0:
+            tokens |= {"a1", "a2", "a3", "a4", "a5"}
+        if i % 4 == 0:
+            tokens |= {"b1", "b2"}
+        rows.append((i, sorted(tokens), "block" if i % 12 == 0 or "t5" in tokens and rng.random() < 0.7 else "allow"))
+    labelled = spark.createDataFrame(rows, "row long, tokens array<string>, label string")
+    classes = {r.token: r.item for r in uf.token_classes(labelled, 0.03).collect()}
+    assert {classes[f"a{k}"] for k in range(1, 6)} == {"a1"} and classes["b2"] == "b1" and classes["t5"] == "t5"
+    parsed = labelled.select(F.col("row").alias("id"), "tokens")
+    told = labelled.select(F.col("row").alias("id"), "label")
+    sets = [t for _, t, _ in rows if t] + [["a4", "b2"], ["a1", "a2", "x"], ["b1"], ["a5", "t0", "b1"]]
+    asked = spark.createDataFrame([(t,) for t in {tuple(s) for s in sets}], "tokens array<string>")
+    got = {tuple(r.tokens): r.confidence for r in uf._mined(parsed, told, asked, 0.03, 0.6).collect()}
+    # counts over all labelled rows with a token, as mined
+    want = brute_rules([(t, label) for _, t, label in rows if t], 0.03, 0.6)
+    best = {tuple(t): max((p for c, p in want.items() if set(c) <= set(t)), default=None) for t in sets}
+    assert got.keys() == {t for t, p in best.items() if p} and all(abs(got[t] - best[t]) < 1e-12 for t in got)
+    assert any(len(c) > 1 for c in want) and ("a4", "b2") in got and ("b1",) not in got
+
+
+def test_a_long_url_that_many_pages_share_is_mined_in_no_time(spark):
+    long = "/".join(f"s{chr(97 + k)}x" for k in range(26)) + "?" + "&".join(f"key{chr(97 + k)}=v" for k in range(10))
+    pages = spark.createDataFrame([(i, f"http://long.example.org/{long}" if i % 3 == 0 else f"http://site.org/{i % 7}") for i in range(300)],
+                                  "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = {r.id: r.verdict for r in uf.filter_urls(pages, labels).collect()}
+    assert got == {i: "block" if i % 3 == 0 else "allow" for i in range(300)}
+    assert time.time() - began < 60
+
+
+def test_query_strings_are_tokens_and_curated_verdicts_no_evidence(spark):
+    pages = spark.createDataFrame([(i, f"http://shop.org/item?{'ref' if i % 2 else 'id'}={i}#x?y") for i in range(100)]
+                                  + [(1000 + i, f"http://blog.example.com/en/{i}") for i in range(60)]
+                                  + [(2000 + i, f"http://blog.example.net/en/{i}") for i in range(60)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)] + [(2000 + i, 1, 0) for i in range(50)],
+                                   "doc_id long, quality int, toxic int")
+    got = {r.id: (r.rule, r.verdict) for r in uf.filter_urls(pages, labels).collect()}
+    assert all(got[i] == (None, "block" if i % 2 else "allow") for i in range(100))
+    assert all(got[1000 + i] == ("example.com/en/", "block") and got[2000 + i] == (None, "allow") for i in range(60))
+    q = uf.held_out_quality(pages, labels).first()
+    assert q.pages > 20 and q.bad == q.blocked == q.hits > 5
+    assert [r.tokens for r in spark.createDataFrame([("http://a.b/c1?x=1&y#z",)], "u string").select(
+        uf.url_tokens(uf.host_of(F.col("u")), uf.path_of(F.col("u")), uf.query_of(F.col("u"))).alias("tokens")).collect()] == [
+        ["h:a", "h:b", "k:x", "k:y", "p:c#", "q:x=#", "q:y"]]
+
+
 def test_labels_reach_the_verdict(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.site{i % 5}.org/x/{i}") for i in range(200)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if i % 2 else 1, None) for i in range(100)] + [(None, 0, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
