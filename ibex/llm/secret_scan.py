@@ -31,25 +31,29 @@ _MAX_ALTERNATIVES = 64
 
 @dataclass(frozen=True)
 class SecretRule:
-    """``group`` of a match must have ``at_least`` characters."""
+    """``group`` of a match must have ``at_least`` characters.  Patterns are
+    those that Python's and Java's regexes read alike.  ``long`` may name a
+    pattern whose matches are the long enough ones of ``pattern``."""
 
     kind: str
     pattern: str
     at_least: int = 1
     group: int = 0
     ignore_case: bool = False
+    long: str = ""
 
     @property
     def java(self) -> str:
-        return ("(?i)" if self.ignore_case else "") + self.pattern
+        return ("(?i)" if self.ignore_case else "") + (self.long or self.pattern)
 
 
 #: The base rules of the contract, in its order of kinds.
 BASE = (
     SecretRule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                12, 2, True),
-    SecretRule("access", r"AKIA[A-Z0-9]+", 18),
-    SecretRule("hex", r"[0-9a-f]+", 16),
+    # a match is the rest of a run: the long ones are the runs that are long
+    SecretRule("access", r"AKIA[A-Z0-9]+", 18, long=r"AKIA[A-Z0-9]{14,}"),
+    SecretRule("hex", r"[0-9a-f]+", 16, long=r"[0-9a-f]{16,}"),
 )
 #: Public formats of further secrets.
 FURTHER = (
@@ -123,24 +127,53 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
     return hits.groupBy("id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # at most one entry per rule
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not for each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, rule: SecretRule, number: int) -> Column:
     """(start, kind number, end, kind) of every leftmost non-overlapping match
-    whose group is long enough; offsets in code points."""
+    whose group is long enough; offsets in code points.
+
+    Offsets are sums over the matches before.  The matches are cut into about
+    as many chunks as a chunk has matches, so no array grows match by match to
+    more than a chunk."""
     matches, pieces = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)), F.split(text, rule.java, -1)
-    groups = F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group))
-    rows = F.arrays_zip(matches.alias("m"), F.slice(pieces, F.lit(1), F.size(matches)).alias("before"), groups.alias("g"))
-    kind = "struct<start:int,number:int,end:int,kind:string>"
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+    groups = F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)) if rule.group else F.array().cast("array<string>")
+    none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
+
+    def sizes(found: Column) -> Column:
+        rows = F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("before"), groups.alias("g"))
+        return F.transform(rows, lambda r: F.struct(
+            F.length(r["before"]).alias("before"), F.length(r["m"]).alias("m"),
+            F.length(r["g" if rule.group else "m"]).alias("g")))
 
     def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["before"])
-        end = start + F.length(row["m"])
+        start = state["at"] + row["before"]
+        end = start + row["m"]
         span = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.length(row["g"]) >= rule.at_least, F.concat(state["found"], F.array(span)))
+        return F.struct(end.alias("at"), F.when(row["g"] >= rule.at_least, F.concat(state["found"], F.array(span)))
                         .otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(rows, none, step, lambda s: s["found"])
-    return F.when(F.rlike(text, F.lit(rule.java)), found).otherwise(F.array().cast(f"array<{kind}>"))
+    def in_chunk(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("found")), step, lambda s: s["found"])
+
+    def in_chunks(chunks: Column) -> Column:
+        def total(chunk):
+            return F.aggregate(chunk, F.lit(0), lambda n, r: n + r["before"] + r["m"])
+
+        begins = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")),
+                             lambda s, c: F.struct((s["at"] + total(c)).alias("at"), F.concat(s["begins"], F.array(s["at"])).alias("begins")),
+                             lambda s: s["begins"])
+        return F.flatten(F.zip_with(chunks, begins, in_chunk))
+
+    def in_all(rows: Column) -> Column:
+        width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(rows)))).cast("int")
+        chunks = _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.size(rows) - 1, w), lambda i: F.slice(rows, i + 1, w)))
+        return F.when(F.size(rows) == 0, none).otherwise(_let(chunks, in_chunks))
+
+    return F.when(F.rlike(text, F.lit(rule.java)), _let(sizes(matches), in_all)).otherwise(none)
 
 
 def span_text(spans: Column) -> Column:
