@@ -67,8 +67,9 @@ class Memory:
         self.young: dict = {}
         self.old: dict = {}
 
-    def forget(self) -> None:
-        self.young, self.old, self.size = {}, {}, 0
+    def rest(self) -> None:
+        """Between tasks the younger generation is enough."""
+        self.old = {}
 
     def of(self, distinct: list[str], solve) -> list:
         """The value of each chunk; ``solve`` gives those of a list of unknown

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +117,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+class Sketches:
+    """A column of sketches in another order, each read when it is asked for."""
+
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
+        self.column, self.order = column, order
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return Sketches(self.column, self.order[at])
+        return self.column[int(self.order[at])].as_buffer()
+
+
 class NearDedup:
     """The join's parameters; see :func:`near_dedup`."""
 
@@ -187,7 +200,7 @@ class NearDedup:
         return (members.join(signs, "id").select("node", "root", "id", "sig")
                 .mapInArrow(move, "node long, root int, id long"))
 
-    def _each_node(self, rows: DataFrame, signs: DataFrame, work, rows_per_task: int = 1 << 13) -> DataFrame:
+    def _each_node(self, rows: DataFrame, signs: DataFrame, work, rows_per_task: int = 1 << 12) -> DataFrame:
         """Pairs (a, b) from ``work(columns, first, rest)`` on the rows of each
         (node, salt); small nodes share a task.  ``signs`` has the signatures,
         and the sketches if ``work`` looks at them."""
@@ -195,9 +208,12 @@ class NearDedup:
         rows = rows.withColumn("task", F.pmod(F.xxhash64("node", "salt"), F.lit(n_tasks)).cast("int")).join(signs, "id")
 
         def run(group: pa.Table) -> pa.Table:
-            group = group.sort_by([("node", "ascending"), ("salt", "ascending"), ("id", "ascending")])
-            columns = {c: group.column(c).to_numpy(zero_copy_only=False) for c in group.column_names if c not in ("sig", "task")}
-            first, rest = self.tokens(group.column("sig"))
+            order = pc.sort_indices(group.select(["node", "salt", "id"]), [(c, "ascending") for c in ("node", "salt", "id")]).to_numpy()
+            columns = {c: group.column(c).to_numpy(zero_copy_only=False)[order] for c in group.column_names
+                       if c not in ("sig", "task", "sketch")}
+            if "sketch" in group.column_names:
+                columns["sketch"] = Sketches(group.column("sketch"), order)
+            first, rest = (v[order] for v in self.tokens(group.column("sig")))
             node, salt = columns["node"], columns["salt"]
             begin = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (salt[1:] != salt[:-1])))
             out = [np.empty((0, 2), dtype=np.int64)]
@@ -205,6 +221,8 @@ class NearDedup:
                 if hi - lo > 1:
                     out.append(work({c: v[lo:hi] for c, v in columns.items()}, first[lo:hi], rest[lo:hi]))
             pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            del columns, first, rest, group
+            tb.trim()
             return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         return rows.groupBy("task").applyInArrow(run, "a long, b long").distinct()

@@ -75,7 +75,7 @@ class Encoder:
         return out, upto[first]
 
 
-def _parts(batch: pa.RecordBatch, size: int = 6 << 20):
+def _parts(batch: pa.RecordBatch, size: int = 4 << 20):
     """Runs of rows with about ``size`` bytes of text: long enough that most
     chunks repeat, short enough to bound the ids held at a time."""
     offsets, _ = tb.buffers(batch.column("text"))
@@ -111,7 +111,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_c
                     [ids_out, *(pa.array(x, pa.int64()) for x in (start, length, crc, total)),
                      part.column("salt").take(pa.array(rows, pa.int64()))],
                     names=["id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
-        encoder.memory.forget()
+        encoder.memory.rest()
 
     frame = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     # rows of one id are told apart by their text

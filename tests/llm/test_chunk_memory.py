@@ -19,8 +19,8 @@ def test_values_are_right_and_the_size_bounded():
         assert len(memory.young) + len(memory.old) < 700
     # chunks in use stay known
     assert sum(c.startswith("common") for c in asked) == 20
-    memory.forget()
-    assert not memory.young and not memory.old
+    memory.rest()
+    assert not memory.old and memory.of(["common3"], solve) == [b"COMMON3"]
 
 
 def test_long_chunks_are_solved_but_not_kept():
