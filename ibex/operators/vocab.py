@@ -143,31 +143,49 @@ def encode_tokens(tokenized: DataFrame, vocab: DataFrame, maxlen: int | None = D
 
     The vocabulary is shipped to the tasks when its size check passes;
     beyond the bound the rows are encoded by :func:`encode_tokens_join` on
-    their unique ``key`` (an error without one)."""
+    their unique ``key`` (rows without one are numbered and written first)."""
     spark = tokenized.sparkSession
     words = collect_vocabulary(vocab)
     if words is None:
-        if key is None:
-            raise ValueError(f"vocabulary larger than {MAX_BROADCAST_VOCAB} rows: pass the row key to encode by join")
-        return encode_tokens_join(tokenized, vocab, key, maxlen, tokens, out)
+        if key is not None:
+            return encode_tokens_join(tokenized, vocab, key, maxlen, tokens, out)
+        from ibex.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        numbered = tokenized.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+        return encode_tokens_join(numbered, vocab, ["__row"], maxlen, tokens, out).drop("__row")
     bc = spark.sparkContext.broadcast(words)
     udf = F.arrow_udf(_make_encoder(bc), T.ArrayType(T.IntegerType()))
     src = F.col(tokens) if maxlen is None else F.slice(tokens, 1, maxlen)
     return tokenized.withColumn(out, udf(src))
 
 
+def hot_tokens(occurrences: DataFrame, partitions: int) -> DataFrame:
+    """Tokens that alone would fill a quarter of one of ``partitions`` shuffle
+    partitions or more: at most ``4 * partitions`` of them, whatever the data
+    (counted with map-side sums)."""
+    counts = occurrences.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    total = occurrences.agg(F.count("token")).first()[0]
+    return counts.where(F.col("n") * F.lit(4 * partitions) >= F.lit(max(total, 1))).select("token")
+
+
 def encode_tokens_join(tokenized: DataFrame, vocab: DataFrame, key: list[str],
                        maxlen: int | None = DEFAULT_MAXLEN, tokens: str = "tokens",
                        out: str = "ids") -> DataFrame:
     """Pure-DataFrame variant of :func:`encode_tokens` for vocabularies too
-    large to ship: explode, left join on token, regroup by key in position
-    order.  Costs one shuffle of the token stream; a token holding a large
-    share of all rows makes a skewed join partition on the streamed (left)
-    side, which adaptive execution splits (skew join)."""
+    large to ship.  The tokens are exploded and split in two: the few hot ones
+    (see :func:`hot_tokens`) get their id from a broadcast, the others by a
+    shuffle join in which no token fills a partition; then the rows are
+    regrouped by key in position order."""
     src = F.col(tokens) if maxlen is None else F.slice(tokens, 1, maxlen)
     exploded = tokenized.select(*key, F.posexplode(src).alias("_p", "token"))
-    joined = exploded.join(vocab.select("token", "id"), "token", "left")
-    regrouped = joined.groupBy(*key).agg(
+    words = vocab.select("token", "id")
+    partitions = int(tokenized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_tokens(exploded, partitions).join(words, "token", "left").withColumnRenamed("id", "_hot_id").withColumn("_hot", F.lit(True))
+    told = exploded.join(F.broadcast(hot), "token", "left")
+    by_broadcast = told.where("_hot").withColumnRenamed("_hot_id", "id").drop("_hot")
+    by_shuffle = told.where("_hot IS NULL").drop("_hot", "_hot_id").join(words, "token", "left")
+    regrouped = by_broadcast.unionByName(by_shuffle).groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("_p", F.coalesce("id", F.lit(OOV_ID)).alias("id")))).alias("_s")
     )
     ids = regrouped.select(*key, F.transform("_s", lambda s: s["id"]).alias(out))

@@ -88,19 +88,26 @@ MESSAGE_SCHEMA = T.StructType([
 ])
 
 
-def read_messages_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_messages_csv(spark: SparkSession, path: str, multi_line: bool = True, split: bool = True) -> DataFrame:
     """Category/message CSV with header.
 
-    ``multi_line=False`` lets Spark split large files over tasks and is right
-    where no quoted field spans lines.  ``msg_id`` is a SHA-256 of the row's
+    Files whose quoted fields span lines are read split by split
+    (``split_csv``); ``split=False`` takes Spark's reader, one task a file,
+    which also reads stray quotes.  ``multi_line=False`` is right where no
+    quoted field spans lines.  ``msg_id`` is a SHA-256 of the row's
     content, and a row number among equal rows (which are interchangeable), so
     it depends on neither file layout nor scheduling."""
-    raw = (
-        spark.read.schema(MESSAGE_SCHEMA)
-        .option("header", "true").option("multiLine", str(multi_line).lower())
-        .option("quote", '"').option("escape", '"')
-        .csv(path)
-    )
+    if multi_line and split:
+        from ibex.sources.split_csv import read_csv_split
+
+        raw = read_csv_split(spark, path, "Category string, Message string")
+    else:
+        raw = (
+            spark.read.schema(MESSAGE_SCHEMA)
+            .option("header", "true").option("multiLine", str(multi_line).lower())
+            .option("quote", '"').option("escape", '"')
+            .csv(path)
+        )
     content = F.sha2(F.concat_ws("\u0001", F.coalesce("Category", F.lit("\u0000")), F.coalesce("Message", F.lit("\u0000"))), 256)
     counted = (raw.groupBy(F.col("Category").alias("category"), F.col("Message").alias("text"), content.alias("_c"))
                .agg(F.count(F.lit(1)).alias("_n")))
