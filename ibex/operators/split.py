@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ibex.functions.hashing import hash32, uniform
 
@@ -58,49 +59,112 @@ def _crossing(hist: list, need: int) -> tuple[int, int, int]:
     raise ValueError("histogram holds fewer rows than needed")
 
 
+#: What the one pass of the exact split keeps of a task's rows: rows whose hash
+#: lies this close to the boundary's expected place, while the task has no more
+#: rows than that.  A level is of use if all tasks kept it, and each spans over
+#: six standard deviations of the boundary at the number of rows it then has.
+_KEPT = ((1.0, 1 << 12), (0.05, 1 << 20), (0.004, None))
+
+
+def _one_pass(hashed: DataFrame, keys: list[str], test_fraction: float) -> tuple[int, int, DataFrame | None]:
+    """``(rows, rank, rows to rank among)``: one scan of the keys counts the
+    rows and puts those near the boundary aside; the boundary row has that
+    rank among them.  None where the boundary lies outside (no scan of usual
+    hashes gives that)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ibex.session import ensure_checkpoint_dir
+
+    ends = [(max(int((test_fraction - w) * 2**32), 0), min(int((test_fraction + w) * 2**32) + 1, 2**32)) for w, _ in _KEPT]
+    slim = hashed.select("_h", *keys)
+    summary = [T.StructField("_level", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_below", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in slim.schema], *summary])
+
+    def pick(batches):
+        n, below, level, held = 0, np.zeros(len(ends), dtype=np.int64), 0, []
+
+        def inside(batch):
+            h = batch.column("_h").to_numpy()
+            return batch.filter(pa.array((h >= ends[level][0]) & (h < ends[level][1])))
+
+        def rows(batch):
+            k = batch.num_rows
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([None] * k, pa.int32()), pa.array([None] * k, pa.int64()),
+                                               pa.array([None] * k, pa.list_(pa.int64()))], names=schema.fieldNames())
+
+        kinds = None
+        for batch in batches:
+            kinds = [c.type for c in batch.columns]
+            h = batch.column("_h").to_numpy()
+            n += len(h)
+            below += [(h < lo).sum() for lo, _ in ends]
+            while _KEPT[level][1] is not None and n > _KEPT[level][1]:
+                level += 1
+                held = [inside(x) for x in held]
+            held.append(inside(batch))
+            if _KEPT[level][1] is None:  # nothing is narrowed any more
+                yield from (rows(x) for x in held)
+                held = []
+        if n:
+            yield from (rows(x) for x in held)
+            yield pa.RecordBatch.from_arrays([*[pa.array([None], t) for t in kinds], pa.array([level], pa.int32()), pa.array([n]),
+                                              pa.array([below.tolist()], pa.list_(pa.int64()))], names=schema.fieldNames())
+
+    ensure_checkpoint_dir(hashed.sparkSession)
+    kept = slim.mapInArrow(pick, schema).checkpoint()
+    told = kept.where("_level IS NOT NULL")
+    total = told.agg(F.sum("_n"), F.max("_level"), *[F.sum(F.col("_below")[i]) for i in range(len(ends))]).first()
+    if not total[0]:
+        return 0, 0, None
+    n, level = int(total[0]), int(total[1])
+    need = n_test_rows(n, test_fraction) - int(total[2 + level])
+    near = kept.where(F.col("_level").isNull() & (F.col("_h") >= ends[level][0]) & (F.col("_h") < ends[level][1])).select(*slim.columns)
+    return n, need, near if 0 < need <= near.count() else None
+
+
 def split_exact(df: DataFrame, key: str | Sequence[str], test_fraction: float = DEFAULT_TEST_FRACTION,
                 seed: int = 0, out: str = "is_train") -> DataFrame:
     """Exact-size split: the ``ceil(fraction * n)`` rows with the smallest
     ``(hash, key)`` form the test part.
 
-    Scalable plan, no global window: (1) a 65,536-bucket histogram of the top
-    hash bits (partial + final aggregate, at most 65,536 rows reach the
-    driver); (2) the driver finds the bucket where the cumulative count
-    crosses ``n_test``; (3) if that bucket is large (more than about a
-    million rows, i.e. beyond ~7e10 input rows), a second histogram of the
-    low 16 bits inside it narrows the boundary to one exact hash value;
-    (4) only the rows of the boundary bucket or hash value (about n / 65,536
-    or n / 2^32) are ranked to find the boundary row; (5) every row is
-    labelled by comparing ``(hash, key)`` with the boundary - a projection.
+    The boundary row comes from one scan of the keys: hashes are uniform, so
+    it lies within a few standard deviations of ``fraction * 2**32``, and the
+    scan counts the rows and puts those near that place aside (see
+    ``_KEPT``; under one row in a hundred of a large table).  The boundary is
+    then found among these: a histogram of their hashes, and a rank within
+    one of its buckets.  Every row is labelled by comparing ``(hash, key)``
+    with the boundary - a projection, no global window.
     """
     keys = _keys(key)
-    h = hash32(seed, *keys)
-    hashed = df.withColumn("_h", h)
-    bucket = F.shiftrightunsigned(F.col("_h"), 32 - _BUCKET_BITS)
-    hist = _histogram(hashed, _BUCKET_BITS)
-    n = sum(r["count"] for r in hist)
+    hashed = df.withColumn("_h", hash32(seed, *keys))
+    n, need, near = _one_pass(hashed, keys, test_fraction)
     n_test = n_test_rows(n, test_fraction)
     if n_test <= 0:
         return df.withColumn(out, F.lit(True))
-    boundary, need, count = _crossing(hist, n_test)
+    order_cols = ["_h"] + keys
+    bound_vals = _ranked(near, order_cols, need) if near is not None else _ranked(hashed, order_cols, n_test)
+    is_test = _lex_le([F.col(c) for c in order_cols], bound_vals)
+    return hashed.withColumn(out, ~is_test).drop("_h")
+
+
+def _ranked(hashed: DataFrame, order_cols: list[str], rank: int) -> list:
+    """The values of the row of that rank: a histogram of the top hash bits
+    (at most 65,536 rows reach the driver) finds its bucket; in a bucket of
+    over a million rows one of the low bits finds its hash; what is left is
+    ranked."""
+    bucket = F.shiftrightunsigned(F.col("_h"), 32 - _BUCKET_BITS)
+    boundary, need, count = _crossing(_histogram(hashed, _BUCKET_BITS), rank)
     edge_rows = bucket == F.lit(boundary)
     if count > _RANK_MAX_ROWS:
         low = F.col("_h").bitwiseAND(F.lit((1 << (32 - _BUCKET_BITS)) - 1))
         sub = hashed.where(edge_rows).groupBy(low.alias("_b")).count().orderBy("_b").collect()
         low_b, need, _ = _crossing(sub, need)
         edge_rows = F.col("_h") == F.lit((boundary << (32 - _BUCKET_BITS)) | low_b)
-    order_cols = ["_h"] + keys
     w = Window.orderBy(*[F.col(c) for c in order_cols])
-    edge = (
-        hashed.where(edge_rows)
-        .select(*order_cols)
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") == F.lit(need))
-        .first()
-    )
-    bound_vals = [edge[c] for c in order_cols]
-    is_test = _lex_le([F.col(c) for c in order_cols], bound_vals)
-    return hashed.withColumn(out, ~is_test).drop("_h")
+    edge = (hashed.where(edge_rows).select(*order_cols).withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") == F.lit(need)).first())
+    return [edge[c] for c in order_cols]
 
 
 def _histogram(hashed: DataFrame, bits: int) -> list:

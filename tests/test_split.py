@@ -112,3 +112,45 @@ def test_exact_split_and_batches_property(spark):
         assert {r["k"]: r["batch"] for r in b.collect()} == {k: i // bs for i, k in enumerate(border) if i < nb * bs}
 
     check()
+
+
+def _flags(df, keys, frac, seed=0):
+    return {tuple(r[k] for k in keys): r["is_train"] for r in S.split_exact(df, keys, frac, seed).collect()}
+
+
+def test_boundary_from_every_level_of_kept_rows(spark, monkeypatch):
+    """Whole tasks, a wide and a narrow stretch of the hashes, and the way back
+    where the stretch misses the boundary."""
+    rows = [(d, p) for d in range(700) for p in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int").repartition(3)
+    order = sorted(rows, key=lambda r: (_h(5, *r), r[0], r[1]))
+    asked = []
+    ranked = S._ranked
+    monkeypatch.setattr(S, "_ranked", lambda hashed, cols, rank: asked.append(hashed.count()) or ranked(hashed, cols, rank))
+    for kept, most in ((((1.0, 1 << 12), (0.05, 1 << 20), (0.004, None)), 2100), (((1.0, 100), (0.05, 10**6), (0.004, None)), 300),
+                       (((1.0, 100), (0.2, 200), (0.05, None)), 300), (((1.0, 10), (0.5, 20), (1e-9, None)), 2100)):
+        monkeypatch.setattr(S, "_KEPT", kept)
+        for frac in (0.2, 0.97):
+            n_test = math.ceil(frac * len(rows))
+            assert _flags(df, ["doc_id", "pos"], frac, 5) == {r: i >= n_test for i, r in enumerate(order)}
+            assert asked.pop() <= most
+
+
+def test_exact_split_scans_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(20000).withColumnRenamed("id", "k").repartition(4).mapInArrow(watch, "k long")
+    flagged = S.split_exact(df, "k", 0.3, 1)
+    assert seen.value == 20000
+    assert flagged.where("not is_train").count() == 6000
+
+
+def test_exact_split_of_nothing(spark):
+    df = spark.createDataFrame([], "k long")
+    assert S.split_exact(df, "k", 0.3).collect() == []
+    assert [r["is_train"] for r in S.split_exact(spark.createDataFrame([(1,)], "k long"), "k", 0.0).collect()] == [True]
