@@ -26,9 +26,8 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_sql_or_is_model_fitting():
     rows_only = {n for n in set(queries()) - set(SQL) if not re.match(r"op\d+_|pipeline$", n)}
-    assert rows_only <= {"fit_history", "fit_text_history", "train_step", "sweep_fit_alpha",
-                         "sweep_fit_beta", "subword_encode", "subword_model_inputs",
-                         "fit_message_history", "sweep_fit_alpha_text"}
+    assert rows_only == {"fit_history", "fit_history_blocks", "fit_image_history", "fit_text_history", "fit_text_script",
+                         "fit_message_history", "sweep_fit_alpha", "sweep_fit_alpha_text", "sweep_fit_beta"}
 
 
 def test_entry_smoke(spark):
