@@ -388,10 +388,10 @@ def runs_for_summary(runs: DataFrame, metric: str = "avg_acc", config: str = "al
 
 def fit_grid(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], key, x="ids", label: str = "label",
              n_draws: int = 12, estimator: str = "sampled", max_bytes: int | None = None, drop_remainder: bool = False,
-             **kw) -> DataFrame:
+             last_only: bool = False, **kw) -> DataFrame:
     """The runs table of a grid: each run whole in one task where the counted
     rows fit ``max_bytes`` (sequential steps), else local SGD over workers
-    (whose last slices are never dropped)."""
+    (whose last slices are never dropped, and whose every epoch is evaluated)."""
     from ibex.operators import resident as R
 
     bound = R.MAX_BYTES if max_bytes is None else max_bytes
@@ -400,7 +400,7 @@ def fit_grid(data: DataFrame, spec: M.VibSpec, configs: Sequence[SweepConfig], k
     try:
         if R.fits(data.count(), spec, configs, columns, kw.get("epochs", 5), n_draws, estimator, bound):
             return R.fit_runs(data, spec, configs, key, x, label, n_draws=n_draws, estimator=estimator, max_bytes=bound,
-                              drop_remainder=drop_remainder, **kw)
+                              drop_remainder=drop_remainder, last_only=last_only, **kw)
         return fit_sweep(data, spec, configs, key, x, label, n_draws=n_draws, estimator=estimator, **kw)
     finally:
         data.unpersist()
@@ -414,7 +414,7 @@ def script_alpha_sweep(data: DataFrame, key, x="ids", label: str = "label", num_
     spec = M.text_spec(num_words, maxlen, SCRIPT_ALPHA_UNITS, dtype="float32")
     grid = alpha_trial_grid(SCRIPT_ALPHAS, SCRIPT_ALPHA_TRIALS, SCRIPT_ALPHA_BETA)
     runs = fit_grid(data, spec, grid, key, x, label, epochs=SCRIPT_ALPHA_EPOCHS, batch_size=SCRIPT_BATCH,
-                    lr=SCRIPT_LR, **kw)
+                    lr=SCRIPT_LR, last_only=True, **kw)
     return summary_mean_std(runs_for_summary(runs, "avg_acc", "alpha"), is_train=False)
 
 
@@ -426,5 +426,5 @@ def script_beta_sweep(data: DataFrame, key, x="ids", label: str = "label", num_w
     test accuracy per beta."""
     spec = M.text_spec(num_words, maxlen, units, embed_dim=embed_dim, dtype="float32")
     grid = beta_grid_configs(beta_grid(*SCRIPT_BETA_LOG10), SCRIPT_BETA_SAMPLES, SCRIPT_BETA_ALPHA)
-    runs = fit_grid(data, spec, grid, key, x, label, epochs=SCRIPT_BETA_EPOCHS, batch_size=SCRIPT_BATCH, lr=lr, **kw)
+    runs = fit_grid(data, spec, grid, key, x, label, epochs=SCRIPT_BETA_EPOCHS, batch_size=SCRIPT_BATCH, lr=lr, last_only=True, **kw)
     return summary_train_test(runs_for_summary(runs, "acc", "beta"))

@@ -182,3 +182,11 @@ def test_half_width_floats_follow_the_wide_ones():
     h, ce32, dv32, _ = M.loss_and_grad(half, p.astype(np.float32), x, y, e, 0.1, 1.0, 20)
     assert h.dtype == np.float32 and np.allclose(g, h, atol=1e-5) and abs(ce - ce32) < 1e-4 and abs(dv - dv32) < 1e-4
     assert M.Adam(1e-2).step(p.astype(np.float32), h).dtype == np.float32
+
+
+def test_the_last_epoch_alone_is_the_last_of_all(spark):
+    vec = C.read_vectors(spark, SF_SMALL)
+    kw = {"epochs": 3, "lr": 1e-2, "batch_size": 30, "drop_remainder": True}
+    every = by_id(R.fit_runs(vec, SPEC, GRID[:2], "vec_id", "features", **kw))
+    last = by_id(R.fit_runs(vec, SPEC, GRID[:2], "vec_id", "features", last_only=True, **kw))
+    same([r for r in every if r["epoch"] == 3], last)
