@@ -231,3 +231,16 @@ sums AS (
 SELECT f.conv_id, f.d AS depth, f.parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
 FROM full_nodes f JOIN sums s ON s.d = f.d AND s.node = f.node
 """
+
+
+def _state() -> None:
+    """Statements kept in a module of their own."""
+    from ibex.llm import oracle
+    from ibex.llm.secret_scan import BASE, FURTHER
+
+    ORACLE["op2_substring_dedup"] = oracle.substring_sql()
+    ORACLE["op5_secret_scan"] = oracle.secret_sql(BASE + FURTHER, BASE)
+    ORACLE["op9_near_dedup"] = oracle.near_sql()
+
+
+_state()
