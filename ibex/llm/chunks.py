@@ -58,9 +58,9 @@ class Memory:
     stay known.  Long chunks are not remembered; texts without spaces have
     them, and they don't come again."""
 
-    LONGEST = 200
-    #: Bytes of an entry besides its chunk and its value, about.
-    ENTRY = 180
+    LONGEST = 64
+    #: Bytes of an entry with its chunk and its value, about (256 at most).
+    ENTRY = 200
 
     def __init__(self, limit: int = 24 << 20):
         self.limit, self.size = limit, 0
@@ -75,19 +75,17 @@ class Memory:
         """The value of each chunk; ``solve`` gives those of a list of unknown
         ones.  Chunks and values are strings, bytes or small tuples."""
         young, old = self.young, self.old
-        unknown, again = [], {}
-        for c in distinct:
-            if c not in young:
-                if c in old:
-                    again[c] = old[c]
-                else:
-                    unknown.append(c)
-        loose = {}
-        for chunk, value in zip(unknown, solve(unknown)):
-            (again if len(chunk) <= self.LONGEST else loose)[chunk] = value
-        young.update(again)
-        out = [young[c] if c in young else loose[c] for c in distinct]
-        self.size += sum(len(c) + (len(v) if isinstance(v, bytes) else 64) for c, v in again.items()) + self.ENTRY * len(again)
+        unknown = [c for c in distinct if c not in young]
+        if old and unknown:
+            young.update((c, old[c]) for c in unknown if c in old)
+            unknown = [c for c in unknown if c not in young]
+        long = [c for c in unknown if len(c) > self.LONGEST]
+        if long:
+            unknown = [c for c in unknown if len(c) <= self.LONGEST]
+        young.update(zip(unknown, solve(unknown)))
+        loose = dict(zip(long, solve(long))) if long else {}
+        out = [loose[c] if c in loose else young[c] for c in distinct] if loose else [young[c] for c in distinct]
+        self.size = self.ENTRY * len(young)
         if self.size > self.limit:
-            self.young, self.old, self.size = {}, young, 0
+            self.young, self.old = {}, young
         return out

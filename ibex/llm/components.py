@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ibex.llm.frames import checkpointed
+from ibex.llm.frames import checkpointed, tidy
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -42,5 +42,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+        tidy(edges.sparkSession)
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

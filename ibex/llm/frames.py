@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable
 
@@ -17,6 +18,14 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of a long job: shuffle files and checkpoints of
+    frames that are gone are deleted once the driver's collector has seen
+    that; a job of many small stages may not make it run by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0]

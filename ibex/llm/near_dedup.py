@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ibex.llm import textbytes as tb
 from ibex.llm.components import connected_components
-from ibex.llm.frames import checkpointed, parts, text_of, without_rows
+from ibex.llm.frames import checkpointed, parts, text_of, tidy, without_rows
 
 _U = np.uint64
 #: Bits of the filter that spares documents of no candidate pair (2 MB).
@@ -373,6 +373,8 @@ class NearDedup:
         links = self._confirmed(near, docs, reps)
         links = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         component = checkpointed(connected_components(links))
+        del near, dealt, placed, sizes
+        tidy(docs.sparkSession)
 
         # the other pairs of nodes that hold more than one component
         small = members.where(F.col("size") <= self.node_limit)
@@ -389,6 +391,8 @@ class NearDedup:
             if depth >= self.max_depth or large.isEmpty():
                 break
             members, depth = checkpointed(self._branch(large, signs)), depth + 1
+            del mixed, now, rows, sketches, large
+            tidy(docs.sparkSession)
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.unionByName(more)

@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from ibex.llm import chunks, textbytes as tb
 from ibex.llm.frames import parts, text_of
 
+#: Chunks whose ids are laid out together.
+GATHER = 1 << 17
+
 _ENCODERS: dict[str, "Encoder"] = {}
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
@@ -66,16 +69,20 @@ class Encoder:
         offsets, data = tb.buffers(column)
         distinct, place, first = chunks.distinct_chunks(offsets, data, chunks.at_word_starts(data))
         pool = self.memory.of(distinct.to_pylist(), self.encode)
-        size = np.array([len(x) // 4 for x in pool], dtype=np.int64)
+        size = np.array([len(x) // 4 for x in pool], dtype=np.int32)
         flat = np.frombuffer(b"".join(pool), dtype="<u4")
-        begin = np.cumsum(size) - size
-        each = size[place]
-        upto = np.append(0, np.cumsum(each))
-        out = flat[np.repeat(begin[place] - upto[:-1], each) + np.arange(int(upto[-1]))]
+        begin = np.cumsum(size, dtype=np.int64) - size
+        upto = np.zeros(len(place) + 1, dtype=np.int64)
+        np.cumsum(size[place], out=upto[1:])
+        out = np.empty(int(upto[-1]), dtype="<u4")
+        for lo in range(0, len(place), GATHER):  # indices take more room than ids
+            some = place[lo:lo + GATHER]
+            a, z = int(upto[lo]), int(upto[lo + len(some)])
+            out[a:z] = flat[np.repeat(begin[some] - upto[lo:lo + len(some)], size[some]) + np.arange(a, z)]
         return out, upto[first]
 
 
-def _parts(batch: pa.RecordBatch, size: int = 4 << 20):
+def _parts(batch: pa.RecordBatch, size: int = 8 << 20):
     """Runs of rows with about ``size`` bytes of text: long enough that most
     chunks repeat, short enough to bound the ids held at a time."""
     offsets, _ = tb.buffers(batch.column("text"))
