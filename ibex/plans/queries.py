@@ -658,11 +658,11 @@ FIT_VEC_SPEC = VM.dense_spec(64, units=(32, 32), out_dim=10, latent_dim=2, trans
 
 
 @register("fit_history")
-def q_fit_history(spark, sf_dir):
+def q_fit_history(spark, sf_dir, epochs=50):
     """Local-SGD training on the vector table over a fixed number of workers:
     per-epoch information-plane bounds and accuracies for both parts."""
     vec = S.split_hash(C.read_vectors(spark, sf_dir), "vec_id")
-    cfg = VIB.FitConfig(epochs=50, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
+    cfg = VIB.FitConfig(epochs=epochs, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
     _, hist = VIB.fit(vec, FIT_VEC_SPEC, cfg, "vec_id", "features")
     return VIB.history_frame(spark, hist)
 
@@ -709,12 +709,12 @@ def _text_model_frame(spark, sf_dir):
 
 
 @register("fit_text_history")
-def q_fit_text_history(spark, sf_dir):
+def q_fit_text_history(spark, sf_dir, epochs=25):
     """The book-paragraph pipeline end to end: paragraphs -> vocabulary ->
     padded ids -> local-SGD training of an embedding model (one data pass
     per epoch)."""
     data = _text_model_frame(spark, sf_dir)
-    cfg = VIB.FitConfig(epochs=25, batch_size=50, beta=1e-4, alpha=1.0, lr=1e-3, mode="average")
+    cfg = VIB.FitConfig(epochs=epochs, batch_size=50, beta=1e-4, alpha=1.0, lr=1e-3, mode="average")
     _, hist = VIB.fit(data, TEXT_FIT_SPEC, cfg, ["doc_id", "pos"], "ids")
     return VIB.history_frame(spark, hist)
 
@@ -928,12 +928,12 @@ MSG_SPEC = VM.dense_spec(50, units=(32, 32), out_dim=2, latent_dim=2, transform=
 
 
 @register("fit_message_history")
-def q_fit_message_history(spark, sf_dir):
+def q_fit_message_history(spark, sf_dir, epochs=20):
     """Messages: clean, label by category, split, vocabulary, ids padded to
     50 and divided by the vocabulary size, dense encoder on ``2x - 1``,
     local-SGD training with beta = 10^-0.5, 20 epochs."""
     from ibex.plans.text import message_pipeline
     enc, _ = message_pipeline(spark, sf_dir, "user", _MSG_CFG)
-    cfg = VIB.FitConfig(epochs=20, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
+    cfg = VIB.FitConfig(epochs=epochs, batch_size=50, beta=10 ** -0.5, alpha=1.0, lr=1e-3, mode="average")
     _, hist = VIB.fit(enc, MSG_SPEC, cfg, "msg_id", "x")
     return VIB.history_frame(spark, hist)
