@@ -27,3 +27,34 @@ def test_image_fit_beyond_the_bound(spark, monkeypatch):
     monkeypatch.setattr(R, "fits", lambda *a, **kw: False)
     monkeypatch.setattr(Q, "IMAGE_EPOCHS", 3)
     history(Q.QUERIES["fit_image_history"](spark, SF_SMALL).collect(), 3)
+
+
+def test_noise_of_a_task_is_that_of_the_columns(spark):
+    rows = spark.range(30).select(F.col("id").alias("a"), (F.col("id") % 4).alias("b")).withColumn("_k", VIB.key_string(["a", "b"]))
+    both = VIB.with_noise(VIB.with_noise(rows, ["a", "b"], 2, "0:3", 0, "train", True).withColumnRenamed("eps", "t"), ["a", "b"], 2, "0:3", 5).toArrow()
+    key = both.column("_k").combine_chunks()
+    eps, mc = VIB.eval_noise("0:3", key, 2, 5)
+    for name, got in (("t", VIB.train_noise("0:3", key, 2, True)), ("eps", eps), ("eps_mc", mc.reshape(30, 10))):
+        assert np.allclose(np.array(both.column(name).to_pylist()), got, rtol=1e-12, atol=1e-14)
+
+
+@pytest.mark.parametrize("vocab", [100, 70000])
+def test_stored_ids_have_no_padding_and_come_back(spark, vocab):
+    spec = M.text_spec(vocab, 6, (4,))
+    ids = [[5, 0, 7, 0, 0, 0], [0] * 6, [1, 2, 3, 4, 5, vocab - 1]]
+    kept = VIB.stored(spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "k int, ids array<int>").coalesce(1), spec, ["ids"]).toArrow()
+    assert [len(v) for v in kept.column("ids").to_pylist()] == [3, 0, 6]
+    assert VIB.stored_inputs(kept.column("ids"), spec).tolist() == ids
+    with pytest.raises(Exception, match="exactly 6 values"):
+        VIB.stored(spark.createDataFrame([(0, [1, 2])], "k int, ids array<int>"), spec, ["ids"]).collect()
+
+
+def test_a_fit_is_evaluated_by_sums(spark, monkeypatch):
+    vec, spec = S.split_hash(C.read_vectors(spark, SF_SMALL), "vec_id"), M.dense_spec(64, units=(6,), out_dim=10)
+    cfg = VIB.FitConfig(epochs=2, batch_size=20, lr=1e-2, mode="average", n_draws=4)
+    by_rows = VIB.evaluate(vec, spec, VIB.fit(vec, spec, cfg, "vec_id", "features")[0], "vec_id", "features", seed="0:2", n_draws=4).collect()
+    monkeypatch.setattr(VIB, "score", None)  # no row leaves its task
+    last = VIB.fit(vec, spec, cfg, "vec_id", "features")[1][-1]
+    for r in by_rows:
+        for m in ("izy", "izx", "acc", "avg_acc"):
+            assert abs(last[f"{'train' if r['is_train'] else 'test'}_{m}"] - r[m]) < 1e-9
