@@ -75,3 +75,10 @@ def test_the_driver_holds_one_large_model_of_a_grid(spark, monkeypatch):
     spec = M.text_spec(1000, 500, SW.SCRIPT_ALPHA_UNITS, dtype="float32")
     one, held, _ = groups(spark, monkeypatch, spec, SW.alpha_trial_grid(SW.SCRIPT_ALPHAS, SW.SCRIPT_ALPHA_TRIALS, 1e-4))
     assert max(held) <= max(one, 64 << 20)
+
+
+def test_a_task_and_a_round_of_a_large_grid_are_bounded(spark, monkeypatch):
+    spec = M.text_spec(1000, 500, (16, 8, 4), embed_dim=8, dtype="float32")
+    grid = SW.beta_grid_configs(SW.beta_grid(), SW.SCRIPT_BETA_SAMPLES)
+    _, held, most = groups(spark, monkeypatch, spec, grid)
+    assert len(grid) == 850 and max(held) <= 64 << 20 and most <= 64 << 20
