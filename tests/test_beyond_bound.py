@@ -29,6 +29,36 @@ def test_image_fit_beyond_the_bound(spark, monkeypatch):
     history(Q.QUERIES["fit_image_history"](spark, SF_SMALL).collect(), 3)
 
 
+def test_text_fit_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(R, "fits", lambda *a, **kw: False)
+    monkeypatch.setattr(SW, "SCRIPT_ALPHA_UNITS", (4,))
+    history(Q.QUERIES["fit_text_script"](spark, SF_SMALL).collect(), 25)
+
+
+def groups(spark, monkeypatch, spec, grid):
+    """Sizes of the groups of a grid, and of their largest shard, in bytes of state."""
+    seen = []
+    one = 3 * M.Layout(spec).size * np.dtype(spec.dtype).itemsize
+    monkeypatch.setattr(SW, "_fit_group", lambda base, workers, spec, shards, *a, **kw: seen.append([len(s) * one for s in shards]) or [])
+    rows = spark.range(20).select(F.col("id").alias("k"), F.array_repeat(F.lit(3), spec.seq_len).alias("ids"), F.lit(1).alias("label"))
+    SW.fit_sweep(rows, spec, grid, "k")
+    assert sum(map(sum, seen)) == one * len(grid)
+    return one, [sum(g) for g in seen], max(map(max, seen))
+
+
+def test_the_driver_holds_one_large_model_of_a_grid(spark, monkeypatch):
+    spec = M.text_spec(1000, 500, SW.SCRIPT_ALPHA_UNITS, dtype="float32")
+    one, held, _ = groups(spark, monkeypatch, spec, SW.alpha_trial_grid(SW.SCRIPT_ALPHAS, SW.SCRIPT_ALPHA_TRIALS, 1e-4))
+    assert max(held) <= max(one, 64 << 20)
+
+
+def test_a_task_and_a_round_of_a_large_grid_are_bounded(spark, monkeypatch):
+    spec = M.text_spec(1000, 500, (16, 8, 4), embed_dim=8, dtype="float32")
+    grid = SW.beta_grid_configs(SW.beta_grid(), SW.SCRIPT_BETA_SAMPLES)
+    _, held, most = groups(spark, monkeypatch, spec, grid)
+    assert len(grid) == 850 and max(held) <= 64 << 20 and most <= 64 << 20
+
+
 def test_noise_of_a_task_is_that_of_the_columns(spark):
     rows = spark.range(30).select(F.col("id").alias("a"), (F.col("id") % 4).alias("b")).withColumn("_k", VIB.key_string(["a", "b"]))
     both = VIB.with_noise(VIB.with_noise(rows, ["a", "b"], 2, "0:3", 0, "train", True).withColumnRenamed("eps", "t"), ["a", "b"], 2, "0:3", 5).toArrow()
@@ -58,27 +88,3 @@ def test_a_fit_is_evaluated_by_sums(spark, monkeypatch):
     for r in by_rows:
         for m in ("izy", "izx", "acc", "avg_acc"):
             assert abs(last[f"{'train' if r['is_train'] else 'test'}_{m}"] - r[m]) < 1e-9
-
-
-def groups(spark, monkeypatch, spec, grid):
-    """Sizes of the groups of a grid, and of their largest shard, in bytes of state."""
-    seen = []
-    one = 3 * M.Layout(spec).size * np.dtype(spec.dtype).itemsize
-    monkeypatch.setattr(SW, "_fit_group", lambda base, workers, spec, shards, *a, **kw: seen.append([len(s) * one for s in shards]) or [])
-    rows = spark.range(20).select(F.col("id").alias("k"), F.array_repeat(F.lit(3), spec.seq_len).alias("ids"), F.lit(1).alias("label"))
-    SW.fit_sweep(rows, spec, grid, "k")
-    assert sum(map(sum, seen)) == one * len(grid)
-    return one, [sum(g) for g in seen], max(map(max, seen))
-
-
-def test_the_driver_holds_one_large_model_of_a_grid(spark, monkeypatch):
-    spec = M.text_spec(1000, 500, SW.SCRIPT_ALPHA_UNITS, dtype="float32")
-    one, held, _ = groups(spark, monkeypatch, spec, SW.alpha_trial_grid(SW.SCRIPT_ALPHAS, SW.SCRIPT_ALPHA_TRIALS, 1e-4))
-    assert max(held) <= max(one, 64 << 20)
-
-
-def test_a_task_and_a_round_of_a_large_grid_are_bounded(spark, monkeypatch):
-    spec = M.text_spec(1000, 500, (16, 8, 4), embed_dim=8, dtype="float32")
-    grid = SW.beta_grid_configs(SW.beta_grid(), SW.SCRIPT_BETA_SAMPLES)
-    _, held, most = groups(spark, monkeypatch, spec, grid)
-    assert len(grid) == 850 and max(held) <= 64 << 20 and most <= 64 << 20
