@@ -4,15 +4,18 @@ is made in the task and what the driver and a task hold of a grid."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from ibex.functions.hashing import gaussian_array
 from ibex.operators import resident as R
 from ibex.operators import split as S
 from ibex.operators import sweep as SW
 from ibex.operators import vib as VIB
 from ibex.operators import vib_math as M
+from ibex.operators.draws import draws
 from ibex.plans import queries as Q
 from ibex.sources import corpus as C
 
@@ -88,3 +91,48 @@ def test_a_fit_is_evaluated_by_sums(spark, monkeypatch):
     for r in by_rows:
         for m in ("izy", "izx", "acc", "avg_acc"):
             assert abs(last[f"{'train' if r['is_train'] else 'test'}_{m}"] - r[m]) < 1e-9
+
+
+def test_a_run_keeps_no_batch_behind_its_last_rows():
+    spec = M.text_spec(50, 40, (4,), dtype="float32")
+    start = M.init_params(spec, 1)
+    run = VIB.LocalRun(spec, (start, np.zeros_like(start), np.zeros_like(start), 0), 1e-3, 1e-3, 1.0, "sampled", 50)
+    run.feed(np.ones((2049, 40), dtype=np.int16), np.ones(2049, dtype=np.int64), np.zeros((2049, 2)))
+    assert [len(a) for a in run.pending[0]] == [49] * 3
+    assert all(a.base is None for a in run.pending[0])
+
+
+def test_large_states_are_averaged_in_waves(spark, monkeypatch):
+    """A wave's states fit the bound, results are those of one wave."""
+    spec = M.text_spec(1000, 500, SW.SCRIPT_ALPHA_UNITS, dtype="float32")
+    one = 3 * M.Layout(spec).size * 4
+    cuts = VIB.waves(8, one)
+    assert [w for a, b in cuts for w in range(a, b)] == list(range(8)) and max(b - a for a, b in cuts) * one <= VIB.WAVE_BYTES
+    vec, small = C.read_vectors(spark, SF_SMALL), M.dense_spec(64, units=(6,), out_dim=10)
+    grid = SW.beta_grid_configs([1e-3, 1e-1], 1)
+    kw = {"epochs": 2, "lr": 1e-2, "n_workers": 5, "n_draws": 4}
+    whole = SW.fit_sweep(vec, small, grid, "vec_id", "features", **kw).orderBy("config_id", "epoch", "is_train").collect()
+    taken = []
+    mean = VIB.worker_mean
+    monkeypatch.setattr(VIB, "worker_mean", lambda *a: taken.append(1) or mean(*a))
+    monkeypatch.setattr(VIB, "WAVE_BYTES", 2 * 2 * 3 * M.Layout(small).size * 8)
+    parts = SW.fit_sweep(vec, small, grid, "vec_id", "features", **kw).orderBy("config_id", "epoch", "is_train").collect()
+    assert len(taken) == 2 * 3
+    assert np.allclose([list(map(float, r)) for r in whole], [list(map(float, r)) for r in parts], rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 12])
+def test_draws_of_keys_of_any_length(spark, n):
+    keys = ["", "7", "12:3", "é:5", "x" * 41, "y" * 46, "z" * 47, "w" * 150] + [str(i ** 5) for i in range(40)]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
+    want = [r["g"] for r in df.withColumn("g", gaussian_array("3:2:eval", "k", n)).orderBy("i").collect()]
+    assert np.allclose(draws("3:2:eval", pa.array(["off", *keys])[1:], n), want, rtol=1e-12, atol=1e-14)
+
+
+def test_a_run_without_rows_to_train_on_stays_as_it_was(spark):
+    spec = M.dense_spec(3, units=(2,), out_dim=2)
+    rows = spark.createDataFrame([(1, [0.1, 0.2, 0.3], 1)], "k int, features array<double>, label int")
+    grid = [SW.SweepConfig(i, 1.0, 1e-3, i) for i in range(12)]
+    runs = SW.fit_sweep(rows, spec, grid, "k", "features", epochs=2, n_draws=2).collect()
+    assert sorted((r["config_id"], r["epoch"]) for r in runs) == [(i, e) for i in range(12) for e in (1, 2)]
+    assert {r["is_train"] for r in runs} == {True, False}
