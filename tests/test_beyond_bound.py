@@ -136,3 +136,32 @@ def test_a_run_without_rows_to_train_on_stays_as_it_was(spark):
     runs = SW.fit_sweep(rows, spec, grid, "k", "features", epochs=2, n_draws=2).collect()
     assert sorted((r["config_id"], r["epoch"]) for r in runs) == [(i, e) for i in range(12) for e in (1, 2)]
     assert {r["is_train"] for r in runs} == {True, False}
+
+
+def test_a_grid_takes_the_same_steps_on_any_number_of_rows(spark, monkeypatch):
+    """Sequential steps, whatever size the rows are said to have; packs, files
+    and groups of runs change nothing."""
+    vec, spec = C.read_vectors(spark, SF_SMALL), M.dense_spec(64, units=(6,), out_dim=10)
+    grid = SW.alpha_trial_grid([0.5, 1.0], n_trials=2, beta=1e-3)
+    kw = {"epochs": 2, "lr": 1e-2, "batch_size": 30, "n_draws": 4}
+
+    def rows(runs):
+        return [list(map(float, r)) for r in runs.orderBy("config_id", "epoch", "is_train").collect()]
+
+    one_worker = rows(SW.fit_sweep(vec, spec, grid, "vec_id", "features", n_workers=1, **kw))
+    monkeypatch.setattr(R, "fits", lambda *a, **b: False)
+    assert np.allclose(rows(SW.fit_grid(vec, spec, grid, "vec_id", "features", **kw)), one_worker, rtol=1e-9, atol=1e-12)
+    whole = rows(R.fit_runs(vec, spec, grid, "vec_id", "features", **kw))
+    for name, value in (("PACK_ROWS", 7), ("SPOOL_BYTES", 100), ("TOGETHER_BYTES", 0)):
+        monkeypatch.setattr(R, name, value)
+    conf = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert np.allclose(rows(R.fit_runs(vec.repartition(5), spec, grid, "vec_id", "features", **kw)), whole, rtol=1e-9, atol=1e-12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+
+
+def test_a_grid_without_rows_has_no_runs(spark):
+    vec, spec = C.read_vectors(spark, SF_SMALL).limit(0), M.dense_spec(64, units=(6,), out_dim=10)
+    assert SW.fit_grid(vec, spec, SW.beta_grid_configs([1e-3], 2), "vec_id", "features", epochs=1).collect() == []
