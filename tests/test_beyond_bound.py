@@ -165,3 +165,51 @@ def test_a_grid_takes_the_same_steps_on_any_number_of_rows(spark, monkeypatch):
 def test_a_grid_without_rows_has_no_runs(spark):
     vec, spec = C.read_vectors(spark, SF_SMALL).limit(0), M.dense_spec(64, units=(6,), out_dim=10)
     assert SW.fit_grid(vec, spec, SW.beta_grid_configs([1e-3], 2), "vec_id", "features", epochs=1).collect() == []
+
+
+def long_tailed(n=60, width=90, vocab=40):
+    rng = np.random.default_rng(5)
+    lens = np.minimum(rng.geometric(0.06, n), width)
+    lens[:3] = (0, width - 7, 1)
+    x = rng.integers(0, vocab, (n, width)) * (np.arange(width) < lens[:, None])
+    return x, rng.integers(0, 2, n), rng.normal(size=(n, 2))
+
+
+@pytest.mark.parametrize("units", [(6, 3), ()])
+def test_rows_of_ids_are_multiplied_in_their_own_cells(units):
+    x, y, eps = long_tailed()
+    spec = M.text_spec(40, 90, units, embed_dim=4)
+    rows = M.IdRows(spec, x)
+    assert len(rows.cells) < 0.5 * x.size and rows.columns == M.id_lengths(x).max()
+    # the same rows as numbers: no cell is left out
+    p = M.init_params(spec, 1)
+    at, shape = M.layout_of(spec).offsets["embed"]
+    flat = p[at:at + 160].reshape(shape)[x].reshape(len(x), -1)
+    dense = M.dense_spec(360, units, 2, transform="none")
+    want = M.loss_and_grad(dense, p[160:], flat, y, eps, 0.1, 1.0, len(x))
+    got = M.loss_and_grad(spec, p, rows, y, eps, 0.1, 1.0, len(x))
+    assert np.allclose(got[0][160:], want[0], rtol=1e-10, atol=1e-14) and np.allclose(got[1:3], want[1:3])
+
+
+def test_weights_are_updated_while_their_gradient_is_taken(monkeypatch):
+    """The steps of a run are those of whole gradients, whatever the pieces."""
+    x, y, eps = long_tailed()
+    spec = M.text_spec(40, 90, (6, 3), embed_dim=4)
+    p, adam = M.init_params(spec, 1), M.Adam(1e-2)
+    for at in (slice(0, 25), slice(25, 50), slice(50, 60)):
+        p = adam.step(p, M.loss_and_grad(spec, p, x[at], y[at], eps[at], 0.1, 1.0, len(x[at]), "sampled")[0])
+    monkeypatch.setattr(M, "ADAM_BLOCK", 100)
+    start = M.init_params(spec, 1)
+    run = VIB.LocalRun(spec, (start, np.zeros_like(start), np.zeros_like(start), 0), 1e-2, 0.1, 1.0, "sampled", 25)
+    run.feed(x, y, eps)
+    run.finish()
+    assert run.opt.t == 3 and all(np.allclose(a, b, rtol=1e-9, atol=1e-13) for a, b in ((run.p, p), (run.opt.m, adam.m), (run.opt.v, adam.v)))
+
+
+def test_packed_rows_come_back(spark):
+    rows = spark.range(9000).selectExpr("id AS k", "id % 3 = 0 AS is_train", "cast(id % 4 AS int) AS _w", "array(id, id + 1) AS x").repartitionById(4, "_w")
+    packs = VIB.packed(rows, "is_train", True)
+    assert packs.agg(F.sum("n_train")).first()[0] == 3000
+    back = packs.mapInArrow(lambda batches: (b.append_column("w", pa.array([w] * len(b), pa.int32())) for w, b in VIB.unpacked(batches)),
+                            "k long, is_train boolean, _w int, x array<long>, w int").collect()
+    assert sorted(r["k"] for r in back) == list(range(9000)) and all(r["w"] == r["_w"] == r["k"] % 4 and r["x"] == [r["k"], r["k"] + 1] for r in back)
